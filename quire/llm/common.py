@@ -70,19 +70,34 @@ def running_sum(arr: str) -> str:
     return let(arr, "rs_a", f"if(size(rs_a) <= {BLOCK}, {short}, {long})")
 
 
+#: Code points of text before a match that are kept as its context.
+CONTEXT = 40
+
+
+def _laid(text: str, rx: str) -> str:
+    """SQL: struct<g array<string>, m array<string>>: the pieces between matches, and the matches."""
+    return f"named_struct('g', split({text}, {rx}, -1), 'm', regexp_extract_all({text}, {rx}, 0))"
+
+
 def matches(text: str, pattern: str) -> str:
-    """SQL: array<struct<start bigint, end bigint, m string>> of the leftmost non-overlapping matches of ``pattern``.
+    """SQL: array<struct<start, end, m, pre>> of the leftmost non-overlapping matches of a pattern that matches no empty text.
 
-    Starts and ends are code points, the end exclusive. The pieces between matches and the matches themselves, laid in
-    turn, give every position, so no Python is needed.
+    Starts and ends are code points, the end exclusive; ``pre`` is the text just before, back to the match before at
+    most. The pieces between matches and the matches themselves, laid in turn, give every position in linear time.
     """
     rx = sql_text(pattern)
     steps = "transform(mt_s.m, (mt_x, mt_i) -> cast(length(element_at(mt_s.g, mt_i + 1)) + length(mt_x) as bigint))"
-    out = f"transform({running_sum(steps)}, (mt_e, mt_i) -> named_struct('start', mt_e - length(element_at(mt_s.m, mt_i + 1)), 'end', mt_e, 'm', element_at(mt_s.m, mt_i + 1)))"
-    found = let(f"named_struct('g', split({text}, {rx}, -1), 'm', regexp_extract_all({text}, {rx}, 0))", "mt_s", out)
-    empty = "cast(array() as array<struct<start:bigint,end:bigint,m:string>>)"
-    return f"if({text} rlike {rx}, {found}, {empty})"
+    one = f"named_struct('start', mt_e - length(element_at(mt_s.m, mt_i + 1)), 'end', mt_e, 'm', element_at(mt_s.m, mt_i + 1), 'pre', right(element_at(mt_s.g, mt_i + 1), {CONTEXT}))"
+    found = let(_laid(text, rx), "mt_s", f"transform({running_sum(steps)}, (mt_e, mt_i) -> {one})")
+    return f"if({text} rlike {rx}, {found}, cast(array() as array<struct<start:bigint,end:bigint,m:string,pre:string>>))"
+
 
+def replaced(text: str, pattern: str, check: str, by: str) -> str:
+    """SQL: the text with those matches ``x`` of the pattern for which ``check`` holds replaced by a literal."""
+    rx = sql_text(pattern)
+    one = f"concat(element_at(mt_s.g, mt_i + 1), {let('named_struct(' + chr(39) + 'm' + chr(39) + ', mt_x, ' + chr(39) + 'pre' + chr(39) + f', right(element_at(mt_s.g, mt_i + 1), {CONTEXT}))', 'x', f'if({check}, {sql_text(by)}, x.m)')})"
+    out = let(_laid(text, rx), "mt_s", f"concat(array_join(transform(mt_s.m, (mt_x, mt_i) -> {one}), ''), element_at(mt_s.g, -1))")
+    return f"if({text} rlike {rx}, {out}, {text})"
 
 
 def col_or_null(df: DataFrame, name: str, kind: str) -> Column:

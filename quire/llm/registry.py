@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import sentencepiece_codec
+from quire.llm import pii, sentencepiece_codec
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_pii": pii.OP2_SQL}
