@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import pii, sentencepiece_codec
+from quire.llm import pii, secrets, sentencepiece_codec
 
 QUERIES = {
+    "op8_secrets": secrets.op8_secrets,
     "op2_pii": pii.op2_pii,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
 }
-ORACLE: dict[str, str] = {"op2_pii": pii.OP2_SQL}
+ORACLE: dict[str, str] = {"op2_pii": pii.OP2_SQL, "op8_secrets": secrets.OP8_SQL}
