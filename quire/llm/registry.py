@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import pii, secrets, sentencepiece_codec
+from quire.llm import pii, secrets, sentencepiece_codec, url_filter
 
 QUERIES = {
+    "op3_url_filter": url_filter.op3_url_filter,
     "op8_secrets": secrets.op8_secrets,
     "op2_pii": pii.op2_pii,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
