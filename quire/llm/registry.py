@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import pii, secrets, sentencepiece_codec, url_filter
+from quire.llm import exact_topk, pii, secrets, sentencepiece_codec, url_filter
 
 QUERIES = {
+    "op10_exact_topk": exact_topk.op10_exact_topk,
     "op3_url_filter": url_filter.op3_url_filter,
     "op8_secrets": secrets.op8_secrets,
     "op2_pii": pii.op2_pii,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
 }
-ORACLE: dict[str, str] = {"op2_pii": pii.OP2_SQL, "op8_secrets": secrets.OP8_SQL}
+ORACLE: dict[str, str] = {"op2_pii": pii.OP2_SQL, "op8_secrets": secrets.OP8_SQL, "op10_exact_topk": exact_topk.OP10_SQL}
