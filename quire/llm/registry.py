@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_topk, pii, secrets, sentencepiece_codec, url_filter
+from quire.llm import ann, exact_topk, pii, secrets, sentencepiece_codec, url_filter
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op10_exact_topk": exact_topk.op10_exact_topk,
     "op3_url_filter": url_filter.op3_url_filter,
     "op8_secrets": secrets.op8_secrets,
