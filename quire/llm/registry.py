@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, exact_topk, pii, secrets, sentencepiece_codec, url_filter
+from quire.llm import ann, exact_topk, near_dup, pii, secrets, sentencepiece_codec, url_filter
 
 QUERIES = {
+    "op7_near_dup": near_dup.op7_near_dup,
     "op1_ann": ann.op1_ann,
     "op10_exact_topk": exact_topk.op10_exact_topk,
     "op3_url_filter": url_filter.op3_url_filter,
@@ -12,4 +13,4 @@ QUERIES = {
     "op2_pii": pii.op2_pii,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
 }
-ORACLE: dict[str, str] = {"op2_pii": pii.OP2_SQL, "op8_secrets": secrets.OP8_SQL, "op10_exact_topk": exact_topk.OP10_SQL}
+ORACLE: dict[str, str] = {"op2_pii": pii.OP2_SQL, "op7_near_dup": near_dup.OP7_SQL, "op8_secrets": secrets.OP8_SQL, "op10_exact_topk": exact_topk.OP10_SQL}
