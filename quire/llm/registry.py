@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, exact_topk, near_dup, pii, secrets, sentencepiece_codec, url_filter
+from quire.llm import ann, exact_topk, near_dup, pii, secrets, sentencepiece_codec, toxicity, url_filter
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dup": near_dup.op7_near_dup,
     "op1_ann": ann.op1_ann,
     "op10_exact_topk": exact_topk.op10_exact_topk,
