@@ -7,9 +7,10 @@ A document's set is its distinct shingles of ``words`` words; documents link who
 2. ``trees`` independent trees branch the classes: a node picks one or two of the signature's coordinates (by a hash of
    its path), and a class enters the child of the minwise token that it holds there. Similar sets tend to take the same
    paths, all others part. Nodes of one class end.
-3. Nodes of at most ``leaf`` classes are compared exhaustively by signature; larger nodes branch again, after a comparison
-   of each class with the node's smallest. From ``contract`` levels down, nodes whose classes are already connected end,
-   and what is still large after ``levels`` levels is compared block by block, so no node is ever cut short.
+3. Nodes of at most ``leaf`` classes are compared exhaustively by signature. In larger nodes each class is compared with
+   the node's smallest. At every third level, nodes that links found so far connect end, as do nodes that they connect
+   but for a few classes, after comparing these few with all; the rest branch again. What is still large after ``levels`` levels is compared
+   block by block, so no node is ever cut short.
 4. Pairs that the signature doesn't rule out (four standard deviations under the threshold) are confirmed on full sets,
    each at one node, so a set is sent once to a node and not once to a pair.
 5. Components by alternating stars, on tables in shared storage.
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Stored, table
 
-#: Coordinates of a signature kept in 32 bits (trees branch on these) and in 8 bits (these only help to compare).
-HEAD, TAIL = 64, 192
+#: Minwise coordinates of a signature (32 bits; trees branch on these), and bins of one permutation (8 bits; to compare).
+HEAD, TAIL = 64, 256
 SIGMAS = 4.0
 WORDS_KNOWN = 500_000
 
@@ -51,7 +52,6 @@ class Params:
     trees: int = 16
     leaf: int = 256
     extra: int = 40  #: percent of nodes that pick a second coordinate
-    contract: int = 6
     levels: int = 24
     broadcast_rows: int = 500_000  #: ids sent to all tasks at most
 
@@ -92,17 +92,22 @@ class Shingler:
 
 
 _R = np.random.default_rng(20240229)
-_A = _R.integers(0, 2**63, HEAD + TAIL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _R.integers(0, 2**63, HEAD + TAIL, dtype=np.uint64)
+_A = _R.integers(0, 2**63, HEAD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _R.integers(0, 2**63, HEAD, dtype=np.uint64)
+_EDGES = np.arange(TAIL, dtype=np.uint64) << np.uint64(56)
 
 
 def signature(s: np.ndarray) -> bytes:
-    """The minwise values of a nonempty set: HEAD of 32 bits, then TAIL of 8."""
-    low = np.full(HEAD + TAIL, 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(s), 2048):
-        low = np.minimum(low, (s[i : i + 2048, None] * _A + _B).min(axis=0))
-    low = _mix(low)
-    return low[:HEAD].astype("<u4").tobytes() + low[HEAD:].astype(np.uint8).tobytes()
+    """Of a nonempty set: HEAD minwise values of 32 bits, then of each of TAIL bins of one permutation the least (0: none)."""
+    low = np.full(HEAD, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(s), 4096):
+        low = np.minimum(low, (s[i : i + 4096, None] * _A + _B).min(axis=0))
+    x = np.sort(_mix(s * _K1))
+    at = np.searchsorted(x, _EDGES)
+    first = x[np.minimum(at, len(x) - 1)]
+    tail = 1 + _mix(first) % np.uint64(255)
+    tail[(at == len(x)) | ((first >> np.uint64(56)) != np.arange(TAIL, dtype=np.uint64))] = 0
+    return (_mix(low) >> np.uint64(32)).astype("<u4").tobytes() + tail.astype(np.uint8).tobytes()
 
 
 def sets_of(docs: DataFrame, p: Params) -> DataFrame:
@@ -125,44 +130,41 @@ def sets_of(docs: DataFrame, p: Params) -> DataFrame:
     return docs.mapInPandas(run, f"doc {kind}, uid bigint, n bigint, sig binary")
 
 
-def _least(p: Params) -> int:
-    """Equal coordinates that a linked pair's signatures have at least (but for SIGMAS standard deviations)."""
-    j, t = p.percent / 100, HEAD + TAIL
-    return math.floor(t * (j - SIGMAS * math.sqrt(j * (1 - j) / t)))
+def _alike(uid: np.ndarray, n: np.ndarray, sig: list[bytes], p: Params, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a node, of different groups, whose signatures and sizes allow a link.
 
-
-def _alike(uid: np.ndarray, n: np.ndarray, sig: list[bytes], p: Params, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a node whose signatures and sizes allow a link (and whose groups differ)."""
+    Signatures allow it unless the share of equal coordinates, among those that either set has, is SIGMAS standard
+    deviations under the threshold.
+    """
     raw = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(sig), -1)
     head, tail = np.ascontiguousarray(raw[:, : 4 * HEAD]).view("<u4"), raw[:, 4 * HEAD :]
-    least, left, right = _least(p), [], []
+    bound, left, right = p.percent / 100, [], []
     for i in range(len(uid) - 1):
         j = slice(i + 1, None)
-        ok = (100 * np.minimum(n[i], n[j]) >= p.percent * np.maximum(n[i], n[j])) & (uid[j] != uid[i])
-        if group is not None:
-            ok &= group[j] != group[i]
-        at = np.flatnonzero(ok) + i + 1
+        at = np.flatnonzero((100 * np.minimum(n[i], n[j]) >= p.percent * np.maximum(n[i], n[j])) & (group[j] != group[i])) + i + 1
         if len(at):
-            same = (head[at] == head[i]).sum(axis=1) + (tail[at] == tail[i]).sum(axis=1)
-            at = at[same >= least]
+            mine, theirs = tail[i], tail[at]
+            held = HEAD + ((mine > 0) | (theirs > 0)).sum(axis=1)
+            same = (head[at] == head[i]).sum(axis=1) + ((theirs == mine) & (mine > 0)).sum(axis=1)
+            at = at[same >= held * bound - SIGMAS * np.sqrt(held * bound * (1 - bound))]
             left += [i] * len(at)
             right += at.tolist()
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
 def _compare(rows: DataFrame, p: Params, parts: int) -> DataFrame:
-    """(node, a, b), a < b: the pairs of each node of rows (node, uid, n, sig) that may link."""
+    """(node, a, b), a < b: the pairs of each node of rows (node, uid, n, sig, label), of different labels, that may link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
         def pairs(b: pd.DataFrame) -> pd.DataFrame:
-            node, uid, n, sig = b["node"].to_numpy(), b["uid"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist()
+            node, uid, n, sig, label = b["node"].to_numpy(), b["uid"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist(), b["label"].to_numpy()
             cut = np.flatnonzero(np.diff(node)) + 1
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i, j in zip([0, *cut], [*cut, len(node)], strict=True):
                 if j - i > 1:
-                    x, y = _alike(uid[i:j], n[i:j], sig[i:j], p)
+                    x, y = _alike(uid[i:j], n[i:j], sig[i:j], p, label[i:j])
                     if len(x):
                         out.append((np.full(len(x), node[i]), uid[i:j][x], uid[i:j][y]))
             nodes, a, c = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
@@ -217,62 +219,73 @@ class Join:
         return f"xxhash64({node}, {pick}, substring(sig, 4 * cast({pick} as int) + 1, 4))"
 
     def grow(self) -> None:
-        """Branches until every node is small, and gathers the pairs of all nodes."""
+        """Branches until no node is large, and gathers the pairs of all nodes."""
         p = self.p
         roots = f"transform(sequence(0, {p.trees - 1}), t -> {self._child('cast(t as bigint)', f'(t * 37) % {HEAD}')})"
-        rows, source, level, old = self.classes.selectExpr("uid", f"explode({roots}) as node"), self.classes, 1, []
+        rows, source, level = self.classes.selectExpr("uid", f"explode({roots}) as node"), self.classes, 1
         while True:
             held = Stored(rows, "rows")
             sizes = held.df.groupBy("node").agg(F.count("*").alias("size"), F.min("uid").alias("least")).where("size > 1")
             kept = Stored(held.df.join(sizes, "node"), "nodes")
             held.drop()
-            leaves = kept.df.where(f"size <= {p.leaf}").select("node", "uid")
+            leaves = kept.df.where(f"size <= {p.leaf}").selectExpr("node", "uid", "uid as label")
             large = kept.df.where(f"size > {p.leaf}")
             # each class of a large node against the node's smallest, in blocks of about leaf rows
-            blocks = large.selectExpr("node", "uid", "least", "size", f"xxhash64(node, 'block', pmod(xxhash64(uid, node), cast(ceil(size / {p.leaf}D) as bigint))) as block")
-            stars = blocks.selectExpr("block as node", "uid", "least")
-            self._collect(leaves, stars, source)
-            old.append(kept)
+            block = f"xxhash64(node, 'block', pmod(xxhash64(uid, node), cast(ceil(size / {p.leaf}D) as bigint)))"
+            self._collect(leaves, source, large.selectExpr(f"{block} as node", "uid", "least"))
             if not large.limit(1).count():
                 return
-            if level >= p.contract:
-                large = self._apart(large)
+            if level % 3 == 1:
+                large = self._apart(large, source)
+                if not large.limit(1).count():
+                    return
             if level >= p.levels:
                 return self._rest(large)
-            source = Stored(self.classes.join(large.select("uid").distinct(), "uid", "left_semi"), "large").df if level == 1 else source
+            if level == 1:
+                source = Stored(self.classes.join(large.select("uid").distinct(), "uid", "left_semi"), "large").df
             picks = f"transform(sequence(0, if(pmod(xxhash64(node, 'extra'), 100) < {p.extra}, 1, 0)), i -> pmod(xxhash64(node, i, 'pick'), {HEAD}))"
             rows = large.select("node", "uid").join(source.select("uid", "sig"), "uid").selectExpr("uid", f"explode(array_distinct(transform({picks}, c -> {self._child('node', 'c')}))) as node")
             level += 1
 
-    def _collect(self, leaves: DataFrame, stars: DataFrame, source: DataFrame) -> None:
-        sig = source.select("uid", "n", "sig")
-        found = _compare(leaves.join(sig, "uid").select("node", "uid", "n", "sig"), self.p, self.parts)
-        centre = stars.groupBy("node").agg(F.first("least").alias("uid")).join(sig, "uid").select("node", F.col("uid").alias("c"), F.col("n").alias("cn"), F.col("sig").alias("csig"))
-        pairs = stars.select("node", "uid").join(sig, "uid").join(centre, "node").where("uid <> c")
+    def _collect(self, leaves: DataFrame, source: DataFrame, stars: DataFrame | None = None) -> None:
+        """Gathers the pairs of leaves (node, uid, label), and of stars (node, uid, least) those with least."""
+        p, sig = self.p, source.select("uid", "n", "sig")
+        found = _compare(leaves.join(sig, "uid").select("node", "uid", "n", "sig", "label"), p, self.parts)
+        if stars is not None:
+            centre = stars.groupBy("node").agg(F.first("least").alias("uid")).join(sig, "uid").select("node", F.col("uid").alias("c"), F.col("n").alias("cn"), F.col("sig").alias("csig"))
+            pairs = stars.select("node", "uid").join(sig, "uid").join(centre, "node").where("uid <> c")
+
+            def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                two = np.array([0, 1])
+                for b in batches:
+                    same = [len(_alike(two, np.array([x, y]), [s, t], p, two)[0]) > 0 for x, y, s, t in zip(b["n"], b["cn"], b["sig"], b["csig"], strict=True)]
+                    b = b[np.array(same, dtype=bool)]
+                    yield pd.DataFrame({"node": b["node"], "a": np.minimum(b["uid"], b["c"]), "b": np.maximum(b["uid"], b["c"])})
+
+            found = found.unionByName(pairs.mapInPandas(near, "node bigint, a bigint, b bigint"))
+        self.pairs.append(Stored(found, "pairs").df)
+
+    def _apart(self, large: DataFrame, source: DataFrame) -> DataFrame:
+        """The rows of large nodes that must branch on.
+
+        A node ends if its classes are connected. It also ends if all but ``leaf`` of them are: these few are compared
+        with the whole node, in blocks, which settles every link that could still connect anything in it.
+        """
         p = self.p
-
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                same = [_alike(np.array([0, 1]), np.array([x, y]), [s, t], p)[0].size for x, y, s, t in zip(b["n"], b["cn"], b["sig"], b["csig"], strict=True)]
-                b = b[np.array(same, dtype=bool)] if len(b) else b
-                yield pd.DataFrame({"node": b["node"], "a": np.minimum(b["uid"], b["c"]), "b": np.maximum(b["uid"], b["c"])})
-
-        star = pairs.mapInPandas(near, "node bigint, a bigint, b bigint")
-        self.pairs.append(Stored(found.unionByName(star), "pairs").df)
-
-    def _apart(self, large: DataFrame) -> DataFrame:
-        """The rows of large nodes that hold classes not yet connected."""
-        labels = components(self.confirmed())
-        named = large.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        ends = named.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-        return Stored(large.join(ends, "node", "left_semi"), "apart").df
+        named = Stored(large.select("node", "uid", "size").join(components(self.confirmed()), "uid", "left").withColumn("label", F.coalesce("label", "uid")), "named").df
+        most = named.groupBy("node", "label").agg(F.count("*").alias("n"), F.max("size").alias("size")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.max("size").alias("size"))
+        most = Stored(most.selectExpr("node", "m.label as main", "m.n as n", "size - m.n as others").where("others > 0"), "main").df
+        few = named.drop("size").join(most.where(f"others <= {p.leaf}"), "node").withColumn("k", F.ceil(F.col("n") / F.lit(float(p.leaf))).cast("int"))
+        spread = few.selectExpr("node", "uid", "label", "explode(if(label = main, array(cast(pmod(xxhash64(uid, node), k) as int)), sequence(0, k - 1))) as i")
+        self._collect(spread.selectExpr("xxhash64(node, 'few', i) as node", "uid", "label"), source)
+        return Stored(named.join(most.where(f"others > {p.leaf}").select("node"), "node", "left_semi"), "apart").df
 
     def _rest(self, large: DataFrame) -> None:
         """Compares what no level has parted, block by block: every pair of blocks of a node is a small node."""
         half = max(1, self.p.leaf // 2)
         cut = large.selectExpr("node", "uid", f"cast(ceil(size / {half}D) as bigint) as k").selectExpr("node", "uid", "k", "pmod(xxhash64(uid, node, 'rest'), k) as i")
         both = cut.selectExpr("uid", "explode(transform(sequence(0L, k - 1), j -> xxhash64(node, least(i, j), greatest(i, j)))) as node")
-        self._collect(both, large.selectExpr("node", "uid", "uid as least").limit(0), self.classes)
+        self._collect(both.selectExpr("node", "uid", "uid as label"), self.classes)
 
     def confirmed(self) -> DataFrame:
         """Links (a, b) among the pairs gathered, confirmed on full sets; what was confirmed before is not done again."""

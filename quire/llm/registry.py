@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, exact_topk, mixing, near_dup, pii, secrets, sentencepiece_codec, toxicity, url_filter
+from quire.llm import ann, exact_topk, html_extract, mixing, near_dup, pii, secrets, sentencepiece_codec, toxicity, url_filter
 
 QUERIES = {
+    "op9_html_extract": html_extract.op9_html_extract,
     "op4_mixing": mixing.op4_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_dup": near_dup.op7_near_dup,
