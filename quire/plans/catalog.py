@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from quire.plans import (  # noqa: F401  importing registers their queries
+    activity_queries,
+    document_queries,
+    join_queries,
+    order_queries,
+    stream_queries,
+    text_queries,
+)
+from quire.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
