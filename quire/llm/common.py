@@ -93,11 +93,15 @@ def matches(text: str, pattern: str) -> str:
 
 
 def replaced(text: str, pattern: str, check: str, by: str) -> str:
-    """SQL: the text with those matches ``x`` of the pattern for which ``check`` holds replaced by a literal."""
+    """SQL: the text with those matches ``x`` of the pattern for which ``check`` holds replaced by a literal.
+
+    The text stands in the SQL once, so replacements can be chained.
+    """
     rx = sql_text(pattern)
-    one = f"concat(element_at(mt_s.g, mt_i + 1), {let('named_struct(' + chr(39) + 'm' + chr(39) + ', mt_x, ' + chr(39) + 'pre' + chr(39) + f', right(element_at(mt_s.g, mt_i + 1), {CONTEXT}))', 'x', f'if({check}, {sql_text(by)}, x.m)')})"
-    out = let(_laid(text, rx), "mt_s", f"concat(array_join(transform(mt_s.m, (mt_x, mt_i) -> {one}), ''), element_at(mt_s.g, -1))")
-    return f"if({text} rlike {rx}, {out}, {text})"
+    match = f"named_struct('m', mt_x, 'pre', right(element_at(mt_s.g, mt_i + 1), {CONTEXT}))"
+    one = f"concat(element_at(mt_s.g, mt_i + 1), {let(match, 'x', f'if({check}, {sql_text(by)}, x.m)')})"
+    out = let(_laid("rd_t", rx), "mt_s", f"concat(array_join(transform(mt_s.m, (mt_x, mt_i) -> {one}), ''), element_at(mt_s.g, -1))")
+    return let(text, "rd_t", f"if(rd_t rlike {rx}, {out}, rd_t)")
 
 
 def col_or_null(df: DataFrame, name: str, kind: str) -> Column:

@@ -65,7 +65,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 1.0, b
     found = None
     for q_ids, raw in query_blocks(queries, block):
         q = np.floor(scale * raw)
-        reach = [min(LONG, int(np.sqrt(largest) * np.sqrt((x.astype(np.float64) ** 2).sum())) + 2) for x in q]
+        with np.errstate(over="ignore"):
+            far = np.sqrt(largest) * np.sqrt((q**2).sum(axis=1))
+        reach = [min(LONG, int(x) + 2) if np.isfinite(x) else LONG for x in far]
         low, high = np.array([-r for r in reach], dtype=object), np.array([r + 1 if r < LONG else LONG for r in reach], dtype=object)
         above = np.zeros(len(q), dtype=np.int64)  # scores at or over high
         few = np.zeros(len(q), dtype=bool)  # fewer than k candidates in all: everything is kept
