@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quire.plans import (  # noqa: F401  importing registers their queries
     activity_queries,
+    clip_queries,
     document_queries,
     join_queries,
     order_queries,

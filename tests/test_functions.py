@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import dates, layout, markup, text, urls
+from quire.functions import clips, dates, layout, markup, text, urls
 from quire.operators import activity, ordering
 
 
@@ -148,3 +148,13 @@ def test_hidden_text(spark):
     df = spark.createDataFrame(rows, "doc bigint, page bigint, run bigint, text string, x0 double, x1 double, y0 double, y1 double, hidden boolean")
     got = {r["run"]: r["verdict"] for r in layout.hidden_text(df, 600.0, 800.0).collect()}
     assert got == {0: "visible", 1: "duplicate_visible", 2: "kept", 3: "duplicate_hidden", 4: "empty", 5: "off_page"}
+
+
+def test_clips(spark):
+    rows = [("A", False, False, False), ("well-", False, False, False), ("known", False, False, False), ("hyphen-", True, False, False), ("ated", False, False, False), ("x", False, True, False), ("New", False, False, True)]
+    df = spark.createDataFrame([(rows,)], "v array<struct<text: string, hyphen: boolean, attached: boolean, paragraph: boolean>>")
+    assert df.select(clips.assemble(F.col("v"))).first()[0] == "A well-known hyphenatedx\nNew"
+    path = one(spark, clips.position_path(F.lit(2), F.lit(3), F.lit(4)))
+    assert tuple(one(spark, clips.parse_position(F.lit(path)))) == (2, 3, 4)
+    assert one(spark, clips.parse_position(F.lit("/x"))) is None
+    assert [one(spark, clips.safe_cache_path(F.lit(p))) for p in ("a/b.bin", "../a", "/a", "a/./b", "a b")] == [True, False, False, False, False]
