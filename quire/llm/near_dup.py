@@ -4,19 +4,20 @@ A document's set is its distinct shingles of ``words`` words; documents link who
 ``percent`` / 100, and the components of links are the groups.
 
 1. One pass makes each document's set hash, set size and a signature of minwise values. Equal sets become one class.
-2. ``trees`` independent trees branch the classes: a node picks one or two of the signature's coordinates (by a hash of
-   its path), and a class enters the child of the minwise token that it holds there. Similar sets tend to take the same
-   paths, all others part. Nodes of one class end.
-3. Nodes of at most ``leaf`` classes are compared exhaustively by signature. In larger nodes each class is compared with
-   the node's smallest. At every third level, nodes that links found so far connect end, as do nodes that they connect
-   but for a few classes, after comparing these few with all; the rest branch again. What is still large after ``levels`` levels is compared
-   block by block, so no node is ever cut short.
+2. ``trees`` independent trees branch the classes. A node picks coordinates of the signature by a hash of its path, and a
+   class enters the child of the minwise tokens that it holds there; two levels are taken at once, and below the root each
+   node does so twice. Similar sets tend to take the same paths, all others part. Nodes of one class end.
+3. Nodes of at most ``leaf`` classes are compared exhaustively by signature. Larger nodes are cut in blocks, in each of
+   which all classes are compared with the smallest. At every second level, nodes that links found so far connect end, as
+   do nodes that they connect but for a few classes, after comparing these few with all; the rest branch again. What is
+   still large after ``levels`` levels is compared block by block, so no node is ever cut short.
 4. Pairs that the signature doesn't rule out (four standard deviations under the threshold) are confirmed on full sets,
-   each at one node, so a set is sent once to a node and not once to a pair.
-5. Components by alternating stars, on tables in shared storage.
+   each at one node, so a set is sent once to a node and not once to a pair. First only a forest of each node's pairs is,
+   so their number follows the rows; pairs left out whose ends links have not connected are confirmed within their node.
+5. Components by forests of dealt edges, joined by alternating stars where one task can't hold them, in shared storage.
 
 At similarity ``percent`` one tree finds a pair in a large group about every second time; with 16 trees about one pair in
-50,000 is missed, and in small groups fewer than one in 10**12.
+50,000 is missed, and in groups of up to ``leaf`` classes one in 10**8.
 No group is collected: nodes are counted by partial sums, leaves are bounded, hot classes meet only in joins that Spark
 splits. Sets are of 64-bit shingle hashes.
 
@@ -42,7 +43,7 @@ from quire.llm.common import Stored, table
 #: Minwise coordinates of a signature (32 bits; trees branch on these), and bins of one permutation (8 bits; to compare).
 HEAD, TAIL = 64, 256
 SIGMAS = 4.0
-WORDS_KNOWN = 500_000
+WORDS_KNOWN = 200_000
 
 
 @dataclass(frozen=True)
@@ -50,9 +51,8 @@ class Params:
     words: int = 3
     percent: int = 85
     trees: int = 16
-    leaf: int = 256
-    extra: int = 40  #: percent of nodes that pick a second coordinate
-    levels: int = 24
+    leaf: int = 1000
+    levels: int = 16
     broadcast_rows: int = 500_000  #: ids sent to all tasks at most
 
 
@@ -97,8 +97,8 @@ _B = _R.integers(0, 2**63, HEAD, dtype=np.uint64)
 _EDGES = np.arange(TAIL, dtype=np.uint64) << np.uint64(56)
 
 
-def signature(s: np.ndarray) -> bytes:
-    """Of a nonempty set: HEAD minwise values of 32 bits, then of each of TAIL bins of one permutation the least (0: none)."""
+def signature(s: np.ndarray) -> tuple[bytes, bytes]:
+    """Of a nonempty set: HEAD minwise values of 32 bits, and of each of TAIL bins of one permutation the least (0: none)."""
     low = np.full(HEAD, 2**64 - 1, dtype=np.uint64)
     for i in range(0, len(s), 4096):
         low = np.minimum(low, (s[i : i + 4096, None] * _A + _B).min(axis=0))
@@ -107,11 +107,11 @@ def signature(s: np.ndarray) -> bytes:
     first = x[np.minimum(at, len(x) - 1)]
     tail = 1 + _mix(first) % np.uint64(255)
     tail[(at == len(x)) | ((first >> np.uint64(56)) != np.arange(TAIL, dtype=np.uint64))] = 0
-    return (_mix(low) >> np.uint64(32)).astype("<u4").tobytes() + tail.astype(np.uint8).tobytes()
+    return (_mix(low) >> np.uint64(32)).astype("<u4").tobytes(), tail.astype(np.uint8).tobytes()
 
 
 def sets_of(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc, uid, n, sig) of docs (doc, text); uid, a hash of the set, and sig are null for an empty set."""
+    """(doc, uid, n, head, sig) of docs (doc, text); uid, a hash of the set, and the signature are null for an empty set."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,71 +119,176 @@ def sets_of(docs: DataFrame, p: Params) -> DataFrame:
 
         make = Shingler(p.words)
         for b in batches:
-            uid, n, sig = [], [], []
+            uid, n, head, sig = [], [], [], []
             for t in b["text"]:
                 s = make.of(t)
                 n.append(len(s))
                 uid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-                sig.append(signature(s) if len(s) else None)
-            yield pd.DataFrame({"doc": b["doc"], "uid": pd.array(uid, dtype="Int64"), "n": n, "sig": sig})
+                x, y = signature(s) if len(s) else (None, None)
+                head.append(x)
+                sig.append(y)
+            yield pd.DataFrame({"doc": b["doc"], "uid": pd.array(uid, dtype="Int64"), "n": n, "head": head, "sig": sig})
 
-    return docs.mapInPandas(run, f"doc {kind}, uid bigint, n bigint, sig binary")
+    return docs.mapInPandas(run, f"doc {kind}, uid bigint, n bigint, head binary, sig binary")
 
 
-def _alike(uid: np.ndarray, n: np.ndarray, sig: list[bytes], p: Params, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a node, of different groups, whose signatures and sizes allow a link.
+def _alike(uid: np.ndarray, n: np.ndarray, sig: list[bytes], p: Params, group: np.ndarray, star: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of a node, of different groups, whose signatures and sizes allow a link, and their shares of equal bins;
+    if ``star`` only pairs with the first.
 
-    Signatures allow it unless the share of equal coordinates, among those that either set has, is SIGMAS standard
-    deviations under the threshold.
+    Signatures allow it unless the share of equal bins, among those that either set has, is SIGMAS standard deviations
+    under the threshold.
     """
-    raw = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(sig), -1)
-    head, tail = np.ascontiguousarray(raw[:, : 4 * HEAD]).view("<u4"), raw[:, 4 * HEAD :]
-    bound, left, right = p.percent / 100, [], []
-    for i in range(len(uid) - 1):
+    tail = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(sig), -1)
+    bound, left, right, share = p.percent / 100, [], [], []
+    for i in range(1 if star else len(uid) - 1):
         j = slice(i + 1, None)
         at = np.flatnonzero((100 * np.minimum(n[i], n[j]) >= p.percent * np.maximum(n[i], n[j])) & (group[j] != group[i])) + i + 1
         if len(at):
             mine, theirs = tail[i], tail[at]
-            held = HEAD + ((mine > 0) | (theirs > 0)).sum(axis=1)
-            same = (head[at] == head[i]).sum(axis=1) + ((theirs == mine) & (mine > 0)).sum(axis=1)
-            at = at[same >= held * bound - SIGMAS * np.sqrt(held * bound * (1 - bound))]
-            left += [i] * len(at)
-            right += at.tolist()
-    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+            held = ((mine > 0) | (theirs > 0)).sum(axis=1)
+            same = ((theirs == mine) & (mine > 0)).sum(axis=1)
+            union = (n[i] + n[at]) / (1 + bound)  # at the threshold; the bins held are a sample of it without replacement
+            ok = same >= held * bound - SIGMAS * np.sqrt(held * bound * (1 - bound) * np.maximum(0.05, 1 - held / union))
+            left += [i] * int(ok.sum())
+            right += at[ok].tolist()
+            share += (same[ok] / held[ok]).tolist()
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(share)
+
+
+def _tree(x: np.ndarray, y: np.ndarray, share: np.ndarray, n: int) -> np.ndarray:
+    """Indices of the pairs of a forest that connects what the pairs connect, the likeliest links first."""
+    up, kept = list(range(n)), []
+    for i in np.argsort(-share, kind="stable").tolist():
+        a, b = int(x[i]), int(y[i])
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[a] = b
+            kept.append(i)
+    return np.array(kept, dtype=np.int64)
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Frames of whole nodes, and where each begins and ends, from rows sorted by node."""
+    rest: pd.DataFrame | None = None
+
+    def cut(b: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+        at = (np.flatnonzero(np.diff(b["node"].to_numpy())) + 1).tolist()
+        return b, list(zip([0, *at], [*at, len(b)], strict=True)) if len(b) else []
+
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        last = b["node"].to_numpy() == b["node"].iloc[-1] if len(b) else np.zeros(0, bool)
+        rest = b[last]
+        yield cut(b[~last])
+    if rest is not None:
+        yield cut(rest)
 
 
 def _compare(rows: DataFrame, p: Params, parts: int) -> DataFrame:
-    """(node, a, b), a < b: the pairs of each node of rows (node, uid, n, sig, label), of different labels, that may link."""
+    """(node, a, b), a < b: of each node of rows (node, uid, n, sig, star) the pairs of a forest over those that may link.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-
-        def pairs(b: pd.DataFrame) -> pd.DataFrame:
-            node, uid, n, sig, label = b["node"].to_numpy(), b["uid"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist(), b["label"].to_numpy()
-            cut = np.flatnonzero(np.diff(node)) + 1
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for i, j in zip([0, *cut], [*cut, len(node)], strict=True):
-                if j - i > 1:
-                    x, y = _alike(uid[i:j], n[i:j], sig[i:j], p, label[i:j])
-                    if len(x):
-                        out.append((np.full(len(x), node[i]), uid[i:j][x], uid[i:j][y]))
-            nodes, a, c = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
-            return pd.DataFrame({"node": nodes, "a": np.minimum(a, c), "b": np.maximum(a, c)})
-
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = b["node"].to_numpy() == b["node"].iloc[-1] if len(b) else np.zeros(0, bool)
-            rest = b[last]
-            yield pairs(b[~last])
-        if rest is not None:
-            yield pairs(rest)
-
-    return rows.repartition(parts, "node").sortWithinPartitions("node").mapInPandas(run, "node bigint, a bigint, b bigint")
+    A node with further such pairs also gives a row without b.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, nodes in _whole(batches):
+            node, uid, n, sig, star = b["node"].to_numpy(), b["uid"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist(), b["star"].to_numpy()
+            out, dense = [(np.zeros(0, np.int64),) * 3], []
+            for i, j in nodes:
+                if j - i < 2:
+                    continue
+                x, y, share = _alike(uid[i:j], n[i:j], sig[i:j], p, uid[i:j], star[i])
+                if len(x) > 1 and not star[i]:
+                    kept = _tree(x, y, share, j - i)
+                    if len(kept) < len(x):
+                        dense.append(node[i])
+                    x, y = x[kept], y[kept]
+                if len(x):
+                    out.append((np.full(len(x), node[i]), uid[i:j][x], uid[i:j][y]))
+            nodes_, a, c = (np.concatenate([o[k] for o in out]) for k in range(3))
+            found = pd.DataFrame({"node": nodes_, "a": np.minimum(a, c), "b": pd.array(np.maximum(a, c), dtype="Int64")})
+            yield pd.concat([found, pd.DataFrame({"node": dense, "a": 0, "b": pd.array([None] * len(dense), dtype="Int64")})]) if dense else found
+
+    return rows.repartition(parts, "node").sortWithinPartitions("node", "uid").mapInPandas(run, "node bigint, a bigint, b bigint")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, p: Params) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= p.percent * (len(x) + len(y) - both)
+
+
+def _link(rows: DataFrame, p: Params, parts: int) -> DataFrame:
+    """Links (a, b) that join different labels within each node of rows (node, uid, n, sig, label, s).
+
+    Every pair that may link and whose ends are not connected yet is confirmed on the sets s; a link joins its ends' labels,
+    so a node gives fewer links than it has classes.
+    """
 
-def components(links: DataFrame) -> DataFrame:
-    """(uid, label): for every end of links (a, b) the smallest uid of its component; alternating large and small stars."""
-    edges = Stored(links.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct(), "edges")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, nodes in _whole(batches):
+            uid, n, sig, label, sets = b["uid"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist(), b["label"].to_numpy(), b["s"].tolist()
+            out = []
+            for i, j in nodes:
+                x, y, share = _alike(uid[i:j], n[i:j], sig[i:j], p, label[i:j])
+                held = {k: np.frombuffer(sets[i + k], dtype=np.uint64) for k in {*x.tolist(), *y.tolist()}}
+                up: dict[int, int] = {}
+
+                def root(k: int, up=up) -> int:
+                    while k in up:
+                        k = up[k]
+                    return k
+
+                for k in np.argsort(-share, kind="stable").tolist():
+                    v, w = int(x[k]), int(y[k])
+                    a, c = root(int(label[i + v])), root(int(label[i + w]))
+                    if a != c and _similar(held[v], held[w], p):
+                        up[a] = c
+                        out.append((uid[i + v], uid[i + w]))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.repartition(parts, "node").sortWithinPartitions("node", "uid").mapInPandas(run, "a bigint, b bigint")
+
+
+#: Edges whose components one task finds by itself.
+LOCAL_EDGES = 1_000_000
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(u, v): each end u of a partition's edges with the smallest end v that these edges connect it to, u > v."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while (up := parent.get(x, x)) != top:
+            parent[x], x = top, up
+        return top
+
+    for b in batches:
+        for u, v in zip(b["u"].tolist(), b["v"].tolist(), strict=True):
+            x, y = root(u), root(v)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    ends = list(parent)
+    yield pd.DataFrame({"u": np.array(ends, dtype=np.int64), "v": np.array([root(x) for x in ends], dtype=np.int64)})
+
+
+def components(links: DataFrame, hold=Stored) -> DataFrame:
+    """(uid, label): for every end of links (a, b) the smallest uid of its component.
+
+    Edges are dealt to tasks of at most about LOCAL_EDGES, each of which leaves a forest of stars; if there is more than
+    one task, alternating large and small stars join the forests.
+    """
+    dealt = links.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v")
+    parts = 1 + dealt.count() // LOCAL_EDGES
+    edges = hold(dealt.repartition(parts).mapInPandas(_forest, "u bigint, v bigint"), "forest")
+    if parts == 1:
+        return _labels(edges.df)
     before = None
     while True:
         both = edges.df.unionByName(edges.df.selectExpr("v as u", "u as v"))
@@ -192,7 +297,7 @@ def components(links: DataFrame) -> DataFrame:
         held = Stored(large, "large")
         low = held.df.groupBy("u").agg(F.min("v").alias("m"))
         small = held.df.join(low, "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(low.selectExpr("u", "m as v")).where("u <> v").distinct()
-        after = Stored(small, "small")
+        after = hold(small, "small")
         now = after.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         held.drop()
         edges.drop()
@@ -200,7 +305,11 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.df.selectExpr("u as uid", "v as label").unionByName(edges.df.selectExpr("v as uid", "v as label").distinct())
+    return _labels(edges.df)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    return stars.selectExpr("u as uid", "v as label").unionByName(stars.selectExpr("v as uid", "v as label").distinct())
 
 
 class Join:
@@ -209,83 +318,100 @@ class Join:
     def __init__(self, docs: DataFrame, p: Params):
         self.p, self.docs, self.spark = p, docs, docs.sparkSession
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        made = Stored(sets_of(docs, p), "sets")
-        self.members = made.df.select("doc", "uid", "n")
-        self.classes = Stored(made.df.where("uid is not null").groupBy("uid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes").df
+        self.held: list[Stored] = []
+        made = self._hold(sets_of(docs, p), "sets")
+        self.members = Stored(made.df.select("doc", "uid", "n"), "members").df
+        self.classes = self._hold(made.df.where("uid is not null").groupBy("uid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("sig").alias("sig")), "classes").df
         self.links: list[DataFrame] = []
         self.pairs: list[DataFrame] = []
+        self.dense: list[DataFrame] = []
+
+    def _hold(self, df: DataFrame, name: str) -> Stored:
+        """A stored table that goes when the join is done."""
+        self.held.append(Stored(df, name))
+        return self.held[-1]
 
     def _child(self, node: str, pick: str) -> str:
-        return f"xxhash64({node}, {pick}, substring(sig, 4 * cast({pick} as int) + 1, 4))"
+        return f"xxhash64({node}, {pick}, substring(head, 4 * cast({pick} as int) + 1, 4))"
 
     def grow(self) -> None:
         """Branches until no node is large, and gathers the pairs of all nodes."""
         p = self.p
-        roots = f"transform(sequence(0, {p.trees - 1}), t -> {self._child('cast(t as bigint)', f'(t * 37) % {HEAD}')})"
+        first = self._child("cast(t as bigint)", f"(t * 37) % {HEAD}")
+        roots = f"transform(sequence(0, {p.trees - 1}), t -> {self._child(first, f'(t * 37 + {HEAD // 2 + 1}) % {HEAD}')})"
         rows, source, level = self.classes.selectExpr("uid", f"explode({roots}) as node"), self.classes, 1
         while True:
             held = Stored(rows, "rows")
-            sizes = held.df.groupBy("node").agg(F.count("*").alias("size"), F.min("uid").alias("least")).where("size > 1")
-            kept = Stored(held.df.join(sizes, "node"), "nodes")
+            sizes = held.df.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+            kept = self._hold(held.df.join(sizes, "node"), "nodes")
             held.drop()
-            leaves = kept.df.where(f"size <= {p.leaf}").selectExpr("node", "uid", "uid as label")
             large = kept.df.where(f"size > {p.leaf}")
-            # each class of a large node against the node's smallest, in blocks of about leaf rows
+            # small nodes whole; of larger ones blocks of about leaf classes, in each the smallest against the others
             block = f"xxhash64(node, 'block', pmod(xxhash64(uid, node), cast(ceil(size / {p.leaf}D) as bigint)))"
-            self._collect(leaves, source, large.selectExpr(f"{block} as node", "uid", "least"))
+            self._collect(kept.df.selectExpr(f"if(size > {p.leaf}, {block}, node) as node", "uid", f"size > {p.leaf} as star"), source)
             if not large.limit(1).count():
                 return
-            if level % 3 == 1:
-                large = self._apart(large, source)
+            if level % 2 == 1:
+                large = self._apart(large)
                 if not large.limit(1).count():
                     return
             if level >= p.levels:
                 return self._rest(large)
             if level == 1:
-                source = Stored(self.classes.join(large.select("uid").distinct(), "uid", "left_semi"), "large").df
-            picks = f"transform(sequence(0, if(pmod(xxhash64(node, 'extra'), 100) < {p.extra}, 1, 0)), i -> pmod(xxhash64(node, i, 'pick'), {HEAD}))"
-            rows = large.select("node", "uid").join(source.select("uid", "sig"), "uid").selectExpr("uid", f"explode(array_distinct(transform({picks}, c -> {self._child('node', 'c')}))) as node")
+                source = self._hold(self.classes.join(large.select("uid").distinct(), "uid", "left_semi"), "large").df
+            pick = lambda i, j: f"pmod(xxhash64(node, {i}, {j}), {HEAD})"
+            children = ", ".join(self._child(self._child("node", pick(i, 0)), pick(i, 1)) for i in range(2))
+            rows = large.select("node", "uid").join(source.select("uid", "head"), "uid").selectExpr("uid", f"explode(array_distinct(array({children}))) as node")
             level += 1
 
-    def _collect(self, leaves: DataFrame, source: DataFrame, stars: DataFrame | None = None) -> None:
-        """Gathers the pairs of leaves (node, uid, label), and of stars (node, uid, least) those with least."""
-        p, sig = self.p, source.select("uid", "n", "sig")
-        found = _compare(leaves.join(sig, "uid").select("node", "uid", "n", "sig", "label"), p, self.parts)
-        if stars is not None:
-            centre = stars.groupBy("node").agg(F.first("least").alias("uid")).join(sig, "uid").select("node", F.col("uid").alias("c"), F.col("n").alias("cn"), F.col("sig").alias("csig"))
-            pairs = stars.select("node", "uid").join(sig, "uid").join(centre, "node").where("uid <> c")
-
-            def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                two = np.array([0, 1])
-                for b in batches:
-                    same = [len(_alike(two, np.array([x, y]), [s, t], p, two)[0]) > 0 for x, y, s, t in zip(b["n"], b["cn"], b["sig"], b["csig"], strict=True)]
-                    b = b[np.array(same, dtype=bool)]
-                    yield pd.DataFrame({"node": b["node"], "a": np.minimum(b["uid"], b["c"]), "b": np.maximum(b["uid"], b["c"])})
-
-            found = found.unionByName(pairs.mapInPandas(near, "node bigint, a bigint, b bigint"))
-        self.pairs.append(Stored(found, "pairs").df)
-
-    def _apart(self, large: DataFrame, source: DataFrame) -> DataFrame:
+    def _collect(self, rows: DataFrame, source: DataFrame) -> None:
+        """Gathers pairs of rows (node, uid, star), and the rows of nodes that have more."""
+        full = rows.join(source.select("uid", "n", "sig"), "uid").select("node", "uid", "n", "sig", "star")
+        found = self._hold(_compare(full, self.p, self.parts), "pairs").df
+        self.pairs.append(found.where("b is not null"))
+        self.dense.append(rows.select("node", "uid").join(found.where("b is null").select("node"), "node", "left_semi"))
+
+    def _within(self, rows: DataFrame) -> None:
+        """Adds the links that join labels within nodes of rows (node, uid, label); sets travel with the rows."""
+        full = self._full(rows.select("uid").distinct())
+        whole = rows.join(self.classes.select("uid", "n", "sig"), "uid").join(full, "uid").select("node", "uid", "n", "sig", "label", "s")
+        self.links.append(self._hold(_link(whole, self.p, self.parts), "within").df)
+
+    def settle(self) -> DataFrame:
+        """Labels of components. Pairs left out of forests are confirmed after all where forests did not connect them."""
+        labels = components(self.confirmed(), self._hold)
+        rows = self.dense[0]
+        for x in self.dense[1:]:
+            rows = rows.unionByName(x)
+        named = self._hold(rows.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid")), "dense").df
+        apart = named.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
+        apart = self._hold(named.join(apart, "node", "left_semi"), "unsettled").df
+        if not apart.limit(1).count():
+            return labels
+        self._within(apart)
+        return components(self.confirmed(), self._hold)
+
+    def _apart(self, large: DataFrame) -> DataFrame:
         """The rows of large nodes that must branch on.
 
         A node ends if its classes are connected. It also ends if all but ``leaf`` of them are: these few are compared
         with the whole node, in blocks, which settles every link that could still connect anything in it.
         """
         p = self.p
-        named = Stored(large.select("node", "uid", "size").join(components(self.confirmed()), "uid", "left").withColumn("label", F.coalesce("label", "uid")), "named").df
+        named = self._hold(large.select("node", "uid", "size").join(components(self.confirmed(), self._hold), "uid", "left").withColumn("label", F.coalesce("label", "uid")), "named").df
         most = named.groupBy("node", "label").agg(F.count("*").alias("n"), F.max("size").alias("size")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("m"), F.max("size").alias("size"))
-        most = Stored(most.selectExpr("node", "m.label as main", "m.n as n", "size - m.n as others").where("others > 0"), "main").df
+        most = self._hold(most.selectExpr("node", "m.label as main", "m.n as n", "size - m.n as others").where("others > 0"), "main").df
         few = named.drop("size").join(most.where(f"others <= {p.leaf}"), "node").withColumn("k", F.ceil(F.col("n") / F.lit(float(p.leaf))).cast("int"))
         spread = few.selectExpr("node", "uid", "label", "explode(if(label = main, array(cast(pmod(xxhash64(uid, node), k) as int)), sequence(0, k - 1))) as i")
-        self._collect(spread.selectExpr("xxhash64(node, 'few', i) as node", "uid", "label"), source)
-        return Stored(named.join(most.where(f"others > {p.leaf}").select("node"), "node", "left_semi"), "apart").df
+        self._within(self._hold(spread.selectExpr("xxhash64(node, 'few', i) as node", "uid", "label"), "few").df)
+        return self._hold(named.join(most.where(f"others > {p.leaf}").select("node"), "node", "left_semi"), "apart").df
 
     def _rest(self, large: DataFrame) -> None:
         """Compares what no level has parted, block by block: every pair of blocks of a node is a small node."""
         half = max(1, self.p.leaf // 2)
         cut = large.selectExpr("node", "uid", f"cast(ceil(size / {half}D) as bigint) as k").selectExpr("node", "uid", "k", "pmod(xxhash64(uid, node, 'rest'), k) as i")
         both = cut.selectExpr("uid", "explode(transform(sequence(0L, k - 1), j -> xxhash64(node, least(i, j), greatest(i, j)))) as node")
-        self._collect(both.selectExpr("node", "uid", "uid as label"), self.classes)
+        self._collect(both.selectExpr("node", "uid", "false as star"), self.classes)
 
     def confirmed(self) -> DataFrame:
         """Links (a, b) among the pairs gathered, confirmed on full sets; what was confirmed before is not done again."""
@@ -295,16 +421,16 @@ class Join:
                 pairs = pairs.unionByName(x)
             self.pairs = []
             pairs = pairs.groupBy("a", "b").agg(F.min("node").alias("node"))
-            self.links.append(Stored(self._confirm(Stored(pairs, "distinct").df), "links").df)
+            self.links.append(self._hold(self._confirm(self._hold(pairs, "distinct").df), "links").df)
         out = self.links[0]
         for x in self.links[1:]:
             out = out.unionByName(x)
         return out
 
-    def _confirm(self, pairs: DataFrame) -> DataFrame:
+    def _full(self, wanted: DataFrame) -> DataFrame:
+        """(uid, s): the full sets of the classes wanted, made again from the text of one document of each."""
         p = self.p
-        wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-        heads = Stored(self.classes.join(wanted, "uid", "left_semi").select("uid", F.col("doc").alias("head")), "heads").df
+        heads = self._hold(self.classes.join(wanted, "uid", "left_semi").select("uid", F.col("doc").alias("head")), "heads").df
         few = heads.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows
         docs = self.docs.join(F.broadcast(heads) if few else heads, F.col("doc").eqNullSafe(F.col("head"))).select("uid", "text")
 
@@ -321,7 +447,11 @@ class Join:
                         out.append(s)
                 yield pd.DataFrame({"uid": np.array(uid, dtype=np.int64), "s": out})
 
-        full = Stored(docs.mapInPandas(sets, "uid bigint, s binary").dropDuplicates(["uid"]), "full").df
+        return self._hold(docs.mapInPandas(sets, "uid bigint, s binary").dropDuplicates(["uid"]), "full").df
+
+    def _confirm(self, pairs: DataFrame) -> DataFrame:
+        p = self.p
+        full = self._full(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct())
         ends = pairs.selectExpr("node", "a as uid").unionByName(pairs.selectExpr("node", "b as uid")).distinct()
         groups = max(self.parts, pairs.count() // 20_000)
         key = F.pmod(F.xxhash64("node"), F.lit(groups)).alias("g")
@@ -330,11 +460,7 @@ class Join:
 
         def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             held = {u: np.frombuffer(s, dtype=np.uint64) for u, s in zip(right["uid"], right["s"], strict=True)}
-            good = []
-            for a, b in zip(left["a"], left["b"], strict=True):
-                x, y = held[a], held[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= p.percent * (len(x) + len(y) - both))
+            good = [_similar(held[a], held[b], p) for a, b in zip(left["a"], left["b"], strict=True)]
             return left.loc[np.array(good, dtype=bool), ["a", "b"]]
 
         return left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(check, "a bigint, b bigint")
@@ -344,10 +470,12 @@ def groups(docs: DataFrame, params: Params | None = None, id_col: str = "doc_id"
     """id_col, n_shingles, component_id (the smallest id reachable by links), kept, one row a document."""
     join = Join(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), params or Params())
     join.grow()
-    labels = components(join.confirmed())
+    labels = join.settle()
     named = join.classes.select("uid", "doc").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     first = named.groupBy("label").agg(F.min("doc").alias("component"))
     final = Stored(named.join(first, "label").select("uid", "component"), "final").df
+    for x in join.held:
+        x.drop()
     out = join.members.join(final, "uid", "left").withColumn("component", F.when(F.col("uid").isNull(), F.col("doc")).otherwise(F.col("component")))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(False)).alias("kept"))
 
