@@ -30,7 +30,7 @@ MARK = "▁"
 class Codec:
     """Encodes and decodes with one model; not shared between processes."""
 
-    def __init__(self, model_file: str, max_chunks: int = 200_000):
+    def __init__(self, model_file: str, max_chunks: int = 100_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -91,13 +91,19 @@ class Codec:
         return sum(c[2] for c in found), ",".join([c[0] for c in found]), "".join([c[1] for c in found])[1:]
 
 
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows]
+
+
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids array<int>, decoded string: each whole text's ids and what they decode to."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(model_file)
-        for b in batches:
+        for b in _parts(batches):
             ids = [codec.encode(t) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "ids": ids, "decoded": [codec.decode(i) for i in ids]})
 
@@ -112,7 +118,7 @@ def encode_digest(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(model_file)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in _parts(batches):
             found = [codec.digest(t) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "n_tokens": [f[0] for f in found], "ids_sha256": [sha(f[1]) for f in found], "decoded_sha256": [sha(f[2]) for f in found]})
 

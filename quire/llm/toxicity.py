@@ -31,7 +31,7 @@ from quire.llm.common import table
 
 WORDS = re.compile(r"[^\W_]+").findall
 #: Rows of a task's table of word inputs, and windows scored together.
-KNOWN, TOGETHER = 300_000, 8192
+KNOWN, TOGETHER = 150_000, 4096
 
 
 @dataclass(frozen=True)
@@ -357,8 +357,8 @@ def score(docs: DataFrame, fitted: tuple[Network, float, float] | float, keep: l
         scorer = Scorer(*sent.value)
         for s in batches:
             out: list[float] = []
-            for i in range(0, len(s), 500):
-                out += scorer(s.iloc[i : i + 500].tolist())
+            for i in range(0, len(s), 200):
+                out += scorer(s.iloc[i : i + 200].tolist())
             yield pd.Series(out, dtype="float64")
 
     return docs.select(*keep, run(F.col(text_col)).alias(out_col))
