@@ -22,7 +22,7 @@ from re import _parser as rp
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import matches, sql_text, table
+from quire.llm.common import Stored, matches, sql_text, table
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     indexed = {n: q for n, q in queries.items() if q != ALL}
     docs = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     if indexed:
-        found = candidates(index(docs, set().union(*map(trigrams, indexed.values())), id_col, "t"), indexed, id_col)
+        found = Stored(candidates(index(docs, set().union(*map(trigrams, indexed.values())), id_col, "t"), indexed, id_col), "candidates").df
         few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
         docs = docs.join(F.broadcast(found) if few else found.hint("merge"), id_col, "left")
     else:
