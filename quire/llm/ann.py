@@ -3,8 +3,10 @@
 A sample (``sample_rows`` vectors at most) is clustered under a penalty on large clusters. Every vector then enters the
 list of its closest centroid, and a boundary vector also those of further centroids almost as close (``replicas`` at most,
 each nearer to the vector than to the centroids taken before). A query walks a neighbour graph over the centroids, held in
-memory, and reads the lists within a ratio of its closest centroid's distance. Distances are on unit vectors, so they order
-as cosines do; scores returned are cosines of the original vectors in double precision.
+memory, and reads the lists within a ratio of its closest centroid's distance. Where ``probes`` such lists find less than
+``recall`` of the neighbours of ``calibrated`` queries, told by a scan of the table, every query reads as many lists as do,
+so the share of the index that is read doesn't shrink as lists become more. Distances are on unit vectors, so they order as
+cosines do; scores returned are cosines of the original vectors in double precision.
 
 Scale: centroids (``most_lists`` at most) are all that is broadcast. A list longer than ``list_rows`` is read as several
 blocks, and many queries of one list as several blocks, so the work of a task is bounded whatever is hot. Of identical
@@ -37,11 +39,13 @@ class Params:
     list_rows: int = 2000  #: rows of a list, or queries of it, that one task handles together
     replicas: int = 4
     boundary: float = 1.10  #: a further list's centroid is at most this much farther than the closest
-    probes: int = 48  #: lists that a query reads at most
+    probes: int = 48  #: lists that a query reads at most, unless calibration asks for more
     ratio: float = 1.35  #: and only those at most this much farther than the closest
     least_rows: int = 64  #: but as many as hold so many rows
     beam: int = 96
     neighbours: int = 16
+    recall: float = 0.99
+    calibrated: int = 400  #: queries that the number of lists is calibrated with at most
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -84,10 +88,14 @@ class Graph:
         self.links[:, near + 1] = np.random.default_rng(3).integers(0, n, n)
         self.entry = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
 
-    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) of each query's closest found, nearest first."""
+    def search(self, q: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, distances) of each query's closest found, nearest first; ``least`` of them at least."""
         nq, n = len(q), len(self.c)
-        beam = min(n, self.p.beam)
+        beam = min(n, max(self.p.beam, 2 * least))
+        if least and 4 * beam >= n:  # a walk would see most centroids
+            d = np.sqrt(np.maximum(2 - 2 * q @ self.c.T, 0))
+            ids = np.argsort(d, axis=1, kind="stable")[:, :beam]
+            return ids, np.take_along_axis(d, ids, 1)
         ids = np.full((nq, beam), -1)
         dist = np.full((nq, beam), np.inf)
         done = np.ones((nq, beam), dtype=bool)
@@ -115,6 +123,14 @@ class Graph:
         return ids, np.sqrt(np.maximum(dist, 0))
 
 
+def _takes(p: Params, ids: np.ndarray, dist: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+    """Which of the lists found a query reads."""
+    rank = np.arange(ids.shape[1])[None, :]
+    held = np.cumsum(np.where(ids >= 0, size[ids], 0), axis=1)
+    before = np.concatenate([np.zeros((len(ids), 1)), held[:, :-1]], axis=1)
+    return (ids >= 0) & (((dist <= p.ratio * dist[:, :1] + 1e-9) & (rank < p.probes)) | (before < p.least_rows) | (rank < least))
+
+
 class Index:
     """Fitted centroids and the posting lists of all vectors."""
 
@@ -169,12 +185,56 @@ class Index:
         odd = keyed.join(dropped.select("id"), "id", "left_semi").join(first, "h").where("v <> w").select("id", "v")
         return kept.unionByName(odd)
 
+    def lists_needed(self, queries: DataFrame) -> int:
+        """How many lists a query has to read for ``recall``; 0 if ``probes`` and ``ratio`` suffice."""
+        p, k, n = self.p, self.k, len(self.centroids)
+        picked = queries.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(p.calibrated).collect()
+        if n == 1 or not picked:
+            return 0
+        q_ids, q = np.array([r["id"] for r in picked]), _unit(np.array([r["v"] for r in picked]))
+        sent = self.spark.sparkContext.broadcast((q_ids, q))
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q_ids, q = sent.value
+            at, best, score = np.arange(len(q))[:, None], np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0))
+            for b in batches:
+                for i in range(0, len(b), 2048):
+                    part = b.iloc[i : i + 2048]
+                    ids, s = part["id"].to_numpy(np.int64), q @ _unit(np.array(part["v"].tolist())).T
+                    s[q_ids[:, None] == ids[None, :]] = -9
+                    best, score = np.concatenate([best, np.broadcast_to(ids, s.shape)], 1), np.concatenate([score, s], 1)
+                    o = np.argpartition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else np.arange(score.shape[1])[None, :]
+                    best, score = best[at, o], score[at, o]
+            r, c = np.nonzero(score > -9)
+            yield pd.DataFrame({"q": r, "id": best[r, c], "s": score[r, c]})
+
+        near = self.vectors.mapInPandas(nearest, "q bigint, id bigint, s double")
+        near = near.selectExpr("q", "id", "row_number() over (partition by q order by s desc, id) as r").where(F.col("r") <= k).select("q", "id")
+        truth = [(r["q"], r["id"]) for r in near.collect()]  # calibrated * k at most
+        if not truth:
+            return 0
+        wanted = F.broadcast(self.spark.createDataFrame(sorted({(i,) for _, i in truth}), "id bigint"))
+        where: dict[int, list[int]] = {}
+        for r in self.lists.df.join(wanted, "id").select("id", "list").collect():
+            where.setdefault(r["id"], []).append(r["list"])
+        d = np.sqrt(np.maximum(2 - 2 * q @ self.centroids.T, 0))
+        order = np.argsort(d, axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(n)[None, :].repeat(len(q), 0), 1)
+        size = np.array([self.sizes.get(i, 0) for i in range(n)])
+        read = _takes(p, order, np.take_along_axis(d, order, 1), size, 0)
+        read[:, p.beam :] = False
+        need = np.sort([0 if any(read[j, rank[j, x]] for x in at) else 1 + min(rank[j, x] for x in at) for j, i in truth if (at := where.get(i))])
+        return int(need[min(len(need) - 1, int(np.ceil(p.recall * len(need))))]) if len(need) else 0
+
     def search(self, queries: DataFrame) -> DataFrame:
         """query_id, rank, vec_id, score: each query's k nearest found."""
         out = "query_id bigint, rank int, vec_id bigint, score double"
         if not self.rows:
             return self.spark.createDataFrame([], out)
         p, k = self.p, self.k
+        least = self.lists_needed(queries)
+        step = max(8, min(256, 20_000 // max(1, least)))
         sent = self.spark.sparkContext.broadcast((self.centroids, self.sizes))
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,13 +242,10 @@ class Index:
             size = np.array([sizes.get(i, 0) for i in range(len(centroids))])
             graph = Graph(centroids, p)
             for b in batches:
-                for i in range(0, len(b), 256):
-                    part = b.iloc[i : i + 256]
-                    ids, dist = graph.search(_unit(np.array(part["v"].tolist())))
-                    held = np.cumsum(np.where(ids >= 0, size[ids], 0), axis=1)
-                    before = np.concatenate([np.zeros((len(part), 1)), held[:, :-1]], axis=1)
-                    take = (ids >= 0) & (((dist <= p.ratio * dist[:, :1] + 1e-9) & (np.arange(ids.shape[1])[None, :] < p.probes)) | (before < p.least_rows))
-                    r, c = np.nonzero(take)
+                for i in range(0, len(b), step):
+                    part = b.iloc[i : i + step]
+                    ids, dist = graph.search(_unit(np.array(part["v"].tolist())), least)
+                    r, c = np.nonzero(_takes(p, ids, dist, size, least))
                     out = part.iloc[r]
                     yield pd.DataFrame({"list": ids[r, c].astype(np.int32), "id": out["id"].to_numpy(), "v": out["v"].to_numpy()})
 

@@ -85,6 +85,17 @@ def test_ann_recall_and_order(spark):
             assert abs(s - vecs[q] @ vecs[i] / np.sqrt((vecs[q] @ vecs[q]) * (vecs[i] @ vecs[i]))) < 1e-12
 
 
+def test_ann_reads_as_many_lists_as_recall_takes(spark):
+    rng = np.random.default_rng(5)
+    vecs = dict(enumerate(rng.normal(size=(3000, 32))))
+    v = spark.createDataFrame([(i, [float(x) for x in u]) for i, u in vecs.items()], "id bigint, v array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.Index(v, 5, ann.Params(list_target=20, probes=6, least_rows=1)).search(v.where("id % 50 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = brute(vecs, lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b)), 5)
+    assert sum(len({i for _, i in want[q]} & got[q]) for q in want) >= 0.97 * 5 * len(want)
+
+
 def test_ann_small_tables(spark):
     none = vectors.usable(spark.createDataFrame([], SCHEMA), "vec_id", "embedding", True)
     assert ann.Index(none, 5).search(none).count() == 0
