@@ -358,3 +358,14 @@ def test_toxic_documents_go(spark):
 
 def test_all_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_html_template_keeps_one_order(spark):
+    kept, mixed = ["<b class=k1></b>", "<p>one</p>", "<b class=k2></b>"], ["<i class=a></i>", "<i class=b></i>", "<i class=c></i>"]
+    page = lambda n: "".join(kept) * (2 if n < 5 else 1) + "".join(mixed if n % 2 else mixed[::-1]) * 3 + f"<u>{n}</u>"
+    rows = [("h", page(n)) for n in range(10)]
+    found = html_extract.templates(spark.createDataFrame(rows, "host string, html string")).first()["template"]
+    path = lambda s: {html_extract._signed(t) for t, _ in html_extract.Parsed(s).tokens()}
+    assert path("".join(kept)) <= set(found)
+    assert not path("".join(mixed)) & set(found)
+    assert [i for _, i in sorted(html_extract.Parsed("<p>x</p><p>y</p>").tokens(), key=lambda t: t[1])] == [0, 1, 2, 3]
