@@ -133,6 +133,18 @@ def dictionary_merge(spark: SparkSession, d: str) -> DataFrame:
     return ordering.numbered(m, ["k", "head"], "ordinal").select("head", "definition", "sources", "ordinal")
 
 
+@query("""with e as (select doc_id, regexp_extract(text, '[A-Za-z]+') head, md5(text) def from documents union all select item_id + 1000000, regexp_extract(text, '[A-Za-z]+'), md5(text) from benchmark),
+ m as (select head, string_agg(def, '; ' order by doc_id) defs, count(*) n from e group by 1)
+select head, md5(defs) as definition, n as sources, (row_number() over (order by lower(head), head))::int as ordinal from m""")
+def dictionary_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``dictionary_merge`` of whole texts, which meet by digest."""
+    head, whole = F.regexp_extract("text", "[A-Za-z]+", 0).alias("head"), F.md5(F.col("text").cast("binary")).alias("def")
+    e = read(spark, d, "documents").select(F.col("doc_id").alias("i"), head, whole).unionByName(read(spark, d, "benchmark").select((F.col("item_id") + 1000000).alias("i"), head, whole))
+    m = e.groupBy("head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "def"))), lambda s: s["def"]), "; ").alias("defs"), F.count("*").alias("sources"))
+    m = m.select("head", F.md5(F.col("defs").cast("binary")).alias("definition"), "sources", F.lower("head").alias("k"))
+    return ordering.numbered(m, ["k", "head"], "ordinal").select("head", "definition", "sources", "ordinal")
+
+
 @query("""with v as (select distinct lower(w) w from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) w from benchmark)), q as (select w from v where length(w) between 4 and 9 and w < 'f'),
  c as (select q.w, v.w cand, levenshtein(q.w, v.w) d from q join v on substr(q.w, 1, 1) = substr(v.w, 1, 1) and abs(length(q.w) - length(v.w)) <= 2 and q.w <> v.w where levenshtein(q.w, v.w) <= 2),
  r as (select *, row_number() over (partition by w order by d, cand) n from c) select w, cand, d::int as d, n::int as n from r where n <= 5""")

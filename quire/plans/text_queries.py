@@ -66,6 +66,14 @@ def markup_escape(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", text.xml_escape(F.substring(t, 1, 200)).alias("escaped"), (text.strip_soft_hyphens(t) == t).alias("plain"), text.strip_layout_hyphen(F.substring(t, 1, 30)).alias("joined"))
 
 
+@query("""select doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) as escaped,
+ replace(text, chr(173), '') = text as plain, md5(regexp_replace(text, '-$', '')) as joined from documents""")
+def markup_escape_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``markup_escape`` of whole texts, as digests."""
+    t, digest = F.col("text"), lambda c: F.md5(c.cast("binary"))
+    return read(spark, d, "documents").select("doc_id", digest(text.xml_escape(t)).alias("escaped"), (text.strip_soft_hyphens(t) == t).alias("plain"), digest(text.strip_layout_hyphen(t)).alias("joined"))
+
+
 @query(r"""select doc_id, coalesce(regexp_matches(regexp_extract(text, '[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}]|\p{L}'), '[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}]'), false) as rtl,
  length(text) >= 64 and not regexp_matches(left(text, 256), '\s') and length(regexp_replace(left(text, 256), '[^A-Za-z0-9+/=]', '', 'g')) * 100 >= 95 * length(left(text, 256)) as unbroken from documents""")
 def direction_and_tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import Row
 
 from quire.plans import catalog
@@ -13,3 +15,14 @@ def test_natural_order_numbers_every_customer(spark, tmp_path):
     d = tables(spark, tmp_path, customer=[{"c_custkey": k, "c_name": f"Customer#{k}"} for k in (2, 2999, 3000, 10, 14999)])
     got = {r["name"]: r["place"] for r in catalog.QUERIES["natural_order"](spark, d).collect()}
     assert sorted(got, key=got.get) == [f"Customer#{k}-{k % 12}" for k in (2, 10, 2999, 3000, 14999)]
+
+
+def test_texts_count_to_their_end(spark, tmp_path):
+    long = "word " * 100
+    d = tables(spark, tmp_path, documents=[{"doc_id": 1, "text": long + "<a>"}, {"doc_id": 2, "text": long + "<b>-"}], benchmark=[{"item_id": 1, "text": "other " * 20 + "x"}])
+    e = tables(spark, tmp_path / "e", documents=[{"doc_id": 1, "text": long + "<c>"}, {"doc_id": 2, "text": long + "<b>-"}], benchmark=[{"item_id": 1, "text": "other " * 20 + "y"}])
+    digest = lambda s: hashlib.md5(s.encode()).hexdigest()
+    got = {r["doc_id"]: (r["escaped"], r["joined"]) for r in catalog.QUERIES["markup_escape_whole"](spark, d).collect()}
+    assert got == {1: (digest(long + "&lt;a&gt;"), digest(long + "<a>")), 2: (digest(long + "&lt;b&gt;-"), digest(long + "<b>"))}
+    merged = [{r["head"]: r["definition"] for r in catalog.QUERIES["dictionary_merge_whole"](spark, x).collect()} for x in (d, e)]
+    assert all(merged[0][h] != merged[1][h] for h in ("word", "other"))
