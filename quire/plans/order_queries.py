@@ -154,6 +154,15 @@ def fuzzy_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return ordering.suggestions(v.where("length(w) between 4 and 9 and w < 'f'"), v, 2, 5)
 
 
+@query("""with v as (select distinct lower(w) w from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) w from benchmark)),
+ c as (select q.w, v.w cand, levenshtein(q.w, v.w) d from v q join v on substr(q.w, 1, 1) = substr(v.w, 1, 1) and abs(length(q.w) - length(v.w)) <= 2 and q.w <> v.w where levenshtein(q.w, v.w) <= 2),
+ r as (select *, row_number() over (partition by w order by d, cand) n from c) select w, cand, d::int as d, n::int as n from r where n <= 5""")
+def fuzzy_suggestions_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``fuzzy_suggestions`` for every distinct word."""
+    v = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
+    return ordering.suggestions(v, v, 2, 5)
+
+
 @query("""with l as (select unnest(string_split(text, chr(10))) as line, source, doc_id from documents), n as (select source, lower(trim(line)) k, count(distinct doc_id) pages, count(*) times from l where trim(line) <> '' group by 1, 2)
 select source, md5(k) as line, pages, times from n where pages >= 3""")
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -26,3 +26,10 @@ def test_texts_count_to_their_end(spark, tmp_path):
     assert got == {1: (digest(long + "&lt;a&gt;"), digest(long + "<a>")), 2: (digest(long + "&lt;b&gt;-"), digest(long + "<b>"))}
     merged = [{r["head"]: r["definition"] for r in catalog.QUERIES["dictionary_merge_whole"](spark, x).collect()} for x in (d, e)]
     assert all(merged[0][h] != merged[1][h] for h in ("word", "other"))
+
+
+def test_suggestions_for_every_word(spark, tmp_path):
+    d = tables(spark, tmp_path, benchmark=[{"text": "zebra zebras ox or cat cart understanding understandings"}])
+    got = {(r["w"], r["cand"], r["d"]) for r in catalog.QUERIES["fuzzy_suggestions_whole"](spark, d).collect()}
+    pairs = {("zebra", "zebras", 1), ("or", "ox", 1), ("cart", "cat", 1), ("understanding", "understandings", 1)}
+    assert got == pairs | {(b, a, n) for a, b, n in pairs}
