@@ -31,6 +31,15 @@ def batch_lookup(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(docs.select("name").distinct(), "name").select("doc_id", "size", "name")
 
 
+@query("""with wanted as (select distinct regexp_extract(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+') as name from documents)
+select doc_id, length(text)::bigint as size, w.name from documents d join wanted w on w.name = regexp_extract(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')""")
+def batch_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``batch_lookup`` of every document."""
+    first = F.regexp_extract(text.ascii_lower(F.col("text")), "[a-z]+", 0)
+    docs = read(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("size"), first.alias("name"))
+    return docs.join(docs.select("name").distinct(), "name").select("doc_id", "size", "name")
+
+
 _ENTRIES = """lex as (select row_number() over (order by word) ordinal, word, n from (select word, count(*) n from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) word from benchmark) group by word))"""
 
 

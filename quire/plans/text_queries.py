@@ -59,6 +59,14 @@ def word_trimming(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", text.lookup_word(w).alias("core"), text.has_lookup_character(w).alias("looked_up"), text.drop_last(w, 2).alias("dropped"), text.bionic_prefix(w, 40).alias("bold"))
 
 
+@query()
+def word_trimming_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``word_trimming`` of every word of each turn, in any script."""
+    w = F.col("w")
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    return rows.select("conv_id", "turn", "i", text.lookup_word(w).alias("core"), text.has_lookup_character(w).alias("looked_up"), text.drop_last(w, 2).alias("dropped"), text.bionic_prefix(w, 40).alias("bold"))
+
+
 @query("""select doc_id, replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped,
  replace(text, chr(173), '') = text as plain, regexp_replace(left(text, 30), '-$', '') as joined from documents""")
 def markup_escape(spark: SparkSession, d: str) -> DataFrame:

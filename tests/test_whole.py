@@ -33,3 +33,10 @@ def test_suggestions_for_every_word(spark, tmp_path):
     got = {(r["w"], r["cand"], r["d"]) for r in catalog.QUERIES["fuzzy_suggestions_whole"](spark, d).collect()}
     pairs = {("zebra", "zebras", 1), ("or", "ox", 1), ("cart", "cat", 1), ("understanding", "understandings", 1)}
     assert got == pairs | {(b, a, n) for a, b, n in pairs}
+
+
+def test_every_document_and_word(spark, tmp_path):
+    d = tables(spark, tmp_path, documents=[{"doc_id": 1, "text": "Able x"}, {"doc_id": 2, "text": "Zoo"}], conversations=[{"conv_id": 1, "turn": 0, "text": "\u00ab\u00e9t\u00e9\u00bb (two) \u4e2d\u6587\u3002 e\u0301!"}])
+    assert {(r["doc_id"], r["size"], r["name"]) for r in catalog.QUERIES["batch_lookup_whole"](spark, d).collect()} == {(1, 6, "able"), (2, 3, "zoo")}
+    got = {r["i"]: (r["core"], r["looked_up"]) for r in catalog.QUERIES["word_trimming_whole"](spark, d).collect()}
+    assert got == {0: ("\u00e9t\u00e9", True), 1: ("two", True), 2: ("\u4e2d\u6587", True), 3: ("e\u0301", True)}
