@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import ascii_lower
+from quire.storage import Stored
 
 
 def natural_key(c: Column) -> Column:
@@ -23,22 +24,28 @@ def natural_key(c: Column) -> Column:
 def numbered(df: DataFrame, by: list[str], out: str) -> DataFrame:
     """Adds the place (from 1) in the order of ``by`` without gathering all rows in one task.
 
-    Rows are range-partitioned and sorted; a row's place is its place in its partition behind the sizes of those before.
-    ``by`` must order rows totally.
+    Rows are range-partitioned, sorted and written once, so that a row's partition and its place there, both in its
+    running id, mean the same to all who read them; the sizes of the partitions before, one number each, are added.
     """
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id())
-    inner = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*by)))
-    sizes = inner.groupBy("_p").agg(F.count("*").alias("_s"))
-    before = sizes.join(sizes.select(F.col("_p").alias("_q"), F.col("_s").alias("_t")), F.col("_q") < F.col("_p"), "left").groupBy("_p").agg(F.coalesce(F.sum("_t"), F.lit(0)).alias("_b"))
-    return inner.join(F.broadcast(before), "_p").withColumn(out, (F.col("_b") + F.col("_n")).cast("int")).drop("_p", "_n", "_b")
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id())
+    rows = Stored(ranged, "numbered").df.withColumn("_p", F.shiftright("_m", 33))
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_s"))
+    before = sizes.select("_p", (F.sum("_s").over(W.orderBy("_p")) - F.col("_s")).alias("_b"))  # a row for each partition
+    place = F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(before), "_p").withColumn(out, place.cast("int")).drop("_p", "_m", "_b")
 
 
 def tree_levels(tree: DataFrame, most: int) -> DataFrame:
-    """(id, level) of nodes (id, parent), roots having a parent below 0, down to ``most`` levels: a recursive query."""
-    tree.createOrReplaceTempView("_tree")
-    sql = f"""with recursive r(id, level) as (select id, 1 from _tree where parent < 0
-      union all select t.id, r.level + 1 from _tree t join r on t.parent = r.id where r.level < {most}) select id, level from r"""
-    return tree.sparkSession.sql(sql)
+    """(id, level) of nodes (id, parent), roots having a parent below 0, down to ``most`` levels: a join for each level."""
+    found, level = Stored(tree.where("parent < 0").select("id"), "level").df, 1
+    out = found.select("id", F.lit(1).alias("level"))
+    while level < most:
+        level += 1
+        found = Stored(tree.join(found.select(F.col("id").alias("parent")), "parent").select("id"), "level").df
+        if not found.limit(1).count():
+            break
+        out = out.unionByName(found.select("id", F.lit(level).alias("level")))
+    return out
 
 
 def suggestions(asked: DataFrame, words: DataFrame, distance: int, k: int) -> DataFrame:

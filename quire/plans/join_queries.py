@@ -23,18 +23,10 @@ def lookup_first_match(spark: SparkSession, d: str) -> DataFrame:
     return joins.first_match(read(spark, d, "customer").select("c_custkey"), o, ["c_custkey"], [F.col("first_order")]).select("c_custkey", "first_order")
 
 
-@query("""with wanted as (select distinct regexp_extract(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+') as name from documents)
-select doc_id, length(text)::bigint as size, w.name from documents d join wanted w on w.name = regexp_extract(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+') where w.name < 'c'""")
-def batch_lookup(spark: SparkSession, d: str) -> DataFrame:
-    first = F.regexp_extract(text.ascii_lower(F.col("text")), "[a-z]+", 0)
-    docs = read(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("size"), first.alias("name")).where("name < 'c'")
-    return docs.join(docs.select("name").distinct(), "name").select("doc_id", "size", "name")
-
-
 @query("""with wanted as (select distinct regexp_extract(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+') as name from documents)
 select doc_id, length(text)::bigint as size, w.name from documents d join wanted w on w.name = regexp_extract(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')""")
-def batch_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``batch_lookup`` of every document."""
+def batch_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's first word among the wanted names."""
     first = F.regexp_extract(text.ascii_lower(F.col("text")), "[a-z]+", 0)
     docs = read(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("size"), first.alias("name"))
     return docs.join(docs.select("name").distinct(), "name").select("doc_id", "size", "name")

@@ -75,7 +75,7 @@ def recent_list(spark: SparkSession, d: str) -> DataFrame:
     return last.orderBy(F.desc("m")).limit(18).select("user_id", "m.event_id")
 
 
-@query("""with k as (select distinct c_name || '-' || (c_custkey % 12) as name from customer where c_custkey < 3000)
+@query("""with k as (select distinct c_name || '-' || (c_custkey % 12) as name from customer)
 select name, (row_number() over (order by regexp_extract(name, '^[^0-9]*'), regexp_extract(name, '([0-9]+)', 1)::bigint, regexp_extract(name, '-([0-9]+)$', 1)::bigint, name))::int as place from k""")
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
     k = read(spark, d, "customer").select(F.concat("c_name", F.lit("-"), F.col("c_custkey") % 12).alias("name")).distinct()
@@ -121,23 +121,11 @@ def character_sets(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count("*").alias("docs")).join(chars, "source", "left").select("source", F.coalesce("characters", F.lit(0)).alias("characters"), "docs")
 
 
-@query("""with e as (select doc_id, regexp_extract(text, '[A-Za-z]+') head, substr(text, 1, 40) def from documents union all select item_id + 1000000, regexp_extract(text, '[A-Za-z]+'), substr(text, 1, 40) from benchmark),
- m as (select head, string_agg(def, '; ' order by doc_id) defs, count(*) n from e group by 1)
-select head, md5(defs) as definition, n as sources, (row_number() over (order by lower(head), head))::int as ordinal from m""")
-def dictionary_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of two sources by headword, definitions in source order, numbered by the headword."""
-    head, short = F.regexp_extract("text", "[A-Za-z]+", 0).alias("head"), F.substring("text", 1, 40).alias("def")
-    e = read(spark, d, "documents").select(F.col("doc_id").alias("i"), head, short).unionByName(read(spark, d, "benchmark").select((F.col("item_id") + 1000000).alias("i"), head, short))
-    m = e.groupBy("head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "def"))), lambda s: s["def"]), "; ").alias("defs"), F.count("*").alias("sources"))
-    m = m.select("head", F.md5(F.col("defs").cast("binary")).alias("definition"), "sources", F.lower("head").alias("k"))
-    return ordering.numbered(m, ["k", "head"], "ordinal").select("head", "definition", "sources", "ordinal")
-
-
 @query("""with e as (select doc_id, regexp_extract(text, '[A-Za-z]+') head, md5(text) def from documents union all select item_id + 1000000, regexp_extract(text, '[A-Za-z]+'), md5(text) from benchmark),
  m as (select head, string_agg(def, '; ' order by doc_id) defs, count(*) n from e group by 1)
 select head, md5(defs) as definition, n as sources, (row_number() over (order by lower(head), head))::int as ordinal from m""")
-def dictionary_merge_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``dictionary_merge`` of whole texts, which meet by digest."""
+def dictionary_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of two sources by headword, digests of their whole texts in source order, numbered by the headword."""
     head, whole = F.regexp_extract("text", "[A-Za-z]+", 0).alias("head"), F.md5(F.col("text").cast("binary")).alias("def")
     e = read(spark, d, "documents").select(F.col("doc_id").alias("i"), head, whole).unionByName(read(spark, d, "benchmark").select((F.col("item_id") + 1000000).alias("i"), head, whole))
     m = e.groupBy("head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "def"))), lambda s: s["def"]), "; ").alias("defs"), F.count("*").alias("sources"))
@@ -145,20 +133,11 @@ def dictionary_merge_whole(spark: SparkSession, d: str) -> DataFrame:
     return ordering.numbered(m, ["k", "head"], "ordinal").select("head", "definition", "sources", "ordinal")
 
 
-@query("""with v as (select distinct lower(w) w from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) w from benchmark)), q as (select w from v where length(w) between 4 and 9 and w < 'f'),
- c as (select q.w, v.w cand, levenshtein(q.w, v.w) d from q join v on substr(q.w, 1, 1) = substr(v.w, 1, 1) and abs(length(q.w) - length(v.w)) <= 2 and q.w <> v.w where levenshtein(q.w, v.w) <= 2),
- r as (select *, row_number() over (partition by w order by d, cand) n from c) select w, cand, d::int as d, n::int as n from r where n <= 5""")
-def fuzzy_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest words by edit distance among those of the same first letter and near length."""
-    v = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
-    return ordering.suggestions(v.where("length(w) between 4 and 9 and w < 'f'"), v, 2, 5)
-
-
 @query("""with v as (select distinct lower(w) w from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) w from benchmark)),
  c as (select q.w, v.w cand, levenshtein(q.w, v.w) d from v q join v on substr(q.w, 1, 1) = substr(v.w, 1, 1) and abs(length(q.w) - length(v.w)) <= 2 and q.w <> v.w where levenshtein(q.w, v.w) <= 2),
  r as (select *, row_number() over (partition by w order by d, cand) n from c) select w, cand, d::int as d, n::int as n from r where n <= 5""")
-def fuzzy_suggestions_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``fuzzy_suggestions`` for every distinct word."""
+def fuzzy_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """For every distinct word the five nearest by edit distance among those of the same first letter and near length."""
     v = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
     return ordering.suggestions(v, v, 2, 5)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.registry import ORACLE, query, read
 from quire.plans import activity_queries
+from quire.storage import shared_dir
 from quire.streaming import activity
 
 
@@ -18,11 +19,19 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _finish(df: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over all that is there; for tests and demonstrations, as the sink is in memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs the stream over all that is there; each batch is written to shared storage once, under its number.
+
+    In complete mode the last batch is the result, else all of them are. State and progress are in shared storage too.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quire-stream-{uuid.uuid4().hex}"
+    write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")  # noqa: E731  a batch that is run again replaces itself
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0))
+    return rows.drop("batch")
 
 
 def stream_time_buckets(spark: SparkSession, d: str) -> DataFrame:

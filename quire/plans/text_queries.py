@@ -49,35 +49,18 @@ def stem_variants(spark: SparkSession, d: str) -> DataFrame:
     return v.select("word", F.explode(text.stem_variants(F.col("word"))).alias("stem"))
 
 
-@query("""with w as (select conv_id, turn, regexp_split_to_array(text, ' ')[1] w from conversations)
-select conv_id, turn, regexp_extract(w, '[a-zA-Z0-9](?:.*[a-zA-Z0-9])?') as core, regexp_matches(w, '[a-zA-Z0-9]') as looked_up,
- case when length(w) <= 2 then '' else left(w, length(w) - 2) end as dropped, left(w, least(9, greatest(1, floor(length(w) * 40 / 100)))::int) as bold
-from w where regexp_full_match(w, '[ -~]*')""")
-def word_trimming(spark: SparkSession, d: str) -> DataFrame:
-    w = F.col("w")
-    rows = read(spark, d, "conversations").select("conv_id", "turn", F.element_at(F.split("text", " "), 1).alias("w")).where(w.rlike("^[ -~]*$"))
-    return rows.select("conv_id", "turn", text.lookup_word(w).alias("core"), text.has_lookup_character(w).alias("looked_up"), text.drop_last(w, 2).alias("dropped"), text.bionic_prefix(w, 40).alias("bold"))
-
-
 @query()
-def word_trimming_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``word_trimming`` of every word of each turn, in any script."""
+def word_trimming(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of each turn, in any script, cut down for a lookup (no SQL; tests hold it against hand-made words)."""
     w = F.col("w")
     rows = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "w"))
     return rows.select("conv_id", "turn", "i", text.lookup_word(w).alias("core"), text.has_lookup_character(w).alias("looked_up"), text.drop_last(w, 2).alias("dropped"), text.bionic_prefix(w, 40).alias("bold"))
 
 
-@query("""select doc_id, replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped,
- replace(text, chr(173), '') = text as plain, regexp_replace(left(text, 30), '-$', '') as joined from documents""")
-def markup_escape(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return read(spark, d, "documents").select("doc_id", text.xml_escape(F.substring(t, 1, 200)).alias("escaped"), (text.strip_soft_hyphens(t) == t).alias("plain"), text.strip_layout_hyphen(F.substring(t, 1, 30)).alias("joined"))
-
-
 @query("""select doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) as escaped,
  replace(text, chr(173), '') = text as plain, md5(regexp_replace(text, '-$', '')) as joined from documents""")
-def markup_escape_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``markup_escape`` of whole texts, as digests."""
+def markup_escape(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts escaped, and joined without a layout hyphen, as digests."""
     t, digest = F.col("text"), lambda c: F.md5(c.cast("binary"))
     return read(spark, d, "documents").select("doc_id", digest(text.xml_escape(t)).alias("escaped"), (text.strip_soft_hyphens(t) == t).alias("plain"), digest(text.strip_layout_hyphen(t)).alias("joined"))
 
