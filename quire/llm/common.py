@@ -2,43 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quire-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from quire.storage import Bucketed, Stored, release, shared_dir
 
+__all__ = ["Bucketed", "Stored", "release", "shared_dir"]
 
-class Stored:
-    """A table written once to the shared folder and read back, which cuts lineage.
 
-    A lost executor costs nothing: the files are in shared storage and a retried read finds them again.
-    ``drop`` frees the files once no later plan needs them.
-    """
-
-    def __init__(self, df: DataFrame, name: str = "t"):
-        spark = df.sparkSession
-        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def let(value: str, name: str, body: str) -> str:

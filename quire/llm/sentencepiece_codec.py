@@ -1,15 +1,23 @@
 """SentencePiece encoding and decoding by a distinct-chunk table.
 
 Where no piece of a model crosses from text into a whitespace marker, the marked text falls apart into chunks (markers,
-then text) that are segmented independently of each other. Each task keeps a table of the distinct chunks that it has
-met, segments each once with the library, and joins ids back by position. The table is bounded (``max_chunks``; it
-restarts when full), texts stream in batches bounded in bytes, and nothing is shuffled, so cost is linear in the text
-and a lost executor costs only its own tasks.
+then text) that are segmented independently of each other.
+
+1. One pass cuts the texts into blocks of documents. A block numbers its distinct chunks; a document becomes the array of
+   its chunks' numbers, in order. Blocks end at ``block_chars`` characters or ``block_chunks`` chunks, between documents.
+2. The chunks of all blocks are shuffled by chunk and sorted, so each distinct chunk of the corpus is met once; it is
+   segmented and decoded once with the library, and the result goes back to the blocks that hold it.
+3. Block by block the numbers are replaced by the results, which joins ids back by position.
+
+Documents' numbers are stored in buckets by block, where the pass writes them, and never shuffled; texts neither. What is
+shuffled is a row for each block and distinct chunk of it, twice. A block is the most that a task holds; a chunk that every
+block has is as many rows as there are blocks.
 
 Defined results: a null or empty text has no ids and decodes to the empty text. Ids are exactly the library's
-``encode(text)`` without begin or end ids. Very long texts and very long chunks are encoded whole. Repeated rows give
-repeated rows; null ids stay null; only the named columns are read, so others may have any name.
-A model whose pieces can cross a marker, or that normalises text, is served by plain whole-text calls.
+``encode(text)`` without begin or end ids. Very long texts and very long chunks are encoded whole (a document is never cut,
+so a block is as large as its largest document at least). Repeated rows give repeated rows; null ids stay null; only the
+named columns are read, so others may have any name. A model whose pieces can cross a marker, or that normalises text,
+is served by plain whole-text calls.
 """
 
 from __future__ import annotations
@@ -17,20 +25,28 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import Bucketed, table
 
 MARK = "▁"
 
 
+@dataclass(frozen=True)
+class Params:
+    block_chunks: int = 65_536  #: distinct chunks of a block at which it ends
+    block_chars: int = 16_000_000  #: characters at which it ends
+
+
 class Codec:
     """Encodes and decodes with one model; not shared between processes."""
 
-    def __init__(self, model_file: str, max_chunks: int = 100_000):
+    def __init__(self, model_file: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -49,81 +65,139 @@ class Codec:
             and all(re.fullmatch(f"{MARK}*[^{MARK}]*", p) for p in pieces)
         )
         self.mark_id = self.sp.piece_to_id(MARK)
-        self.split = re.compile(f"{MARK}+[^{MARK}]*").findall
-        self.max_chunks, self.known = max_chunks, {}
 
-    def _segment(self, chunks: list[str]) -> None:
-        """Enters marked chunks: (ids joined by commas, decoded text with its leading space, number of ids, ids)."""
+    def segment(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
+        """(ids, decoded text with its leading space) of marked chunks."""
         found = self.sp.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
         found = [ids or [self.mark_id] for ids in found]
-        for c, ids, text in zip(chunks, found, self.sp.decode(found, num_threads=1), strict=True):
-            self.known[c] = (",".join(map(str, ids)), " " + text, len(ids), ids)
-
-    def chunks(self, text: str) -> list[tuple[str, str, int, list[int]]]:
-        known = self.known
-        marked = self.split(MARK + text.replace(" ", MARK))
-        new = {c for c in marked if c not in known}
-        if len(known) + len(new) > self.max_chunks:
-            known.clear()
-            new = set(marked)
-        if new:
-            self._segment(list(new))
-        return [known[c] for c in marked]
-
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if not self.separable:
-            return self.sp.encode(text)
-        return [i for c in self.chunks(text) for i in c[3]]
+        return found, [" " + t for t in self.sp.decode(found, num_threads=1)]
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(list(ids)) if len(ids) else ""
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, the ids joined by commas, the text decoded from them)."""
-        if not text:
-            return 0, "", ""
-        if not self.separable:
-            ids = self.sp.encode(text)
-            return len(ids), ",".join(map(str, ids)), self.sp.decode(ids)
-        found = self.chunks(text)
-        return sum(c[2] for c in found), ",".join([c[0] for c in found]), "".join([c[1] for c in found])[1:]
 
+class _Numbers(dict):
+    """Numbers chunks in the order in which they are met."""
 
-def _parts(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for i in range(0, len(b), rows):
-            yield b.iloc[i : i + rows]
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
 
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids array<int>, decoded string: each whole text's ids and what they decode to."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def chunks(text: str) -> list[str]:
+    return _SPLIT(MARK + text.replace(" ", MARK))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model_file)
-        for b in _parts(batches):
-            ids = [codec.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "ids": ids, "decoded": [codec.decode(i) for i in ids]})
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>, decoded string")
-    return out.select(F.col("id").alias(id_col), "ids", "decoded")
+_SPLIT = re.compile(f"{MARK}+[^{MARK}]*").findall
 
 
-def encode_digest(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256 for each row: digests instead of the ids and texts themselves."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _blocks(docs: DataFrame, p: Params) -> DataFrame:
+    """Rows (block, id, codes) of documents and rows (block, code, chunk) of each block's distinct chunks, from (id, text).
+
+    ``codes`` are the numbers of a document's chunks, in two bytes each, or in four where the block's last row says so.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model_file)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in _parts(batches):
-            found = [codec.digest(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "n_tokens": [f[0] for f in found], "ids_sha256": [sha(f[1]) for f in found], "decoded_sha256": [sha(f[2]) for f in found]})
+        from pyspark import TaskContext
+
+        task, n, size = TaskContext.get().partitionId(), 0, 0
+        known, ids, codes = _Numbers(), [], []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            block, width = (task << 32) + n, "<u2" if len(known) <= 1 << 16 else "<u4"
+            for i in range(0, len(ids), 256):
+                yield pd.DataFrame({"block": block, "id": ids[i : i + 256], "codes": [c.astype(width).tobytes() for c in codes[i : i + 256]], "code": None, "chunk": None})
+            held = list(known)
+            for i in range(0, len(held), 16_384):
+                part = held[i : i + 16_384]
+                yield pd.DataFrame({"block": block, "id": None, "codes": None, "code": range(i, i + len(part)), "chunk": part})
+
+        for b in batches:
+            for i, t in zip(b["id"].tolist() if b["id"].notna().all() else b["id"].astype(object).where(b["id"].notna(), None).tolist(), b["text"], strict=True):
+                ids.append(i)
+                codes.append(np.array([known[c] for c in chunks(t)] if t else [], dtype="<u4"))
+                size += len(t or "") + 16
+                if len(known) >= p.block_chunks or size >= p.block_chars:
+                    yield from flush()
+                    n, size = n + 1, 0
+                    known, ids, codes = _Numbers(), [], []
+        if ids:
+            yield from flush()
+
+    return docs.mapInPandas(run, f"block bigint, id {kind}, codes binary, code int, chunk string")
+
+
+def _segmented(rows: DataFrame, model_file: str) -> DataFrame:
+    """(block, code, ids string, decoded string) of rows (block, code, chunk); a chunk is segmented once, whoever holds it."""
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return out.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec, last = Codec(model_file), (None, "", "")
+        for b in batches:
+            held = b["chunk"].tolist()
+            new = [c for c, before in zip(held, [last[0], *held[:-1]], strict=True) if c != before]
+            made, texts = codec.segment(new) if new else ([], [])
+            found = {last[0]: last[1:]} | {c: (",".join(map(str, i)), t) for c, i, t in zip(new, made, texts, strict=True)}
+            got = [found[c] for c in held]
+            yield pd.DataFrame({"block": b["block"], "code": b["code"], "ids": [g[0] for g in got], "decoded": [g[1] for g in got]})
+            if held:
+                last = (held[-1], *got[-1])
+
+    return rows.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(run, "block bigint, code int, ids string, decoded string")
+
+
+def _joined(docs: DataFrame, model_file: str, p: Params, digest: bool) -> DataFrame:
+    """(id, n, ids, decoded) of docs (id, text); ids joined by commas; if ``digest``, the sha256 of both."""
+    kind = docs.schema["id"].dataType.simpleString()
+    shape = f"id {kind}, n bigint, ids string, decoded string"
+    sha = (lambda s: hashlib.sha256(s.encode()).hexdigest()) if digest else (lambda s: s)
+
+    if not Codec(model_file).separable:
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            codec = Codec(model_file)
+            for b in batches:
+                for i in range(0, len(b), 256):
+                    part = b.iloc[i : i + 256]
+                    ids = [codec.sp.encode(t) if t else [] for t in part["text"]]
+                    yield pd.DataFrame({"id": part["id"], "n": [len(x) for x in ids], "ids": [sha(",".join(map(str, x))) for x in ids], "decoded": [sha(codec.decode(x)) for x in ids]})
+
+        return docs.mapInPandas(whole, shape)
+
+    held = Bucketed(_blocks(docs, p), ["block"], "chunks", dealt=False).df
+    texts = held.where("codes is not null").select("block", "id", "codes")
+    table_ = _segmented(held.where("chunk is not null").select("block", "code", "chunk"), model_file)
+
+    def join(docs: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
+        width, size = "<u2" if len(table_) <= 1 << 16 else "<u4", len(table_)
+        at = np.empty(size, dtype=np.int64)
+        at[table_["code"].to_numpy(np.int64)] = np.arange(size)
+        ids, decoded = table_["ids"].to_numpy(object)[at], table_["decoded"].to_numpy(object)[at]
+        count = np.fromiter((s.count(",") + 1 for s in ids), np.int64, size)
+        out = []
+        for codes in docs["codes"]:
+            c = np.frombuffer(codes, dtype=width)
+            out.append((int(count[c].sum()), sha(",".join(ids[c].tolist())), sha("".join(decoded[c].tolist())[1:])))
+        return pd.DataFrame({"id": docs["id"], "n": [o[0] for o in out], "ids": [o[1] for o in out], "decoded": [o[2] for o in out]})
+
+    return texts.groupBy("block").cogroup(table_.groupBy("block")).applyInPandas(join, shape)
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", params: Params | None = None) -> DataFrame:
+    """id_col, ids array<int>, decoded string: each whole text's ids and what they decode to."""
+    out = _joined(_named(docs, id_col, text_col), model_file, params or Params(), digest=False)
+    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>"))
+    return out.select(F.col("id").alias(id_col), ids.alias("ids"), "decoded")
+
+
+def encode_digest(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", params: Params | None = None) -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256 for each row: digests instead of the ids and texts themselves."""
+    out = _joined(_named(docs, id_col, text_col), model_file, params or Params(), digest=True)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
 def decode(df: DataFrame, model_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -34,11 +34,27 @@ def test_codec_equals_library(spark):
     assert {r["doc_id"]: r["decoded"] for r in back.collect()} == {k: r["decoded"] for k, r in rows.items()}
 
 
-def test_codec_table_restarts():
+@pytest.mark.parametrize("block", [1, 40, 10**6])
+def test_codec_blocks_and_wide_numbers(spark, block):
     path = sentencepiece_codec.model_path()
-    small, big = sentencepiece_codec.Codec(path, max_chunks=3), sentencepiece_codec.Codec(path)
-    for t in ("a b c d e f", "a b", "g h i j", "a"):
-        assert small.digest(t) == big.digest(t) and small.separable
+    texts = ["a b a c", "b  b", None, "", " ".join(f"w{i}" for i in range(70_000)), "a"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    p = sentencepiece_codec.Params(block_chunks=block, block_chars=50 * block)
+    got = {r["doc_id"]: r for r in sentencepiece_codec.encode(df, path, params=p).collect()}
+    sp = sentencepiece_codec.Codec(path).sp
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i]["ids"] == (sp.encode(t) if t else []) and got[i]["decoded"] == (t or "")
+
+
+def test_a_chunk_is_segmented_once(spark):
+    path = sentencepiece_codec.model_path()
+    docs = spark.createDataFrame([(i, "the same words " * 9) for i in range(40)], "id bigint, text string").repartition(8)
+    rows = sentencepiece_codec._blocks(docs, sentencepiece_codec.Params(block_chunks=1)).where("chunk is not null").select("block", "code", "chunk")
+    assert rows.count() == 4 * 40
+    spread = rows.repartition("chunk").select("chunk", F.spark_partition_id().alias("p")).distinct()
+    assert spread.count() == 4  # the trailing blank is a chunk of its own
+    assert sentencepiece_codec.encode_digest(spark.createDataFrame([], "doc_id bigint, text string"), path).count() == 0
 
 
 # --- searches ---
