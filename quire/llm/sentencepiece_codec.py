@@ -5,13 +5,13 @@ then text) that are segmented independently of each other.
 
 1. One pass cuts the texts into blocks of documents. A block numbers its distinct chunks; a document becomes the array of
    its chunks' numbers, in order. Blocks end at ``block_chars`` characters or ``block_chunks`` chunks, between documents.
-2. The chunks of all blocks are shuffled by chunk and sorted, so each distinct chunk of the corpus is met once; it is
-   segmented and decoded once with the library, and the result goes back to the blocks that hold it.
+2. The table: each block's chunks, as one list for each of ``buckets`` hashes, are shuffled by hash, so a chunk of the corpus
+   is met in one place whoever holds it. It is segmented and decoded there once, and the results go back to the blocks.
 3. Block by block the numbers are replaced by the results, which joins ids back by position.
 
 Documents' numbers are stored in buckets by block, where the pass writes them, and never shuffled; texts neither. What is
-shuffled is a row for each block and distinct chunk of it, twice. A block is the most that a task holds; a chunk that every
-block has is as many rows as there are blocks.
+shuffled is each block's distinct chunks, there and their ids back. A task holds one block (in the table one hash's chunks);
+a chunk that every block has is met as often as there are blocks.
 
 Defined results: a null or empty text has no ids and decodes to the empty text. Ids are exactly the library's
 ``encode(text)`` without begin or end ids. Very long texts and very long chunks are encoded whole (a document is never cut,
@@ -23,7 +23,9 @@ is served by plain whole-text calls.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +41,9 @@ MARK = "▁"
 
 @dataclass(frozen=True)
 class Params:
-    block_chunks: int = 65_536  #: distinct chunks of a block at which it ends
-    block_chars: int = 16_000_000  #: characters at which it ends
+    block_chunks: int = 600_000  #: distinct chunks of a block at which it ends
+    block_chars: int = 32_000_000  #: characters at which it ends
+    buckets: int = 1024  #: hashes of chunks; the chunks of one are held by a task
 
 
 class Codec:
@@ -92,9 +95,10 @@ _SPLIT = re.compile(f"{MARK}+[^{MARK}]*").findall
 
 
 def _blocks(docs: DataFrame, p: Params) -> DataFrame:
-    """Rows (block, id, codes) of documents and rows (block, code, chunk) of each block's distinct chunks, from (id, text).
+    """Rows (block, id, codes) of documents and rows (block, bucket, codes, chunks) of blocks' distinct chunks, from (id, text).
 
-    ``codes`` are the numbers of a document's chunks, in two bytes each, or in four where the block's last row says so.
+    ``codes`` are the numbers of a document's chunks, or, as differences, of a bucket's; chunks are joined by
+    blanks, as they hold none.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -105,16 +109,21 @@ def _blocks(docs: DataFrame, p: Params) -> DataFrame:
         known, ids, codes = _Numbers(), [], []
 
         def flush() -> Iterator[pd.DataFrame]:
-            block, width = (task << 32) + n, "<u2" if len(known) <= 1 << 16 else "<u4"
+            block = (task << 32) + n
             for i in range(0, len(ids), 256):
-                yield pd.DataFrame({"block": block, "id": ids[i : i + 256], "codes": [c.astype(width).tobytes() for c in codes[i : i + 256]], "code": None, "chunk": None})
+                yield pd.DataFrame({"block": block, "bucket": None, "id": ids[i : i + 256], "codes": [c.tobytes() for c in codes[i : i + 256]], "chunks": None})
             held = list(known)
-            for i in range(0, len(held), 16_384):
-                part = held[i : i + 16_384]
-                yield pd.DataFrame({"block": block, "id": None, "codes": None, "code": range(i, i + len(part)), "chunk": part})
+            bucket = np.fromiter((zlib.crc32(c.encode()) % p.buckets for c in held), np.int64, len(held))
+            order = np.argsort(bucket, kind="stable")
+            found, at = np.unique(bucket[order], return_index=True)
+            lists = np.split(order, at[1:]) if len(held) else []
+            for i in range(0, len(lists), 64):
+                part = lists[i : i + 64]
+                steps = [np.diff(x, prepend=0).astype("<u4").tobytes() for x in part]
+                yield pd.DataFrame({"block": block, "bucket": found[i : i + 64], "id": None, "codes": steps, "chunks": [" ".join([held[j] for j in x]) for x in part]})
 
         for b in batches:
-            for i, t in zip(b["id"].tolist() if b["id"].notna().all() else b["id"].astype(object).where(b["id"].notna(), None).tolist(), b["text"], strict=True):
+            for i, t in zip(b["id"].astype(object).where(b["id"].notna(), None), b["text"], strict=True):
                 ids.append(i)
                 codes.append(np.array([known[c] for c in chunks(t)] if t else [], dtype="<u4"))
                 size += len(t or "") + 16
@@ -125,25 +134,34 @@ def _blocks(docs: DataFrame, p: Params) -> DataFrame:
         if ids:
             yield from flush()
 
-    return docs.mapInPandas(run, f"block bigint, id {kind}, codes binary, code int, chunk string")
+    return docs.mapInPandas(run, f"block bigint, bucket int, id {kind}, codes binary, chunks string")
 
 
 def _segmented(rows: DataFrame, model_file: str) -> DataFrame:
-    """(block, code, ids string, decoded string) of rows (block, code, chunk); a chunk is segmented once, whoever holds it."""
+    """(block, bucket, sizes, ids, odd) of rows (block, bucket, chunks): each chunk's number of ids, and all ids in turn.
+
+    ``odd`` holds the decoded texts where one is not the chunk itself. A distinct chunk is segmented once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, last = Codec(model_file), (None, "", "")
+        codec, table_, last = Codec(model_file), {}, None
         for b in batches:
-            held = b["chunk"].tolist()
-            new = [c for c, before in zip(held, [last[0], *held[:-1]], strict=True) if c != before]
-            made, texts = codec.segment(new) if new else ([], [])
-            found = {last[0]: last[1:]} | {c: (",".join(map(str, i)), t) for c, i, t in zip(new, made, texts, strict=True)}
-            got = [found[c] for c in held]
-            yield pd.DataFrame({"block": b["block"], "code": b["code"], "ids": [g[0] for g in got], "decoded": [g[1] for g in got]})
-            if held:
-                last = (held[-1], *got[-1])
-
-    return rows.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(run, "block bigint, code int, ids string, decoded string")
+            out = []
+            for bucket, joined in zip(b["bucket"], b["chunks"], strict=True):
+                if bucket != last:
+                    table_, last = {}, bucket
+                held = joined.split(" ")
+                new = [c for c in held if c not in table_]
+                if new:
+                    table_.update(zip(new, zip(*codec.segment(new), strict=True), strict=True))
+                got = [table_[c] for c in held]
+                same = all(g[1] == c.replace(MARK, " ") for c, g in zip(held, got, strict=True))
+                sizes = np.array([len(g[0]) for g in got], dtype="<u4")
+                ids = np.fromiter(itertools.chain.from_iterable(g[0] for g in got), "<u4", int(sizes.sum()))
+                out.append((sizes.tobytes(), ids.tobytes(), None if same else [g[1] for g in got]))
+            yield pd.DataFrame({"block": b["block"], "bucket": b["bucket"], "sizes": [o[0] for o in out], "ids": [o[1] for o in out], "odd": [o[2] for o in out]})
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "block bigint, bucket int, sizes binary, ids binary, odd array<string>")
 
 
 def _joined(docs: DataFrame, model_file: str, p: Params, digest: bool) -> DataFrame:
@@ -165,22 +183,28 @@ def _joined(docs: DataFrame, model_file: str, p: Params, digest: bool) -> DataFr
         return docs.mapInPandas(whole, shape)
 
     held = Bucketed(_blocks(docs, p), ["block"], "chunks", dealt=False).df
-    texts = held.where("codes is not null").select("block", "id", "codes")
-    table_ = _segmented(held.where("chunk is not null").select("block", "code", "chunk"), model_file)
-
-    def join(docs: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
-        width, size = "<u2" if len(table_) <= 1 << 16 else "<u4", len(table_)
-        at = np.empty(size, dtype=np.int64)
-        at[table_["code"].to_numpy(np.int64)] = np.arange(size)
-        ids, decoded = table_["ids"].to_numpy(object)[at], table_["decoded"].to_numpy(object)[at]
-        count = np.fromiter((s.count(",") + 1 for s in ids), np.int64, size)
+    table_ = _segmented(held.where("bucket is not null").select("block", "bucket", "chunks"), model_file)
+
+    def join(held: pd.DataFrame, table_: pd.DataFrame) -> pd.DataFrame:
+        docs = held[held["bucket"].isna()]
+        lists = held[held["bucket"].notna()]
+        found = {int(b): r for b, *r in zip(table_["bucket"], table_["sizes"], table_["ids"], table_["odd"], strict=True)}
+        codes = [np.cumsum(np.frombuffer(c, dtype="<u4"), dtype=np.int64) for c in lists["codes"]]
+        size = sum(map(len, codes))
+        said, text, count = np.empty(size, dtype=object), np.empty(size, dtype=object), np.zeros(size, dtype=np.int64)
+        for at, bucket, joined in zip(codes, lists["bucket"], lists["chunks"], strict=True):
+            sizes, ids, odd = found[int(bucket)]
+            count[at] = sizes = np.frombuffer(sizes, dtype="<u4").astype(np.int64)
+            ends, ids = np.cumsum(sizes).tolist(), np.frombuffer(ids, dtype="<u4").tolist()
+            said[at] = [",".join(map(str, ids[i:j])) for i, j in zip([0, *ends], ends)]
+            text[at] = [c.replace(MARK, " ") for c in joined.split(" ")] if odd is None else list(odd)
         out = []
-        for codes in docs["codes"]:
-            c = np.frombuffer(codes, dtype=width)
-            out.append((int(count[c].sum()), sha(",".join(ids[c].tolist())), sha("".join(decoded[c].tolist())[1:])))
-        return pd.DataFrame({"id": docs["id"], "n": [o[0] for o in out], "ids": [o[1] for o in out], "decoded": [o[2] for o in out]})
+        for c in docs["codes"]:
+            c = np.frombuffer(c, dtype="<u4")
+            out.append((int(count[c].sum()), sha(",".join(said[c].tolist())), sha("".join(text[c].tolist())[1:])))
+        return pd.DataFrame({"id": docs["id"].to_numpy(object), "n": [o[0] for o in out], "ids": [o[1] for o in out], "decoded": [o[2] for o in out]})
 
-    return texts.groupBy("block").cogroup(table_.groupBy("block")).applyInPandas(join, shape)
+    return held.select("block", "bucket", "id", "codes", "chunks").groupBy("block").cogroup(table_.groupBy("block")).applyInPandas(join, shape)
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
