@@ -91,9 +91,32 @@ def chunks(text: str) -> list[str]:
     return _SPLIT(MARK + text.replace(" ", MARK))
 
 
+#: Chunks of a block whose numbers fit in three bytes.
+_NARROW = 1 << 24
 _SPLIT = re.compile(f"{MARK}+[^{MARK}]*").findall
 
 
+def _planes(x: np.ndarray, wide: bool) -> bytes:
+    """The numbers' lowest bytes, then their second ones and so on, three or, if ``wide``, four: they pack better so."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T[: 4 if wide else 3].tobytes()
+
+
+def _numbers(planes: bytes, wide: bool) -> np.ndarray:
+    out = np.zeros((len(planes) // (4 if wide else 3), 4), dtype=np.uint8)
+    out[:, : 4 if wide else 3] = np.frombuffer(planes, dtype=np.uint8).reshape(4 if wide else 3, -1).T
+    return out.view("<u4").ravel()
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers in the fewest of one, two or four bytes each, which the first byte tells."""
+    kind = next((k for k in (1, 2) if not len(x) or x.max() < 1 << 8 * k), 4)
+    return bytes([kind]) + x.astype(f"<u{kind}").tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(np.int64)
+
+
 def _blocks(docs: DataFrame, p: Params) -> DataFrame:
     """Rows (block, id, codes) of documents and rows (block, bucket, codes, chunks) of blocks' distinct chunks, from (id, text).
 
@@ -111,7 +134,7 @@ def _blocks(docs: DataFrame, p: Params) -> DataFrame:
         def flush() -> Iterator[pd.DataFrame]:
             block = (task << 32) + n
             for i in range(0, len(ids), 256):
-                yield pd.DataFrame({"block": block, "bucket": None, "id": ids[i : i + 256], "codes": [c.tobytes() for c in codes[i : i + 256]], "chunks": None})
+                yield pd.DataFrame({"block": block, "bucket": None, "id": ids[i : i + 256], "codes": [_planes(c, len(known) > _NARROW) for c in codes[i : i + 256]], "chunks": None})
             held = list(known)
             bucket = np.fromiter((zlib.crc32(c.encode()) % p.buckets for c in held), np.int64, len(held))
             order = np.argsort(bucket, kind="stable")
@@ -119,7 +142,7 @@ def _blocks(docs: DataFrame, p: Params) -> DataFrame:
             lists = np.split(order, at[1:]) if len(held) else []
             for i in range(0, len(lists), 64):
                 part = lists[i : i + 64]
-                steps = [np.diff(x, prepend=0).astype("<u4").tobytes() for x in part]
+                steps = [_packed(np.diff(x, prepend=0)) for x in part]
                 yield pd.DataFrame({"block": block, "bucket": found[i : i + 64], "id": None, "codes": steps, "chunks": [" ".join([held[j] for j in x]) for x in part]})
 
         for b in batches:
@@ -156,9 +179,9 @@ def _segmented(rows: DataFrame, model_file: str) -> DataFrame:
                     table_.update(zip(new, zip(*codec.segment(new), strict=True), strict=True))
                 got = [table_[c] for c in held]
                 same = all(g[1] == c.replace(MARK, " ") for c, g in zip(held, got, strict=True))
-                sizes = np.array([len(g[0]) for g in got], dtype="<u4")
-                ids = np.fromiter(itertools.chain.from_iterable(g[0] for g in got), "<u4", int(sizes.sum()))
-                out.append((sizes.tobytes(), ids.tobytes(), None if same else [g[1] for g in got]))
+                sizes = np.array([len(g[0]) for g in got])
+                ids = np.fromiter(itertools.chain.from_iterable(g[0] for g in got), np.int64, int(sizes.sum()))
+                out.append((_packed(sizes), _packed(ids), None if same else [g[1] for g in got]))
             yield pd.DataFrame({"block": b["block"], "bucket": b["bucket"], "sizes": [o[0] for o in out], "ids": [o[1] for o in out], "odd": [o[2] for o in out]})
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "block bigint, bucket int, sizes binary, ids binary, odd array<string>")
@@ -189,18 +212,18 @@ def _joined(docs: DataFrame, model_file: str, p: Params, digest: bool) -> DataFr
         docs = held[held["bucket"].isna()]
         lists = held[held["bucket"].notna()]
         found = {int(b): r for b, *r in zip(table_["bucket"], table_["sizes"], table_["ids"], table_["odd"], strict=True)}
-        codes = [np.cumsum(np.frombuffer(c, dtype="<u4"), dtype=np.int64) for c in lists["codes"]]
+        codes = [np.cumsum(_unpacked(c)) for c in lists["codes"]]
         size = sum(map(len, codes))
         said, text, count = np.empty(size, dtype=object), np.empty(size, dtype=object), np.zeros(size, dtype=np.int64)
         for at, bucket, joined in zip(codes, lists["bucket"], lists["chunks"], strict=True):
             sizes, ids, odd = found[int(bucket)]
-            count[at] = sizes = np.frombuffer(sizes, dtype="<u4").astype(np.int64)
-            ends, ids = np.cumsum(sizes).tolist(), np.frombuffer(ids, dtype="<u4").tolist()
+            count[at] = sizes = _unpacked(sizes)
+            ends, ids = np.cumsum(sizes).tolist(), _unpacked(ids).tolist()
             said[at] = [",".join(map(str, ids[i:j])) for i, j in zip([0, *ends], ends)]
             text[at] = [c.replace(MARK, " ") for c in joined.split(" ")] if odd is None else list(odd)
         out = []
         for c in docs["codes"]:
-            c = np.frombuffer(c, dtype="<u4")
+            c = _numbers(c, size > _NARROW)
             out.append((int(count[c].sum()), sha(",".join(said[c].tolist())), sha("".join(text[c].tolist())[1:])))
         return pd.DataFrame({"id": docs["id"].to_numpy(object), "n": [o[0] for o in out], "ids": [o[1] for o in out], "decoded": [o[2] for o in out]})
 
