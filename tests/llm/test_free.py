@@ -303,7 +303,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 
 def test_articles(spark):
     art = "<article><header><h1>Head &amp; {n}</h1></header><p><b>Bold  one.<br>two<p>Para\n{n} <i>it</i>alic<ul><li>x<li>y</ul><div class='share-buttons'>Share</div><p>Common passage</p><table><tr><td>1<td>2</table></article>"
-    want = "Head & {n}\nBold one. two\nPara {n} italic\nx\ny\nCommon passage\n1\n2"
+    want = "Head & {n}\nBold one. two\nPara {n} italic\nx\ny\nShare\nCommon passage\n1\n2"
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE.format(n=i, body=art.format(n=i)), "x") for i in range(12)]
     rows += [(20, "http://one.org/", PAGE.format(n=1, body=art.format(n=1)), "x"), (21, None, None, "x"), (22, "u", "", "x"), (None, "http://h0.org/", "plain", "x"), (0, *rows[0][1:])]
     rows += [(30 + i, f"http://m.org/{i}", PAGE.format(n=i, body=f"<main><h1>M{i}</h1><p>text {i}</p></main>"), "x") for i in range(4)]
@@ -319,18 +319,97 @@ def test_articles(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
-def test_templates_hold_what_pages_share(spark):
-    rows = [("h", PAGE.format(n=i, body=f"<article><p>own {i}</p><p>{'shared' if i < 3 else 'single'} text</p></article>")) for i in range(8)]
-    found = html_extract.templates(spark.createDataFrame(rows, "host string, html string")).first()["template"]
-    tokens = {html_extract._signed(t) for t, _ in html_extract.Parsed(rows[0][1]).tokens()}
-    inside = [t for t, _ in html_extract.Parsed(rows[0][1]).tokens()]
-    assert len(set(found) & tokens) >= 20
-    texts = [t for t in html_extract.Parsed(rows[0][1]).texts if t[0].strip()]
-    assert len(texts) and len(inside) > len(found)
+def brute_template(pages, p):
+    """Equal vectors, one order, nesting: the definitions, over pairs and by exhaustive search."""
+    words = html_extract.Words()
+    toks = [html_extract.tokens(html_extract.read(x), words) for x in pages]
+    vector = collections.defaultdict(lambda: [0] * len(toks))
+    for n, ts in enumerate(toks):
+        for t in ts:
+            vector[t][n] += 1
+    classes = collections.defaultdict(set)
+    for t, v in vector.items():
+        seen = sum(x > 0 for x in v)
+        if seen >= p.pages and seen > p.share * len(toks):
+            classes[tuple(v)].add(t)
+    out = []
+    for v, members in classes.items():
+        mean = sorted(members, key=lambda t: (sum(ts.index(t) for ts, n in zip(toks, v) if n), html_extract._signed(t)))
+        place, bad = {t: i for i, t in enumerate(mean)}, set()
+        for ts in toks:
+            row = [place[t] for t in ts if t in members]
+            for k in range(max(collections.Counter(row).values(), default=0)):
+                turn = [i for j, i in enumerate(row) if row[: j + 1].count(i) == k + 1]
+                best = [[i] for i in turn]  # longest increasing run, quadratic
+                for j in range(len(turn)):
+                    best[j] = max([best[h] + [turn[j]] for h in range(j) if turn[h] < turn[j]] + [[turn[j]]], key=len)
+                longest = max(map(len, best))
+                if longest < len(turn):
+                    bad |= set(turn) - html_extract.longest_run(turn)
+                    assert len(html_extract.longest_run(turn)) == longest
+        left = [t for i, t in enumerate(mean) if i not in bad]
+        if len(mean) >= p.size and len(left) >= p.size and all((row := [t for t in ts if t in set(left)]) == left * (len(row) // len(left)) for ts in toks):
+            out.append((sum(x > 0 for x in v), left))
+
+    def spans(c, ts):
+        at = [i for i, t in enumerate(ts) if t in set(c)]
+        return [at[i : i + len(c)] for i in range(0, len(at), len(c))]
+
+    def nests(c, d):
+        for one, other in ((c, d), (d, c)):
+            gaps = set()
+            for ts in toks:
+                for s in spans(one, ts):
+                    holds = [sum(s[0] > x for x in o) for o in spans(other, ts) if o[0] < s[0] < o[-1]]
+                    if any(o[0] < s[0] < o[-1] < s[-1] or any(s[0] < x < s[-1] for x in o) and o[0] < s[0] for o in spans(other, ts)):
+                        return False
+                    gaps.add(holds[0] if holds else None)
+            if len(gaps) > 1:
+                return False
+        return True
+
+    kept = []
+    for _, c in sorted(out, key=lambda x: (-x[0], -len(x[1]), [html_extract._signed(t) for t in x[1]])):
+        if all(nests(c, d) for d in kept):
+            kept.append(c)
+    return {tuple(html_extract._signed(t) for t in c) for c in kept}
+
+
+@pytest.mark.parametrize("cell", [500, 4])
+def test_template_equals_brute_force(spark, cell):
+    rnd = random.Random(11)
+    word = lambda: rnd.choice(["sun", "moon", "star", "sky", "rain", "wind"])
+    lists = lambda n: "".join(f"<ul><li><a>more</a> <i>{word()}</i></li></ul>" for _ in range(n))
+    rows = []
+    for n in range(9):
+        body = "".join(f"<p>{' '.join(word() for _ in range(rnd.randint(1, 12)))}</p>" for _ in range(rnd.randint(1, 4)))
+        swapped = "<b></b><u></u><s></s>" if n % 2 else "<s></s><u></u><b></b>"
+        rows.append(("h", f"<html><body><div class=x><h1>Title {word()}</h1>{body}</div>{swapped}<div class=y>{lists(1 + n % 3)}</div><p>always the same</p></body></html>"))
+    rows += [rows[0]] * 2
+    p = html_extract.Params(cell_pages=cell, pages=3)
+    got = html_extract.templates(spark.createDataFrame(rows, "host string, html string"), p).first()
+    want = brute_template([h for _, h in rows], p)
+    assert {tuple(c) for c in got["classes"]} == want and len(want) >= 2
+    marks = {html_extract._signed(i[1]) for i in html_extract.read(rows[0][1]) if i[0] == html_extract.START and i[2][1] in ("s", "b")}
+    assert len(marks) == 2 and not marks <= {t for c in got["classes"] for t in c}  # of tokens that swap places not both stay
+
+
+def test_slots_decide_where_no_name_tells(spark):
+    page = lambda n: f"<html><body><div class=a><a href=/>Home</a><a href=/x>News</a></div><div class=b><div class=c>by {n}</div><div class=d><p>own text {n} goes on {n * n} for long</p><p>All rights</p><p>one more {n}</p></div></div><div class=e>foot</div></body></html>"
+    rows = [(i, "http://h.org/x", page(i)) for i in range(40)] + [(90, "http://h.org/x", page(3)), (91, "http://h.org/y", "<html><body><p>other layout</p></body></html>")]
+    for cell in (500, 10):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), html_extract.Params(cell_pages=cell, broadcast_hosts=cell - 10)).collect()}
+        assert got[3] == got[90] == "own text 3 goes on 9 for long\none more 3" and got[91] == "other layout"
+
+
+def test_articles_keep_all_that_is_theirs():
+    text = lambda s: html_extract.tags_text(html_extract.read(s))
+    assert text("<article><p>a</p><math><mi>x</mi></math><div class='search-engines'><p>On search</p></div><noscript><p>n</p></noscript><ul><li><a>link</a></ul></article><nav>no</nav>") == "a\nx\nOn search\nn\nlink"
+    assert text("<div class=ad>Buy</div><p>text <a>with link</a></p><ul><li><a>menu</a></ul>") == "text with link"
 
 
 def test_broken_markup_is_read():
-    read = lambda s: html_extract.Parsed(s).article(set())
+    read = lambda s: html_extract.tags_text(html_extract.read(s))
     assert read("<article><p>a<p>b<!-- open") == "a\nb"
     assert read("<article><p title='a>b'>x</p><p a=\"un<b>y</b></p>").startswith("x\n")
     assert read("<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after</p></article>") == "deep\nafter"
@@ -375,14 +454,3 @@ def test_toxic_documents_go(spark):
 
 def test_all_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
-
-
-def test_html_template_keeps_one_order(spark):
-    kept, mixed = ["<b class=k1></b>", "<p>one</p>", "<b class=k2></b>"], ["<i class=a></i>", "<i class=b></i>", "<i class=c></i>"]
-    page = lambda n: "".join(kept) * (2 if n < 5 else 1) + "".join(mixed if n % 2 else mixed[::-1]) * 3 + f"<u>{n}</u>"
-    rows = [("h", page(n)) for n in range(10)]
-    found = html_extract.templates(spark.createDataFrame(rows, "host string, html string")).first()["template"]
-    path = lambda s: {html_extract._signed(t) for t, _ in html_extract.Parsed(s).tokens()}
-    assert path("".join(kept)) <= set(found)
-    assert not path("".join(mixed)) & set(found)
-    assert [i for _, i in sorted(html_extract.Parsed("<p>x</p><p>y</p>").tokens(), key=lambda t: t[1])] == [0, 1, 2, 3]
