@@ -11,10 +11,11 @@ cosines do; scores returned are cosines of the original vectors in double precis
 Scale: centroids (``most_lists`` at most) are all that is broadcast. A list longer than ``list_rows`` is read as several
 blocks, and many queries of one list as several blocks, so the work of a task is bounded whatever is hot. Of identical
 vectors only the k + 1 smallest ids are listed, which loses nothing: no other of them can be among a query's k nearest.
-The index is written once to shared storage.
+The index is written once to shared storage, vectors in the table's own type.
 
-Defined results: see ``vectors.usable`` for what takes part (no zero vectors); a query's own id is no candidate; an empty
-table gives an empty result. Ties go to the smaller id.
+Defined results: see ``vectors.usable`` for what takes part (no zero vectors); a query's own id is no candidate; of rows that
+repeat an id each vector is searched, and rows that repeat id and vector count once; vectors of unequal length are compared
+as if zeros followed the shorter ones (their longest is the width of the index); an empty table gives an empty result. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import Stored, table
-from quire.llm.vectors import usable
+from quire.llm.vectors import matrix, usable
 
 
 @dataclass(frozen=True)
@@ -137,13 +138,14 @@ class Index:
     def __init__(self, vectors: DataFrame, k: int, params: Params | None = None):
         self.p, self.k, self.vectors = params or Params(), k, vectors
         p, spark = self.p, vectors.sparkSession
-        self.spark, rows = spark, vectors.count()
-        self.rows = rows
+        self.kind = dict(vectors.dtypes)["v"]
+        self.spark, (rows, width) = spark, vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+        self.rows, self.width = rows, width
         if not rows:
             return
         share = min(1.0, 1.2 * p.sample_rows / rows)
         picked = vectors.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(p.sample_rows).collect()
-        sample = _unit(np.array([r["v"] for r in sorted(picked, key=lambda r: r["id"])] or [vectors.first()["v"]]))
+        sample = _unit(matrix([r["v"] for r in sorted(picked, key=lambda r: (r["id"], r["v"]))] or [vectors.first()["v"]], width))
         n = int(min(p.most_lists, max(1, rows // p.list_target), max(1, len(sample) // 8)))
         self.centroids = balanced_clusters(sample, n)
         sent = spark.sparkContext.broadcast(self.centroids)
@@ -154,7 +156,7 @@ class Index:
             for b in batches:
                 for i in range(0, len(b), 2048):
                     part = b.iloc[i : i + 2048]
-                    d = np.sqrt(np.maximum(2 - 2 * _unit(np.array(part["v"].tolist())) @ c.T, 0))
+                    d = np.sqrt(np.maximum(2 - 2 * _unit(matrix(part["v"], width)) @ c.T, 0))
                     near = np.argsort(d, axis=1, kind="stable")[:, : 2 * p.replicas]
                     r, lists = [], []
                     for j, row in enumerate(near):
@@ -167,22 +169,22 @@ class Index:
                     out = part.iloc[r]
                     yield pd.DataFrame({"list": np.array(lists, dtype=np.int32), "id": out["id"].to_numpy(), "v": out["v"].to_numpy()})
 
-        self.lists = Stored(self._distinct(vectors).mapInPandas(place, "list int, id bigint, v array<double>"), "postings")
+        self.lists = Stored(self._distinct(vectors).mapInPandas(place, f"list int, id bigint, v {self.kind}"), "postings")
         self.sizes = {r["list"]: r["count"] for r in self.lists.df.groupBy("list").count().collect()}  # most_lists rows at most
 
     def _distinct(self, vectors: DataFrame) -> DataFrame:
         """Of identical vectors the k + 1 smallest ids: first within salted groups, then over them."""
         keyed = vectors.withColumn("h", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-        keys = keyed.select("id", "h", "salt")
+        keys = keyed.select("id", "h", "salt").distinct()
         for by in ("h, salt", "h"):
             keys = keys.selectExpr("id", "h", "salt", f"row_number() over (partition by {by} order by id) as rn").where(f"rn <= {self.k + 1}").drop("rn")
         # an equal hash of different vectors must not lose one: only vectors equal to a kept one go
-        dropped = keyed.select("id", "h").join(keys.select("id"), "id", "left_anti")
+        dropped = keyed.select("id", "h").join(keys.select("id", "h"), ["id", "h"], "left_anti").distinct()
         if not dropped.limit(1).count():
             return vectors
-        kept = keyed.join(keys.select("id"), "id", "left_semi").select("id", "v")
-        first = keys.groupBy("h").agg(F.min("id").alias("id")).join(vectors, "id").select("h", F.col("v").alias("w"))
-        odd = keyed.join(dropped.select("id"), "id", "left_semi").join(first, "h").where("v <> w").select("id", "v")
+        kept = keyed.join(keys.select("id", "h"), ["id", "h"], "left_semi").select("id", "v")
+        first = keyed.join(keys.groupBy("h").agg(F.min("id").alias("id")), ["id", "h"], "left_semi").select("h", F.col("v").alias("w")).dropDuplicates(["h"])
+        odd = keyed.join(dropped, ["id", "h"], "left_semi").join(first, "h").where("v <> w").select("id", "v")
         return kept.unionByName(odd)
 
     def lists_needed(self, queries: DataFrame) -> int:
@@ -191,7 +193,8 @@ class Index:
         picked = queries.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(p.calibrated).collect()
         if n == 1 or not picked:
             return 0
-        q_ids, q = np.array([r["id"] for r in picked]), _unit(np.array([r["v"] for r in picked]))
+        width = self.width
+        q_ids, q = np.array([r["id"] for r in picked]), _unit(matrix([r["v"] for r in picked], width))
         sent = self.spark.sparkContext.broadcast((q_ids, q))
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +203,7 @@ class Index:
             for b in batches:
                 for i in range(0, len(b), 2048):
                     part = b.iloc[i : i + 2048]
-                    ids, s = part["id"].to_numpy(np.int64), q @ _unit(np.array(part["v"].tolist())).T
+                    ids, s = part["id"].to_numpy(np.int64), q @ _unit(matrix(part["v"], width)).T
                     s[q_ids[:, None] == ids[None, :]] = -9
                     best, score = np.concatenate([best, np.broadcast_to(ids, s.shape)], 1), np.concatenate([score, s], 1)
                     o = np.argpartition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else np.arange(score.shape[1])[None, :]
@@ -232,7 +235,7 @@ class Index:
         out = "query_id bigint, rank int, vec_id bigint, score double"
         if not self.rows:
             return self.spark.createDataFrame([], out)
-        p, k = self.p, self.k
+        p, k, width, kind = self.p, self.k, self.width, self.kind
         least = self.lists_needed(queries)
         step = max(8, min(256, 20_000 // max(1, least)))
         sent = self.spark.sparkContext.broadcast((self.centroids, self.sizes))
@@ -244,24 +247,24 @@ class Index:
             for b in batches:
                 for i in range(0, len(b), step):
                     part = b.iloc[i : i + step]
-                    ids, dist = graph.search(_unit(np.array(part["v"].tolist())), least)
+                    ids, dist = graph.search(_unit(matrix(part["v"], width)), least)
                     r, c = np.nonzero(_takes(p, ids, dist, size, least))
                     out = part.iloc[r]
                     yield pd.DataFrame({"list": ids[r, c].astype(np.int32), "id": out["id"].to_numpy(), "v": out["v"].to_numpy()})
 
-        probes = Stored(queries.mapInPandas(probe, "list int, id bigint, v array<double>"), "probes")
+        probes = Stored(queries.mapInPandas(probe, f"list int, id bigint, v {kind}"), "probes")
         asked = {r["list"]: r["count"] for r in probes.df.groupBy("list").count().collect()}
         cut = [(i, max(1, -(-n // p.list_rows)), max(1, -(-asked.get(i, 0) // p.list_rows))) for i, n in self.sizes.items() if asked.get(i)]
         blocks = F.broadcast(self.spark.createDataFrame(cut or [(-1, 1, 1)], "list int, nb int, nq int"))  # most_lists rows at most
         some = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        left = self.lists.df.join(blocks, "list").withColumn("b", part("nb")).withColumn("q", F.explode(some("nq"))).select("list", "b", "q", "id", "v")
+        left = self.lists.df.join(blocks, "list").withColumn("b", part("nb")).withColumn("q", F.explode(some("nq"))).select("list", "b", "q", "id", "v", F.xxhash64("v").alias("h"))
         right = probes.df.join(blocks, "list").withColumn("q", part("nq")).withColumn("b", F.explode(some("nb"))).select("list", "b", "q", "id", "v")
 
         def near(lists: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
             if not len(lists) or not len(qs):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-            v, q = np.array(lists["v"].tolist()), np.array(qs["v"].tolist())
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "h": []}).astype({"query_id": "int64", "vec_id": "int64", "h": "int64"})
+            v, q = matrix(lists["v"], width), matrix(qs["v"], width)
             ids, q_ids = lists["id"].to_numpy(np.int64), qs["id"].to_numpy(np.int64)
             s = _unit(q) @ _unit(v).T
             s[q_ids[:, None] == ids[None, :]] = -9
@@ -270,11 +273,11 @@ class Index:
                 r, c = np.nonzero((s >= least[:, None] - 1e-12) & (s > -9))
             else:
                 r, c = np.nonzero(s > -9)
-            found = pd.DataFrame({"query_id": q_ids[r], "vec_id": ids[c], "score": cosine(q[r], v[c])})
+            found = pd.DataFrame({"query_id": q_ids[r], "vec_id": ids[c], "score": cosine(q[r], v[c]), "h": lists["h"].to_numpy(np.int64)[c]})
             return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
-        hits = left.groupBy("list", "b", "q").cogroup(right.groupBy("list", "b", "q")).applyInPandas(near, "query_id bigint, vec_id bigint, score double")
-        once = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        hits = left.groupBy("list", "b", "q").cogroup(right.groupBy("list", "b", "q")).applyInPandas(near, "query_id bigint, vec_id bigint, score double, h bigint")
+        once = hits.groupBy("query_id", "vec_id", "h").agg(F.max("score").alias("score"))
         return once.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score").where(F.col("rank") <= k)
 
 

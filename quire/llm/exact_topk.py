@@ -8,14 +8,16 @@ smallest ids of each task, and ties go to the smaller ids overall.
 Queries come in blocks (``block`` at most, about ``block`` * length * 8 bytes sent to each task), each scored against all
 vectors; vectors are never shuffled. A task sends at most k bins a query and round, and at most 2k rows a query at last.
 Scores are exact integers: float64 products where every sum stays under 2 to the 53rd, Python integers elsewhere; a score
-beyond a long counts as the nearest long.
+beyond a long counts as the nearest long. Vectors of unequal length are multiplied as far as the shorter one goes. The rows
+of a block of queries are appended to one folder in shared storage.
 
-Defined results: see ``vectors.usable`` for what takes part; a query's own id is no candidate; fewer than k candidates
-are all returned; an empty table or no query gives an empty result; other columns are not read.
+Defined results: see ``vectors.usable`` for what takes part; a query's own id is no candidate; rows that repeat an id are
+candidates each, and as queries share one list; fewer than k candidates are all returned; an empty table or no query gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Stored, table
-from quire.llm.vectors import query_blocks, usable
+from quire.llm.common import shared_dir, table
+from quire.llm.vectors import matrix, query_blocks, usable
 
 BINS = 1024
 LONG = 2**63 - 1
@@ -42,12 +44,12 @@ def _scores(ids: np.ndarray, v: np.ndarray, q_ids: np.ndarray, q: np.ndarray) ->
     return s, ids[:, None] != q_ids[None, :]
 
 
-def _chunks(batches: Iterator[pd.DataFrame], scale: float, n_queries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    step = max(1, CELLS // max(1, n_queries))
+def _chunks(batches: Iterator[pd.DataFrame], scale: float, n_queries: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    step = max(1, CELLS // max(1, n_queries, width))
     for b in batches:
         for i in range(0, len(b), step):
             part = b.iloc[i : i + step]
-            yield part["id"].to_numpy(np.int64), np.floor(scale * np.array(part["v"].tolist(), dtype=np.float64))
+            yield part["id"].to_numpy(np.int64), np.floor(scale * matrix(part["v"], width))
 
 
 def _narrow(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -61,8 +63,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 1.0, b
     ``vectors`` and ``queries`` are (id, v) as from ``usable``.
     """
     spark = vectors.sparkSession
-    largest = vectors.select(F.max(F.aggregate(F.transform("v", lambda x: F.pow(F.abs(x * scale) + 1, F.lit(2.0))), F.lit(0.0), lambda a, x: a + x))).first()[0] or 0.0
-    found = None
+    largest = vectors.select(F.max(F.aggregate(F.transform("v", lambda x: F.pow(F.abs(x.cast("double") * scale) + 1, F.lit(2.0))), F.lit(0.0), lambda a, x: a + x))).first()[0] or 0.0
+    path, blocks = f"{shared_dir(spark)}/quire-topk-{uuid.uuid4().hex}", 0
     for q_ids, raw in query_blocks(queries, block):
         q = np.floor(scale * raw)
         with np.errstate(over="ignore"):
@@ -85,7 +87,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 1.0, b
                 lo64, wide64 = lo.astype(np.int64), np.array([min(int(w), LONG) for w in wide], dtype=np.int64)
                 hist = np.zeros((len(ids_q), BINS), dtype=np.int64)
                 floor = np.zeros(len(ids_q), dtype=np.int64)  # bins under it can't hold the kth value
-                for ids, v in _chunks(batches, scale, len(ids_q)):
+                for ids, v in _chunks(batches, scale, len(ids_q), mat.shape[1]):
                     s, ok = _scores(ids, v, ids_q, mat)
                     least = np.array([min(LONG, int(a) + int(b) * int(w)) for a, b, w in zip(lo, floor, wide, strict=True)], dtype=np.int64)
                     r, c = np.nonzero((s >= least[None, :]) & ok)
@@ -120,7 +122,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 1.0, b
         def keep(batches: Iterator[pd.DataFrame], last=last) -> Iterator[pd.DataFrame]:
             ids_q, mat, kth = last.value
             ties: list[tuple[np.ndarray, np.ndarray]] = []
-            for ids, v in _chunks(batches, scale, len(ids_q)):
+            for ids, v in _chunks(batches, scale, len(ids_q), mat.shape[1]):
                 s, ok = _scores(ids, v, ids_q, mat)
                 r, c = np.nonzero((s > kth[None, :]) & ok)
                 yield pd.DataFrame({"query_id": ids_q[c], "vec_id": ids[r], "score": s[r, c]})
@@ -133,8 +135,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 1.0, b
 
         kept = vectors.mapInPandas(keep, "query_id bigint, vec_id bigint, score bigint")
         ranked = kept.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score").where(F.col("rank") <= k)
-        found = ranked if found is None else Stored(found.unionByName(ranked), "topk").df
-    return found if found is not None else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        ranked.write.mode("append").parquet(path)  # a block's queries are in no other
+        blocks += 1
+    out = "query_id bigint, rank int, vec_id bigint, score bigint"
+    return spark.read.schema(out).parquet(path) if blocks else spark.createDataFrame([], out)
 
 
 def _smallest(ties: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +159,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings where embedding is not null),
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
   q as (select * from v where vec_id % 50 = 0),
-  s as (select q.vec_id query_id, v.vec_id vec_id, list_sum(list_transform(range(1, len(v.e) + 1), lambda i: v.e[i] * q.e[i]))::bigint score
+  s as (select q.vec_id query_id, v.vec_id vec_id, coalesce(list_sum(list_transform(range(1, least(len(v.e), len(q.e)) + 1), lambda i: v.e[i] * q.e[i])), 0)::bigint score
     from q join v on q.vec_id <> v.vec_id),
   r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int rank, vec_id, score from s)
 select * from r where rank <= 5

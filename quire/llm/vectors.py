@@ -8,21 +8,30 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
-    """(id bigint, v array<double>), one row an id.
+    """(id bigint, v array<float> or array<double>, as the table has it), one row a row.
 
-    Left out: null ids, null or empty vectors, vectors with null or non-finite components, if ``nonzero`` zero vectors,
-    and vectors of another length than the most common one (of equally common lengths the greater). Rows that repeat an
-    id count once, as the least of their vectors; ids are shuffled to find out if there are any, vectors only if so.
+    Left out: null ids, null vectors, vectors with null or non-finite components, if ``nonzero`` zero vectors (an empty
+    one is zero). Rows that repeat an id all take part. Vectors of unequal length are compared as if zeros followed the
+    shorter one.
     """
-    df = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    df = df.where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
-    if nonzero:
-        df = df.where("exists(v, x -> x <> 0)")
-    sizes = df.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    df = df.where(F.size("v") == (sizes["n"] if sizes else 0))
-    if df.groupBy("id").count().where("count > 1").limit(1).count():
-        df = df.groupBy("id").agg(F.min("v").alias("v"))
-    return df
+    kind = "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"
+    df = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vec_col}`").cast(kind).alias("v"))
+    df = df.where("id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
+    return df.where("exists(v, x -> x <> 0)") if nonzero else df
+
+
+def matrix(vectors, width: int | None = None) -> np.ndarray:
+    """Rows of doubles; what is missing of ``width`` (the longest, if not given) counts 0, what is over it is left out."""
+    rows = vectors.tolist() if hasattr(vectors, "tolist") else list(vectors)
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    width = int(size.max(initial=0)) if width is None else width
+    if len(rows) and (size == width).all():
+        return np.array(rows, dtype=np.float64).reshape(len(rows), width)
+    out = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        n = min(len(r), width)
+        out[i, :n] = r[:n]
+    return out
 
 
 def query_blocks(queries: DataFrame, most: int):
@@ -32,5 +41,5 @@ def query_blocks(queries: DataFrame, most: int):
     for b in range(parts if n else 0):
         rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b).collect() if parts > 1 else queries.collect()
         if rows:
-            rows.sort(key=lambda r: r["id"])
-            yield np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.float64)
+            rows.sort(key=lambda r: (r["id"], r["v"]))
+            yield np.array([r["id"] for r in rows], dtype=np.int64), matrix([r["v"] for r in rows])

@@ -74,9 +74,19 @@ SCHEMA = "vec_id bigint, embedding array<double>, id int"
 
 
 def test_usable(spark):
-    got = {r["id"]: r["v"] for r in vectors.usable(spark.createDataFrame(vector_rows(), SCHEMA), "vec_id", "embedding", True).collect()}
-    assert set(got) == set(range(1500)) and got[7] == min([r[1] for r in vector_rows() if r[0] == 7])
+    got = vectors.usable(spark.createDataFrame(vector_rows(), SCHEMA), "vec_id", "embedding", True).collect()
+    assert sorted(r["id"] for r in got) == sorted([*range(1500), 7, 2006])
+    assert {r["id"] for r in vectors.usable(spark.createDataFrame(vector_rows(), SCHEMA), "vec_id", "embedding", False).collect()} >= {2001, 2005}
     assert vectors.usable(spark.createDataFrame([], SCHEMA), "vec_id", "embedding", True).count() == 0
+    floats = spark.createDataFrame([(1, [0.5])], "vec_id int, embedding array<float>")
+    assert dict(vectors.usable(floats, "vec_id", "embedding", True).dtypes) == {"id": "bigint", "v": "array<float>"}
+    assert vectors.matrix([[1.0], [1.0, 2.0, 3.0], []], 2).tolist() == [[1, 0], [1, 2], [0, 0]]
+
+
+def padded(rows, nonzero):
+    """(id, vector of 8) of the rows that take part."""
+    out = [(i, np.array((list(v) + [0.0] * 8)[:8])) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    return [(i, v) for i, v in out if not nonzero or v.any()]
 
 
 def brute(vecs, score, k):
@@ -86,6 +96,7 @@ def brute(vecs, score, k):
 
 def test_ann_recall_and_order(spark):
     v = vectors.usable(spark.createDataFrame(vector_rows(), SCHEMA), "vec_id", "embedding", True)
+    v = v.where("id <> 7 and id < 2000")
     vecs = {r["id"]: np.array(r["v"]) for r in v.collect()}
     p = ann.Params(list_target=40, list_rows=50, probes=20)
     got = collections.defaultdict(list)
@@ -123,13 +134,25 @@ def test_ann_small_tables(spark):
 
 @pytest.mark.parametrize("block", [4096, 7])
 def test_topk_equals_brute_force(spark, block):
-    v = vectors.usable(spark.createDataFrame(vector_rows(), SCHEMA), "vec_id", "embedding", False)
-    vecs = {r["id"]: np.floor(256 * np.array(r["v"])).astype(int) for r in v.collect()}
-    want = [(q, n + 1, i, -s) for q, x in brute(vecs, lambda a, b: int(a @ b), 5).items() for n, (s, i) in enumerate(x)]
+    rows = [*vector_rows(), (50, [2.0] * 8, 0), (100, [1.0] * 3, 0)]  # two rows of one query
+    v = vectors.usable(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", False)
+    took = [(i, np.floor(256 * x).astype(int)) for i, x in padded(rows, False)]
+    found = collections.defaultdict(list)
+    for q, x in took:
+        if q % 50 == 0:
+            found[q] += [(-int(x @ y), i) for i, y in took if i != q]
+    want = [(q, n + 1, i, -s) for q, x in found.items() for n, (s, i) in enumerate(sorted(x)[:5])]
     got = [tuple(r) for r in exact_topk.search(v, v.where("id % 50 = 0"), 5, 256.0, block).select("query_id", "rank", "vec_id", "score").collect()]
     assert sorted(got) == sorted(want)
 
 
+def test_ann_searches_rows_that_repeat_an_id_or_are_short(spark):
+    rows = [*vector_rows(), (3000, [0.0, 0.0, 5.0], 0), (3050, [0.0, 0.0, 7.0, 0.0], 0), (8, [0.0, 0.0, 1.0] + [0.0] * 5, 0)]
+    v = vectors.usable(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", True)
+    got = [r["vec_id"] for r in ann.Index(v, 5, ann.Params(list_target=40)).search(v.where("id % 50 = 0")).where("query_id = 3000").orderBy("rank").collect()]
+    assert got[:2] == [8, 3050] and len(got) == 5
+
+
 def test_topk_small_and_huge(spark):
     rows = [(0, [1e15, -1e15], 0), (1, [1e15, 3.0], 0), (2, [-1e15, 5.0], 0), (50, [1e300, 1.0], 0), (51, [0.0, 0.0], 0)]
     v = vectors.usable(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", False)
@@ -322,7 +345,7 @@ def test_articles(spark):
 def brute_template(pages, p):
     """Equal vectors, one order, nesting: the definitions, over pairs and by exhaustive search."""
     words = html_extract.Words()
-    toks = [html_extract.tokens(html_extract.read(x), words) for x in pages]
+    toks = [html_extract.tokens(html_extract.read(x), words)[0].tolist() for x in pages]
     vector = collections.defaultdict(lambda: [0] * len(toks))
     for n, ts in enumerate(toks):
         for t in ts:
