@@ -2,8 +2,9 @@
 
 1. A classifier learned from a labelled table gives every document a posterior over domains: Gaussian naive Bayes on a
    few text features, whose per-domain counts, means and variances are one aggregate over all labelled documents.
-2. Posteriors are held to ``grid`` parts (they still sum to 1), so documents fall into at most (grid + K - 1 over K - 1)
-   cells for K domains; tokens are summed by cell before anything is shuffled.
+2. Documents of near equal posteriors share a cell: posteriors in ``grid`` parts tell which, fewer parts for many domains, so
+   that there are at most ``cells`` cells (or as many as domains). Tokens, and tokens times exact posteriors, are summed by
+   cell before anything is shuffled, so expected totals are exact; only the rate is the cell's.
 3. Projected gradient descent on least squares fits a nonnegative rate for each cell, starting from 1, so that for every
    domain the expected token total, sum of rate * posterior * tokens, meets its target. Steps are scaled by tokens and
    accelerated; every step is a distributed aggregate of K totals over the cells.
@@ -16,13 +17,14 @@ scarcest against its weight keep its own total.
 
 Defined results: a null text counts as empty (0 tokens); null ids get rates as any other; ids that repeat among documents
 each get a rate, and as labelled rows each count once a label row; labels that are null or lack a document are not used.
-Without labels of at least one domain, or without tokens, all rates are 1. A domain without labels is unknown. An empty
+Without labels of at least one domain, or without tokens, all rates are 1; documents of cells without tokens have rate 1. A domain without labels is unknown. An empty
 table gives an empty result. Other columns are kept by ``Mix.apply``, also those whose names clash with ours.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +46,8 @@ TOKENS = r"[^\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class Params:
     weights: dict[str, float] = field(default_factory=lambda: {"0": 0.05, "1": 0.95})  #: target share of each domain
-    grid: int = 64
+    grid: int = 256
+    cells: int = 20_000
     steps: int = 60
     close: float = 1e-4  #: greatest miss of a target, as a share of all target tokens, at which steps end
     spread: float = 0.05  #: least variance of a feature
@@ -76,25 +79,38 @@ def classifier(feats: DataFrame, labels: DataFrame, p: Params) -> list[tuple[str
     return [(r["domain"], r["n"] / total, {f: (r[f"m_{f}"], r[f"v_{f}"] + p.spread) for f in FEATURES}) for r in rows]
 
 
+def grid_of(k: int, p: Params) -> int:
+    """Parts of a posterior over k domains, of which there are comb(parts + k - 1, k - 1) cells."""
+    return max([g for g in range(1, p.grid + 1) if comb(g + k - 1, k - 1) <= p.cells], default=1)
+
+
 def posteriors(feats: DataFrame, model: list, p: Params) -> DataFrame:
-    """Adds c, array<int>: each domain's posterior in parts of ``grid``; what rounding leaves goes to the likeliest."""
+    """Adds post, array<double>, each domain's posterior, and c, array<int>, the cell: its parts, the rest at the likeliest."""
     logs = []
     for _, prior, shape in model:
         each = [f"- 0.5D * (ln({v!r}D) + ({f} - {m!r}D) * ({f} - {m!r}D) / {v!r}D)" for f, (m, v) in shape.items()]
         logs.append(f"ln({prior!r}D) {' '.join(each)}".replace("e-", "E-"))
     k = len(model)
+    grid = grid_of(k, p)
     out = feats.withColumn("g", F.expr(f"array({', '.join(logs)})"))
     out = out.withColumn("g", F.expr("transform(g, x -> exp(x - array_max(g)))"))
-    out = out.withColumn("g", F.expr("transform(g, x -> x / aggregate(g, 0D, (a, y) -> a + y))"))
-    out = out.withColumn("c", F.expr(f"transform(g, x -> cast(floor(x * {p.grid}) as int))")).withColumn("top", F.expr("cast(array_position(g, array_max(g)) as int)"))
-    rest = f"{p.grid} - aggregate(c, 0, (a, y) -> a + y)"
-    return out.withColumn("c", F.expr(f"transform(sequence(1, {k}), i -> element_at(c, i) + if(i = top, {rest}, 0))")).drop("g", "top")
+    out = out.withColumn("post", F.expr("transform(g, x -> x / aggregate(g, 0D, (a, y) -> a + y))")).drop("g")
+    out = out.withColumn("c", F.expr(f"transform(post, x -> cast(floor(x * {grid}) as int))")).withColumn("top", F.expr("cast(array_position(post, array_max(post)) as int)"))
+    rest = f"{grid} - aggregate(c, 0, (a, y) -> a + y)"
+    return out.withColumn("c", F.expr(f"transform(sequence(1, {k}), i -> element_at(c, i) + if(i = top, {rest}, 0))")).drop("top")
+
+
+def cells_of(placed: DataFrame, k: int) -> DataFrame:
+    """(c, tokens, t0, t1, ...): each cell's tokens and its expected tokens of each domain."""
+    each = [F.sum(F.col("tokens") * F.element_at("post", i + 1)).alias(f"t{i}") for i in range(k)]
+    return placed.groupBy("c").agg(F.sum("tokens").cast("double").alias("tokens"), *each)
 
 
 def fit(cells: DataFrame, names: list[str], p: Params, total: float | None = None) -> DataFrame:
-    """(c, rate) from cells (c, tokens)."""
+    """(c, rate) from cells as of ``cells_of``."""
     k = len(names)
-    post = [F.element_at("c", i + 1) / float(p.grid) for i in range(k)]
+    cells = cells.where("tokens > 0")
+    post = [F.col(f"t{i}") / F.col("tokens") for i in range(k)]
     first = cells.agg(*[F.sum(F.col("tokens") * post[i]).alias(f"e{i}") for i in range(k)], *[F.sum(F.col("tokens") * post[i] * post[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     have = [first[f"e{i}"] or 0.0 for i in range(k)]
     weight = [p.weights[n] for n in names]
@@ -113,6 +129,7 @@ def fit(cells: DataFrame, names: list[str], p: Params, total: float | None = Non
     step = 1.0 / size
 
     rate, last = F.lit(1.0), F.lit(1.0)
+    kept = [f"t{i}" for i in range(k)]
     state, held, t = cells.withColumn("rate", rate).withColumn("last", last), None, 1.0
     for i in range(p.steps):
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -122,7 +139,7 @@ def fit(cells: DataFrame, names: list[str], p: Params, total: float | None = Non
         if max(abs(got[f"r{j}"] - want[j]) for j in range(k)) <= p.close * sum(want):
             break
         slope = sum((post[j] * (scale[j] * step * (got[f"e{j}"] - want[j])) for j in range(k)), F.lit(0.0))
-        state = state.select("c", "tokens", F.greatest(F.lit(0.0), F.col("look") - slope).alias("new"), F.col("rate").alias("last")).withColumnRenamed("new", "rate")
+        state = state.select("c", "tokens", *kept, F.greatest(F.lit(0.0), F.col("look") - slope).alias("new"), F.col("rate").alias("last")).withColumnRenamed("new", "rate")
         t = s
         if i % 6 == 5:  # cuts the chain of steps; cells are few
             before, held = held, Stored(state, "rates")
@@ -142,19 +159,19 @@ class Mix:
         self.names = [m[0] for m in self.model]
         if self.model:
             placed = posteriors(self.feats, self.model, self.p)
-            cells = Stored(placed.groupBy("c").agg(F.sum("tokens").cast("double").alias("tokens")), "cells").df
-            self.fitted = Stored(fit(cells, self.names, self.p, total), "fitted").df  # at most the grid's cells: for 2 domains grid + 1 rows
+            cells = Stored(cells_of(placed, len(self.names)), "cells")
+            self.fitted = Stored(fit(cells.df, self.names, self.p, total), "fitted").df  # at most Params.cells rows
+            cells.drop()
 
     def _rated(self, feats: DataFrame) -> DataFrame:
         if not self.model:
-            return feats.withColumn("c", F.lit(None).cast("array<int>")).withColumn("rate", F.lit(1.0))
-        return posteriors(feats, self.model, self.p).join(F.broadcast(self.fitted), "c")
+            return feats.withColumn("post", F.lit(None).cast("array<double>")).withColumn("rate", F.lit(1.0))
+        return posteriors(feats, self.model, self.p).join(F.broadcast(self.fitted), "c", "left").withColumn("rate", F.coalesce("rate", F.lit(1.0)))
 
     def rates(self) -> DataFrame:
         """(id, u, tokens, posterior map<domain, share>, rate), one row a document."""
         keys = F.array(*map(F.lit, self.names)) if self.names else F.lit(None).cast("array<string>")
-        shares = F.transform("c", lambda x: x / float(self.p.grid))
-        return self._rated(self.feats).select("id", "u", "tokens", F.map_from_arrays(keys, shares).alias("posterior"), "rate")
+        return self._rated(self.feats).select("id", "u", "tokens", F.map_from_arrays(keys, "post").alias("posterior"), "rate")
 
     def apply(self) -> DataFrame:
         """The documents at their rates: each row's columns floor(rate + u) times. Texts are read again, not shuffled."""
