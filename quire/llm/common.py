@@ -29,21 +29,32 @@ BLOCK = 128
 
 
 def running_sum(arr: str) -> str:
-    """SQL: the inclusive running sums of an array of ints.
+    """SQL: the inclusive running sums of an array of ints."""
+    return _running(arr, "0L", "rs_s + rs_v")
+
+
+def running_max(arr: str) -> str:
+    """SQL: the inclusive running maxima of an array of bigints that are not below 0."""
+    return _running(arr, "0L", "greatest(rs_s, rs_v)")
+
+
+def _running(arr: str, zero: str, add: str) -> str:
+    """SQL: running folds of an array.
 
     Two levels (within blocks, then over blocks), so a text with 100,000 matches costs 100,000 * BLOCK additions
     and not their square, and no array is copied per element.
     """
-    short = "transform(rs_a, (rs_x, rs_i) -> aggregate(slice(rs_a, 1, rs_i + 1), 0L, (rs_s, rs_v) -> rs_s + rs_v))"
+    fold = lambda of, start=zero: f"aggregate({of}, {start}, (rs_s, rs_v) -> {add})"
+    short = f"transform(rs_a, (rs_x, rs_i) -> {fold('slice(rs_a, 1, rs_i + 1)')})"
     blocks = f"transform(sequence(0, cast((size(rs_a) - 1) div {BLOCK} as int)), rs_b -> slice(rs_a, rs_b * {BLOCK} + 1, {BLOCK}))"
-    sums = "transform(rs_k, rs_w -> aggregate(rs_w, 0L, (rs_s, rs_v) -> rs_s + rs_v))"
-    before = "transform(rs_t, (rs_x, rs_i) -> aggregate(slice(rs_t, 1, rs_i), 0L, (rs_s, rs_v) -> rs_s + rs_v))"
-    inner = "transform(rs_w, (rs_y, rs_j) -> element_at(rs_f, rs_q + 1) + aggregate(slice(rs_w, 1, rs_j + 1), 0L, (rs_s, rs_v) -> rs_s + rs_v))"
-    long = let(blocks, "rs_k", let(sums, "rs_t", let(before, "rs_f", f"flatten(transform(rs_k, (rs_w, rs_q) -> {inner}))")))
+    whole = f"transform(rs_k, rs_w -> {fold('rs_w')})"
+    before = f"transform(rs_t, (rs_x, rs_i) -> {fold('slice(rs_t, 1, rs_i)')})"
+    inner = f"transform(rs_w, (rs_y, rs_j) -> {fold('slice(rs_w, 1, rs_j + 1)', 'element_at(rs_f, rs_q + 1)')})"
+    long = let(blocks, "rs_k", let(whole, "rs_t", let(before, "rs_f", f"flatten(transform(rs_k, (rs_w, rs_q) -> {inner}))")))
     return let(arr, "rs_a", f"if(size(rs_a) <= {BLOCK}, {short}, {long})")
 
 
-#: Code points of text before a match that are kept as its context.
+#: Code points of text before and after a match that are kept as its context.
 CONTEXT = 40
 
 
@@ -53,28 +64,49 @@ def _laid(text: str, rx: str) -> str:
 
 
 def matches(text: str, pattern: str) -> str:
-    """SQL: array<struct<start, end, m, pre>> of the leftmost non-overlapping matches of a pattern that matches no empty text.
+    """SQL: array<struct<start, end, m, pre, post>> of the leftmost non-overlapping matches of a pattern that matches no empty text.
 
-    Starts and ends are code points, the end exclusive; ``pre`` is the text just before, back to the match before at
-    most. The pieces between matches and the matches themselves, laid in turn, give every position in linear time.
+    Starts and ends are code points, the end exclusive; ``pre`` and ``post`` are the texts just before and
+    after, up to the next match at most. The pieces between matches and the matches themselves, laid in turn, give every position in linear time.
     """
     rx = sql_text(pattern)
     steps = "transform(mt_s.m, (mt_x, mt_i) -> cast(length(element_at(mt_s.g, mt_i + 1)) + length(mt_x) as bigint))"
-    one = f"named_struct('start', mt_e - length(element_at(mt_s.m, mt_i + 1)), 'end', mt_e, 'm', element_at(mt_s.m, mt_i + 1), 'pre', right(element_at(mt_s.g, mt_i + 1), {CONTEXT}))"
+    one = f"named_struct('start', mt_e - length(element_at(mt_s.m, mt_i + 1)), 'end', mt_e, 'm', element_at(mt_s.m, mt_i + 1), 'pre', right(element_at(mt_s.g, mt_i + 1), {CONTEXT}), 'post', left(element_at(mt_s.g, mt_i + 2), {CONTEXT}))"
     found = let(_laid(text, rx), "mt_s", f"transform({running_sum(steps)}, (mt_e, mt_i) -> {one})")
-    return f"if({text} rlike {rx}, {found}, cast(array() as array<struct<start:bigint,end:bigint,m:string,pre:string>>))"
+    return f"if({text} rlike {rx}, {found}, cast(array() as array<struct<start:bigint,end:bigint,m:string,pre:string,post:string>>))"
 
 
-def replaced(text: str, pattern: str, check: str, by: str) -> str:
-    """SQL: the text with those matches ``x`` of the pattern for which ``check`` holds replaced by a literal.
+def without(text: str, spans: str) -> str:
+    """SQL: the text with spans (array<struct<start, end, by>>) replaced by their ``by``; of spans that overlap, by the first's.
 
-    The text stands in the SQL once, so replacements can be chained.
+    Linear in the text: it is cut into code points once, and the pieces between spans are joined.
     """
-    rx = sql_text(pattern)
-    match = f"named_struct('m', mt_x, 'pre', right(element_at(mt_s.g, mt_i + 1), {CONTEXT}))"
-    one = f"concat(element_at(mt_s.g, mt_i + 1), {let(match, 'x', f'if({check}, {sql_text(by)}, x.m)')})"
-    out = let(_laid("rd_t", rx), "mt_s", f"concat(array_join(transform(mt_s.m, (mt_x, mt_i) -> {one}), ''), element_at(mt_s.g, -1))")
-    return let(text, "rd_t", f"if(rd_t rlike {rx}, {out}, rd_t)")
+    new = "(rd_i = 0 or rd_x.start >= element_at(rd_m, greatest(rd_i, 1)))"
+    first = f"filter(rd_s, (rd_x, rd_i) -> {new})"
+    ends = "filter(rd_m, (rd_e, rd_i) -> rd_i = size(rd_s) - 1 or element_at(rd_s, least(rd_i + 2, size(rd_s))).start >= rd_e)"
+    since = "if(rd_j = 0, 0L, element_at(rd_l, greatest(rd_j, 1)))"
+    piece = let(since, "rd_p", "concat(array_join(slice(rd_c, cast(rd_p + 1 as int), cast(rd_x.start - rd_p as int)), ''), rd_x.by)")
+    tail = "array_join(slice(rd_c, cast(element_at(rd_l, -1) + 1 as int), greatest(0, cast(size(rd_c) - element_at(rd_l, -1) as int))), '')"
+    body = f"concat(array_join(transform(rd_f, (rd_x, rd_j) -> {piece}), ''), {tail})"
+    laid = let("split(rd_t, '')", "rd_c", let(running_max("transform(rd_s, rd_x -> rd_x.end)"), "rd_m", let(first, "rd_f", let(ends, "rd_l", body))))
+    return let(text, "rd_t", let(f"array_sort({spans})", "rd_s", f"if(size(rd_s) = 0, rd_t, {laid})"))
+
+
+#: Bits of a membership bitmap: 2,048 rows of 4 KB, 8 MB in all however many keys there are.
+BITS = 1 << 26
+
+
+def likely(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """Adds _likely: false only where no row of ``wanted`` has the key. Nothing of ``df`` is shuffled.
+
+    A bitmap of key hashes is sent to all tasks; with very many keys more rows are likely than are wanted, so a join
+    has to follow.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bits = wanted.select(at(wanted_key).alias("h")).selectExpr("h div 32768 as _word", "h % 32768 as b").groupBy("_word").agg(F.expr("bitmap_construct_agg(b)").alias("_bits"))
+    out = df.withColumn("_h", at(key)).withColumn("_word", F.expr("_h div 32768")).join(F.broadcast(bits), "_word", "left")
+    byte = "cast(conv(hex(substring(_bits, cast(_h % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    return out.withColumn("_likely", F.expr(f"coalesce((shiftright({byte}, cast(_h % 8 as int)) & 1) = 1, false)")).drop("_h", "_word", "_bits")
 
 
 def col_or_null(df: DataFrame, name: str, kind: str) -> Column:

@@ -2,12 +2,13 @@
 
 Everything is a Spark SQL expression over one row: one scan, no shuffle, no Python. Patterns are written so that a long
 run of one character class is read once (possessive, entered only at the start of a run), and positions are summed in
-blocks, so very long texts stay linear.
+blocks, so very long texts stay linear. Context words are whole words within 40 code points before or after a span.
 
 Kinds: email, ip (parts at most 255), card (Luhn), phone (9 to 15 digits) are the base kinds and always stay; iban
 (mod-97) and ssn (needs a context word) are added by score.
 Defined results: a null text counts as empty and has no spans; null ids stay null; repeated rows give repeated rows; an
-empty table gives an empty result. Other columns are kept by ``redact`` and ignored by ``find``.
+empty table gives an empty result. ``redact`` replaces exactly the spans that ``find`` reports (those that overlap as one);
+other columns are kept by it and ignored by ``find``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import matches, replaced, sql_text, table
+from quire.llm.common import matches, sql_text, table, without
 
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
 #: Luhn over the digits of x.m, from the right; every second digit is doubled.
@@ -41,7 +42,7 @@ class Kind:
     pattern: str  #: proposes spans
     check: str  #: SQL over the match x, that confirms a span
     score: float
-    context: str  #: words before the span that raise the score
+    context: str  #: words near the span that raise the score
     base: bool = True
 
 
@@ -56,27 +57,33 @@ KINDS = (
 RAISE, LEAST = 0.3, 0.5
 
 
+def _near(k: Kind) -> str:
+    return rf"(?:^|[^a-z0-9_])(?:{k.context})(?:[^a-z0-9_]|$)"
+
+
 def _score(k: Kind) -> str:
-    return f"least(1.0D, {k.score}D + if(lower(x.pre) rlike {sql_text(f'(?:{k.context})')}, {RAISE}D, 0D))"
+    return f"least(1.0D, {k.score}D + if(lower(concat(x.pre, ' ', x.post)) rlike {sql_text(_near(k))}, {RAISE}D, 0D))"
 
 
 def _stays(k: Kind) -> str:
     return f"({k.check})" if k.base else f"({k.check}) and {_score(k)} >= {LEAST}D"
 
 
+def _found(k: Kind, text: str, fields: str) -> str:
+    return f"transform(filter({matches(text, k.pattern)}, x -> {_stays(k)}), x -> named_struct({fields}))"
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, spans array<struct<kind, start, end, score>> by kind as listed, then start."""
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    each = [f"transform(filter({matches('t', k.pattern)}, x -> {_stays(k)}), x -> named_struct('kind', '{k.name}', 'start', x.start, 'end', x.end, 'score', {_score(k)}))" for k in KINDS]
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    each = [_found(k, "t", f"'kind', '{k.name}', 'start', x.start, 'end', x.end, 'score', {_score(k)}") for k in KINDS]
     return docs.select(F.col("id").alias(id_col), F.expr(f"concat({', '.join(each)})").alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, each kept span replaced by its kind, as in ``[EMAIL]``; a null text stays null."""
-    out = docs
-    for k in KINDS:
-        out = out.withColumn(text_col, F.expr(replaced(f"`{text_col}`", k.pattern, _stays(k), f"[{k.name.upper()}]")))
-    return out
+    """The same rows and columns, each span found replaced by its kind, as in ``[EMAIL]``; a null text stays null."""
+    spans = [_found(k, f"`{text_col}`", f"'start', x.start, 'end', x.end, 'by', '[{k.name.upper()}]'") for k in KINDS]
+    return docs.withColumn(text_col, F.expr(without(f"`{text_col}`", f"concat({', '.join(spans)})")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,15 +95,20 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.expr(f"cast(size(filter(spans, x -> x.kind = '{k.name}')) as bigint)").alias(f"n_{k.name}") for k in KINDS if k.base],
         F.expr(f"sha2(array_join(transform(filter(spans, x -> x.kind in ({base})), x -> {said}), ','), 256)").alias("base_sha256"),
         F.expr(f"array_join(transform(spans, x -> {said}), ',')").alias("spans"),
+        F.expr("array_join(transform(spans, x -> concat(x.kind, ':', x.start, ':', cast(round(100 * x.score) as int))), ',')").alias("scores"),
     )
 
 
 def _duck_spans(kind: str, rx: str, check: str) -> str:
+    k = next(k for k in KINDS if k.name == kind)
+    near = f"regexp_matches(lower(pre || ' ' || post), '{_near(k)}')"
+    score = f"least(100, {round(100 * k.score)} + case when {near} then {round(100 * RAISE)} else 0 end)"
     return f"""
   {kind}_l as (select rid, regexp_split_to_array(t, '{rx}') g, regexp_extract_all(t, '{rx}') ms from d where regexp_matches(t, '{rx}')),
   {kind}_p as (select rid, g, ms, unnest(range(1, len(ms) + 1)) i from {kind}_l),
-  {kind}_s as (select rid, '{kind}' kind, e - length(m) s, e from (
-    select rid, i, ms[i] m, right(g[i], {CONTEXT_N}) pre, list_sum(list_transform(g[1:i], lambda x: length(x)))::bigint + list_sum(list_transform(ms[1:i], lambda x: length(x)))::bigint e from {kind}_p) where {check})"""
+  {kind}_s as (select rid, '{kind}' kind, e - length(m) s, e, {score} score from (
+    select rid, i, ms[i] m, right(g[i], {CONTEXT_N}) pre, left(g[i + 1], {CONTEXT_N}) post, list_sum(list_transform(g[1:i], lambda x: length(x)))::bigint + list_sum(list_transform(ms[1:i], lambda x: length(x)))::bigint e from {kind}_p)
+    where {check}{'' if k.base else f' and {score} >= {round(100 * LEAST)}'})"""
 
 
 CONTEXT_N = 40
@@ -111,12 +123,13 @@ with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from do
 {_duck_spans("card", "[0-9](?:[ -]?[0-9])+", _D_LUHN)},
 {_duck_spans("phone", "[+][0-9][ ().0-9-]+[0-9]", f"length({_D_DIGITS}) between 9 and 15")},
 {_duck_spans("iban", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+", _D_MOD97)},
-{_duck_spans("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "regexp_matches(lower(pre), 'ssn|social security') and not regexp_matches(pre, '[0-9]$')")},
+{_duck_spans("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "not regexp_matches(pre, '[0-9]$')")},
   a as (select * from email_s union all select * from ip_s union all select * from card_s union all select * from phone_s union all select * from iban_s union all select * from ssn_s),
   o as (select *, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn'], kind) k, kind || ':' || s || ':' || e said from a),
   g as (select rid, count(*) filter (k = 1) n_email, count(*) filter (k = 2) n_ip, count(*) filter (k = 3) n_card, count(*) filter (k = 4) n_phone,
-    string_agg(said, ',' order by k, s) filter (k <= 4) base, string_agg(said, ',' order by k, s) spans from o group by rid)
+    string_agg(said, ',' order by k, s) filter (k <= 4) base, string_agg(said, ',' order by k, s) spans,
+    string_agg(kind || ':' || s || ':' || score, ',' order by k, s) scores from o group by rid)
 select doc_id, coalesce(n_email, 0) n_email, coalesce(n_ip, 0) n_ip, coalesce(n_card, 0) n_card, coalesce(n_phone, 0) n_phone,
-  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(scores, '') scores
 from d left join g using (rid)
 """

@@ -5,9 +5,11 @@ it. The index holds, for each trigram that some query names, the ids of the docu
 intersecting postings by the queries leaves candidates, and only these are searched with the rule itself. A rule without
 a mandatory trigram is searched in every text.
 
-Postings are rows of (trigram, id), never lists of ids. Candidates are joined back by id: sent to all tasks while their
-count is at most ``broadcast_rows`` (so at most that many ids and rule bits), else joined by a shuffle. As the search
-itself decides, an id that several rows share only makes all of them candidates.
+The index is stored: posting lists, sorted, one for each trigram and bucket of about ``bucket_rows`` documents (by a hash of
+the id), so a list is bounded however many documents hold a trigram. Queries are evaluated bucket by bucket, an "and" as the
+intersection of lists, an "or" as their union. Candidates meet their texts by id: a bitmap of fixed size tells texts that
+can't be candidates, which are not shuffled; of the others Spark joins. As the search itself decides, an id that several
+rows share only makes all of them candidates.
 Defined results: a null text counts as empty and has no spans; rows with a null id can't be looked up, so every rule
 searches them; repeated rows give repeated rows; an empty table gives an empty result; other columns are not read.
 """
@@ -22,7 +24,7 @@ from re import _parser as rp
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Stored, matches, sql_text, table
+from quire.llm.common import Stored, likely, matches, sql_text, table
 
 
 @dataclass(frozen=True)
@@ -121,41 +123,48 @@ def trigrams(q: Query) -> set[str]:
     return {q[1]} if q[0] == "tri" else set().union(*(trigrams(x) for x in q[1:]), set())
 
 
-def _holds(q: Query, having: str) -> str:
-    """SQL: whether the array ``having`` of trigrams satisfies the query."""
-    if q == ALL:
-        return "true"
+def _lists(q: Query, column: dict[str, str], none: str) -> str:
+    """SQL: the ids that satisfy the query, from a column of ids for each trigram."""
     if q[0] == "tri":
-        return f"array_contains({having}, {sql_text(q[1])})"
-    return "(" + f" {q[0]} ".join(_holds(x, having) for x in q[1:]) + ")"
+        return f"coalesce({column[q[1]]}, {none})"
+    fold = "array_intersect" if q[0] == "and" else "array_union"
+    out = _lists(q[1], column, none)
+    for x in q[2:]:
+        out = f"{fold}({out}, {_lists(x, column, none)})"
+    return out
 
 
-def index(docs: DataFrame, wanted: set[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings: a row (trigram, id_col) for each document and each wanted trigram in its lower-cased text."""
+def index(docs: DataFrame, wanted: set[str], id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 16_384) -> DataFrame:
+    """Postings (bucket, trigram, ids): sorted ids of the documents of a bucket whose lower-cased text holds a wanted trigram."""
+    buckets = max(1, -(-docs.count() // bucket_rows))
     all_of = f"array({', '.join(sql_text(t) for t in sorted(wanted))})"
-    low = docs.where(F.col(id_col).isNotNull()).select(id_col, F.lower(text_col).alias("low"))
-    return low.select(id_col, F.explode(F.expr(f"filter({all_of}, t -> contains(low, t))")).alias("trigram"))
+    low = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`")).alias("low"))
+    rows = low.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), "id", F.explode(F.expr(f"filter({all_of}, t -> contains(low, t))")).alias("trigram"))
+    return rows.groupBy("bucket", "trigram").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def candidates(postings: DataFrame, queries: dict[str, Query], id_col: str = "doc_id") -> DataFrame:
-    """(id_col, rules array<string>): the rules whose query the document's postings satisfy, where there are any.
+    """(id_col, rules array<string>): the rules whose query the document's postings satisfy, where there are any."""
+    names = {t: f"t{i}" for i, t in enumerate(sorted(set().union(*map(trigrams, queries.values()))))}
+    none = f"cast(array() as {dict(postings.dtypes)['ids']})"
+    laid = postings.groupBy("bucket").agg(*[F.first(F.when(F.col("trigram") == t, F.col("ids")), ignorenulls=True).alias(c) for t, c in names.items()])
+    each = ", ".join(f"transform({_lists(q, names, none)}, x -> named_struct('id', x, 'rule', {sql_text(n)}))" for n, q in queries.items())
+    found = laid.select(F.inline(F.expr(f"concat({each})")))
+    return found.groupBy("id").agg(F.collect_set("rule").alias("rules")).withColumnRenamed("id", id_col)
 
-    Gathered for each document is at most one of each wanted trigram, partly before the shuffle.
-    """
-    rules = ", ".join(f"if({_holds(q, 'having')}, {sql_text(n)}, null)" for n, q in queries.items())
-    found = postings.groupBy(id_col).agg(F.collect_set("trigram").alias("having"))
-    return found.select(id_col, F.expr(f"array_compact(array({rules}))").alias("rules")).where("size(rules) > 0")
 
-
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 16_384) -> DataFrame:
     """id_col, spans array<struct<start, place, kind, end>> by start, then the rules' order."""
     queries = {r.name: trigram_query(r.pattern) for r in rules}
     indexed = {n: q for n, q in queries.items() if q != ALL}
-    docs = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    docs = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     if indexed:
-        found = Stored(candidates(index(docs, set().union(*map(trigrams, indexed.values())), id_col, "t"), indexed, id_col), "candidates").df
-        few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
-        docs = docs.join(F.broadcast(found) if few else found.hint("merge"), id_col, "left")
+        postings = Stored(index(docs, set().union(*map(trigrams, indexed.values())), id_col, "t", bucket_rows), "postings")
+        found = Stored(candidates(postings.df, indexed, id_col), "candidates").df
+        postings.drop()
+        split = likely(docs, F.col(f"`{id_col}`"), found, F.col(f"`{id_col}`"))
+        rest = split.where("not _likely").drop("_likely").withColumn("rules", F.lit(None).cast("array<string>"))
+        docs = split.where("_likely").drop("_likely").join(found, id_col, "left").unionByName(rest)
     else:
         docs = docs.withColumn("rules", F.lit(None).cast("array<string>"))
     none = "cast(array() as array<struct<start:bigint,place:int,kind:string,end:bigint>>)"
