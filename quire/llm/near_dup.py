@@ -12,12 +12,15 @@ A document's set is its distinct shingles of ``words`` words; documents link who
    do nodes that they connect but for a few classes, after comparing these few with all; the rest branch again. What is
    still large after ``levels`` levels is compared block by block, so no node is ever cut short.
 4. Pairs that the signature doesn't rule out (four standard deviations under the threshold) are confirmed on full sets,
-   each at one node, so a set is sent once to a node and not once to a pair. First only a forest of each node's pairs is,
+   in groups of some hundred pairs of one node, bounded in bytes. Full sets are made once, of the classes that share a first
+   node with another, and stored in buckets by class; texts of other documents are told by a bitmap of fixed size and
+   stay where they are. First only a forest of each node's pairs is,
    so their number follows the rows; pairs left out whose ends links have not connected are confirmed within their node.
 5. Components by forests of dealt edges, joined by alternating stars where one task can't hold them, in shared storage.
 
-At similarity ``percent`` one tree finds a pair in a large group about every second time; with 16 trees about one pair in
-50,000 is missed, and in groups of up to ``leaf`` classes one in 10**8.
+At similarity ``percent`` one tree finds a pair in a large group about every second time; with 16 trees, whose first two
+levels draw on different coordinates, about one pair in 50,000 is missed, and in groups of up to ``leaf`` classes one in
+10**8.
 No group is collected: nodes are counted by partial sums, leaves are bounded, hot classes meet only in joins that Spark
 splits. Sets are of 64-bit shingle hashes.
 
@@ -36,12 +39,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import Stored, table
+from quire.llm.common import Bucketed, Stored, likely, table
 
 #: Minwise coordinates of a signature (32 bits; trees branch on these), and bins of one permutation (8 bits; to compare).
-HEAD, TAIL = 64, 256
+HEAD, TAIL = 128, 256
 SIGMAS = 4.0
 WORDS_KNOWN = 200_000
 
@@ -53,7 +57,8 @@ class Params:
     trees: int = 16
     leaf: int = 1000
     levels: int = 16
-    broadcast_rows: int = 500_000  #: ids sent to all tasks at most
+    pairs: int = 256  #: pairs of one node that are confirmed together at most
+    pair_bytes: int = 8_000_000  #: and bytes of their sets
 
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -111,7 +116,7 @@ def signature(s: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def sets_of(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc, uid, n, head, sig) of docs (doc, text); uid, a hash of the set, and the signature are null for an empty set."""
+    """(doc, th, uid, n, head, sig) of docs (doc, text); th hashes the text, uid the set; uid and signature are null for an empty set."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,9 +132,9 @@ def sets_of(docs: DataFrame, p: Params) -> DataFrame:
                 x, y = signature(s) if len(s) else (None, None)
                 head.append(x)
                 sig.append(y)
-            yield pd.DataFrame({"doc": b["doc"], "uid": pd.array(uid, dtype="Int64"), "n": n, "head": head, "sig": sig})
+            yield pd.DataFrame({"doc": b["doc"], "th": b["th"], "uid": pd.array(uid, dtype="Int64"), "n": n, "head": head, "sig": sig})
 
-    return docs.mapInPandas(run, f"doc {kind}, uid bigint, n bigint, head binary, sig binary")
+    return docs.select("doc", "text", F.xxhash64("text").alias("th")).mapInPandas(run, f"doc {kind}, th bigint, uid bigint, n bigint, head binary, sig binary")
 
 
 def _alike(uid: np.ndarray, n: np.ndarray, sig: list[bytes], p: Params, group: np.ndarray, star: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +194,7 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list
 
 
 def _compare(rows: DataFrame, p: Params, parts: int) -> DataFrame:
-    """(node, a, b), a < b: of each node of rows (node, uid, n, sig, star) the pairs of a forest over those that may link.
+    """(node, a, b, w), a < b, w the bytes of both sets: of each node of rows (node, uid, n, sig, star) the pairs of a forest over those that may link.
 
     A node with further such pairs also gives a row without b.
     """
@@ -197,7 +202,7 @@ def _compare(rows: DataFrame, p: Params, parts: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, nodes in _whole(batches):
             node, uid, n, sig, star = b["node"].to_numpy(), b["uid"].to_numpy(), b["n"].to_numpy(), b["sig"].tolist(), b["star"].to_numpy()
-            out, dense = [(np.zeros(0, np.int64),) * 3], []
+            out, dense = [(np.zeros(0, np.int64),) * 4], []
             for i, j in nodes:
                 if j - i < 2:
                     continue
@@ -208,12 +213,12 @@ def _compare(rows: DataFrame, p: Params, parts: int) -> DataFrame:
                         dense.append(node[i])
                     x, y = x[kept], y[kept]
                 if len(x):
-                    out.append((np.full(len(x), node[i]), uid[i:j][x], uid[i:j][y]))
-            nodes_, a, c = (np.concatenate([o[k] for o in out]) for k in range(3))
-            found = pd.DataFrame({"node": nodes_, "a": np.minimum(a, c), "b": pd.array(np.maximum(a, c), dtype="Int64")})
-            yield pd.concat([found, pd.DataFrame({"node": dense, "a": 0, "b": pd.array([None] * len(dense), dtype="Int64")})]) if dense else found
+                    out.append((np.full(len(x), node[i]), uid[i:j][x], uid[i:j][y], 8 * (n[i:j][x] + n[i:j][y])))
+            nodes_, a, c, w = (np.concatenate([o[k] for o in out]) for k in range(4))
+            found = pd.DataFrame({"node": nodes_, "a": np.minimum(a, c), "b": pd.array(np.maximum(a, c), dtype="Int64"), "w": w})
+            yield pd.concat([found, pd.DataFrame({"node": dense, "a": 0, "b": pd.array([None] * len(dense), dtype="Int64"), "w": 0})]) if dense else found
 
-    return rows.repartition(parts, "node").sortWithinPartitions("node", "uid").mapInPandas(run, "node bigint, a bigint, b bigint")
+    return rows.repartition(parts, "node").sortWithinPartitions("node", "uid").mapInPandas(run, "node bigint, a bigint, b bigint, w bigint")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, p: Params) -> bool:
@@ -320,7 +325,7 @@ class Join:
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.held: list[Stored] = []
         made = self._hold(sets_of(docs, p), "sets")
-        self.members = Stored(made.df.select("doc", "uid", "n"), "members").df
+        self.members = Stored(made.df.select("doc", "th", "uid", "n"), "members").df
         self.classes = self._hold(made.df.where("uid is not null").groupBy("uid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("sig").alias("sig")), "classes").df
         self.links: list[DataFrame] = []
         self.pairs: list[DataFrame] = []
@@ -345,6 +350,8 @@ class Join:
             sizes = held.df.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
             kept = self._hold(held.df.join(sizes, "node"), "nodes")
             held.drop()
+            if level == 1:
+                self._make_sets(kept.df.select("uid").distinct())
             large = kept.df.where(f"size > {p.leaf}")
             # small nodes whole; of larger ones blocks of about leaf classes, in each the smallest against the others
             block = f"xxhash64(node, 'block', pmod(xxhash64(uid, node), cast(ceil(size / {p.leaf}D) as bigint)))"
@@ -373,8 +380,7 @@ class Join:
 
     def _within(self, rows: DataFrame) -> None:
         """Adds the links that join labels within nodes of rows (node, uid, label); sets travel with the rows."""
-        full = self._full(rows.select("uid").distinct())
-        whole = rows.join(self.classes.select("uid", "n", "sig"), "uid").join(full, "uid").select("node", "uid", "n", "sig", "label", "s")
+        whole = rows.join(self.classes.select("uid", "n", "sig"), "uid").join(self.full, "uid").select("node", "uid", "n", "sig", "label", "s")
         self.links.append(self._hold(_link(whole, self.p, self.parts), "within").df)
 
     def settle(self) -> DataFrame:
@@ -420,19 +426,22 @@ class Join:
             for x in self.pairs[1:]:
                 pairs = pairs.unionByName(x)
             self.pairs = []
-            pairs = pairs.groupBy("a", "b").agg(F.min("node").alias("node"))
+            pairs = pairs.groupBy("a", "b").agg(F.min("node").alias("node"), F.min("w").alias("w"))
             self.links.append(self._hold(self._confirm(self._hold(pairs, "distinct").df), "links").df)
         out = self.links[0]
         for x in self.links[1:]:
             out = out.unionByName(x)
         return out
 
-    def _full(self, wanted: DataFrame) -> DataFrame:
-        """(uid, s): the full sets of the classes wanted, made again from the text of one document of each."""
+    def _make_sets(self, wanted: DataFrame) -> None:
+        """Stores (uid, s), the full sets of the classes wanted, made again from the text of one document of each.
+
+        A bitmap of fixed size keeps most other texts out of the join; later joins by class don't shuffle the sets again.
+        """
         p = self.p
         heads = self._hold(self.classes.join(wanted, "uid", "left_semi").select("uid", F.col("doc").alias("head")), "heads").df
-        few = heads.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows
-        docs = self.docs.join(F.broadcast(heads) if few else heads, F.col("doc").eqNullSafe(F.col("head"))).select("uid", "text")
+        some = likely(self.docs.select("doc", "text"), F.col("doc"), heads, F.col("head")).where("_likely").select("doc", "text")
+        docs = some.join(heads, F.col("doc").eqNullSafe(F.col("head"))).select("uid", "text")
 
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import xxhash
@@ -447,37 +456,46 @@ class Join:
                         out.append(s)
                 yield pd.DataFrame({"uid": np.array(uid, dtype=np.int64), "s": out})
 
-        return self._hold(docs.mapInPandas(sets, "uid bigint, s binary").dropDuplicates(["uid"]), "full").df
+        once = docs.mapInPandas(sets, "uid bigint, s binary").dropDuplicates(["uid"])
+        self.held.append(Bucketed(once, ["uid"], "full"))
+        self.full = self.held[-1].df
 
     def _confirm(self, pairs: DataFrame) -> DataFrame:
         p = self.p
-        full = self._full(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct())
-        ends = pairs.selectExpr("node", "a as uid").unionByName(pairs.selectExpr("node", "b as uid")).distinct()
-        groups = max(self.parts, pairs.count() // 20_000)
-        key = F.pmod(F.xxhash64("node"), F.lit(groups)).alias("g")
-        left = pairs.select(key, "a", "b")
-        right = ends.join(full, "uid").select(key, "uid", "s")
+        at = W.partitionBy("node").orderBy("a", "b")
+        cut = pairs.withColumn("i", F.row_number().over(at)).withColumn("sum", F.sum("w").over(at.rowsBetween(W.unboundedPreceding, 0)))
+        n, size = pairs.agg(F.count("*"), F.sum("w")).first()
+        groups = int(max(self.parts, n // 20_000, (size or 0) // (4 * p.pair_bytes)))
+        key = F.pmod(F.xxhash64("node", F.floor((F.col("i") - 1) / p.pairs), F.floor(F.col("sum") / p.pair_bytes)), F.lit(groups)).alias("g")
+        left = self._hold(cut.select(key, "a", "b"), "dealt").df
+        ends = left.selectExpr("g", "a as uid").unionByName(left.selectExpr("g", "b as uid")).distinct()
+        right = ends.join(self.full, "uid").select(F.col("g").alias("k"), "uid", "s")
 
         def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             held = {u: np.frombuffer(s, dtype=np.uint64) for u, s in zip(right["uid"], right["s"], strict=True)}
             good = [_similar(held[a], held[b], p) for a, b in zip(left["a"], left["b"], strict=True)]
             return left.loc[np.array(good, dtype=bool), ["a", "b"]]
 
-        return left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(check, "a bigint, b bigint")
+        return left.groupBy("g").cogroup(right.groupBy("k")).applyInPandas(check, "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id (the smallest id reachable by links), kept, one row a document."""
-    join = Join(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), params or Params())
+def groups(docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
+    """id_col, n_shingles, component_id (the smallest id reachable by links), kept, one row a document.
+
+    With ``detail`` also text_hash (xxhash64 of the text) and label, which names the component where ids repeat (null: an
+    empty set, alone).
+    """
+    join = Join(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")), params or Params())
     join.grow()
     labels = join.settle()
     named = join.classes.select("uid", "doc").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     first = named.groupBy("label").agg(F.min("doc").alias("component"))
-    final = Stored(named.join(first, "label").select("uid", "component"), "final").df
+    final = Stored(named.join(first, "label").select("uid", "label", "component"), "final").df
     for x in join.held:
         x.drop()
     out = join.members.join(final, "uid", "left").withColumn("component", F.when(F.col("uid").isNull(), F.col("doc")).otherwise(F.col("component")))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(False)).alias("kept"))
+    more = [F.col("th").alias("text_hash"), "label"] if detail else []
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(False)).alias("kept"), *more)
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
