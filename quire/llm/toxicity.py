@@ -5,21 +5,23 @@ text are scored and the highest counts. A word's input joins a vector for the wo
 training did not see often) and the mean of vectors for its character trigrams. Two gated recurrent networks read a window
 forwards and backwards, attention weighs their states, and a logistic output judges the weighted mean.
 
-Training uses a bounded sample: ``sample`` labelled documents of each class at most (those with the smallest hashes), and
-of each at most ``bag`` windows spread over the text; a document's loss is that of its windows' smooth maximum. A part of
-the sample sets the decision point, at the classes' shares among all labels. Only the text enters a score.
+Training uses a bounded sample of labelled rows: of each class at most ``sample`` documents (those with the smallest hashes)
+of at most ``sample_chars`` characters together, each read whole: at every step all windows of a document are scored, its
+loss is the smooth maximum of the ``bag`` highest, and these are learned from. A part of the sample that neither counts of
+words nor steps see sets the decision point on scores of whole texts, at the classes' shares among all labels. Only the
+text enters a score.
 
 Scoring is one pass without a shuffle; parameters (a few MB, bounded by ``vocabulary`` and ``buckets``) are broadcast, and
 a task's table of word inputs is bounded.
-Defined results: null and empty texts and texts without a word get the score of an empty window; repeated rows repeat;
-null ids stay null and are not held out; an empty table gives an empty result; labels that are null, or whose document is
+Defined results: null and empty texts and texts without a word get the score of an empty window; repeated rows repeat
+(a labelled id that several texts share trains with one of them); null ids stay null and are not held out; an empty table gives an empty result; labels that are null, or whose document is
 missing, are not used; with labels of one class or none, every score is that class's (or 0). Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,11 +34,14 @@ from quire.llm.common import table
 WORDS = re.compile(r"[^\W_]+").findall
 #: Rows of a task's table of word inputs, and windows scored together.
 KNOWN, TOGETHER = 150_000, 4096
+#: Texts, and characters of them, that a task tokenises together.
+TEXTS, CHARS = 200, 2_000_000
 
 
 @dataclass(frozen=True)
 class Params:
     sample: int = 3000
+    sample_chars: int = 40_000_000
     bag: int = 10
     length: int = 32
     stride: int = 16
@@ -168,37 +173,51 @@ class Network:
         return du, dx
 
 
-def train(bags: list[list[list[str]]], labels: list[int], share: float, p: Params) -> tuple[Network, float, float]:
-    """(network, decision point, slope) from documents' windows of words; share: of toxic documents among all labelled."""
+def windows_of(row: np.ndarray, p: Params) -> np.ndarray:
+    """(length, n): all windows of a text's words (numbers from 1; 0 is padding)."""
+    n = len(starts(len(row), p))
+    full = np.zeros((n - 1) * p.stride + p.length, row.dtype)
+    full[: len(row)] = row
+    return np.lib.stride_tricks.sliding_window_view(full, p.length)[:: p.stride].T
+
+
+def train(texts: Iterable[list[str]], labels: list[int], share: float, p: Params) -> tuple[Network, float, float]:
+    """(network, decision point, slope) from documents' words; share: of toxic documents among all labelled."""
     y = np.array(labels, np.float32)
-    own = [{w for win in b for w in win} for b in bags]
-    seen: dict[str, list[int]] = {}
-    for words, label in zip(own, labels, strict=True):
-        for w in words:
-            seen.setdefault(w, [0, 0])[label] += 1
-    total = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
-    lean = {w: np.log((n[1] + 1) / (total[1] + 2)) - np.log((n[0] + 1) / (total[0] + 2)) for w, n in seen.items() if sum(n) >= 3}
-    lean = {w: float(np.clip(x * (sum(seen[w]) / (sum(seen[w]) + 3)), -3, 3)) for w, x in lean.items()}
-    top = sorted(lean, key=lambda w: (-abs(lean[w]) * np.sqrt(sum(seen[w])), w))[: p.vocabulary]
-    net = Network.fresh(p, {w: i + 1 for i, w in enumerate(top)}, np.array([lean[w] for w in top], np.float32))
+    number: dict[str, int] = {}
+    rows = [np.array([number.setdefault(w, len(number) + 1) for w in t], np.int32) for t in texts]
+    names = ["", *number]
     rng = np.random.default_rng(9)
-    order = rng.permutation(len(bags))
+    order = rng.permutation(len(rows))
     check, learn = order[: max(2, len(order) // 6)], order[max(2, len(order) // 6) :]
+    seen = np.zeros((2, len(names)))
+    for i in learn:
+        seen[int(y[i]), np.unique(rows[i])] += 1
+    total = [max(1, (y[learn] == c).sum()) for c in (0, 1)]
+    often = seen.sum(axis=0)
+    lean = np.log((seen[1] + 1) / (total[1] + 2)) - np.log((seen[0] + 1) / (total[0] + 2))
+    lean = np.clip(lean * (often / (often + 3)), -3, 3)
+    top = sorted(np.flatnonzero(often[1:] >= 3) + 1, key=lambda w: (-abs(lean[w]) * np.sqrt(often[w]), names[w]))[: p.vocabulary]
+    net = Network.fresh(p, {names[w]: i + 1 for i, w in enumerate(top)}, lean[top].astype(np.float32))
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     step = 0
 
     def windows(docs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        place: dict[str, int] = {}
-        wins = [win for i in docs for win in bags[i]]
-        ids = np.zeros((p.length, len(wins)), np.int64)
-        for j, win in enumerate(wins):
-            for t, w in enumerate(win):
-                ids[t, j] = place.setdefault(w, len(place)) + 1
-        return list(place), ids, np.repeat(np.arange(len(docs)), [len(bags[i]) for i in docs])
+        wins = [windows_of(rows[i], p) for i in docs]
+        used, ids = np.unique(np.concatenate([np.zeros((p.length, 1), np.int32), *wins], axis=1), return_inverse=True)
+        return [names[w] for w in used[1:]], ids.reshape(p.length, -1)[:, 1:], np.repeat(np.arange(len(docs)), [w.shape[1] for w in wins])
 
     def pad(t: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros((1, t.shape[1]), np.float32), t])
 
+    def judged(tables: tuple, ids: np.ndarray) -> np.ndarray:
+        return np.concatenate([net.forward(tables, ids[:, i : i + TOGETHER])[0] for i in range(0, ids.shape[1], TOGETHER)])
+
+    def highest(logit: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The ``bag`` highest windows of each document."""
+        by = np.lexsort((-logit, of))
+        return np.sort(by[np.arange(len(by)) - np.searchsorted(of[by], of[by]) < p.bag])
+
     epochs = max(p.epochs, -(-p.steps * p.documents // len(learn)))
     for epoch in range(epochs):
         rate = p.rate * (1.0 if epoch < 0.7 * epochs else 0.3)
@@ -206,8 +225,12 @@ def train(bags: list[list[list[str]]], labels: list[int], share: float, p: Param
         for i in range(0, len(learn), p.documents):
             docs = learn[i : i + p.documents]
             words, ids, of = windows(docs)
-            x, (rows, gram, word) = net.inputs(words)
-            logit, kept = net.forward(tuple(map(pad, net.project(x))), ids, keep=True)
+            x, (at, gram, word) = net.inputs(words)
+            tables = tuple(map(pad, net.project(x)))
+            if len(of) > len(docs) * p.bag or np.bincount(of).max() > p.bag:
+                few = highest(judged(tables, ids), of)
+                ids, of = ids[:, few], of[few]
+            logit, kept = net.forward(tables, ids, keep=True)
             top = np.full(len(docs), -1e9, np.float32)
             np.maximum.at(top, of, logit)
             part = np.exp(2 * (logit - top[of]))
@@ -223,7 +246,7 @@ def train(bags: list[list[list[str]]], labels: list[int], share: float, p: Param
                 g[f"W{s}"], g[f"b{s}"] = x.T @ each, each.sum(axis=0)
                 dx += each @ net.w[f"W{s}"].T
             g["word"], g["char"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["char"])
-            np.add.at(g["word"], rows, dx[:, : p.word_dim])
+            np.add.at(g["word"], at, dx[:, : p.word_dim])
             g["word"][0] = 0
             count = np.bincount(word, minlength=len(words))
             np.add.at(g["char"], gram, (dx[:, p.word_dim :] / count[:, None])[word])
@@ -237,7 +260,7 @@ def train(bags: list[list[list[str]]], labels: list[int], share: float, p: Param
     for i in range(0, len(check), p.documents):
         words, ids, of = windows(check[i : i + p.documents])
         x, _ = net.inputs(words)
-        logit, _ = net.forward(tuple(map(pad, net.project(x))), ids)
+        logit = judged(tuple(map(pad, net.project(x))), ids)
         top = np.full(of.max() + 1, -1e9, np.float32)
         np.maximum.at(top, of, logit)
         got.append(top)
@@ -281,6 +304,8 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         p, best = self.p, np.full(len(texts), -1e9, np.float32)
+        if not texts:
+            return []
         rows = self.rows([WORDS(t.lower()) if t else [] for t in texts])
         doc, wins, held = [], [], 0
 
@@ -292,12 +317,9 @@ class Scorer:
             doc, wins, held = [], [], 0
 
         for i, r in enumerate(rows):
-            n = len(starts(len(r), p))
-            full = np.zeros((n - 1) * p.stride + p.length, np.int64)
-            full[: len(r)] = r
-            view = np.lib.stride_tricks.sliding_window_view(full, p.length)[:: p.stride]
-            for j in range(0, n, TOGETHER):
-                part = view[j : j + TOGETHER].T
+            view = windows_of(r, p)
+            for j in range(0, view.shape[1], TOGETHER):
+                part = view[:, j : j + TOGETHER]
                 wins.append(part)
                 doc.append(np.full(part.shape[1], i))
                 held += part.shape[1]
@@ -324,26 +346,23 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None, id_col
         rows = used.where((F.col("y") > 0) == F.lit(bool(c))).select(F.col(id_col).alias("lid"), F.lit(c).alias("y")).orderBy(F.xxhash64("lid"), "lid").limit(p.sample)
         picked = rows if picked is None else picked.unionByName(rows)
 
-    def bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["t"]:
-                words = WORDS(t.lower())
-                at = list(starts(len(words), p))
-                at = at if len(at) <= p.bag else [at[int((i + 0.5) * len(at) / p.bag)] for i in range(p.bag)]
-                out.append([" ".join(words[i : i + p.length]) for i in at])
-            yield pd.DataFrame({"y": b["y"], "h": b["h"], "bag": out})
-
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), F.col("id") == F.col("lid")).where("t <> ''")
-    got = joined.select("y", F.xxhash64("t").alias("h"), "t").mapInPandas(bag, "y int, h bigint, bag array<string>").collect()
-    once = {(r["h"], r["y"]): r for r in got}  # copies train once
-    rows = [once[k] for k in sorted(once)]
-    rows = [(r["y"], [w.split() for w in r["bag"] if w]) for r in rows]
-    rows = [(y, b) for y, b in rows if b]
-    y = [r[0] for r in rows]
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).where("t <> ''").withColumn("h", F.xxhash64("t"))
+    # one text an id (the one of the least hash), and of each class as many as sample_chars allows; copies train once
+    sizes = texts.join(F.broadcast(picked), F.col("id") == F.col("lid")).groupBy("id").agg(F.min(F.struct("h", F.length("t").alias("n"))).alias("m"), F.max("y").alias("y"))
+    wanted, chars = {}, [0, 0]
+    for r in sorted(sizes.select("id", "y", "m.h", "m.n").collect(), key=lambda r: (r["h"], r["y"])):
+        if (r["h"], r["y"]) not in wanted and chars[r["y"]] + r["n"] <= p.sample_chars:
+            wanted[r["h"], r["y"]] = r["id"]
+            chars[r["y"]] += r["n"]
+    if not wanted:
+        return 0.0
+    chosen = docs.sparkSession.createDataFrame([(i, h, y) for (h, y), i in wanted.items()], docs.select(F.col(f"`{id_col}`").alias("lid"), F.lit(0).cast("bigint").alias("k"), F.lit(0).alias("y")).schema)
+    got = texts.join(F.broadcast(chosen), (F.col("id") == F.col("lid")) & (F.col("h") == F.col("k"))).groupBy("h", "y").agg(F.min("t").alias("t")).collect()
+    got = [(r["y"], words) for r in sorted(got, key=lambda r: (r["h"], r["y"])) if (words := WORDS(r["t"].lower()))]
+    y = [label for label, _ in got]
     if not 0 < sum(y) < len(y):
         return float(y[0]) if y else 0.0
-    return train([r[1] for r in rows], y, share, p)
+    return train([words for _, words in got], y, share, p)
 
 
 def score(docs: DataFrame, fitted: tuple[Network, float, float] | float, keep: list[str], text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -357,9 +376,14 @@ def score(docs: DataFrame, fitted: tuple[Network, float, float] | float, keep: l
         scorer = Scorer(*sent.value)
         for s in batches:
             out: list[float] = []
-            for i in range(0, len(s), 200):
-                out += scorer(s.iloc[i : i + 200].tolist())
-            yield pd.Series(out, dtype="float64")
+            held, size = [], 0
+            for t in s:
+                held.append(t)
+                size += len(t or "")
+                if len(held) >= TEXTS or size >= CHARS:
+                    out += scorer(held)
+                    held, size = [], 0
+            yield pd.Series(out + scorer(held), dtype="float64")
 
     return docs.select(*keep, run(F.col(text_col)).alias(out_col))
 
