@@ -226,7 +226,7 @@ def test_near_duplicates_equal_brute_force(spark, leaf, levels):
 
 def test_near_duplicates_other_parameters(spark):
     rows = corpus()[:200]
-    got = near_dup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), near_dup.Params(words=5, percent=80, broadcast_rows=0)).collect()
+    got = near_dup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), near_dup.Params(words=5, percent=80, pairs=3, pair_bytes=2000)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_groups(rows, 5, 80)
     assert near_dup.groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
@@ -310,13 +310,61 @@ def test_toxicity_without_classes(spark):
 
 def test_scores_do_not_depend_on_batches():
     rows, labels = toxic_corpus()
-    words = [[w.split()[i : i + 32] for i in toxicity.starts(len(w.split()), toxicity.Params())] for _, w in rows[:80]]
-    net, point, slope = toxicity.train(words, [y for _, y in labels[:80]], 0.25, toxicity.Params(steps=5, epochs=1))
+    net, point, slope = toxicity.train([w.split() for _, w in rows[:80]], [y for _, y in labels[:80]], 0.25, toxicity.Params(steps=5, epochs=1))
     scorer = toxicity.Scorer(net, point, slope)
     texts = [t for _, t in rows[:60]] + [None, ""]
     assert np.allclose(scorer(texts), [toxicity.Scorer(net, point, slope)([t])[0] for t in texts], atol=1e-5)
 
 
+def test_network_equals_plain_loops():
+    p = toxicity.Params(length=6, word_dim=3, char_dim=2, hidden=3, attention=2, buckets=31)
+    net = toxicity.Network.fresh(p, {"aa": 1, "bb": 2}, np.array([0.5, -0.5], np.float32))
+    words, sig = ["aa", "bb", "cc"], lambda x: 1 / (1 + np.exp(-x))
+    x = net.inputs(words)[0]
+    for k, w in enumerate(words):  # a word's own vector, and the mean of its trigrams' vectors
+        c = [ord(a) for a in f" {w} "]
+        grams = [net.w["char"][(c[i] * 7919 + c[i + 1] * 104729 + c[i + 2]) % 31] for i in range(len(c) - 2)]
+        assert np.allclose(x[k], np.concatenate([net.w["word"][net.vocabulary.get(w, 0)], np.mean(grams, axis=0)]), atol=1e-6)
+    window = [1, 3, 2, 2, 0, 0]
+
+    def read(side, seq):
+        state, out = np.zeros(3), []
+        for i in seq:
+            if i:
+                a, g = x[i - 1] @ net.w[f"W{side}"] + net.w[f"b{side}"], state @ net.w[f"U{side}"]
+                z, r = sig(a[:3] + g[:3]), sig(a[3:6] + g[3:6])
+                state = z * state + (1 - z) * np.tanh(a[6:] + r * g[6:])
+            out.append(state)
+        return out
+
+    states = [np.concatenate(s) for s in zip(read("f", window), read("b", window[::-1])[::-1])]
+    e = np.array([np.tanh(s @ net.w["A"]) @ net.w["a"] for s, i in zip(states, window) if i])
+    alpha = np.exp(e) / np.exp(e).sum()
+    want = sum(a * s for a, s in zip(alpha, states)) @ net.w["o"] + net.w["c"][0]
+    pad = lambda t: np.concatenate([np.zeros((1, t.shape[1]), np.float32), t])
+    got, _ = net.forward(tuple(map(pad, net.project(x))), np.array(window)[:, None])
+    assert abs(got[0] - want) < 1e-4
+
+
+def test_training_reads_whole_texts_and_repeated_ids_once(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6)))
+    rows, labels = [], []
+    for i in range(600):  # the word that tells is somewhere in a text of more windows than are learned from
+        w = [word() for _ in range(250)]
+        if i % 2:
+            w[rnd.randrange(len(w))] = "vilewx"
+        rows.append((i, " ".join(w)))
+        labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows + [rows[1]] * 30 + [(1, "another text of that id")], "doc_id bigint, text string")
+    fitted = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), toxicity.Params(steps=200))
+    got = {r["doc_id"]: r["s"] for r in toxicity.score(docs, fitted, ["doc_id"]).groupBy("doc_id").agg(F.max("score").alias("s")).collect()}
+    held = {r["doc_id"] for r in docs.where(toxicity.held_out("doc_id")).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, y in labels if i in held]) >= 0.9
+    few = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), toxicity.Params(sample_chars=10))
+    assert few == 0.0
+
+
 # --- HTML ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="ads-free"><header class="top"><h2>Site</h2></header><nav><ul><li><a href="/a">A</a></li></ul></nav>
@@ -464,6 +512,32 @@ def test_pipeline(spark):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixing", "sentencepiece"]
 
 
+def test_pipeline_runs_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    names = ["toxicity_score", "uid", "label", "kept_id", "nth", "node", "c", "rate", "t", "ids", "_likely"]
+    wide = docs
+    for n in names:
+        wide = wide.withColumn(n, F.lit(7))
+    extra = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6, "", "en", None, 0), (3 * 10**6, "alpha beta gamma delta epsilon zeta", "en", "s", 0), (3 * 10**6, "one two three four five six seven", "en", "s", 0)], docs.schema)
+    for n in names:
+        extra = extra.withColumn(n, F.lit(7))
+    wide = wide.unionByName(wide.limit(9)).unionByName(extra)
+    (tmp_path / "a").mkdir()
+    wide.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    kept = cp.drop_near_duplicates(spark, wide, SMALL)
+    assert kept.columns == wide.columns and kept.where("doc_id = 3000000").count() == 2  # two texts of one id, linked with nothing
+    assert max(collections.Counter(r["doc_id"] for r in kept.where("text <> '' and doc_id <> 3000000").collect()).values()) == 1
+    out = cp.run(spark, str(tmp_path / "a")).collect()
+    assert len(out) > 50 and all(r["ids"] is not None for r in out)
+    (tmp_path / "b").mkdir()
+    docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").limit(0).write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_toxic_documents_go(spark):
     import corpus_pipeline as cp
 

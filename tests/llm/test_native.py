@@ -203,3 +203,69 @@ def test_mixing_edges(spark):
 
 def test_mixing_query(spark):
     assert registry.QUERIES["op4_mixing"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_redaction_is_of_the_spans_found(spark):
+    rnd = random.Random(12)
+    parts = ["a@b.co", "+49 30 1234567", "4111 1111 1111 1111", "10.0.0.1", "x", " ", "é", "😀", "ssn ", "078-05-1120", "DE89 3704 0044 0532 0130 00", "+1", "4111111111111111@x.org", "\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14))) for _ in range(400)] + [None, "", " ".join(["a@b.co 😀"] * 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    for r in pii.redact(df).collect():
+        t, out, at, end = texts[r["doc_id"]], [], 0, 0
+        for s in sorted(spans[r["doc_id"]], key=lambda s: (s["start"], s["end"], s["kind"].upper())):
+            if s["start"] >= end:
+                out += [t[at : s["start"]], f"[{s['kind'].upper()}]"]
+            end = at = max(end, s["end"])
+        assert r["text"] == (None if t is None else "".join(out) + t[at:])
+
+
+def test_context_is_of_whole_words_on_both_sides(spark):
+    rows = ["ssn 078-05-1120", "078-05-1120 is my social security number", "assn 078-05-1120", "078-05-1120", "10.0.0.1 on the ship", "the ip 10.0.0.1"]
+    got = [r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert [len(g) for g in got] == [1, 1, 0, 0, 1, 1]
+    assert [round(g[0]["score"], 2) for g in got if g] == [0.7, 0.7, 0.7, 1.0]
+
+
+def test_mixing_equals_numpy(spark):
+    rnd, np = random.Random(3), pytest.importorskip("numpy")
+    word = lambda good: "".join(rnd.choice("abcdefg" if good else "abC9#%") for _ in range(rnd.randint(1, 8)))
+    rows = [(i, " ".join(word(i % 3 > 0 or rnd.random() < 0.3) for _ in range(rnd.randint(1, 60)))) for i in range(300)]
+    labels = [(i, str(int(i % 3 > 0))) for i in range(0, 300, 2)]
+    p = mixing.Params(weights={"0": 0.3, "1": 0.7})
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(labels, "doc_id int, domain string"), p)
+    got = {r["id"]: r for r in mix.rates().collect()}
+    feats = []
+    for _, t in rows:
+        w = len(t.split())
+        count = lambda chars: sum(c in chars for c in t)
+        feats.append([np.log(1 + w), np.log((len(t) + 1) / (w + 1)), np.log((count("!%#$&*|<>{}") + 0.5) / (w + 1)), np.log((sum("A" <= c <= "Z" for c in t) + 0.5) / (w + 1)), np.log((sum("0" <= c <= "9" for c in t) + 0.5) / (w + 1)), np.log((t.count(". ") + 0.5) / (w + 1))])
+    x, y, tokens = np.array(feats), dict(labels), np.array([len(t.split()) for _, t in rows], float)
+    logs = []
+    for d in "01":
+        own = x[[i for i in y if y[i] == d]]
+        var = own.var(axis=0) + p.spread
+        logs.append(np.log(len(own) / len(y)) - 0.5 * (np.log(var) + (x - own.mean(axis=0)) ** 2 / var).sum(axis=1))
+    post = np.exp(np.array(logs).T - np.max(logs, axis=0)[:, None])
+    post /= post.sum(axis=1, keepdims=True)
+    assert all(abs(got[i]["posterior"][d] - post[i, int(d)]) < 1e-9 for i in got for d in "01")
+    have = post.T @ tokens
+    want = np.array([0.3, 0.7]) * min(have / [0.3, 0.7])
+    rate = np.ones(len(rows))  # plain projected gradient, a rate for each document
+    a = post * tokens[:, None]
+    scale = 1 / np.diag(post.T @ a)
+    for _ in range(20_000):
+        rate = np.maximum(0, rate - 0.2 * post @ (scale * (a.T @ rate - want)))
+    mine = np.array([got[i]["rate"] for i in range(len(rows))])
+    assert (mine >= 0).all() and np.abs(a.T @ mine - want).max() <= 2e-4 * want.sum()
+    assert np.abs(a.T @ rate - want).max() <= 1e-3 * want.sum() and np.abs(mine - rate).max() < 0.1
+    assert mixing.grid_of(2, p) == 256 and mixing.grid_of(3, p) < 256 and mixing.grid_of(50, p) >= 1
+
+
+def test_posting_lists_are_bounded_and_intersected(spark):
+    rows = [(i, f"text {i} password: abcdef" if i % 3 else "nothing passw ord") for i in range(300)] + [(7, "again password=abcdef")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    q = {"assign": secrets.trigram_query("password")}
+    lists = secrets.index(df, secrets.trigrams(q["assign"]), bucket_rows=20)
+    assert lists.groupBy("bucket", "trigram").count().where("count > 1").count() == 0 and max(len(r["ids"]) for r in lists.collect()) < 60
+    assert {r["doc_id"] for r in secrets.candidates(lists, q).collect()} == {i for i in range(300) if i % 3}
