@@ -7,30 +7,44 @@ between. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm import mixing, near_dup, pii, sentencepiece_codec, toxicity
 from quire.llm.common import Stored, table
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half."""
     fitted = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, fitted, docs.columns, out_col="toxicity_score").where("toxicity_score < 0.5").drop("toxicity_score")
+    name = _free(docs, "toxicity_score")
+    return toxicity.score(docs, fitted, docs.columns, out_col=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word shingles alike by 0.8 or more: the one of the smallest id.
 
-    Of rows that repeat that id, one stays (the least text). Rows without an id are in no group and stay.
+    Of rows that repeat that id within a group, the one of the least text hash stays; an id whose texts are in different
+    groups can stay once in each. Documents without a word, or without an id, are in no group and stay.
     """
-    found = near_dup.groups(docs, near_dup.Params(words=5, percent=80))
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    if kept.count() < found.where("kept").count():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        out = out.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return out.unionByName(docs.where("doc_id is null"))
+    found = Stored(near_dup.groups(docs, near_dup.Params(words=5, percent=80), detail=True), "groups")
+    key, digest, at = (_free(docs, c) for c in ("kept_id", "kept_hash", "nth"))
+    kept = found.df.where("kept and label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"), F.count("*").alias("n"))
+    kept = Stored(kept.select(F.col("m.doc_id").alias(key), F.col("m.text_hash").alias(digest), "n"), "kept").df
+    empty = found.df.where("label is null").select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct()
+    here = (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(digest))
+    out = docs.join(kept.where("n = 1").select(key, digest).unionByName(empty), here, "left_semi")
+    same = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    again = docs.join(kept.where("n > 1").select(key, digest), here, "left_semi")
+    again = again.withColumn(at, F.row_number().over(same)).where(F.col(at) == 1).drop(at)
+    return out.unionByName(again).unionByName(docs.where("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
