@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 
 WORDS = re.compile(r"[^\W_]+").findall
+HAS_WORD = re.compile(r"[^\W_]").search
 #: Rows of a task's table of word inputs, and windows scored together.
 KNOWN, TOGETHER = 150_000, 4096
 #: Texts, and characters of them, that a task tokenises together.
@@ -358,11 +359,11 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None, id_col
         return 0.0
     chosen = docs.sparkSession.createDataFrame([(i, h, y) for (h, y), i in wanted.items()], docs.select(F.col(f"`{id_col}`").alias("lid"), F.lit(0).cast("bigint").alias("k"), F.lit(0).alias("y")).schema)
     got = texts.join(F.broadcast(chosen), (F.col("id") == F.col("lid")) & (F.col("h") == F.col("k"))).groupBy("h", "y").agg(F.min("t").alias("t")).collect()
-    got = [(r["y"], words) for r in sorted(got, key=lambda r: (r["h"], r["y"])) if (words := WORDS(r["t"].lower()))]
+    got = [(r["y"], r["t"]) for r in sorted(got, key=lambda r: (r["h"], r["y"])) if HAS_WORD(r["t"].lower())]
     y = [label for label, _ in got]
     if not 0 < sum(y) < len(y):
         return float(y[0]) if y else 0.0
-    return train([words for _, words in got], y, share, p)
+    return train((WORDS(t.lower()) for _, t in got), y, share, p)
 
 
 def score(docs: DataFrame, fitted: tuple[Network, float, float] | float, keep: list[str], text_col: str = "text", out_col: str = "score") -> DataFrame:
