@@ -60,7 +60,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, decoded of every document (and of every copy)."""
-    return sentencepiece_codec.encode(docs, sentencepiece_codec.model_path())
+    small = sentencepiece_codec.Params(block_chunks=200_000, block_chars=8_000_000)  # a task returns a block's ids and texts, not digests
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.model_path(), params=small)
 
 
 STAGES = [
