@@ -53,6 +53,25 @@ def members(files: DataFrame, with_content: bool = False, pattern: str | None =
     return files.select("path", "content").mapInPandas(run, "path string, ordinal bigint, name string, crc bigint, packed bigint, size bigint, data binary, error string")
 
 
+def packed(folders: DataFrame) -> DataFrame:
+    """(path, content): ZIP archives of folders (path, files: array of name, text), members deflated in the order given.
+
+    An archive is one file and so one row. Files without a name are left out, a text that is null is empty.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, inside in zip(b["path"], b["files"], strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for f in inside if inside is not None else ():
+                        if f["name"] is not None:
+                            z.writestr(zipfile.ZipInfo(f["name"]), (f["text"] or "").encode(), zipfile.ZIP_DEFLATED, 1)
+                yield pd.DataFrame([(path, out.getvalue())], columns=["path", "content"])
+
+    return folders.select("path", "files").mapInPandas(run, "path string, content binary")
+
+
 def distinct_members(found: DataFrame) -> DataFrame:
     """The first of members with equal checksum and sizes."""
     w = W.partitionBy("crc", "packed", "size").orderBy("path", "ordinal")

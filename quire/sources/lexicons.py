@@ -60,6 +60,31 @@ def synonyms(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "name string, alt string, ordinal bigint")
 
 
+def packed(dictionaries: DataFrame) -> DataFrame:
+    """(path, content): the .idx, .dict and .ifo of dictionaries (name, entries: array of headword, definition).
+
+    A dictionary is one file of each kind and so one row; entries are written in the order of the array. Entries without a
+    headword are left out, a definition that is null is empty. Bodies of over 4 GiB do not fit the format and are an error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, words in zip(b["name"], b["entries"], strict=True):
+                index, body, n = bytearray(), bytearray(), 0
+                for e in words if words is not None else ():
+                    if e["headword"] is None:
+                        continue
+                    text = (e["definition"] or "").encode()
+                    index += e["headword"].encode() + b"\0" + struct.pack(">II", len(body), len(text))
+                    body += text
+                    n += 1
+                about = f"StarDict's dict ifo file\nversion=2.4.2\nbookname={name}\nwordcount={n}\nidxfilesize={len(index)}\nsametypesequence=m\n"
+                rows = [(f"{name}.idx", bytes(index)), (f"{name}.dict", bytes(body)), (f"{name}.ifo", about.encode())]
+                yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return dictionaries.select("name", "entries").mapInPandas(run, "path string, content binary")
+
+
 def merge(found: DataFrame, alts: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Dictionaries merged in an order: (ordinal, headword, definition), and synonyms with new ordinals."""
     rank = F.element_at(F.create_map(*[x for i, n in enumerate(order) for x in (F.lit(n), F.lit(i))]), F.col("name"))
