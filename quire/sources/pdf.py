@@ -528,13 +528,24 @@ def outlines(files: DataFrame) -> DataFrame:
     return _rows(files, read, "path string, toc_index bigint, parent bigint, title string, level bigint")
 
 
-def _rows(files: DataFrame, read, shape: str) -> DataFrame:
+def _rows(files: DataFrame, read, shape: str, most: int = 4096) -> DataFrame:
+    """The rows that ``read`` gives of each file, handed on ``most`` at a time, so that small files share a batch."""
     names = [c.split()[0] for c in shape.split(", ")]
     whole = [c.split()[0] for c in shape.split(", ") if c.endswith("bigint")]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype(dict.fromkeys(whole, "Int64"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame(list(read(path, content)), columns=names).astype(dict.fromkeys(whole, "Int64"))
+                for row in read(path, content):
+                    held.append(row)
+                    if len(held) == most:
+                        yield frame(held)
+                        held = []
+        if held:
+            yield frame(held)
 
     return files.select("path", "content").mapInPandas(run, shape)
