@@ -34,7 +34,7 @@ from quire.llm.common import table
 WORDS = re.compile(r"[^\W_]+").findall
 HAS_WORD = re.compile(r"[^\W_]").search
 #: Rows of a task's table of word inputs, and windows scored together.
-KNOWN, TOGETHER = 150_000, 4096
+KNOWN, TOGETHER = 150_000, 1024
 #: Texts, and characters of them, that a task tokenises together.
 TEXTS, CHARS = 200, 2_000_000
 
@@ -77,6 +77,18 @@ def trigram_means(words: list[str], vectors: np.ndarray) -> tuple[np.ndarray, np
     return np.add.reduceat(vectors[gram], begin, axis=0) / count[:, None], gram, word
 
 
+def summed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """(n, columns): the sums of the rows of values by place."""
+    d = values.shape[1]
+    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d).astype(np.float32)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b by blocks of rows that one thread multiplies: more threads would only spin on matrices as narrow as these."""
+    n = max(1, 200_000 // b.size)
+    return a @ b if len(a) <= n else np.concatenate([a[i : i + n] @ b for i in range(0, len(a), n)])
+
+
 class Network:
     """Parameters, forward and backward passes. Windows are (length, n) arrays of rows of a word table; 0 is padding."""
 
@@ -103,7 +115,7 @@ class Network:
         return np.concatenate([self.w["word"][rows], means], axis=1).astype(np.float32), (rows, gram, word)
 
     def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return x @ self.w["Wf"] + self.w["bf"], x @ self.w["Wb"] + self.w["bb"]
+        return product(x, self.w["Wf"]) + self.w["bf"], product(x, self.w["Wb"]) + self.w["bb"]
 
     def _run(self, side: str, table_: np.ndarray, ids: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States (length, n, hidden); ids of the other side come reversed."""
@@ -135,14 +147,14 @@ class Network:
         alpha = np.exp(score)
         alpha /= alpha.sum(axis=0)
         pooled = np.einsum("tn,tnh->nh", alpha, s)
-        logit = pooled @ self.w["o"] + self.w["c"]
+        logit = np.einsum("nh,h->n", pooled, self.w["o"]) + self.w["c"]
         return logit, (ids, kf, kb, s, e, alpha, pooled) if keep else None
 
     def backward(self, kept: tuple, d: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """(gradients of everything but inputs, gradients of each window word's two projections) of sum(d * logits)."""
         ids, kf, kb, s, e, alpha, pooled = kept
         w, h = self.w, self.p.hidden
-        g = {"o": pooled.T @ d, "c": np.array([d.sum()], np.float32)}
+        g = {"o": np.einsum("nh,n->h", pooled, d), "c": np.array([d.sum()], np.float32)}
         dp = d[:, None] * w["o"]
         da = np.einsum("nh,tnh->tn", dp, s)
         ds = alpha[:, :, None] * dp
@@ -241,21 +253,18 @@ def train(texts: Iterable[list[str]], labels: list[int], share: float, p: Params
             g, (xf, xb) = net.backward(kept, d.astype(np.float32))
             dx = np.zeros_like(x)
             for s, dw in (("f", xf), ("b", xb)):
-                each = np.zeros((len(words) + 1, 3 * p.hidden), np.float32)
-                np.add.at(each, ids.ravel(), dw.reshape(-1, 3 * p.hidden))
-                each = each[1:]
-                g[f"W{s}"], g[f"b{s}"] = x.T @ each, each.sum(axis=0)
-                dx += each @ net.w[f"W{s}"].T
-            g["word"], g["char"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["char"])
-            np.add.at(g["word"], at, dx[:, : p.word_dim])
+                each = summed(dw.reshape(-1, 3 * p.hidden), ids.ravel(), len(words) + 1)[1:]
+                g[f"W{s}"], g[f"b{s}"] = np.einsum("ni,nj->ij", x, each), each.sum(axis=0)
+                dx += product(each, net.w[f"W{s}"].T)
+            g["word"] = summed(dx[:, : p.word_dim], at, len(net.w["word"]))
             g["word"][0] = 0
             count = np.bincount(word, minlength=len(words))
-            np.add.at(g["char"], gram, (dx[:, p.word_dim :] / count[:, None])[word])
+            g["char"] = summed((dx[:, p.word_dim :] / count[:, None])[word], gram, p.buckets)
             step += 1
             for k, v in net.w.items():
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
-                second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
-                v -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                first[k] += 0.1 * (g[k] - first[k])
+                second[k] += 0.001 * (g[k] * g[k] - second[k])
+                v -= (rate / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k]) * (1 - 0.999**step) ** -0.5 + 1e-8)
 
     got = []
     for i in range(0, len(check), p.documents):
