@@ -6,8 +6,8 @@ training did not see often) and the mean of vectors for its character trigrams.
 forwards and backwards, attention weighs their states, and a logistic output judges the weighted mean.
 
 Training uses a bounded sample of labelled rows: of each class at most ``sample`` documents (those with the smallest hashes)
-of at most ``sample_chars`` characters together, each read whole: at every step all windows of a document are scored, its
-loss is the smooth maximum of the ``bag`` highest, and these are learned from. A part of the sample that neither counts of
+of at most ``sample_chars`` characters together, each read whole: all its windows are scored ``readings`` times in the
+course of training, its loss is the smooth maximum of the ``bag`` that were highest, and these are learned from. A part of the sample that neither counts of
 words nor steps see sets the decision point on scores of whole texts, at the classes' shares among all labels. Only the
 text enters a score.
 
@@ -53,6 +53,7 @@ class Params:
     hidden: int = 8
     attention: int = 8
     epochs: int = 6
+    readings: int = 3  #: at least, of all windows in training
     steps: int = 400  #: at least; a small sample is read more often
     documents: int = 64  #: in a training step
     rate: float = 0.01
@@ -215,8 +216,8 @@ def train(texts: Iterable[list[str]], labels: list[int], share: float, p: Params
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     step = 0
 
-    def windows(docs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        wins = [windows_of(rows[i], p) for i in docs]
+    def windows(docs: np.ndarray, only: dict[int, np.ndarray] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        wins = [windows_of(rows[i], p) if only is None else windows_of(rows[i], p)[:, only[i]] for i in docs]
         used, ids = np.unique(np.concatenate([np.zeros((p.length, 1), np.int32), *wins], axis=1), return_inverse=True)
         return [names[w] for w in used[1:]], ids.reshape(p.length, -1)[:, 1:], np.repeat(np.arange(len(docs)), [w.shape[1] for w in wins])
 
@@ -232,17 +233,20 @@ def train(texts: Iterable[list[str]], labels: list[int], share: float, p: Params
         return np.sort(by[np.arange(len(by)) - np.searchsorted(of[by], of[by]) < p.bag])
 
     epochs = max(p.epochs, -(-p.steps * p.documents // len(learn)))
+    again, chosen = max(1, epochs // p.readings), {}
     for epoch in range(epochs):
         rate = p.rate * (1.0 if epoch < 0.7 * epochs else 0.3)
         rng.shuffle(learn)
         for i in range(0, len(learn), p.documents):
             docs = learn[i : i + p.documents]
-            words, ids, of = windows(docs)
+            if epoch % again == 0:  # every window is scored
+                words, ids, of = windows(docs)
+                few = highest(judged(tuple(map(pad, net.project(net.inputs(words)[0]))), ids), of)
+                place = few - np.searchsorted(of, of[few])
+                chosen |= {d: place[of[few] == j] for j, d in enumerate(docs)}
+            words, ids, of = windows(docs, chosen)
             x, (at, gram, word) = net.inputs(words)
             tables = tuple(map(pad, net.project(x)))
-            if len(of) > len(docs) * p.bag or np.bincount(of).max() > p.bag:
-                few = highest(judged(tables, ids), of)
-                ids, of = ids[:, few], of[few]
             logit, kept = net.forward(tables, ids, keep=True)
             top = np.full(len(docs), -1e9, np.float32)
             np.maximum.at(top, of, logit)
