@@ -213,6 +213,11 @@ def order_page(b: pd.DataFrame, page_width: float) -> pd.DataFrame:
     return b.assign(position=np.arange(len(b)), new_line=line.astype(bool), new_block=block.astype(bool))
 
 
+def rotated(dx: Column, dy: Column) -> Column:
+    """Whether a run's baseline rises or falls by more than half of its way."""
+    return (dy != 0) & ((dx == 0) | (2 * F.abs(dy) > F.abs(dx)))
+
+
 def reading_order(runs: DataFrame, page_width: float) -> DataFrame:
     """Runs (doc, page, run, text, x0, x1, baseline, height, source_order) in reading order, page by page."""
     shape = "doc bigint, page bigint, run bigint, text string, section bigint, column bigint, position bigint, new_line boolean, new_block boolean"

@@ -120,3 +120,40 @@ def bitmap_pages(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "page", "at", "size", "width", "height", "depth", "error"]).astype({c: "Int64" for c in ("page", "at", "size", "width", "height", "depth")})
 
     return files.select("path", "content").mapInPandas(run, "path string, page bigint, at bigint, size bigint, width bigint, height bigint, depth bigint, error string")
+
+
+_CHAPTERS_AT, _CHAPTER = 0x30, 96
+
+
+def bitmap_chapters(files: DataFrame) -> DataFrame:
+    """(path, chapter, name, first_page, last_page) of bitmap books from (path, content); pages from 0.
+
+    Chapters that begin past the last page, or end before they begin, are left out; one that ends past it ends there.
+    """
+
+    def read(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            magic, major, _, count, _, _, _, has, _, _, table, data, _ = struct.unpack_from(_HEADER, content)
+            at = struct.unpack_from("<Q", content, _CHAPTERS_AT)[0]
+        except struct.error:
+            return
+        if magic not in MAGIC or major != 1 or has != 1 or at < _CHAPTERS_AT + 8:
+            return
+        end = next((x for x in (table, data) if at < x <= len(content)), len(content))
+        n = 0
+        for place in range(at, end - _CHAPTER + 1, _CHAPTER):
+            name = content[place : place + 80].split(b"\0")[0].decode("utf-8", "replace")
+            first, last = struct.unpack_from("<HH", content, place + 80)
+            if not name and not first and not last:
+                break
+            first, last = max(first - 1, 0), min(max(last - 1, 0), count - 1)
+            if first <= last:
+                yield path, n, name, first, last
+                n += 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [r for p, c in zip(b["path"], b["content"], strict=True) for r in read(p, c)]
+            yield pd.DataFrame(rows, columns=["path", "chapter", "name", "first_page", "last_page"]).astype({c: "Int64" for c in ("chapter", "first_page", "last_page")})
+
+    return files.select("path", "content").mapInPandas(run, "path string, chapter bigint, name string, first_page bigint, last_page bigint")

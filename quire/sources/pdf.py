@@ -7,6 +7,7 @@ attributes, forms, ToUnicode maps, simple encodings with differences and widths
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -165,11 +166,52 @@ def undo_predictor(data: bytes, p: dict) -> bytes:
     return bytes(out)
 
 
+# Fixed value: what fills up a password in the format's standard security handler.
+_FILL = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
+
+
+def rc4(key: bytes, data: bytes) -> bytes:
+    s, j = list(range(256)), 0
+    for i in range(256):
+        j = (j + s[i] + key[i % len(key)]) & 255
+        s[i], s[j] = s[j], s[i]
+    out, i, j = bytearray(len(data)), 0, 0
+    for n, c in enumerate(data):
+        i = (i + 1) & 255
+        j = (j + s[i]) & 255
+        s[i], s[j] = s[j], s[i]
+        out[n] = c ^ s[(s[i] + s[j]) & 255]
+    return bytes(out)
+
+
+def empty_password_key(d: dict, file_id: bytes) -> bytes:
+    """The file's key if the empty password opens it by the standard handler with RC4; ValueError otherwise."""
+    v, r = d.get("V", 0), d.get("R", 0)
+    rule = d.get("CF", {}).get(d.get("StmF"), {}) if v == 4 else {"CFM": "V2"}
+    if d.get("Filter") != "Standard" or v not in (1, 2, 4) or r not in (2, 3, 4) or rule.get("CFM") != "V2" or v == 4 and d.get("StmF") != d.get("StrF"):
+        raise ValueError("encrypted")
+    n = 5 if r == 2 else 16 if v == 4 else d.get("Length", 40) // 8
+    seed = _FILL + d["O"][:32] + (d["P"] & 0xFFFFFFFF).to_bytes(4, "little") + file_id
+    key = hashlib.md5(seed + (b"\xff" * 4 if r == 4 and d.get("EncryptMetadata") is False else b"")).digest()[:n]
+    if r == 2:
+        good = rc4(key, _FILL) == d["U"][:32]
+    else:
+        for _ in range(50):
+            key = hashlib.md5(key).digest()[:n]
+        x = hashlib.md5(_FILL + file_id).digest()
+        for i in range(20):
+            x = rc4(bytes(c ^ i for c in key), x)
+        good = x == d["U"][:16]
+    if not good:
+        raise ValueError("encrypted")
+    return key
+
+
 class Pdf:
-    """Objects of a file, newest revision first."""
+    """Objects of a file, newest revision first; encrypted ones if the empty password opens them by RC4."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.cache, self.trailer = data, {}, {}, {}
+        self.data, self.at, self.cache, self.trailer, self.key = data, {}, {}, {}, None
         self.packed: dict[int, dict[int, object]] = {}
         starts = [int(m[1]) for m in re.finditer(rb"startxref\s+(\d+)", data)]
         seen: set[int] = set()
@@ -193,7 +235,30 @@ class Pdf:
             if "Root" not in self.trailer:
                 raise ValueError("no catalogue")
         if "Encrypt" in self.trailer:
-            raise ValueError("encrypted")
+            rules = self._whole(self.trailer["Encrypt"])
+            ids = self.get(self.trailer.get("ID")) or [b""]
+            if not isinstance(rules, dict):
+                raise ValueError("encrypted")
+            try:
+                key = empty_password_key(rules, self.get(ids[0]))
+            except (KeyError, TypeError, AttributeError):
+                raise ValueError("encrypted") from None
+            self.key, self.cache, self.packed = key, {}, {}
+
+    def _whole(self, x, depth: int = 0):
+        """A value with the objects it refers to in their places."""
+        x = self.get(x)
+        return {k: self._whole(v, depth + 1) for k, v in x.items()} if isinstance(x, dict) and depth < MOST_DEPTH else x
+
+    def _clear(self, x, key: bytes):
+        """A value with its strings and stream decrypted."""
+        if isinstance(x, bytes):
+            return rc4(key, x)
+        if isinstance(x, Stream):
+            return x if x.head.get("Type") == "XRef" else Stream(self._clear(x.head, key), rc4(key, x.raw))
+        if isinstance(x, dict):
+            return {k: self._clear(v, key) for k, v in x.items()}
+        return [self._clear(v, key) for v in x] if isinstance(x, list) else x
 
     def _table(self, at: int) -> dict:
         lex = Lexer(self.data, at + 4)
@@ -224,17 +289,20 @@ class Pdf:
 
     def parse(self, at: int):
         lex = Lexer(self.data, at)
-        lex.value(), lex.value()
+        n, g = lex.value(), lex.value()
         if lex.value() != "obj":
             raise ValueError("object")
         x = lex._ref(0)
         m = re.compile(rb"[\0\t\n\f\r ]*stream\r?\n").match(self.data, lex.at)
         if isinstance(x, dict) and m:
-            n = self.get(x.get("Length"))
-            if not isinstance(n, int) or self.data[m.end() + n :][:20].lstrip()[:9] != b"endstream":
-                n = max(0, self.data.find(b"endstream", m.end()) - m.end())
-            return Stream(x, self.data[m.end() : m.end() + n])
-        return x
+            size = self.get(x.get("Length"))
+            if not isinstance(size, int) or self.data[m.end() + size :][:20].lstrip()[:9] != b"endstream":
+                size = max(0, self.data.find(b"endstream", m.end()) - m.end())
+            x = Stream(x, self.data[m.end() : m.end() + size])
+        if self.key is None:
+            return x
+        own = hashlib.md5(self.key + n.to_bytes(3, "little") + g.to_bytes(2, "little")).digest()
+        return self._clear(x, own[: min(len(self.key) + 5, 16)])
 
     def get(self, x, depth: int = 0):
         if not isinstance(x, Ref):
@@ -282,8 +350,8 @@ class Pdf:
                 raise ValueError(f"filter {f}")
         return data
 
-    def pages(self) -> Iterator[dict]:
-        """Pages in order with inherited attributes."""
+    def pages(self, refs: bool = False) -> Iterator[dict]:
+        """Pages in order with inherited attributes, or what refers to them."""
         root = self.get(self.trailer["Root"])
         stack, seen = [(root.get("Pages"), {}, 0)], set()
         while stack:
@@ -296,13 +364,67 @@ class Pdf:
             if "Kids" in node:
                 stack += [(k, have, depth + 1) for k in reversed(self.get(node["Kids"]) or [])]
             else:
-                yield {**node, **have}
+                yield ref if refs and isinstance(ref, Ref) else id(node) if refs else {**node, **have}
 
     def contents(self, page: dict) -> bytes:
         c = self.get(page.get("Contents"))
         parts = c if isinstance(c, list) else [c]
         return b"\n".join(self.decode(x) for x in map(self.get, parts) if isinstance(x, Stream))
 
+    def _target(self, x) -> int | None:
+        """The page (from 0) that a destination, or a dictionary with one, shows."""
+        x = self.get(x)
+        x = self.get(x.get("D")) if isinstance(x, dict) else x
+        if not isinstance(x, list) or not x:
+            return None
+        if not hasattr(self, "_places"):
+            self._places = {}
+            for i, page in enumerate(self.pages(refs=True)):
+                self._places.setdefault(page, i)
+        return x[0] if isinstance(x[0], int) and not isinstance(x[0], Ref) else self._places.get(x[0]) if isinstance(x[0], Ref) else None
+
+    def _names(self) -> tuple[dict, object]:
+        root = self.get(self.trailer["Root"])
+        old, names = self.get(root.get("Dests")), self.get(root.get("Names"))
+        return old if isinstance(old, dict) else {}, names.get("Dests") if isinstance(names, dict) else None
+
+    def destinations(self) -> Iterator[tuple[str, int | None]]:
+        """(name, page) of all named destinations; page is None where there is no such page."""
+        old, tree = self._names()
+        yield from ((k, self._target(v)) for k, v in old.items())
+        stack, seen = [tree], set()
+        while stack:
+            ref = stack.pop()
+            node = self.get(ref)
+            if not isinstance(node, dict) or ref in seen:
+                continue
+            seen |= {ref} if isinstance(ref, Ref) else set()
+            pairs = self.get(node.get("Names")) or []
+            yield from ((text_string(self.get(k)), self._target(v)) for k, v in zip(pairs[::2], pairs[1::2], strict=False))
+            stack += reversed(self.get(node.get("Kids")) or [])
+
+    def destination(self, name: bytes) -> int | None:
+        """The page of one name: down the name tree, past nodes whose limits leave it out."""
+        old, ref = self._names()
+        if text_string(name) in old:
+            return self._target(old[text_string(name)])
+        stack, seen = [ref], set()
+        while stack:
+            ref = stack.pop()
+            node = self.get(ref)
+            if not isinstance(node, dict) or ref in seen:
+                continue
+            seen |= {ref} if isinstance(ref, Ref) else set()
+            ends = [self.get(x) for x in self.get(node.get("Limits")) or []]
+            if len(ends) == 2 and not ends[0] <= name <= ends[1]:
+                continue
+            pairs = self.get(node.get("Names")) or []
+            for k, v in zip(pairs[::2], pairs[1::2], strict=False):
+                if self.get(k) == name:
+                    return self._target(v)
+            stack += reversed(self.get(node.get("Kids")) or [])
+        return None
+
     def outline(self) -> list[tuple[int, int | None, str, int]]:
         """(index, parent, title, level) in order."""
         out, seen = [], set()
@@ -528,6 +650,18 @@ def outlines(files: DataFrame) -> DataFrame:
     return _rows(files, read, "path string, toc_index bigint, parent bigint, title string, level bigint")
 
 
+def named_destinations(files: DataFrame) -> DataFrame:
+    """(path, name, page) of files (path, content): what names are joined with; page is null where none is shown."""
+
+    def read(path: str, content: bytes) -> list[tuple]:
+        try:
+            return [(path, *r) for r in Pdf(content).destinations()]
+        except Exception:  # noqa: BLE001  text_runs reports the fault
+            return []
+
+    return _rows(files, read, "path string, name string, page bigint")
+
+
 def _rows(files: DataFrame, read, shape: str, most: int = 4096) -> DataFrame:
     """The rows that ``read`` gives of each file, handed on ``most`` at a time, so that small files share a batch."""
     names = [c.split()[0] for c in shape.split(", ")]

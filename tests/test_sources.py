@@ -1,3 +1,4 @@
+import hashlib
 import io
 import struct
 import zipfile
@@ -6,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import layout
 from quire.sources import books, files, lexicons, pdf
 
 
@@ -174,3 +176,69 @@ def test_bitmap_books(spark):
     df = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(b"x" * 60)), ("c", bytearray(b"x"))], "path string, content binary")
     got = [(r["path"], r["page"], r["width"], r["error"]) for r in files.bitmap_pages(df).orderBy("path", "page").collect()]
     assert got == [("a", 0, 480, None), ("a", 1, 480, "range"), ("b", None, None, "magic"), ("c", None, None, "header")]
+
+
+def locked(body, key, n):
+    own = hashlib.md5(key + n.to_bytes(3, "little") + b"\0\0").digest()
+    return pdf.rc4(own[: min(len(key) + 5, 16)], body)
+
+
+@pytest.mark.parametrize("revision", [2, 3])
+def test_pdf_empty_password(spark, revision):
+    owner, ident = bytes(range(32)), b"0123456789abcdef"
+    size = 5 if revision == 2 else 16
+    key = hashlib.md5(pdf._FILL + owner + (0xFFFFFFFC).to_bytes(4, "little") + ident).digest()[:size]
+    if revision == 2:
+        user = pdf.rc4(key, pdf._FILL)
+    else:
+        for _ in range(50):
+            key = hashlib.md5(key).digest()[:size]
+        user = hashlib.md5(pdf._FILL + ident).digest()
+        for i in range(20):
+            user = pdf.rc4(bytes(c ^ i for c in key), user)
+        user += bytes(16)
+    page = locked(b"BT /F1 12 Tf 72 700 Td (secret words) Tj ET", key, 5)
+
+    def whole(u):
+        title = locked(b"Top", key, 9).hex().encode()
+        lock = b"<< /Filter /Standard /V %d /R %d /Length %d /P -4 /O <%s> /U <%s> >>" % (revision - 1, revision, 8 * size, owner.hex().encode(), u.hex().encode())
+        bodies = {1: b"<< /Pages 2 0 R /Outlines 8 0 R >>", 2: b"<< /Kids [3 0 R] /Resources << /Font << /F1 4 0 R >> >> >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>", 4: b"<< /Type /Font /Subtype /Type1 >>",
+                  5: b"<< /Length %d >>\nstream\n" % len(page) + page + b"\nendstream", 7: lock, 8: b"<< /First 9 0 R >>", 9: b"<< /Title <" + title + b"> >>"}
+        out, rows = bytearray(b"%PDF-1.4\n"), b""
+        for k, body in bodies.items():
+            rows += b"%d 1\n%010d 00000 n \n" % (k, len(out))
+            out += b"%d 0 obj\n" % k + body + b"\nendobj\n"
+        return bytes(out) + b"xref\n" + rows + b"trailer << /Size 10 /Root 1 0 R /Encrypt 7 0 R /ID [<%s> <00>] >>\nstartxref\n%d\n%%%%EOF" % (ident.hex().encode(), len(out))
+
+    df = spark.createDataFrame([("a", bytearray(whole(user))), ("b", bytearray(whole(bytes(32))))], "path string, content binary")
+    assert [(r["path"], r["text"], r["error"]) for r in pdf.text_runs(df).orderBy("path").collect()] == [("a", "secret words", None), ("b", None, "encrypted")]
+    assert [r["title"] for r in pdf.outlines(df).collect()] == ["Top"]
+
+
+def test_rc4():
+    assert pdf.rc4(b"Key", b"Plaintext").hex().upper() == "BBF316E8D940AF0AD3"
+
+
+def test_named_destinations(spark):
+    bodies = [b"", b"<< /Pages 2 0 R /Dests << /old [4 0 R /Fit] >> /Names << /Dests 5 0 R >> >>", b"<< /Kids [3 0 R 4 0 R] >>", b"<< /Type /Page >>", b"<< /Type /Page >>",
+              b"<< /Kids [6 0 R 7 0 R 5 0 R] >>", b"<< /Limits [(a) (c)] /Names [(a) [3 0 R /Fit] (c) << /D [4 0 R /Fit] >>] >>", b"<< /Limits [(m) (z)] /Names [(m) [99 0 R /Fit] (z) [3 0 R /Fit]] >>"]
+    body = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, x) for k, x in enumerate(bodies) if k) + b"trailer << /Root 1 0 R >>"
+    got = pdf.named_destinations(spark.createDataFrame([("a", bytearray(body)), ("b", bytearray(b"junk"))], "path string, content binary")).collect()
+    assert sorted((r["name"], r["page"]) for r in got) == [("a", 0), ("c", 1), ("m", None), ("old", 1), ("z", 0)]
+    file = pdf.Pdf(body)
+    assert [file.destination(n) for n in (b"a", b"c", b"m", b"z", b"old", b"b", b"none")] == [0, 1, None, 0, 1, None, None]
+
+
+def test_bitmap_chapters(spark):
+    def book(has, chapters):
+        rows = b"".join(struct.pack("<80sHH12x", name, a, b) for name, a, b in chapters)
+        return struct.pack("<IBBHBBBBIQQQQ", 0x00435458, 1, 0, 10, 0, 0, 0, has, 0, 0, 56 + len(rows), 56 + len(rows), 0)[:48] + struct.pack("<Q", 56) + rows
+
+    rows = [(b"One", 1, 4), (b"Far", 30, 31), (b"Back", 6, 5), (b"Two", 5, 99), (b"", 0, 0), (b"after the end", 1, 2)]
+    df = spark.createDataFrame([("a", bytearray(book(1, rows))), ("b", bytearray(book(0, rows))), ("c", bytearray(b"x"))], "path string, content binary")
+    assert [tuple(r) for r in files.bitmap_chapters(df).orderBy("chapter").collect()] == [("a", 0, "One", 0, 3), ("a", 1, "Two", 4, 9)]
+
+
+def test_rotated(spark):
+    df = spark.createDataFrame([(10, 0), (0, 0), (0, -1), (10, 5), (10, 6), (-10, -6)], "dx int, dy int")
+    assert [r[0] for r in df.select(layout.rotated(F.col("dx"), F.col("dy"))).collect()] == [False, False, True, False, True, True]
