@@ -106,6 +106,16 @@ class Hyphenator:
         return [i for i in range(self.before, len(word) - self.after + 1) if level[i + 1] % 2]
 
 
+# Primary language tags that are hyphenated, and the least letters before and after a break.
+LANGUAGES = {"en": (3, 3), "fr": (2, 2), "de": (2, 2), "ru": (2, 2), "es": (2, 2), "it": (2, 2), "pl": (2, 2), "pt": (2, 2), "sv": (2, 2), "uk": (2, 2)}
+
+
+def hyphenator(tag: str | None, patterns: dict[str, list[str]]) -> Hyphenator | None:
+    """The hyphenator of a language tag ("en-GB" is "en") with the caller's patterns by primary tag; None where there is none."""
+    primary = (tag or "").replace("_", "-").split("-")[0].lower()
+    return Hyphenator(patterns[primary], *LANGUAGES[primary]) if primary in LANGUAGES and primary in patterns else None
+
+
 def hyphenate(word: Column, patterns: list[str], before: int = 2, after: int = 3) -> Column:
     """array<int>: break positions of each word by the given patterns."""
 

@@ -158,3 +158,11 @@ def test_clips(spark):
     assert tuple(one(spark, clips.parse_position(F.lit(path)))) == (2, 3, 4)
     assert one(spark, clips.parse_position(F.lit("/x"))) is None
     assert [one(spark, clips.safe_cache_path(F.lit(p))) for p in ("a/b.bin", "../a", "/a", "a/./b", "a b")] == [True, False, False, False, False]
+
+
+def test_hyphenator_of_language():
+    patterns = {"en": ["1na", "n2at"], "de": ["1na"], "xx": ["1na"]}
+    h = layout.hyphenator("en_GB", patterns)
+    assert (h.before, h.after) == (3, 3) and layout.hyphenator("DE", patterns).before == 2
+    assert [layout.hyphenator(t, patterns) for t in ("xx", "fr", "", None)] == [None] * 4
+    assert layout.hyphenator("de", patterns).positions("banana") == [2, 4]
