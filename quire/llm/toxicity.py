@@ -6,7 +6,7 @@ training did not see often) and the mean of vectors for its character trigrams.
 forwards and backwards, attention weighs their states, and a logistic output judges the weighted mean.
 
 Training uses a bounded sample of labelled rows: of each class at most ``sample`` documents (those with the smallest hashes)
-of at most ``sample_chars`` characters together, each read whole: all its windows are scored ``readings`` times in the
+of at most ``sample_chars`` characters together, each read whole: all its windows are scored ``readings`` times or more in the
 course of training, its loss is the smooth maximum of the ``bag`` that were highest, and these are learned from. A part of the sample that neither counts of
 words nor steps see sets the decision point on scores of whole texts, at the classes' shares among all labels. Only the
 text enters a score.
