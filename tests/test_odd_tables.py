@@ -26,3 +26,9 @@ def test_day_buckets_round_halves_to_even(spark, tmp_path):
     times = ["2024-03-31 01:59:58.5", "2024-03-31 01:59:57.5", "2024-01-01 04:59:59.5", "2024-01-01 05:00:00", "2024-01-29 20:59:59.999999", "1969-12-31 23:59:58.5", "2024-01-17 12:00:00.500001", "2024-01-17 12:00:00.499999"]
     rows = ", ".join(f"({i}, timestamp '{t}')" for i, t in enumerate(times))
     agrees(spark, tmp_path, "day_buckets", events=f"select * from (values {rows}, (99, null)) t(event_id, ts)")
+
+
+def test_html_titles_decode_what_the_sql_decodes(spark, tmp_path):
+    titles = ["a &amp;&amp", "b &am", "c &quot", "d &amp;lt; &amp;amp;", "e &eacute; &#39; &#x27;", "&lt;f&gt; &quot;g&quot;", "&LT; &ampamp;", "h\nh", ""]
+    rows = ", ".join(f"({i}, '<html><head><title>{t}</title></head></html>')" for i, t in enumerate(titles))
+    agrees(spark, tmp_path, "html_titles", pages=f"select * from (values {rows}, (98, null), (99, '<p>untitled</p>')) t(page_id, html)")
