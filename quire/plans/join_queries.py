@@ -170,10 +170,7 @@ def duplicate_geometry(spark: SparkSession, d: str) -> DataFrame:
     """Runs of one text on one page that overlap by half of the narrower and stand near each other."""
     k = F.col("p_partkey")
     b = read(spark, d, "part").select(k.alias("id"), (k * 37 % 600).cast("double").alias("x0"), (k * 37 % 600 + F.col("p_size")).cast("double").alias("x1"), (k * 91 % 800).cast("double").alias("y0"), (k * 91 % 800 + 12).cast("double").alias("y1"), (k % 5).alias("page"), F.col("p_type").alias("t"))
-    c = b.select(*[F.col(x).alias(f"{x}2") if x not in ("page", "t") else F.col(x) for x in b.columns])
-    wide = F.greatest(F.lit(0.0), F.least("x1", "x12") - F.greatest("x0", "x02")) * 2 >= F.least(F.col("x1") - F.col("x0"), F.col("x12") - F.col("x02"))
-    near = F.abs((F.col("y0") + F.col("y1")) / 2 - (F.col("y02") + F.col("y12")) / 2) <= 96
-    return b.join(c, ["page", "t"]).where((F.col("id") != F.col("id2")) & wide & near).groupBy("id").agg(F.count("*").alias("same"))
+    return joins.overlapping(b, ["page", "t"], 96.0)
 
 
 @query("""with e as (select p_partkey eid, lower(split_part(p_type, ' ', 1)) tag, [lower(p_brand), 'c' || (p_size % 5)] cs from part),

@@ -4,6 +4,7 @@ import duckdb
 from conftest import SMALL, plain
 from pyspark.sql import functions as F
 
+from quire.operators import joins
 from quire.plans import catalog, source_queries
 from quire.sources import pdf
 
@@ -50,3 +51,15 @@ def test_pdf_pages_share_a_font(monkeypatch):
     got = [r for page in file.pages() for r in pdf.runs(file, file.contents(page), page["Resources"])]
     assert [(r["text"], r["x0"], round(r["x1"], 6)) for r in got] == [("ab", 7.0, 14.505)] * 3
     assert len(made) == 1
+
+
+def test_duplicate_geometry_counts_copies_and_odd_boxes(spark, tmp_path):
+    part = """select k::bigint as p_partkey, case when k % 97 = 0 then null when k % 89 = 0 then 0 when k % 83 = 0 then -7 when k % 79 = 0 then 400 else hash(k) % 50 + 1 end::int as p_size,
+     case when k % 101 = 0 then null else 'T' || hash(k * 3) % 2 end as p_type from (select unnest(range(-600, 1400)) k union all select unnest(range(2400, 2600)) union all select unnest(range(0, 1200, 3)) union all select null)"""
+    agrees(spark, tmp_path, "duplicate_geometry", part=part)
+
+
+def test_equal_boxes_make_no_pairs(spark):
+    boxes = spark.range(200_000).select((F.col("id") % 100_000).alias("id"), F.lit(1.0).alias("x0"), F.lit(9.0).alias("x1"), F.lit(0.0).alias("y0"), F.lit(12.0).alias("y1"), F.lit("t").alias("t"))
+    got = joins.overlapping(boxes, ["t"], 96.0).groupBy("same").count().collect()
+    assert [tuple(r) for r in got] == [(2 * 199_998, 100_000)]
