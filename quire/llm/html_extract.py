@@ -23,8 +23,9 @@ are read by their tags alone.
 
 Scale: pages are dealt once into cells of a host (``cell_pages`` pages, ``cell_chars`` characters), packed by the task that
 reads them, stored in buckets by (host, cell), and not shuffled again; a host with a third of all pages is many cells. Each cell gives one row a token that
-is on more than ``share`` / 2 of its pages, so words of single articles are not shuffled; a token of the template must be
-that frequent in every cell. A template holds no more tokens than a few average pages. The sizes of hosts with more than
+is on more than ``share`` / 2 of its pages, so words of single articles are not shuffled; where the cells that do not tell of
+a token leave open whether it is on more than ``share`` of the host's pages, the host's tokens are counted again in all of its
+cells. So a template is the same in one cell and in many. It holds no more tokens than a few average pages. The sizes of hosts with more than
 one cell are sent to all tasks up to ``broadcast_hosts`` hosts, else joined by a shuffle.
 
 Defined results: null or empty html gives an empty text; a null url, or one without a host, counts as host ''; repeated
@@ -485,22 +486,50 @@ class Deduction:
     def _deduce(self) -> None:
         p = self.p
 
+        sums_ = ["seen", "support", "total", "x", "y", "at"]
+        shape = "host string, cells int, pages bigint, tok bigint, seen bigint, support bigint, total bigint, x bigint, y bigint, at bigint"
+
+        def told_of(host: str, cells: int, pages: int, seen: int, toks: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["support", "total", "x", "y", "at"])
+            return out.assign(host=host, cells=cells, pages=pages, seen=seen, tok=toks.view(np.int64))[["host", "cells", "pages", "tok", *sums_]]
+
         def count(pages: pd.DataFrame) -> pd.DataFrame:
             host, cells, mine = pages["host"].iloc[0], int(pages["cells"].iloc[0]), _unpack(pages["packed"])
             n = len(mine)
             all_ = int(pages["pages"].iloc[0]) if cells > 1 else n
             toks, rows = vectors([h for _, _, h in mine if h])
             often = rows[:, 0] > p.share / 2 * n if cells > 1 else (rows[:, 0] > p.share * n) & (rows[:, 0] >= p.pages)
-            out = pd.DataFrame(rows[often], columns=["support", "total", "x", "y", "at"])
-            return out.assign(host=host, cells=cells, pages=all_, tok=toks[often].view(np.int64))[["host", "cells", "pages", "tok", "support", "total", "x", "y", "at"]]
-
-        rows = self.cells.df.groupBy("host", "cell").applyInPandas(count, "host string, cells int, pages bigint, tok bigint, support bigint, total bigint, x bigint, y bigint, at bigint")
-        sums = rows.groupBy("host", "tok").agg(F.max("cells").alias("cells"), F.max("pages").alias("pages"), F.count("*").alias("told"), *[F.sum(c).alias(c) for c in ("support", "total", "x", "y", "at")])
-        often = sums.where((F.col("told") == F.col("cells")) & (F.col("support") >= p.pages) & (F.col("support") > p.share * F.col("pages")))
-        # where tokens keep one order, so do the sums of their positions
-        equal = often.groupBy("host", "cells", "support", "total", "x", "y").agg(F.array_sort(F.collect_list(F.struct("at", "tok"))).alias("toks")).where(F.size("toks") >= p.size)
-        by_host = equal.groupBy("host", "cells").agg(F.array_sort(F.collect_list(F.struct(F.col("toks.tok").alias("toks"), "support", (F.col("total") == F.col("support")).alias("once")))).alias("c"))
-        found = Stored(by_host.select("host", "cells", F.col("c.toks").alias("classes"), F.col("c.support").alias("support"), F.col("c.once").alias("once")), "classes")
+            return told_of(host, cells, all_, n, toks[often], rows[often])
+
+        def recount(pages: list[tuple], given: pd.Series | None) -> pd.DataFrame:
+            toks, rows = vectors([h for _, _, h in pages if h]) if given is not None else vectors([])
+            asked = np.isin(toks.view(np.int64), given["unsure"]) if given is not None else np.zeros(0, bool)
+            return told_of(*((given["host"], given["cells"], given["pages"]) if given is not None else ("", 0, 0)), len(pages), toks[asked], rows[asked])
+
+        def classes(rows: DataFrame, last: bool) -> DataFrame:
+            """A row a host: its classes, or the tokens to count again (``unsure``) where cells have not told of some that may be frequent."""
+            sums = rows.groupBy("host", "tok").agg(F.max("cells").alias("cells"), F.max("pages").alias("pages"), *[F.sum(c).alias(c) for c in sums_])
+            lacking = F.lit(0) if last else F.col("pages") - F.col("seen")  # in a cell that has not told of it, a token is on half of ``share`` at most
+            often = sums.withColumn("sure", lacking == 0).where((F.col("support") + p.share / 2 * lacking > p.share * F.col("pages")) & ((F.col("support") >= p.pages) | ~F.col("sure")))
+            # where tokens keep one order, so do the sums of their positions
+            equal = often.groupBy("host", "cells", "pages", "sure", "support", "total", "x", "y").agg(F.array_sort(F.collect_list(F.struct("at", "tok"))).alias("toks"))
+            if last:
+                equal = equal.where(F.size("toks") >= p.size)
+            else:
+                equal = equal.where((F.size("toks") >= p.size) | (F.col("cells") > 1))
+            one = F.when(F.col("sure") & (F.size("toks") >= p.size), F.struct(F.col("toks.tok").alias("toks"), "support", (F.col("total") == F.col("support")).alias("once")))
+            by_host = equal.groupBy("host", "cells", "pages").agg(F.array_sort(F.collect_list(one)).alias("c"), F.when(~F.bool_and("sure"), F.flatten(F.collect_list("toks.tok"))).alias("unsure"))
+            return by_host.select("host", "cells", "pages", F.col("c.toks").alias("classes"), F.col("c.support").alias("support"), F.col("c.once").alias("once"), "unsure").where("size(classes) > 0 or unsure is not null")
+
+        found = Stored(classes(self.cells.df.groupBy("host", "cell").applyInPandas(count, shape), False), "classes")
+        unsure = found.df.where("unsure is not null")
+        if unsure.limit(1).count():
+            again = Stored(classes(self._pass(recount, unsure.select("host", "cells", "pages", "unsure"), shape), True), "classes")
+            both = Stored(found.df.where("unsure is null").unionByName(again.df), "classes")
+            found.drop()
+            again.drop()
+            found = both
+        found.df = found.df.select("host", "cells", "classes", "support", "once")
 
         def look(pages: list[tuple], given: pd.Series | None) -> pd.DataFrame:
             into: Counter = Counter()
@@ -566,7 +595,7 @@ class Deduction:
                 items = read(page)
                 return held and slots_text(items, held, weighed, of, words) or tags_text(items)
 
-            return pd.DataFrame({"id": pd.Series([i for i, _, _ in pages], dtype=object), "u": [u for _, u, _ in pages], "text": [one(h) if h else "" for _, _, h in pages]})
+            return pd.DataFrame([(i, u, one(h) if h else "") for i, u, h in pages], columns=["id", "u", "text"], dtype=object)  # a cell may hold no pages
 
         return self._pass(cut, self.templates.df, f"id {self.kind}, u string, text string", all_=True)
 

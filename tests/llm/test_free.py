@@ -551,3 +551,19 @@ def test_toxic_documents_go(spark):
 
 def test_all_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_templates_do_not_depend_on_cells(spark):
+    rnd = random.Random(3)
+    part = lambda i: f"<div class=k{i}><b>part {i}</b><i></i></div>"
+    page = lambda n: "<html><body>" + "".join(part(i) for i in range(6) if rnd.random() < (1, 0.9, 0.75, 0.6, 0.55, 0.5)[i]) + f"<div class=text><p>own {n} words {n * n}</p></div></body></html>"
+    rows = [(host, page(n)) for host, many in (("a", 24), ("b", 41), ("c", 7)) for n in range(many)] + [("d", "<html><body><p>one</p><p>copy</p></body></html>")] * 9
+    df = spark.createDataFrame(rows, "host string, html string")
+    pages = spark.createDataFrame([(7 if host == "d" else n, f"http://{host}/", h) for n, (host, h) in enumerate(rows)], "page_id bigint, url string, html string")
+    got, texts = [], []
+    for p in ({}, {"cell_pages": 6}, {"cell_pages": 2}, {"cell_chars": 300}):
+        found = html_extract.templates(df, html_extract.Params(**p)).collect()
+        got.append({r["host"]: (r["classes"], r["held"], r["weighed"]) for r in found})
+        texts.append(sorted((r["url"], r["page_id"], r["text"]) for r in html_extract.extract(pages, html_extract.Params(**p)).collect()))
+    assert set(got[0]) == set("abcd") and all(x == got[0] for x in got)
+    assert len(texts[0]) == len(rows) and all(x == texts[0] for x in texts)
