@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,23 +93,66 @@ def without(text: str, spans: str) -> str:
     return let(text, "rd_t", let(f"array_sort({spans})", "rd_s", f"if(size(rd_s) = 0, rd_t, {laid})"))
 
 
-#: Bits of a membership bitmap: 2,048 rows of 4 KB, 8 MB in all however many keys there are.
-BITS = 1 << 26
+#: The most bits of a membership bitmap: 64 MB.
+BITS = 1 << 29
+
+
+def bits_for(keys: int) -> int:
+    """Bits of a bitmap for so many keys: 16 a key and a power of two, ``BITS`` at most."""
+    return min(BITS, 1 << max(16, (16 * keys - 1).bit_length()))
+
+
+def _words(keys: DataFrame, key: Column, bits: int) -> DataFrame:
+    """(_word, _bits): the bitmap of ``key`` modulo ``bits``, in rows of 4 KB."""
+    return keys.select(F.pmod(key, F.lit(bits)).alias("h")).selectExpr("h div 32768 as _word", "h % 32768 as b").groupBy("_word").agg(F.expr("bitmap_construct_agg(b)").alias("_bits"))
+
+
+class Bitmap:
+    """Which 64-bit keys a table may hold, as a value that tasks share: false only where it holds none.
+
+    64 MB at most however many keys there are. Beyond 2**25 keys more rows pass than are meant, never fewer, so what
+    passes is still counted or joined; its use is only to save rows.
+    """
+
+    def __init__(self, keys: DataFrame, key: str):
+        self.bits = bits_for(keys.count())
+        self.at = np.zeros(self.bits // 8, dtype=np.uint8)
+        for r in _words(keys, F.col(key), self.bits).toLocalIterator():
+            part = np.frombuffer(r["_bits"], dtype=np.uint8)
+            self.at[r["_word"] * 4096 : (r["_word"] + 1) * 4096] = part[: len(self.at) - r["_word"] * 4096]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each of the uint64 keys may be there."""
+        h = keys & np.uint64(self.bits - 1)
+        return (self.at[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def likely(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
     """Adds _likely: false only where no row of ``wanted`` has the key. Nothing of ``df`` is shuffled.
 
-    A bitmap of key hashes is sent to all tasks; with very many keys more rows are likely than are wanted, so a join
-    has to follow.
+    A bitmap of key hashes, 16 bits a key and 64 MB at most, is sent to all tasks; beyond 2**25 keys more rows are likely
+    than are wanted, and a join has to follow in any case.
     """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    bits = wanted.select(at(wanted_key).alias("h")).selectExpr("h div 32768 as _word", "h % 32768 as b").groupBy("_word").agg(F.expr("bitmap_construct_agg(b)").alias("_bits"))
-    out = df.withColumn("_h", at(key)).withColumn("_word", F.expr("_h div 32768")).join(F.broadcast(bits), "_word", "left")
+    bits = bits_for(wanted.count())
+    words = _words(wanted, F.xxhash64(wanted_key), bits)
+    out = df.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn("_word", F.expr("_h div 32768")).join(F.broadcast(words), "_word", "left")
     byte = "cast(conv(hex(substring(_bits, cast(_h % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
     return out.withColumn("_likely", F.expr(f"coalesce((shiftright({byte}, cast(_h % 8 as int)) & 1) = 1, false)")).drop("_h", "_word", "_bits")
 
 
-def col_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    """The column, or nulls of its type where the table lacks it."""
-    return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+#: A key is heavy that holds this share of all rows, one in so many.
+HEAVY = 1000
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Inner join with a stored table of one row a key, of which ``count`` tells how many left rows (or more) have the key.
+
+    Keys that hold a thousandth or more of all rows, of which there are a thousand at most, are sent to all tasks; so the
+    shuffle that joins the others deals no key with more than that share.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * HEAVY >= F.lit(total)
+    hot = right.where(heavy)
+    marked = left.join(F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True))), on, "left")
+    few = marked.where("_hot").drop("_hot").join(F.broadcast(hot.drop(count)), on)
+    return few.unionByName(marked.where("_hot is null").drop("_hot").join(right.where(~heavy).drop(count), on))

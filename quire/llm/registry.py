@@ -1,8 +1,8 @@
-"""The queries of the ten operations, and DuckDB SQL for those that SQL can express."""
+"""The queries of the thirteen operations, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from quire.llm import ann, exact_topk, html_extract, mixing, near_dup, pii, secrets, sentencepiece_codec, toxicity, url_filter
+from quire.llm import ann, collocations, exact_topk, html_extract, mixing, near_dup, pii, secrets, sentencepiece_codec, toxicity, url_filter
 
 QUERIES = {
     "op9_html_extract": html_extract.op9_html_extract,
@@ -15,5 +15,12 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op2_pii": pii.op2_pii,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
+    "op11_collocations": collocations.op11_collocations,
+}
+ORACLE: dict[str, str] = {
+    "op2_pii": pii.OP2_SQL,
+    "op7_near_dup": near_dup.OP7_SQL,
+    "op8_secrets": secrets.OP8_SQL,
+    "op10_exact_topk": exact_topk.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }
-ORACLE: dict[str, str] = {"op2_pii": pii.OP2_SQL, "op7_near_dup": near_dup.OP7_SQL, "op8_secrets": secrets.OP8_SQL, "op10_exact_topk": exact_topk.OP10_SQL}
