@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, collocations, exact_topk, html_extract, mixing, near_dup, pii, secrets, sentencepiece_codec, toxicity, url_filter
+from quire.llm import ann, collocations, exact_topk, html_extract, mixing, near_dup, pii, secrets, sentencepiece_codec, substrings, toxicity, url_filter
 
 QUERIES = {
     "op9_html_extract": html_extract.op9_html_extract,
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_pii": pii.op2_pii,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op11_collocations": collocations.op11_collocations,
+    "op12_substring_dedup": substrings.op12_substring_dedup,
 }
 ORACLE: dict[str, str] = {
     "op2_pii": pii.OP2_SQL,
@@ -23,4 +24,5 @@ ORACLE: dict[str, str] = {
     "op8_secrets": secrets.OP8_SQL,
     "op10_exact_topk": exact_topk.OP10_SQL,
     "op11_collocations": collocations.OP11_SQL,
+    "op12_substring_dedup": substrings.OP12_SQL,
 }
