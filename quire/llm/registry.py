@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, collocations, exact_topk, html_extract, mixing, near_dup, pii, secrets, sentencepiece_codec, substrings, toxicity, url_filter
+from quire.llm import ann, collocations, conversations, exact_topk, html_extract, mixing, near_dup, pii, secrets, sentencepiece_codec, substrings, toxicity, url_filter
 
 QUERIES = {
     "op9_html_extract": html_extract.op9_html_extract,
@@ -17,6 +17,7 @@ QUERIES = {
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op11_collocations": collocations.op11_collocations,
     "op12_substring_dedup": substrings.op12_substring_dedup,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 ORACLE: dict[str, str] = {
     "op2_pii": pii.OP2_SQL,
@@ -25,4 +26,5 @@ ORACLE: dict[str, str] = {
     "op10_exact_topk": exact_topk.OP10_SQL,
     "op11_collocations": collocations.OP11_SQL,
     "op12_substring_dedup": substrings.OP12_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }
