@@ -43,6 +43,7 @@ class Params:
 #: Ends of pieces become ".", which is no part of a word then; tabs become blanks; A-Z are lower-cased.
 _MAP = bytes(0x2E if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 SLICE = 1 << 20
+SENT = 200_000  #: phrases in a record batch
 
 
 def _tokens(text: bytes) -> Iterator[list[bytes]]:
@@ -107,9 +108,10 @@ class Block:
             for j in range(1, k):  # phrases as numbers: those of a shorter one, renumbered, and the next word
                 group = np.unique(group, return_inverse=True)[1] * np.int64(len(names)) + part[here + j]
             _, first, n = np.unique(group, return_index=True, return_counts=True)
-            first = here[first]
-            words = [names[part[first + j]] for j in range(k)]
-            yield [b" ".join(w) for w in zip(*words, strict=True)], _mix(key[first] * _MIX[2] + hashes[part[first + k - 1]]), n
+            for i in range(0, len(first), SENT):  # few phrases are spelt at a time
+                some = here[first[i : i + SENT]]
+                words = [names[part[some + j]] for j in range(k)]
+                yield [b" ".join(w) for w in zip(*words, strict=True)], _mix(key[some] * _MIX[2] + hashes[part[some + k - 1]]), n[i : i + SENT]
 
 
 def _count(docs: DataFrame, k: int, frequent: Bitmap | None, p: Params) -> DataFrame:
@@ -123,12 +125,10 @@ def _count(docs: DataFrame, k: int, frequent: Bitmap | None, p: Params) -> DataF
             for phrases, keys, n in block.counts(k, sent.value, p.block):
                 if k == 1:
                     phrases, keys, n = [*phrases, None], np.append(keys, np.uint64(0)), np.append(n, n.sum())
-                for i in range(0, len(phrases), 200_000):
-                    some = pa.array(phrases[i : i + 200_000], pa.binary()).cast(pa.string(), safe=False)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block.lang] * len(some), pa.string()), some, pa.array(keys[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000].astype(np.int64))],
-                        names=["lang", "phrase", "key", "n"],
-                    )
+                for i in range(0, len(phrases), SENT):
+                    some = pa.array(phrases[i : i + SENT], pa.binary()).cast(pa.string(), safe=False)
+                    lang = pa.array([block.lang] * len(some), pa.string())
+                    yield pa.RecordBatch.from_arrays([lang, some, pa.array(keys[i : i + SENT].view(np.int64)), pa.array(n[i : i + SENT].astype(np.int64))], names=["lang", "phrase", "key", "n"])
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
