@@ -23,6 +23,7 @@ empty result; texts are read whole; other columns are not read, and whatever the
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,20 +61,24 @@ class Reader:
     def __init__(self, p: Params):
         self.p = p
         self.known: dict[bytes, int] = {}
-        self.first = self.second = np.zeros(0, dtype=np.uint64)
+        self.hashed = np.zeros((1024, 2), dtype=np.uint64)  # of the words known, in their order
+        self.size = 0
 
     def _hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each word."""
         known = self.known
         if len(known) > self.KNOWN:
             known.clear()
-            self.first = self.second = np.zeros(0, dtype=np.uint64)
+            self.size = 0
         at = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        if len(known) > len(self.first):
-            new = list(known)[len(self.first) :]
-            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in new), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-            self.first, self.second = np.concatenate([self.first, both[:, 0]]), np.concatenate([self.second, both[:, 1]])
-        return self.first[at], self.second[at]
+        if len(known) > self.size:
+            new = list(itertools.islice(reversed(known), len(known) - self.size))[::-1]
+            while len(self.hashed) < len(known):
+                self.hashed = np.concatenate([self.hashed, np.zeros_like(self.hashed)])
+            self.hashed[self.size : len(known)] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), dtype=">u8").reshape(-1, 2)
+            self.size = len(known)
+        found = self.hashed[at]
+        return found[:, 0], found[:, 1]
 
     def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """(anchor of each block, its first window, windows in it, hash of each window), or None for a text without a window."""
