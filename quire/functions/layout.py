@@ -1,12 +1,11 @@
-"""Words on lines and pages: wrapping, breaking, hyphenation, normal forms, reading order, image classes."""
+"""Words on lines and pages: wrapping, breaking, hyphenation, normal forms, image classes."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,79 +156,6 @@ def image_class(w: Column, h: Column, repeats: Column, page: Column, cover: Colu
     )
 
 
-def hidden_text(runs: DataFrame, page_width: float, page_height: float) -> DataFrame:
-    """Runs (doc, page, run, text, x0, x1, y0, y1, hidden) with verdict: hidden runs that repeat a visible or an earlier
-    kept hidden one, are empty, without area or mostly off the page, are dropped. Greedy in run order, so page by page."""
-
-    def page(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("run")
-        norm = b["text"].fillna("").str.lower().str.split().str.join(" ").tolist()
-        box = b[["x0", "x1", "y0", "y1"]].to_numpy(dtype=float)
-        out, kept = [], []
-        shown = [i for i, x in enumerate(b["hidden"]) if not x]
-        for i, is_hidden in enumerate(b["hidden"]):
-            x0, x1, y0, y1 = box[i]
-            inside = max(0.0, min(x1, page_width) - max(x0, 0.0)) * max(0.0, min(y1, page_height) - max(y0, 0.0))
-            verdict = "visible"
-            if is_hidden:
-                same = lambda j: norm[j] == norm[i] and 2 * max(0.0, min(x1, box[j][1]) - max(x0, box[j][0])) >= min(x1 - x0, box[j][1] - box[j][0]) and abs((y0 + y1) / 2 - (box[j][2] + box[j][3]) / 2) <= max(page_height / 6, 8 * (y1 - y0))  # noqa: B023, E731
-                if not norm[i]:
-                    verdict = "empty"
-                elif x1 <= x0 or y1 <= y0:
-                    verdict = "no_area"
-                elif 2 * inside < (x1 - x0) * (y1 - y0):
-                    verdict = "off_page"
-                elif any(same(j) for j in shown):
-                    verdict = "duplicate_visible"
-                elif any(same(j) for j in kept):
-                    verdict = "duplicate_hidden"
-                else:
-                    verdict = "kept"
-                    kept.append(i)
-            out.append(verdict)
-        return b.assign(verdict=out)
-
-    return runs.groupBy("doc", "page").applyInPandas(page, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields) + ", verdict string")
-
-
-def order_page(b: pd.DataFrame, page_width: float) -> pd.DataFrame:
-    """One page's runs in reading order: sections by wide headings, columns by empty gaps, then lines and blocks."""
-    b = b.sort_values("source_order").reset_index(drop=True)
-    m = float(np.median(b["height"]))
-    heading = (b["x1"] - b["x0"]) >= 0.55 * page_width
-    top = b["baseline"].to_numpy()
-    section = np.array([(heading & (top > y)).sum() for y in top])
-    column = np.zeros(len(b), dtype=int)
-    for s in np.unique(section):
-        at = np.flatnonzero((section == s) & ~heading)
-        if len(at) < 4:
-            continue
-        bins = np.zeros(64, dtype=bool)
-        for i in at:
-            bins[max(0, int(b["x0"][i] * 64 / page_width)) : max(1, int(np.ceil(b["x1"][i] * 64 / page_width)))] = True
-        used = np.flatnonzero(bins)
-        gaps = [(used[i], used[i + 1]) for i in range(len(used) - 1) if (used[i + 1] - used[i] - 1) * page_width / 64 >= page_width / 20]
-        cuts = sorted((a + z) / 2 * page_width / 64 for a, z in sorted(gaps, key=lambda g: g[0] - g[1])[:2])
-        place = np.searchsorted(cuts, b["x0"][at])
-        if len(cuts) and np.bincount(place, minlength=len(cuts) + 1).min() >= 2:
-            column[at] = place
-    b = b.assign(section=section, column=column).sort_values(["section", "column", "baseline", "x0", "source_order"], ascending=[True, True, False, True, True])
-    drop = b["baseline"].diff().abs().fillna(np.inf)
-    moved = (b["section"].diff() != 0) | (b["column"].diff() != 0)
-    line = moved | (drop > max(1.0, m / 3))
-    ends = b["text"].shift().fillna("").str.rstrip().str[-1:].isin([".", "!", "?", ":"])
-    lower = b["text"].str[:1].str.match("[a-z]")
-    block = (b["section"].diff() != 0) | (line & ((drop > 2 * m) | ((2 * drop > 3 * m) & ends & ~lower)))
-    return b.assign(position=np.arange(len(b)), new_line=line.astype(bool), new_block=block.astype(bool))
-
-
 def rotated(dx: Column, dy: Column) -> Column:
     """Whether a run's baseline rises or falls by more than half of its way."""
     return (dy != 0) & ((dx == 0) | (2 * F.abs(dy) > F.abs(dx)))
-
-
-def reading_order(runs: DataFrame, page_width: float) -> DataFrame:
-    """Runs (doc, page, run, text, x0, x1, baseline, height, source_order) in reading order, page by page."""
-    shape = "doc bigint, page bigint, run bigint, text string, section bigint, column bigint, position bigint, new_line boolean, new_block boolean"
-    cols = [c.split()[0] for c in shape.split(", ")]
-    return runs.groupBy("doc", "page").applyInPandas(lambda b: order_page(b, page_width)[cols], shape)

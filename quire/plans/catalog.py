@@ -8,6 +8,7 @@ from quire.plans import (  # noqa: F401  importing registers their queries
     document_queries,
     join_queries,
     order_queries,
+    page_queries,
     source_queries,
     stream_queries,
     text_queries,

@@ -68,13 +68,3 @@ def optimal_breaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 query()(optimal_breaks)
-
-
-def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    """Text runs of made-up pages in reading order (tests: hand-made pages)."""
-    k = F.col("p_partkey")
-    runs = read(spark, d, "part").select((k % 7).alias("doc"), (k % 50).alias("page"), k.alias("run"), F.concat("p_name", F.lit(" and more")).alias("text"), ((k * 37 % 2) * 300.0).alias("x0"), ((k * 37 % 2) * 300.0 + 200).alias("x1"), (700.0 - (k * 91 % 600)).alias("baseline"), F.lit(10.0).alias("height"), k.alias("source_order"))
-    return layout.reading_order(runs, 600.0)
-
-
-query()(reading_order)

@@ -137,19 +137,6 @@ def test_css(spark):
     assert (got["number"], got["unit"]) == (1.5, "em")
 
 
-def test_reading_order(spark):
-    rows = [(1, 1, i, t, x, x + w, y, 10.0, i) for i, (t, x, w, y) in enumerate([("Right one", 330.0, 200.0, 680.0), ("Left one", 20.0, 200.0, 680.0), ("A wide heading", 20.0, 560.0, 720.0), ("Right two", 330.0, 200.0, 668.0), ("Left two", 20.0, 200.0, 668.0)])]
-    df = spark.createDataFrame(rows, "doc bigint, page bigint, run bigint, text string, x0 double, x1 double, baseline double, height double, source_order bigint")
-    assert [r["text"] for r in layout.reading_order(df, 600.0).orderBy("position").collect()] == ["A wide heading", "Left one", "Left two", "Right one", "Right two"]
-
-
-def test_hidden_text(spark):
-    rows = [(1, 1, 0, "Hello  World", 10.0, 100.0, 10.0, 20.0, False), (1, 1, 1, "hello world", 12.0, 98.0, 11.0, 21.0, True), (1, 1, 2, "other", 10.0, 60.0, 40.0, 50.0, True), (1, 1, 3, "other", 10.0, 60.0, 41.0, 51.0, True), (1, 1, 4, "", 0.0, 1.0, 0.0, 1.0, True), (1, 1, 5, "x", -50.0, 10.0, 0.0, 1.0, True)]
-    df = spark.createDataFrame(rows, "doc bigint, page bigint, run bigint, text string, x0 double, x1 double, y0 double, y1 double, hidden boolean")
-    got = {r["run"]: r["verdict"] for r in layout.hidden_text(df, 600.0, 800.0).collect()}
-    assert got == {0: "visible", 1: "duplicate_visible", 2: "kept", 3: "duplicate_hidden", 4: "empty", 5: "off_page"}
-
-
 def test_clips(spark):
     rows = [("A", False, False, False), ("well-", False, False, False), ("known", False, False, False), ("hyphen-", True, False, False), ("ated", False, False, False), ("x", False, True, False), ("New", False, False, True)]
     df = spark.createDataFrame([(rows,)], "v array<struct<text: string, hyphen: boolean, attached: boolean, paragraph: boolean>>")
