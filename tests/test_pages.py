@@ -196,9 +196,9 @@ def verdicts(runs, images):
 
 def test_hidden_text_equals_plain_loops(spark):
     rnd, runs, images, want = random.Random(4), [], [], {}
-    for page in (1, 2, 3, None):
+    for page in (1, 2, 3, 4, 5, None):
         here = []
-        for run in range(120):
+        for run in range(200):
             x, y, w, h = rnd.choice([-60, 10, 40, 200, 240, 560]) + rnd.randint(0, 9), rnd.randint(-10, 790), rnd.choice([0, 20, 40, 90]), rnd.choice([8, 12])
             box = tuple(map(float, (x, x + w, y, y + h)))
             if rnd.random() < 0.05:
