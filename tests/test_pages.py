@@ -196,7 +196,7 @@ def verdicts(runs, images):
 
 def test_hidden_text_equals_plain_loops(spark):
     rnd, runs, images, want = random.Random(4), [], [], {}
-    for page in (1, 2, 3, 4, 5, None):
+    for page in (1, 2, None):
         here = []
         for run in range(200):
             x, y, w, h = rnd.choice([-60, 10, 40, 200, 240, 560]) + rnd.randint(0, 9), rnd.randint(-10, 790), rnd.choice([0, 20, 40, 90]), rnd.choice([8, 12])
@@ -204,7 +204,7 @@ def test_hidden_text_equals_plain_loops(spark):
             if rnd.random() < 0.05:
                 box = (None, *box[1:])
             text = rnd.choice(["a", "A ", "b c", "b　C", "--", "", None, " Creator: x", "éProducer: y", "中", "xmp:1"])
-            here.append((run, text, box, rnd.choice([0.0, 9.0, 9.0, None]), 0.0, rnd.random() < 0.7))
+            here.append((run, text, box, rnd.choice([0.0, 9.0, 9.0, None]), 0.0, rnd.random() < (0.7 if page else 0.99)))
         pictures = [tuple(map(float, (x, x + rnd.randint(0, 300), y, y + rnd.randint(0, 300)))) for x, y in ((rnd.randint(-50, 500), rnd.randint(-50, 600)) for _ in range(5))] + [(None, 1.0, 1.0, 2.0)]
         runs += [(1, page, r, t, *b, dx, dy, h) for r, t, b, dx, dy, h in here]
         images += [(1, page, *i) for i in pictures]
