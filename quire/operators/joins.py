@@ -6,31 +6,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.operators.keys import SHARE, heavy_keys
+from quire.storage import Stored
+
 
 def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[Column], how: str = "left") -> DataFrame:
-    """Each left row with the first matching right row by ``order``; the right side shrinks to one row a key first."""
+    """Each left row with the first matching right row by ``order``, nulls last; the right side shrinks to one row a key first."""
     cols = [c for c in right.columns if c not in on]
-    first = right.groupBy(*on).agg(F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c) for c in cols])).alias("_m"))
+    ranks = [x for i, o in enumerate(order) for x in (o.isNull().alias(f"_n{i}"), o.alias(f"_o{i}"))]
+    first = right.groupBy(*on).agg(F.min(F.struct(*ranks, *[F.col(c) for c in cols])).alias("_m"))
     return left.join(first.select(*on, *[F.col(f"_m.{c}") for c in cols]), on, how)
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, start: str, take: list[str], forward: bool = False, first_of_ties: bool = False) -> DataFrame:
+#: Rows of one key that an as-of join leaves to one task.
+WHOLE = 1_000_000
+
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, start: str, take: list[str], forward: bool = False, first_of_ties: bool = False, whole: int = WHOLE) -> DataFrame:
     """Keyed as-of join: the right row with the greatest ``start`` at most ``at`` (forward: the least at least ``at``).
 
     One shuffle by key: both sides are laid into one sorted sequence and the last right row is carried along, so no pairs
-    are made. Of right rows with equal starts the one last in the order of ``take`` wins (or the first).
+    are made. Of right rows with equal starts the one last in the order of ``take`` wins (or the first). Nulls in a key or place
+    match nothing; their left rows stay, without a right one.
+
+    A key of a thousandth of all rows and more than ``whole`` rows is cut in pieces at quantiles of its places, each a
+    sequence of its own; the last right row of the pieces before, a row for each piece, is sent to all tasks. There are at
+    most a thousand such keys. Rows of one key and one place stay together.
     """
-    if first_of_ties:
-        right = right.groupBy(*by, start).agg(F.min(F.struct(*take)).alias("_r"))
+    keyed = [F.col(c).isNotNull() for c in (*by, at)]
+    known = keyed[0]
+    for k in keyed[1:]:
+        known &= k
+    right = right.dropna(subset=[*by, start])
+    theirs = right.select(*by, F.col(start).alias("_x"), F.lit(0).alias("_side"), F.struct(*take).alias("_r"))
+    mine = left.select(*by, F.col(at).alias("_x"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l")).where(known if at in by else " and ".join(f"`{c}` is not null" for c in (*by, "_x")))
+    both = mine.unionByName(theirs, allowMissingColumns=True)
+    # ties: what is last in the sequence is carried on
+    order = [F.desc("_x") if forward else F.asc("_x"), F.col("_side"), F.desc("_r") if first_of_ties else F.asc("_r")]
+    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    hot = heavy_keys(both.select(*by), by, least=whole + 1)
+    rows = [r.asDict() for r in hot.drop("n").collect()]
+    if rows:
+        spark = left.sparkSession
+        hot = F.broadcast(spark.createDataFrame(rows, hot.drop("n").schema))
+        pieces = min(SHARE, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        cuts = both.join(hot, by).groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx("_x", [i / pieces for i in range(1, pieces)], 10 * pieces))).alias("_cuts"))
+        cuts = Stored(cuts, "cuts").df
+        place = F.size(F.filter("_cuts", (lambda c: c < F.col("_x")) if forward else (lambda c: c <= F.col("_x"))))
+        both = both.join(F.broadcast(cuts), by, "left").withColumn("_piece", F.coalesce(place, F.lit(0)))
+        best = (F.min if forward else F.max)(F.struct("_x", "_r"))
+        if first_of_ties != forward:  # the place decides first, the least or greatest row of it then
+            ends = both.where("_side = 0 and _cuts is not null").groupBy(*by, "_piece", "_x").agg((F.min if first_of_ties else F.max)("_r").alias("_r"))
+        else:
+            ends = both.where("_side = 0 and _cuts is not null")
+        ends = ends.groupBy(*by, "_piece").agg(best.alias("_e"))
+        every = cuts.select(*by, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_piece")).join(ends, [*by, "_piece"], "left")
+        before = W.partitionBy(*by).orderBy(F.desc("_piece") if forward else F.asc("_piece")).rowsBetween(W.unboundedPreceding, -1)
+        carried = every.select(*by, "_piece", F.last("_e._r", ignorenulls=True).over(before).alias("_c"))
+        got = both.drop("_cuts").withColumn("_r", F.last("_r", ignorenulls=True).over(w.partitionBy(*by, "_piece"))).where("_side = 1")
+        got = got.join(F.broadcast(carried), [*by, "_piece"], "left").withColumn("_r", F.coalesce("_r", "_c"))
     else:
-        right = right.groupBy(*by, start).agg(F.max(F.struct(*take)).alias("_r"))
-    kind = dict(right.dtypes)["_r"]
-    mine = left.select(*by, F.col(at).alias("_x"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(kind).alias("_r"))
-    theirs = right.select(*by, F.col(start).alias("_x"), F.lit(0).alias("_side"), F.lit(None).cast(dict(mine.dtypes)["_l"]).alias("_l"), "_r")
-    order = [F.col("_x").desc() if forward else F.col("_x").asc(), F.col("_side")]
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    got = mine.unionByName(theirs).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    return got.select("_l.*", *[F.col(f"_r.{c}").alias(c) for c in take])
+        got = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w.partitionBy(*by))).where("_side = 1")
+    unkeyed = left.where(~known).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take])
+    return got.select("_l.*", *[F.col(f"_r.{c}").alias(c) for c in take]).union(unkeyed)
 
 
 def interval(points: DataFrame, ranges: DataFrame, by: list[str], at: str, low: str, high: str, how: str = "inner") -> DataFrame:

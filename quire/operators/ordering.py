@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import ascii_lower
+from quire.operators.keys import lookup
 from quire.storage import Stored
 
 
@@ -35,19 +38,55 @@ def numbered(df: DataFrame, by: list[str], out: str) -> DataFrame:
     return rows.join(F.broadcast(before), "_p").withColumn(out, place.cast("int")).drop("_p", "_m", "_b")
 
 
-def tree_levels(tree: DataFrame, most: int) -> DataFrame:
-    """(id, level) of nodes (id, parent), roots having a parent below 0, down to ``most`` levels: a join for each level."""
-    found, level = Stored(tree.where("parent < 0").select("id"), "level").df, 1
-    out = found.select("id", F.lit(1).alias("level"))
-    while level < most:
-        level += 1
-        found = Stored(tree.join(found.select(F.col("id").alias("parent")), "parent").select("id"), "level").df
+def _climbed(nodes: DataFrame, merged: Callable[[Column, Column], Column]) -> Stored:
+    """(id, up, v) of nodes that arrive: up leads from node to node until it is null; v gathers what the way holds.
+
+    By pointer doubling: each round a node takes over where the node above points to, so a way of n nodes takes log2(n)
+    rounds. Nodes that have arrived are not joined again. A round in which none arrives ends it: what is left leads nowhere.
+    """
+    state = [Stored(nodes, "nodes")]
+    parts, left = [state[0].df.where("up is null")], state[0].df.where("up is not null")
+    while left.limit(1).count():
+        every = parts[0]
+        for p in [*parts[1:], left]:
+            every = every.unionByName(p)
+        above = every.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("v").alias("_v"))
+        met = lookup(left, above, "up", "_id").select("id", F.col("_up").alias("up"), merged(F.col("v"), F.col("_v")).alias("v"))
+        state.append(Stored(met, "nodes"))
+        found = state[-1].df.where("up is null")
         if not found.limit(1).count():
             break
-        out = out.unionByName(found.select("id", F.lit(level).alias("level")))
+        parts, left = [*parts, found], state[-1].df.where("up is not null")
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    out = Stored(whole, "climbed")
+    for held in state:
+        held.drop()
     return out
 
 
+def tree_levels(tree: DataFrame, most: int) -> DataFrame:
+    """(id, parent, level) of the nodes (id, parent) of an outline of at most ``most`` levels.
+
+    A root, level 1, has a null parent or one below 0 (returned as null). A node that is deeper than ``most`` moves up to its
+    nearest ancestor at the level above, so it is at level ``most``. Nodes whose parents lead to no root (unknown ones,
+    circles) and null ids are left out; of rows that repeat an id a root counts first, then the least parent.
+    """
+    root = F.col("parent").isNull() | (F.col("parent") < 0)
+    once = tree.where("id is not null").groupBy("id").agg(F.min(F.struct((~root).alias("inner"), F.when(~root, F.col("parent")).alias("parent"))).alias("m"))
+    nodes = Stored(once.select("id", "m.parent"), "tree")
+    depths = _climbed(nodes.df.select("id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("v")), lambda v, w: v + w)
+    known = nodes.df.join(depths.df.select("id", F.col("v").alias("depth")), "id")
+    fits = F.col("depth") < most
+    tops = _climbed(known.select("id", F.when(~fits, F.col("parent")).alias("up"), F.when(fits, F.col("id")).alias("v")), lambda v, w: w)
+    parent = F.when(F.col("depth") > most, F.col("v")).otherwise(F.col("parent"))
+    out = Stored(known.join(tops.df.select("id", "v"), "id").select("id", parent.alias("parent"), F.least(F.lit(most), F.col("depth")).cast("int").alias("level")), "levels")
+    for held in (nodes, depths, tops):
+        held.drop()
+    return out.df
+
+
 def suggestions(asked: DataFrame, words: DataFrame, distance: int, k: int) -> DataFrame:
     """(w, cand, d, n): for each w the k nearest words, ties by word, blocked by first letter and length band."""
     key = F.substring("w", 1, 1)

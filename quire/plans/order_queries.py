@@ -58,7 +58,16 @@ select id, level from r""")
 def outline_levels(spark: SparkSession, d: str) -> DataFrame:
     """Levels of a tree given by parents, at most 20 deep."""
     t = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.expr("p_partkey div 3") - 1).alias("parent"))
-    return ordering.tree_levels(t, 20)
+    return ordering.tree_levels(t, 20).select("id", "level")
+
+
+@query("""with recursive t as (select distinct p_partkey id, p_partkey // 2 - 1 parent from part where p_partkey is not null),
+ r(id, way) as (select id, [id] from t where parent < 0 union all select t.id, list_append(way, t.id) from t join r on t.parent = r.id)
+select id, case when len(way) = 1 then null when len(way) > 4 then way[3] else way[-2] end as parent, least(4, len(way))::int as level from r""")
+def outline_reparented(spark: SparkSession, d: str) -> DataFrame:
+    """An outline of four levels: what is deeper moves up to the nearest ancestor that may have it."""
+    t = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.expr("p_partkey div 2") - 1).alias("parent"))
+    return ordering.tree_levels(t, 4)
 
 
 @query("""with r as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts desc, event_id desc) n from events where event_type = 'view')
