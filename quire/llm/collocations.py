@@ -19,6 +19,7 @@ table gives an empty result; ties of score and count go by phrase in byte order;
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,7 +78,8 @@ class Block:
     def add(self, text: bytes) -> None:
         known = self.known
         for words in _tokens(text):
-            self.parts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+            known.update(zip(set(words).difference(known), itertools.count(len(known))))
+            self.parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             self.size += len(words)
         self.parts.append(np.zeros(1, np.int32))
 

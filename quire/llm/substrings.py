@@ -12,7 +12,8 @@ smallest hash (winnowing), so equal windows choose alike and about a fifth of al
 3. A window whose least id is smaller than that of its document is repeated. Overlapping windows join to maximal repeats.
 
 Blocks and windows meet in joins by keys of one row each, whose heavy keys are broadcast (``lookup``), so no passage is hot.
-Anchors and windows are told apart by 64-bit hashes, and equal windows have equal anchors, so 128 bits tell windows apart.
+Words have two 64-bit hashes, sums of random values of their bytes by place; anchors are told apart by the first, windows by
+the second, and equal windows have equal anchors, so 128 bits tell windows apart.
 Only texts that lose words are shuffled, to meet their repeats; a bitmap of their ids tells the others.
 
 Defined results: null and empty texts have no words; a null id owns nothing and loses nothing; rows that repeat an id are one
@@ -23,13 +24,11 @@ empty result; texts are read whole; other columns are not read, and whatever the
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +39,7 @@ from quire.llm.common import Bitmap, Stored, likely, lookup, table
 class Params:
     words: int = 13  #: of a window
     seed: int = 5  #: of an anchor, ``words`` at most
-    block: int = 1_000_000  #: words of texts whose anchors a task sends together
+    block: int = 4_000_000  #: windows of texts whose anchors or blocks a task sends together
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -53,91 +52,143 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Reader:
-    """Anchors, blocks and windows of texts."""
-
-    KNOWN = 500_000
-
-    def __init__(self, p: Params):
-        self.p = p
-        self.known: dict[bytes, int] = {}
-        self.hashed = np.zeros((1024, 2), dtype=np.uint64)  # of the words known, in their order
-        self.size = 0
-
-    def _hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each word."""
-        known = self.known
-        if len(known) > self.KNOWN:
-            known.clear()
-            self.size = 0
-        at = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        if len(known) > self.size:
-            new = list(itertools.islice(reversed(known), len(known) - self.size))[::-1]
-            while len(self.hashed) < len(known):
-                self.hashed = np.concatenate([self.hashed, np.zeros_like(self.hashed)])
-            self.hashed[self.size : len(known)] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), dtype=">u8").reshape(-1, 2)
-            self.size = len(known)
-        found = self.hashed[at]
-        return found[:, 0], found[:, 1]
-
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """(anchor of each block, its first window, windows in it, hash of each window), or None for a text without a window."""
-        p, words = self.p, text.split()
-        n = len(words) - p.words + 1
-        if n < 1:
-            return None
-        first, second = self._hashes(words)
-        runs = np.zeros(len(words) - p.seed + 1, dtype=np.uint64)
-        for j in range(p.seed):
-            runs = _mix(runs * _ODD + first[j : j + len(runs)])
-        wide = p.words - p.seed + 1
-        chosen = np.arange(n) + np.lib.stride_tricks.sliding_window_view(runs, wide).argmin(axis=1)
-        windows = np.zeros(n, dtype=np.uint64)
-        for j in range(p.words):
-            windows = _mix(windows * _ODD + second[j : j + n])
-        start = np.flatnonzero(np.diff(chosen, prepend=-1))
-        return runs[chosen[start]], start, np.diff(np.append(start, n)), windows
-
-    @staticmethod
-    def blocks(windows: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A hash of each block: of its windows in their order."""
-        out = np.zeros(len(start), dtype=np.uint64)
-        for j in range(int(size.max(initial=0))):
-            more = size > j
-            out[more] = _mix(out[more] * _ODD + windows[start[more] + j])
-        return _mix(out + size.astype(np.uint64))
+def _rolled(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k consecutive values: of halves that are powers of two, so about log2(k) passes."""
+    n, power, at, out = len(values) - k + 1, values, 0, None
+    for bit in range(k.bit_length()):
+        size = 1 << bit
+        if k & size:
+            part = power[at : at + n]
+            out = _mix(part * _ODD + np.uint64(size)) if out is None else _mix(out * _ODD + part)
+            at += size
+        if k >> (bit + 1):
+            power = _mix(power[:-size] * _ODD + power[size:])
+    return out
+
+
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[32, *range(9, 14)]] = True
+#: Places in a word that have random values of their own for each byte; a word's hash is their sum.
+_PLACES = 64
+_VALUES = np.random.default_rng(13).integers(0, 2**64, size=(2, _PLACES * 256), dtype=np.uint64)
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each word of some bytes begins, two 64-bit hashes of each)."""
+    black = np.concatenate([[False], ~_WHITE[data], [False]])
+    edges = np.flatnonzero(black[1:] != black[:-1])
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    if not len(begin):
+        return begin, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    at = (place % _PLACES) * 256 + data[black[1:-1]]
+    hashes = []
+    for values in _VALUES:
+        each = values[at]
+        far = np.flatnonzero(place >= _PLACES)
+        each[far] *= (2 * (place[far] // _PLACES) + 1).astype(np.uint64)
+        hashes.append(_mix(np.add.reduceat(each, first) + size.astype(np.uint64)))
+    return begin, *hashes
+
+
+def read(texts: list[bytes], p: Params) -> Blocks:
+    """The blocks of some texts, all at once."""
+    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+    begin, first, second = _words(np.frombuffer(b" ".join(texts), dtype=np.uint8))
+    upto = np.searchsorted(begin, offsets)  # words before each text
+    text = np.repeat(np.arange(len(texts)), np.diff(upto))  # of each word
+    n = len(first) - p.words + 1
+    none = np.zeros(0, dtype=np.int64)
+    if n < 1:
+        return Blocks(none, none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(np.uint64))
+    runs, windows = _rolled(first, p.seed), _rolled(second, p.words)
+    least, chosen = runs[:n], np.arange(n)
+    for j in range(1, p.words - p.seed + 1):
+        less = runs[j : j + n] < least
+        least = np.where(less, runs[j : j + n], least)
+        chosen = np.where(less, np.arange(j, j + n), chosen)
+    inside = np.flatnonzero(np.arange(n) + p.words <= upto[1:][text[:n]])  # windows of one text
+    # a run that a text's window chose lies in that text, so no block goes over its end
+    start = np.flatnonzero(np.diff(chosen[inside], prepend=-1))
+    many, start = np.diff(np.append(start, len(inside))), inside[start]
+    block = np.zeros(len(start), dtype=np.uint64)
+    for j in range(int(many.max(initial=0))):
+        more = many > j
+        block[more] = _mix(block[more] * _ODD + windows[start[more] + j])
+    return Blocks(text[start], least[start], _mix(block + many.astype(np.uint64)), start - upto[text[start]], many, start, windows)
+
+
+@dataclass
+class Blocks:
+    """Blocks of texts: the text's number, anchor, hash, first window (in its text), windows in it, first window (of all), hashes of all windows."""
+
+    text: np.ndarray
+    anchor: np.ndarray
+    block: np.ndarray
+    start: np.ndarray
+    many: np.ndarray
+    at: np.ndarray
+    windows: np.ndarray
+
+    def only(self, which: np.ndarray) -> Blocks:
+        return Blocks(self.text[which], self.anchor[which], self.block[which], self.start[which], self.many[which], self.at[which], self.windows)
+
+    def flat(self) -> np.ndarray:
+        """The hashes of the blocks' windows, one block after the other."""
+        return self.windows[np.repeat(self.at - np.cumsum(self.many) + self.many, self.many) + np.arange(self.many.sum())]
 
 
 def _column(b: pa.RecordBatch, i: int) -> list:
     return b.column(i).cast(pa.binary()).to_pylist()
 
 
+#: Bytes of texts that are read at once, and texts.
+AT_ONCE = (1 << 18, 4096)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(the leading columns, texts) of rows whose last column is a text, about ``AT_ONCE`` at a time."""
+    for b in batches:
+        ids, texts = np.array([b.column(i).to_pylist() for i in range(b.num_columns - 1)], dtype=np.int64), _column(b, b.num_columns - 1)
+        at = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= AT_ONCE[0] or i + 1 - at >= AT_ONCE[1] or i + 1 == len(texts):
+                yield ids[:, at : i + 1], texts[at : i + 1]
+                at, size = i + 1, 0
+
+
 def _wanted(docs: DataFrame) -> DataFrame:
     return docs.where("doc is not null and text is not null").select("doc", "text")
 
 
+def _firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of equal keys together, where each distinct one begins in it)."""
+    order = np.argsort(keys, kind="stable")
+    return order, np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+
+
 def _anchors(docs: DataFrame, p: Params) -> DataFrame:
     """(anchor): those that two ids or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held, size = Reader(p), [], 0
+        held, size = [], 0
 
         def told() -> pa.RecordBatch:
-            anchor, doc = np.concatenate([a for a, _ in held]), np.repeat([d for _, d in held], [len(a) for a, _ in held])
-            order = np.argsort(anchor, kind="stable")
-            anchor, doc = anchor[order], doc[order]
-            at = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[at].view(np.int64), np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at))], names=["anchor", "least", "most"])
-
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), _column(b, 1), strict=True):
-                found = reader.read(text)
-                if found:
-                    held.append((np.unique(found[0]), doc))
-                    size += len(found[3])
-                    if size >= p.block:
-                        yield told()
-                        held, size = [], 0
+            anchor, doc = (np.concatenate(c) for c in zip(*held, strict=True))
+            order, at = _firsts(anchor)
+            doc = doc[order]
+            least, most = (np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)) if len(at) else (doc, doc)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[order][at].view(np.int64), least, most)], names=["anchor", "least", "most"])
+
+        for ids, texts in _chunks(batches):
+            found = read(texts, p)
+            held.append((found.anchor, ids[0][found.text]))
+            size += len(found.windows)
+            if size >= p.block:
+                yield told()
+                held, size = [], 0
         if held:
             yield told()
 
@@ -150,36 +201,28 @@ def _blocks(docs: DataFrame, seeds: Bitmap, p: Params) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held, size = Reader(p), {}, 0
+        held, size = [], 0
 
-        def told() -> Iterator[pa.RecordBatch]:
-            rows = list(held.items())
-            for i in range(0, len(rows), 50_000):
-                some = rows[i : i + 50_000]
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(v[3]) for _, v in some])).astype(np.int32), pa.array(np.concatenate([v[3] for _, v in some]).view(np.int64)))
-                key = np.array([k for k, _ in some], dtype=np.uint64).view(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), *[pa.array([v[j] for _, v in some], pa.int64()) for j in range(3)], lists], names=["anchor", "block", "least", "most", "n", "windows"])
-
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), _column(b, 1), strict=True):
-                found = reader.read(text)
-                if not found:
-                    continue
-                anchor, start, many, windows = found
-                at = np.flatnonzero(sent.value.has(anchor))
-                anchor, start, many = anchor[at], start[at], many[at]
-                block = reader.blocks(windows, start, many)
-                for a, k, s, m in zip(anchor.tolist(), block.tolist(), start.tolist(), many.tolist(), strict=True):
-                    was = held.get((a, k))
-                    if was is None:
-                        held[a, k] = [doc, doc, 1, windows[s : s + m].copy()]
-                        size += 1
-                    else:
-                        was[0], was[1], was[2] = min(was[0], doc), max(was[1], doc), was[2] + 1
-                if size * 5 >= p.block:
-                    yield from told()
-                    held, size = {}, 0
-        yield from told()
+        def told() -> pa.RecordBatch:
+            anchor, block, doc, many, windows = (np.concatenate(c) for c in zip(*held, strict=True))
+            order, at = _firsts(block)
+            doc, one = doc[order], order[at]
+            least, most = (np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)) if len(at) else (doc, doc)
+            own = Blocks(one, anchor[one], block[one], one, many[one], (np.cumsum(many) - many)[one], windows)
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(own.many)).astype(np.int32), pa.array(own.flat().view(np.int64)))
+            columns = [own.anchor.view(np.int64), own.block.view(np.int64), least, most, np.diff(np.append(at, len(order)))]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["anchor", "block", "least", "most", "n", "windows"])
+
+        for ids, texts in _chunks(batches):
+            found = read(texts, p)
+            found = found.only(sent.value.has(found.anchor))
+            held.append((found.anchor, found.block, ids[0][found.text], found.many, found.flat()))
+            size += len(held[-1][-1])
+            if size >= p.block:
+                yield told()
+                held, size = [], 0
+        if held:
+            yield told()
 
     rows = _wanted(docs).mapInArrow(run, "anchor bigint, block bigint, least bigint, most bigint, n bigint, windows array<bigint>")
     return rows.groupBy("anchor", "block").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"), F.first("windows").alias("windows"))
@@ -190,32 +233,21 @@ def _places(docs: DataFrame, owned: Bitmap, p: Params) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(owned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(p)
-        for b in batches:
-            out = []
-            for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _column(b, 2), strict=True):
-                found = reader.read(text)
-                if found:
-                    anchor, start, many, windows = found
-                    block = reader.blocks(windows, start, many)
-                    at = np.flatnonzero(sent.value.has(block))
-                    out.append((np.full(len(at), doc), np.full(len(at), th), start[at], anchor[at].view(np.int64), block[at].view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["doc", "th", "start", "anchor", "block"])
+        for ids, texts in _chunks(batches):
+            found = read(texts, p)
+            found = found.only(sent.value.has(found.block))
+            columns = [ids[0][found.text], ids[1][found.text], found.start, found.anchor.view(np.int64), found.block.view(np.int64)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["doc", "th", "start", "anchor", "block"])
 
     rows = docs.where("doc is not null and text is not null").select("doc", F.xxhash64("text").alias("th"), "text")
     return rows.mapInArrow(run, "doc bigint, th bigint, start bigint, anchor bigint, block bigint")
 
 
-def _spans(starts: list[int], words: int) -> list[tuple[int, int]]:
+def _spans(starts: np.ndarray, words: int) -> list[tuple[int, int]]:
     """Maximal runs of words that windows from sorted starts cover."""
-    out: list[list[int]] = []
-    for s in starts:
-        if out and s <= out[-1][1]:
-            out[-1][1] = s + words
-        else:
-            out.append([s, s + words])
-    return [tuple(x) for x in out]
+    cut = np.flatnonzero(np.diff(starts) > words)
+    begin, end = starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + words
+    return list(zip(begin.tolist(), end.tolist(), strict=True))
 
 
 def _repeated(docs: DataFrame, p: Params) -> DataFrame:
@@ -249,9 +281,11 @@ def _cut(docs: DataFrame, p: Params, text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for body, starts in zip(_column(b, 1), b.column(2).to_pylist(), strict=True):
+            lists = b.column(2)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, body in enumerate(_column(b, 1)):
                 words = body.split()
-                spans = _spans(starts or [], p.words)
+                spans = _spans(values[at[i] : at[i + 1]], p.words) if at[i] < at[i + 1] else []
                 kept, last = [], 0
                 for s, e in spans:
                     kept += words[last:s]
