@@ -10,7 +10,7 @@ def assemble(words: Column) -> Column:
     """Text of array<struct<text, hyphen, attached, paragraph>>, in order.
 
     ``hyphen``: layout put a hyphen at the word's end, which goes; a real one at the end joins the next word unless that
-    begins with a blank or punctuation; a paragraph begins a line; attached words touch; else one blank.
+    begins with a blank or punctuation; a paragraph begins a line; attached words touch; else one blank. Null words are left out.
     """
     start = F.struct(F.lit("").alias("t"), F.lit(True).alias("first"), F.lit(False).alias("hyphen"))
 
@@ -20,11 +20,13 @@ def assemble(words: Column) -> Column:
         gap = F.when(a["first"] | a["hyphen"] | real, "").when(w["paragraph"], "\n").when(w["attached"], "").otherwise(" ")
         return F.struct(F.concat(cut, gap, w["text"]).alias("t"), F.lit(False).alias("first"), w["hyphen"].alias("hyphen"))
 
-    return F.aggregate(words, start, step, lambda a: a["t"])
+    return F.aggregate(F.filter(words, lambda w: w["text"].isNotNull()), start, step, lambda a: a["t"])
 
 
 def position_path(section: Column, paragraph: Column, offset: Column) -> Column:
-    return F.format_string("/body/DocFragment[%d]/body/p[%d]/text().%d", section, paragraph, offset)
+    """Such a path, null if any part of it is."""
+    known = section.isNotNull() & paragraph.isNotNull() & offset.isNotNull()
+    return F.when(known, F.format_string("/body/DocFragment[%d]/body/p[%d]/text().%d", section, paragraph, offset))
 
 
 def parse_position(path: Column) -> Column:

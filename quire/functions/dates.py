@@ -32,7 +32,7 @@ def leap_year(y: Column) -> Column:
 
 
 def bucket(hour: Column) -> Column:
-    return F.when(hour.between(5, 11), "morning").when(hour.between(12, 16), "afternoon").when(hour.between(17, 20), "evening").otherwise("night")
+    return F.when(hour.between(5, 11), "morning").when(hour.between(12, 16), "afternoon").when(hour.between(17, 20), "evening").when(hour.isNotNull(), "night")
 
 
 def _boundary_hour(h: Column) -> Column:

@@ -66,7 +66,8 @@ def best_ends(widths: list[int], width: int) -> list[int]:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def best_breaks(widths: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([best_ends([int(x) for x in w], int(n)) for w, n in zip(widths, width, strict=True)])
+    """Ends of lines (see ``best_ends``); null where there are no widths, a null width is 0."""
+    return pd.Series([None if w is None else best_ends([0 if x is None or x != x else int(x) for x in w], int(n)) for w, n in zip(widths, width, strict=True)])
 
 
 class Hyphenator:

@@ -29,7 +29,7 @@ class BlockReader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple] = []
-        self.skip = self.p = self.li = self.offset = self.tables = 0
+        self.skip = self.p = self.li = self.seen = self.tables = 0
         self.tag, self.text, self.at, self.anchors = "p", [], 0, []
         self.inside: list[list[int]] = []  # open tables: number, row, column
 
@@ -39,7 +39,7 @@ class BlockReader(HTMLParser):
         if text or kind == "cell":
             self.rows.append((kind, self.tag, ("• " if self.tag == "li" else "") + text, self.p, self.li, self.at, self.anchors, table, row, col))
             self.anchors = []
-        self.text, self.at = [], self.offset
+        self.text, self.at = [], self.seen
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         found = dict(attrs)
@@ -52,7 +52,7 @@ class BlockReader(HTMLParser):
             self.anchors.append(found["id"])
         if tag in ("img", "image"):
             self.flush()
-            self.rows.append(("image", tag, found.get("alt") or "", self.p, self.li, self.offset, [found.get("src") or found.get("href") or ""], None, None, None))
+            self.rows.append(("image", tag, found.get("alt") or "", self.p, self.li, self.seen, [found.get("src") or found.get("href") or ""], None, None, None))
         elif tag == "table":
             self.flush()
             self.tables += 1
@@ -70,7 +70,7 @@ class BlockReader(HTMLParser):
                 self.li += 1
             shared = tag == "p" and self.tag == "li" and not "".join(self.text).strip()
             if tag == "br" and not "".join(self.text).strip():
-                self.rows.append(("rule", tag, "", self.p, self.li, self.offset, [], None, None, None))
+                self.rows.append(("rule", tag, "", self.p, self.li, self.seen, [], None, None, None))
             elif not shared:
                 self.flush()
                 self.tag = self.tag if tag == "br" else tag
@@ -92,11 +92,93 @@ class BlockReader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            self.offset += len(data)
+            self.seen += len(data)
             if len(self.inside) < 2:  # text of nested tables is dropped
                 self.text.append(data)
 
 
+# Elements without an end, elements that end an open paragraph, elements whose text is not seen.
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "image", "img", "input", "link", "meta", "source", "track", "wbr"])
+ENDS_P = frozenset(["address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"])
+INVISIBLE = frozenset(["head", "style", "script", "title", "rp", "rt"])
+
+
+class PathReader(HTMLParser):
+    """Rows of a page: (path, node, start, length, paragraph, item), node 0 for elements and from 1 for the text nodes of one.
+
+    Elements are numbered among those of their name under one parent. A paragraph ends where a block begins, a list item
+    where the next does, an element where one around it ends; ends of what isn't open are passed over.
+    """
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.rows: list[tuple] = []
+        self.open: list[list] = [["", "", {}, 0, False]]  # name, path, children by name, text nodes, invisible
+        self.seen = self.p = self.li = 0
+        self.fresh = True
+
+    @classmethod
+    def of(cls, page: str | None) -> list[tuple]:
+        reader = cls()
+        try:
+            reader.feed(page or "")
+            reader.close()
+        except Exception:  # noqa: BLE001  a malformed page gives its readable part
+            pass
+        return reader.rows
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body":  # what is before it is no part of the text
+            self._begin()
+        if tag in ("html", "body"):
+            return
+        names = [e[0] for e in self.open]
+        if tag in ENDS_P and "p" in names:
+            self._end("p")
+        if tag == "li" and "li" in names and not {"ol", "ul"} & set(names[len(names) - names[::-1].index("li") :]):
+            self._end("li")
+        _, path, children, _, hidden = self.open[-1]
+        children[tag] = children.get(tag, 0) + 1
+        self.p, self.li, self.fresh = self.p + (tag == "p"), self.li + (tag == "li"), True
+        path = f"{path}/{tag}[{children[tag]}]"
+        if not hidden and tag not in INVISIBLE:
+            self.rows.append((path, 0, self.seen, 0, self.p, self.li))
+        if tag not in VOID:
+            self.open.append([tag, path, {}, 0, hidden or tag in INVISIBLE])
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self._end(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "body":
+            self.open = [["", "", {}, 0, True]]
+        self._end(tag)
+
+    def _end(self, tag: str) -> None:
+        self.fresh = True
+        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), 0)
+        if at:
+            del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        top = self.open[-1]
+        if top[4] or not data:
+            return
+        if self.fresh or not self.rows:
+            top[3] += 1
+            self.rows.append((top[1], top[3], self.seen, len(data), self.p, self.li))
+        else:  # a comment parts no text
+            path, node, start, length, p, li = self.rows[-1]
+            self.rows[-1] = (path, node, start, length + len(data), p, li)
+        self.fresh = False
+        self.seen += len(data)
+
+
 FIELDS = ["kind", "tag", "text", "paragraph", "item", "offset", "anchors", "table", "row", "col"]
 
 

@@ -183,11 +183,12 @@ def xml_escape(c: Column) -> Column:
 
 
 def roman(n: Column) -> Column:
-    """Upper-case Roman numerals of 1 to 3999."""
+    """Upper-case Roman numerals of 1 to 3999, null for any other number."""
     digits = ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")
     turn = lambda one, five, ten: [d.translate(str.maketrans("IVX", one + five + ten)) for d in digits]
     places = [(1000, ["", "M", "MM", "MMM"]), (100, turn("C", "D", "M")), (10, turn("X", "L", "C")), (1, list(digits))]
-    return F.concat(*[F.element_at(F.array(*map(F.lit, d)), (F.floor(n / p) % 10).cast("int") + 1) for p, d in places])
+    whole = F.concat(*[F.element_at(F.array(*map(F.lit, d)), (F.floor(n / p) % 10).cast("int") + 1) for p, d in places])
+    return F.when(n.between(1, 3999), whole)
 
 
 def alphabetic(n: Column) -> Column:

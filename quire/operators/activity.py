@@ -48,8 +48,7 @@ def capped_average(values: Column, weight: int = 1000, most: int = 65535) -> Col
 def streaks(days: DataFrame, by: list[str], day: str = "day") -> DataFrame:
     """(by, first, last, length) of each run of consecutive distinct days within the history of each key."""
     once = days.select(*by, day).distinct()
-    newest = once.groupBy(*by).agg(F.max(day).alias("_new"))
-    kept = once.join(newest, by).where(F.datediff("_new", day) < HISTORY)
+    kept = once.withColumn("_new", F.max(day).over(W.partitionBy(*by))).where(F.datediff("_new", day) < HISTORY)
     runs = kept.withColumn("_run", F.date_sub(F.col(day), F.row_number().over(W.partitionBy(*by).orderBy(day))))
     return runs.groupBy(*by, "_run").agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count("*").alias("length")).drop("_run")
 

@@ -84,15 +84,16 @@ def kind_from_first_pages(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turns", "size", kind.alias("kind"))
 
 
-@query("""with o as (select user_id, list(value order by ts, event_id) v from events group by 1)
+@query("""with o as (select user_id, list(value order by ts, event_id) filter (value is not null) v from events group by 1)
 select user_id, round(list_reduce(v, lambda a, x: a + 0.25 * (x - a)), 6) as level, len(v)::bigint as n from o""")
 def smoothed_level(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"]).alias("v"))
+    e = e.withColumn("v", F.filter("v", lambda x: x.isNotNull()))
     return e.select("user_id", F.round(activity.smoothed(F.col("v")), 6).alias("level"), F.size("v").cast("bigint").alias("n"))
 
 
 @query("""with g as (select user_id, event_type, max(value) v from events group by 1, 2)
-select user_id, arg_max(event_type, (v, event_type)) as strongest, max(v) as value, (select count(*) from events e where e.user_id = g.user_id) as events from g group by user_id""")
+select user_id, arg_max_null(event_type, (v, event_type)) as strongest, max(v) as value, (select count(*) from events e where e.user_id is not distinct from g.user_id) as events from g group by user_id""")
 def keep_strongest(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("value", "event_type")).alias("strongest"), F.max("value").alias("value"), F.count("*").alias("events"))
     return e.select("user_id", "strongest", "value", "events")
@@ -101,7 +102,7 @@ def keep_strongest(spark: SparkSession, d: str) -> DataFrame:
 @query("""select event_id, json_extract(props, '$.k')::int as k, coalesce(json_extract_string(props, '$.missing'), 'none') as missing, to_json({'id': event_id, 'type': event_type}) as row_json from events""")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     p = F.from_json("props", "k int, missing string")
-    return read(spark, d, "events").select("event_id", p["k"].alias("k"), F.coalesce(p["missing"], F.lit("none")).alias("missing"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("row_json"))
+    return read(spark, d, "events").select("event_id", p["k"].alias("k"), F.coalesce(p["missing"], F.lit("none")).alias("missing"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")), {"ignoreNullFields": "false"}).alias("row_json"))
 
 
 @query("""with s as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 6 hour then 0 else 1 end new from events),

@@ -9,6 +9,7 @@ from quire.plans import (  # noqa: F401  importing registers their queries
     join_queries,
     order_queries,
     page_queries,
+    position_queries,
     source_queries,
     stream_queries,
     text_queries,

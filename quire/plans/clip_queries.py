@@ -16,7 +16,7 @@ select l_orderkey, regexp_replace(array_to_string(v, ' '), '- ', '', 'g') as cli
 def clip_assembly(spark: SparkSession, d: str) -> DataFrame:
     """Words joined, layout's hyphens taken out."""
     n = F.col("l_linenumber")
-    w = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", F.concat("l_returnflag", "l_linestatus", F.when(n % 3 == 0, "-").otherwise("")).alias("text"), (n % 3 == 0).alias("hyphen"), F.lit(False).alias("attached"), F.lit(False).alias("paragraph"))
+    w = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", F.concat("l_returnflag", "l_linestatus", F.when(n % 3 == 0, "-").otherwise("")).alias("text"), F.coalesce(n % 3 == 0, F.lit(False)).alias("hyphen"), F.lit(False).alias("attached"), F.lit(False).alias("paragraph"))
     words = read(spark, d, "lineitem").select("l_orderkey", w.alias("w")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("w")).alias("v"))
     return words.select("l_orderkey", clips.assemble(F.col("v")).alias("clip"))
 
@@ -27,8 +27,8 @@ def metadata_precedence(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy("user_id").agg(clips.best_known(F.col("event_type"), rank, F.col("event_id")).alias("best"))
 
 
-@query("""select l_orderkey, l_linenumber, printf('/body/DocFragment[%d]/body/p[%d]/text().%d', l_orderkey, l_linenumber, l_partkey) as path,
- l_suppkey >= 0 and l_suppkey <= l_partkey and l_partkey < 1500 as valid from lineitem""")
+@query("""select l_orderkey, l_linenumber, case when l_orderkey + l_linenumber + l_partkey is not null then printf('/body/DocFragment[%d]/body/p[%d]/text().%d', l_orderkey, l_linenumber, l_partkey) end as path,
+ coalesce(l_suppkey >= 0 and l_suppkey <= l_partkey and l_partkey < 1500, false) as valid from lineitem""")
 def positions_and_validity(spark: SparkSession, d: str) -> DataFrame:
     a, b, c = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     return read(spark, d, "lineitem").select(a, b, clips.position_path(a, b, c).alias("path"), clips.valid_range(F.col("l_suppkey"), c, F.lit(1500)).alias("valid"))

@@ -152,7 +152,7 @@ def prune_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with r as (select row_number() over (order by n_nationkey) - 1 i, n_nationkey * 7 + 1 as first, n_name, n_regionkey from nation),
  p as (select p_partkey, p_size from part)
-select p_partkey, coalesce((select arg_max(r.n_name, r.first) from r where r.first <= p_size), '') || '-' || (1 + p_size - coalesce((select max(r.first) from r where r.first <= p_size), 0)) as label from p""")
+select p_partkey, coalesce((select arg_max_null(r.n_name, r.first) from r where r.first <= p_size), '') || '-' || (1 + p_size - coalesce((select max(r.first) from r where r.first <= p_size), 0)) as label from p""")
 def page_labels(spark: SparkSession, d: str) -> DataFrame:
     """The last range that starts at the page or before, and the number within it."""
     ranges = read(spark, d, "nation").select(F.lit(1).alias("k"), (F.col("n_nationkey") * 7 + 1).cast("bigint").alias("first"), "n_name", (F.col("n_nationkey") * 7 + 1).cast("bigint").alias("at"))
@@ -160,7 +160,7 @@ def page_labels(spark: SparkSession, d: str) -> DataFrame:
     sizes = pages.select("k", "p").distinct()  # few page numbers: the one key holds only these
     got = joins.asof(sizes, ranges, ["k"], "p", "first", ["n_name", "at"])
     label = F.concat(F.coalesce("n_name", F.lit("")), F.lit("-"), 1 + F.col("p") - F.coalesce("at", F.lit(0)))
-    return pages.join(F.broadcast(got.select("p", label.alias("label"))), "p").select("p_partkey", "label")
+    return pages.join(got.where("p is not null").select("p", label.alias("label")), "p", "left").select("p_partkey", "label")
 
 
 @query("""with b as (select p_partkey id, (p_partkey * 37 % 600)::double x0, (p_partkey * 37 % 600 + p_size)::double x1, (p_partkey * 91 % 800)::double y0, (p_partkey * 91 % 800 + 12)::double y1, p_partkey % 5 page, p_type t from part)
@@ -187,7 +187,7 @@ def style_cascade(spark: SparkSession, d: str) -> DataFrame:
     return joins.cascade(e, F.broadcast(rules))
 
 
-@query("select c_custkey, n_name, c_nationkey in (select s_nationkey from supplier where s_acctbal > 5000) as known from customer left join nation on n_nationkey = c_nationkey")
+@query("select c_custkey, n_name, coalesce(c_nationkey in (select s_nationkey from supplier where s_acctbal > 5000 and s_nationkey is not null), false) as known from customer left join nation on n_nationkey = c_nationkey")
 def flag_by_join(spark: SparkSession, d: str) -> DataFrame:
     known = read(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey")).distinct().withColumn("known", F.lit(True))
     nation = read(spark, d, "nation").select("n_nationkey", "n_name").join(known, "n_nationkey", "left")

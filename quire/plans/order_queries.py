@@ -53,7 +53,7 @@ def sections_and_flags(spark: SparkSession, d: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", (upto - peers).alias("section"), F.coalesce(change, F.lit(True)).alias("new_block"))
 
 
-@query("""with recursive t as (select p_partkey id, p_partkey // 3 - 1 parent from part), r(id, level) as (select id, 1 from t where parent < 0 union all select t.id, r.level + 1 from t join r on t.parent = r.id where r.level < 20)
+@query("""with recursive t as (select distinct p_partkey id, p_partkey // 3 - 1 parent from part where p_partkey is not null), r(id, level) as (select id, 1 from t where parent < 0 union all select t.id, r.level + 1 from t join r on t.parent = r.id where r.level < 20)
 select id, level from r""")
 def outline_levels(spark: SparkSession, d: str) -> DataFrame:
     """Levels of a tree given by parents, at most 20 deep."""
@@ -173,5 +173,5 @@ def suppressed_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("""select (row_number() over (order by p_retailprice desc, p_partkey))::int as place, p_partkey from part qualify place between 101 and 120 or p_partkey = 5""")
 def positional_fetch(spark: SparkSession, d: str) -> DataFrame:
     """Rows by their place in an order, and the place of one row."""
-    ranked = ordering.numbered(read(spark, d, "part").select("p_partkey", "p_retailprice").withColumn("k", -F.col("p_retailprice")), ["k", "p_partkey"], "place")
+    ranked = ordering.numbered(read(spark, d, "part").select("p_partkey", "p_retailprice").withColumn("k", F.coalesce(-F.col("p_retailprice"), F.lit(float("inf")))), ["k", "p_partkey"], "place")
     return ranked.where("place between 101 and 120 or p_partkey = 5").select("place", "p_partkey")

@@ -56,7 +56,8 @@ def _split(columns: str) -> list[str]:
   lower(trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'))) norm, count(*) over (partition by doc, page) held from runs),
  heads as (select doc, band, norm from banded where band is not null and norm <> '' group by all having count(distinct coalesce(page, -1)) >= 3),
  flow as (select b.* from banded b where not (b.dy <> 0 and (b.dx = 0 or 2 * abs(b.dy) > abs(b.dx))) and not exists (select 1 from heads h where h.doc is not distinct from b.doc and h.band = b.band and h.norm = b.norm)),
- usual as (select *, row_number() over () id, coalesce(doc, -1) * 10 + coalesce(page, 9) pg from flow where held <= 256),
+ placeable as (select *, row_number() over () id, coalesce(doc, -1) * 10 + coalesce(page, 9) pg from flow where held <= 256),
+ usual as (select * from placeable where x0 is not null and x1 is not null and y0 is not null and y1 is not null), bare as (from placeable where x0 is null or x1 is null or y0 is null or y1 is null),
  heights as (select pg, list_sort(list(least(63, floor((y1 - y0) * 64 / 800))))[(count(*) + 1) // 2] b from usual group by pg),
  measured as (select u.*, greatest(1, (b + 1) * 800 / 64) m, greatest(1, greatest(1, (b + 1) * 800 / 64) / 3) tol from usual u join heights using (pg)),
  far as (select * from measured a where strlen(text) <= 8 and exists (select 1 from measured b where b.pg = a.pg and strlen(b.text) <= 8 and abs(a.baseline - b.baseline) <= a.tol and abs(a.x0 + a.x1 - b.x0 - b.x1) >= 8 * a.m)),
@@ -79,6 +80,7 @@ def _split(columns: str) -> list[str]:
  lines as (select *, position = 0 or section <> s parted, position = 0 or section <> s or "column" <> c or abs(b - baseline) > tol new_line, abs(b - baseline) gap from before)
 select doc, page, run, text, section::bigint section, "column"::bigint "column", position, new_line, parted or heading or (new_line and (gap > 2 * m or abs(x - x0) > 2 * m or cell or
   (gap * 2 > 3 * m and regexp_matches(rtrim(t), '[.!?:]$') and not regexp_matches(ltrim(text), '^[a-z]')))) new_block, heading, cell, false as fallback from lines
+union all select doc, page, run, text, null, null, (select count(*) from usual u where u.pg = bare.pg) + row_number() over (partition by pg order by run, text) - 1, true, true, false, false, false from bare
 union all select doc, page, run, text, 0, 0, row_number() over (partition by doc, page order by run, source_order, text) - 1, true, true, false, false, true from flow where held > 256""")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     """All runs of all pages in reading order, running heads and rotated runs left out."""
@@ -88,7 +90,7 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
 _HIDDEN = """doc, page, run,
  case s % 13 when 0 then '' when 1 then '--' when 2 then concat('Producer: ', name) else concat('w ', cast(s % 5 as string)) end as text,
  cast(case s % 17 when 3 then -70 when 4 then 580 else 40 * (r % 8) + s end as double) as x0, cast(30 + s % 7 * case when s % 19 = 5 then 0 else 1 end - case when s % 19 = 5 then 30 else 0 end as double) as w,
- cast(20 * (run % 31) + s as double) as y0, cast(10 + s % 3 as double) as h, cast(case when s % 23 = 6 then 0 else 40 end as double) as dx, cast(0 as double) as dy, r % 5 <> 0 as hidden"""
+ cast(20 * (run % 31) + s as double) as y0, cast(10 + s % 3 as double) as h, cast(case when s % 23 = 6 then 0 else 40 end as double) as dx, cast(0 as double) as dy, coalesce(r % 5 <> 0, false) as hidden"""
 _BOXES = "doc, page, run, text, x0, x0 + w as x1, y0, y0 + h as y1, dx, dy, hidden"
 _IMAGES = "doc, page, cast(100 * (run % 5) as double) as x0, cast(100 * (run % 5) + 20 * s as double) as x1, cast(90 * (run % 7) as double) as y0, cast(90 * (run % 7) + 10 * s as double) as y1"
 _CHAIN = "abs(a.y0 + a.y1 - b.y0 - b.y1) <= 2 * greatest(800 / 6, 8 * greatest(a.y1 - a.y0, b.y1 - b.y0)) and 2 * greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) >= least(a.x1 - a.x0, b.x1 - b.x0)"

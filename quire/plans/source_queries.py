@@ -24,8 +24,9 @@ def _file(name: Column, text: Column) -> Column:
     return F.struct(name.alias("name"), text.alias("text"))
 
 
-@query("""select page_id, 0::bigint as ordinal, 'page.html' as name, octet_length(encode(html))::bigint as size, md5(html) as digest from pages
-union all select page_id, 1, 'url.txt', octet_length(encode(url)), md5(url) from pages""")
+@query("""with p as (select page_id, coalesce(html, '') html, coalesce(url, '') url from pages)
+select page_id, 0::bigint as ordinal, 'page.html' as name, octet_length(encode(html))::bigint as size, md5(html) as digest from p
+union all select page_id, 1, 'url.txt', octet_length(encode(url)), md5(url) from p""")
 def zip_members(spark: SparkSession, d: str) -> DataFrame:
     """Whole pages and their addresses read from archives."""
     files = F.array(_file(F.lit("page.html"), F.col("html")), _file(F.lit("url.txt"), F.col("url")))
@@ -42,7 +43,7 @@ def _chapters() -> Column:
 
 def _epubs(docs: DataFrame) -> DataFrame:
     """Documents as books: a chapter a piece, every other chapter in the contents."""
-    rows = docs.select(F.col("doc_id").cast("string").alias("path"), _chapters().alias("c"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("path"), _chapters().alias("c"))
     numbers = F.sequence(F.lit(0), F.size("c") - 1)
     each = lambda f: F.when(F.size("c") > 0, F.array_join(F.transform(numbers, f), "")).otherwise("")
     number = lambda i: i.cast("string")
@@ -61,31 +62,33 @@ def _epubs(docs: DataFrame) -> DataFrame:
 
 
 _CHAPTERS = f"""c as (select doc_id, i, '<html><body><p>' || replace(replace(replace(replace(substring(text, i * {_PIECE} + 1, {_PIECE}), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</p></body></html>' as html
- from (select doc_id, text, unnest(range((length(text) + {_PIECE} - 1) // {_PIECE})) i from documents))"""
+, text
+ from (select doc_id, text, unnest(range((length(text) + {_PIECE} - 1) // {_PIECE})) i from (select distinct doc_id, text from documents)))"""  # rows that repeat an id and text are one book
 
 
-@query(f"""with {_CHAPTERS} select doc_id, i::bigint as section, octet_length(encode(html))::bigint as size, sum(octet_length(encode(html))) over (partition by doc_id order by i)::bigint as cumulative,
+@query(f"""with {_CHAPTERS} select doc_id, i::bigint as section, octet_length(encode(html))::bigint as size, sum(octet_length(encode(html))) over (partition by doc_id, text order by i)::bigint as cumulative,
  (i // 2)::bigint as toc_index, 'Part ' || (i // 2 * 2) as title from c""")
 def epub_sections(spark: SparkSession, d: str) -> DataFrame:
     """The spine of every book with sizes and the title of the last entry of the contents."""
     rows = books.Epub(_epubs(read(spark, d, "documents"))).sections()
-    return rows.select(F.col("path").cast("bigint").alias("doc_id"), F.col("section").cast("bigint").alias("section"), "size", "cumulative", "toc_index", "title")
+    return rows.select(F.col("path").try_cast("bigint").alias("doc_id"), F.col("section").cast("bigint").alias("section"), "size", "cumulative", "toc_index", "title")
 
 
 @query(f"with {_CHAPTERS} select doc_id, i::bigint as section, md5(html) as digest from c")
 def epub_chapters(spark: SparkSession, d: str) -> DataFrame:
     """The text of every section of every book."""
     rows = books.Epub(_epubs(read(spark, d, "documents"))).chapters()
-    return rows.select(F.col("path").cast("bigint").alias("doc_id"), F.col("section").cast("bigint").alias("section"), F.md5(F.col("html").cast("binary")).alias("digest"))
+    return rows.select(F.col("path").try_cast("bigint").alias("doc_id"), F.col("section").cast("bigint").alias("section"), F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
-@query("""with w as (select doc_id, string_split(text, ' ') v from documents), e as (select doc_id, unnest(v) headword, unnest(range(len(v))) i from w)
+@query("""with w as (select distinct doc_id, string_split(text, ' ') v from documents), e as (select doc_id, unnest(v) headword, unnest(range(len(v))) i from w)
 select doc_id, i::bigint as ordinal, headword, 'about ' || headword || ' ' || i as definition from e""")
 def dictionary_entries(spark: SparkSession, d: str) -> DataFrame:
     """Every word of a document as a dictionary's headword, written and read back."""
     entry = lambda w, i: F.struct(w.alias("headword"), F.concat(F.lit("about "), w, F.lit(" "), i.cast("string")).alias("definition"))
-    rows = read(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("name"), F.transform(F.split("text", " "), entry).alias("entries"))
-    return lexicons.entries(lexicons.packed(rows)).select(F.col("name").cast("bigint").alias("doc_id"), "ordinal", "headword", "definition")
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.md5(F.col("text").cast("binary")))  # rows that repeat an id and text are one dictionary
+    rows = read(spark, d, "documents").where("text is not null").select(name.alias("name"), F.transform(F.split("text", " "), entry).alias("entries"))
+    return lexicons.entries(lexicons.packed(rows)).select(F.substring_index("name", "-", 1).try_cast("bigint").alias("doc_id"), "ordinal", "headword", "definition")
 
 
 def _pdfs(rows: DataFrame) -> DataFrame:
@@ -120,48 +123,51 @@ def _pdfs(rows: DataFrame) -> DataFrame:
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.array("p_name", "p_type").alias("lines"), F.array("p_brand", "p_type", "p_name").alias("titles"))
+    known = lambda c: F.coalesce(c, F.lit(""))
+    rows = read(spark, d, "part").select(known(F.col("p_partkey").cast("string")).alias("path"), F.array(*[known(c) for c in ("p_name", "p_type")]).alias("lines"), F.array(*[known(c) for c in ("p_brand", "p_type", "p_name")]).alias("titles"))
     # rows are few bytes and much work each: by their bytes alone they would be read by one or two tasks
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return _pdfs(rows.repartition(tasks, "path"))
 
 
-@query("""select p_partkey, 0::bigint as page, p_name as text, 72.0::double as x0, (72.0 + 5 * length(p_name))::double as x1, 700.0::double as baseline from part
-union all select p_partkey, 1, p_type, 72.0, (72.0 + 5 * length(p_type))::double, 700.0 from part""")
+@query("""select p_partkey, 0::bigint as page, p_name as text, 72.0::double as x0, (72.0 + 5 * length(p_name))::double as x1, 700.0::double as baseline from part where p_name <> ''
+union all select p_partkey, 1, p_type, 72.0, (72.0 + 5 * length(p_type))::double, 700.0 from part where p_type <> ''""")
 def pdf_runs(spark: SparkSession, d: str) -> DataFrame:
     """Text runs with their places from two pages a file."""
     rows = pdf.text_runs(_parts(spark, d)).where("error is null")
-    return rows.select(F.col("path").cast("bigint").alias("p_partkey"), "page", "text", "x0", F.round("x1", 6).alias("x1"), "baseline")
+    return rows.select(F.col("path").try_cast("bigint").alias("p_partkey"), "page", "text", "x0", F.round("x1", 6).alias("x1"), "baseline")
 
 
-@query("""select p_partkey, 0::bigint as toc_index, null::bigint as parent, p_brand as title, 1::bigint as level from part
-union all select p_partkey, 1, 0, p_type, 2 from part union all select p_partkey, 2, 1, p_name, 3 from part""")
+@query("""select p_partkey, 0::bigint as toc_index, null::bigint as parent, coalesce(p_brand, '') as title, 1::bigint as level from part
+union all select p_partkey, 1, 0, coalesce(p_type, ''), 2 from part union all select p_partkey, 2, 1, coalesce(p_name, ''), 3 from part""")
 def pdf_outline(spark: SparkSession, d: str) -> DataFrame:
     """The outline of every file, three levels deep."""
-    return pdf.outlines(_parts(spark, d)).select(F.col("path").cast("bigint").alias("p_partkey"), "toc_index", "parent", "title", "level")
+    return pdf.outlines(_parts(spark, d)).select(F.col("path").try_cast("bigint").alias("p_partkey"), "toc_index", "parent", "title", "level")
 
 
-@query("""select c_custkey, 0::bigint as ordinal, 'next' as kind, null as title, '/page/' || (c_custkey + 1) as href from customer
-union all select c_custkey, 1, 'book', c_name, '/' || c_custkey || '.epub' from customer union all select c_custkey, 2, 'navigation', c_mktsegment, '/shelf' from customer""")
+@query("""with c as (select c_custkey, coalesce(c_custkey::varchar, '') k, coalesce((c_custkey + 1)::varchar, '') n, coalesce(c_name, '') c_name, coalesce(c_mktsegment, '') c_mktsegment from customer)
+select c_custkey, 0::bigint as ordinal, 'next' as kind, null as title, '/page/' || n as href from c
+union all select c_custkey, 1, 'book', c_name, '/' || k || '.epub' from c where c_name <> '' union all select c_custkey, 1 + (c_name <> '')::bigint, 'navigation', c_mktsegment, '/shelf' from c where c_mktsegment <> ''""")
 def catalogue_feed(spark: SparkSession, d: str) -> DataFrame:
     """Entries and page links of a catalogue page a customer; an entry without a link is left out."""
-    key = F.col("c_custkey").cast("string")
+    known = lambda c: F.coalesce(c, F.lit(""))
+    key = known(F.col("c_custkey").cast("string"))
     xml = F.concat(
-        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><link rel="next" href="/page/'), (F.col("c_custkey") + 1).cast("string"), F.lit('"/><entry><title>'), xml_escape(F.col("c_name")),
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><link rel="next" href="/page/'), known((F.col("c_custkey") + 1).cast("string")), F.lit('"/><entry><title>'), xml_escape(known(F.col("c_name"))),
         F.lit('</title><link type="application/atom+xml" href="/other"/><link rel="http://opds-spec.org/acquisition" type="application/epub+zip" href="/'), key,
-        F.lit('.epub"/></entry><entry><title>Unlinked</title></entry><entry><title>'), xml_escape(F.col("c_mktsegment")), F.lit('</title><link type="application/atom+xml" href="/shelf"/></entry></feed>'),
+        F.lit('.epub"/></entry><entry><title>Unlinked</title></entry><entry><title>'), xml_escape(known(F.col("c_mktsegment"))), F.lit('</title><link type="application/atom+xml" href="/shelf"/></entry></feed>'),
     )
     rows = lexicons.feed(read(spark, d, "customer").select(key.alias("path"), xml.alias("xml")))
-    return rows.select(F.col("path").cast("bigint").alias("c_custkey"), "ordinal", "kind", "title", "href")
+    return rows.select(F.col("path").try_cast("bigint").alias("c_custkey"), "ordinal", "kind", "title", "href")
 
 
-@query("""with s as (select p_partkey, lower(replace(p_brand, '#', '-')) b, p_size n from part)
+@query("""with s as (select p_partkey, lower(replace(coalesce(p_brand, ''), '#', '-')) b, coalesce(p_size::varchar, '') n from part)
 select p_partkey, '.' || b as selector, 'margin' as property, n || 'px' as value from s union all select p_partkey, 'p em', 'margin', n || 'px' from s
 union all select p_partkey, '.' || b, 'color', 'red' from s union all select p_partkey, 'p em', 'color', 'red' from s union all select p_partkey, 'h1', 'font-size', '2em' from s""")
 def stylesheet_rules(spark: SparkSession, d: str) -> DataFrame:
     """Declarations of a style sheet a part: comments, at-rules and importance gone, lists of selectors parted."""
     css = F.concat(
-        F.lit("/* p { color: blue } */ @media print { p { color: black } } ."), F.replace(F.col("p_brand"), F.lit("#"), F.lit("-")), F.lit(", P >  EM { margin: "), F.col("p_size").cast("string"),
+        F.lit("/* p { color: blue } */ @media print { p { color: black } } ."), F.replace(F.coalesce("p_brand", F.lit("")), F.lit("#"), F.lit("-")), F.lit(", P >  EM { margin: "), F.coalesce(F.col("p_size").cast("string"), F.lit("")),
         F.lit("px !important; Color: red }\n@import 'x.css'; h1 { font-size: 2em; broken }"),
     )
     return markup.css_rules(read(spark, d, "part").select("p_partkey", css.alias("css")), "p_partkey").drop("ordinal")

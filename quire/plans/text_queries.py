@@ -30,7 +30,7 @@ def text_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.md5(text.normal_form(F.col("text")).cast("binary")).alias("form"), F.length(text.collapse(F.col("text"))).cast("bigint").alias("units"))
 
 
-@query("""select a.p_partkey, b.p_partkey as other, least(levenshtein(a.p_name, b.p_name), 9)::int as distance
+@query("""select a.p_partkey, b.p_partkey as other, case when a.p_name is not null and b.p_name is not null then least(levenshtein(a.p_name, b.p_name), 9)::int end as distance
 from part a join part b on b.p_partkey = a.p_partkey + 1""")
 def capped_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "part").select("p_partkey", "p_name")
@@ -111,7 +111,7 @@ def date_parts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", dates.day_index(o).alias("day_index"), dates.weekday(o).alias("weekday"), dates.leap_year(F.year(o)).alias("leap"), F.day(F.last_day(o)).alias("month_days"), F.date_add(o, 45).alias("later"), F.date_format(o, "MMM dd").alias("short"))
 
 
-@query("""select event_id, case when hour(ts) between 5 and 11 then 'morning' when hour(ts) between 12 and 16 then 'afternoon' when hour(ts) between 17 and 20 then 'evening' else 'night' end as bucket,
+@query("""select event_id, case when hour(ts) between 5 and 11 then 'morning' when hour(ts) between 12 and 16 then 'afternoon' when hour(ts) between 17 and 20 then 'evening' when ts is not null then 'night' end as bucket,
  epoch(date_trunc('day', ts) + to_hours(case when hour(ts) < 5 then 5 when hour(ts) < 12 then 12 when hour(ts) < 17 then 17 when hour(ts) < 21 then 21 else 24 end) - ts)::bigint as to_boundary,
  epoch(ts + to_seconds(90000) - ts)::bigint as added from events""")
 def day_buckets(spark: SparkSession, d: str) -> DataFrame:

@@ -24,17 +24,18 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def members(files: DataFrame, with_content: bool = False, pattern: str | None = None, most: int = 64 << 20) -> DataFrame:
-    """(path, ordinal, name, crc, packed, size, data, error) of archives (path, content).
+    """(path, ordinal, name, crc, packed, size, data, error) of archives (path, content), and file where the archives have it.
 
     ``data`` is read only if asked for, of names that match ``pattern``; members over ``most`` bytes carry an error.
     """
     import re
 
     wanted = re.compile(pattern) if pattern else None
+    ids = [c for c in ("path", "file") if c in files.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for *path, content in zip(*[b[c] for c in (*ids, "content")], strict=True):
                 out = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -45,12 +46,12 @@ def members(files: DataFrame, with_content: bool = False, pattern: str | None =
                                     data, error = (z.read(m), None) if m.file_size <= most else (None, "size")
                                 except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as x:
                                     error = type(x).__name__
-                            out.append((path, i, m.filename, m.CRC, m.compress_size, m.file_size, data, error))
+                            out.append((*path, i, m.filename, m.CRC, m.compress_size, m.file_size, data, error))
                 except zipfile.BadZipFile:
-                    out = [(path, None, None, None, None, None, None, "archive")]
-                yield pd.DataFrame(out, columns=["path", "ordinal", "name", "crc", "packed", "size", "data", "error"]).astype({c: "Int64" for c in ("ordinal", "crc", "packed", "size")})
+                    out = [(*path, None, None, None, None, None, None, "archive")]
+                yield pd.DataFrame(out, columns=[*ids, "ordinal", "name", "crc", "packed", "size", "data", "error"]).astype({c: "Int64" for c in ("ordinal", "crc", "packed", "size")})
 
-    return files.select("path", "content").mapInPandas(run, "path string, ordinal bigint, name string, crc bigint, packed bigint, size bigint, data binary, error string")
+    return files.select(*ids, "content").mapInPandas(run, ", ".join(f"{c} string" for c in ids) + ", ordinal bigint, name string, crc bigint, packed bigint, size bigint, data binary, error string")
 
 
 def packed(folders: DataFrame) -> DataFrame:
@@ -148,23 +149,26 @@ def _package(content: bytes) -> list[tuple]:
 
 
 class Epub:
-    """Tables of books (path, content): metadata, manifest, spine, toc, and sections joined from them."""
+    """Tables of books (path, content): metadata, manifest, spine, toc, and sections joined from them.
+
+    ``file`` is a digest of the content: books of one path are told apart by it, and rows that repeat a book are one book.
+    """
 
     def __init__(self, files: DataFrame):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for path, content in zip(b["path"], b["content"], strict=True):
+                for path, file, content in zip(b["path"], b["file"], b["content"], strict=True):
                     try:
                         rows = _package(content)
                     except (zipfile.BadZipFile, KeyError, ET.ParseError, StopIteration) as x:
                         rows = [("error", 0, type(x).__name__, None, None, None)]
-                    yield pd.DataFrame([(path, *r) for r in rows], columns=["path", "part", "ordinal", "a", "b", "c", "d"])
+                    yield pd.DataFrame([(path, file, *r) for r in rows], columns=["path", "file", "part", "ordinal", "a", "b", "c", "d"])
 
-        self.files = files
-        self.rows = files.select("path", "content").mapInPandas(run, "path string, part string, ordinal bigint, a string, b string, c string, d string")
+        self.files = files.select("path", F.md5("content").alias("file"), "content")
+        self.rows = self.files.mapInPandas(run, "path string, file string, part string, ordinal bigint, a string, b string, c string, d string").distinct()
 
     def part(self, name: str, **cols: str) -> DataFrame:
-        return self.rows.where(F.col("part") == name).select("path", "ordinal", *[F.col(k).alias(v) for k, v in cols.items()])
+        return self.rows.where(F.col("part") == name).select("path", "file", "ordinal", *[F.col(k).alias(v) for k, v in cols.items()])
 
     def metadata(self) -> DataFrame:
         return self.part("metadata", a="name", b="value")
@@ -176,31 +180,33 @@ class Epub:
         return self.part("error", a="error")
 
     def toc(self) -> DataFrame:
-        """(path, toc_index, title, href, anchor, level)"""
+        """(path, file, toc_index, title, href, anchor, level)"""
         return self.part("toc", a="title", b="href", c="anchor", d="level").withColumn("level", F.col("level").cast("int")).withColumnRenamed("ordinal", "toc_index")
 
     def sections(self) -> DataFrame:
-        """(path, section, href, size, cumulative, toc_index, title): the spine in order.
+        """(path, file, section, href, size, cumulative, toc_index, title): the spine in order.
 
         Items that the manifest lacks are dropped, of repeated ids the first counts. A section takes the first entry of the
         contents that points to it, else that of the section before.
         """
         spine = self.part("spine", a="id").withColumnRenamed("ordinal", "at")
-        items = joins.first_match(spine, self.manifest().select("path", "id", "href", "ordinal"), ["path", "id"], [F.col("ordinal")], "inner")
-        sizes = members(self.files).select("path", F.col("name").alias("href"), "size")
-        entries = self.toc().select("path", "href", "toc_index", "title")
-        rows = joins.first_match(items.join(sizes, ["path", "href"], "left"), entries, ["path", "href"], [F.col("toc_index")])
-        w = W.partitionBy("path").orderBy("at")
+        book = ["path", "file"]
+        items = joins.first_match(spine, self.manifest().select(*book, "id", "href", "ordinal"), [*book, "id"], [F.col("ordinal")], "inner")
+        sizes = members(self.files).where("error is null").select(*book, F.col("name").alias("href"), "size").distinct()
+        entries = self.toc().select(*book, "href", "toc_index", "title")
+        rows = joins.first_match(items.join(sizes, [*book, "href"], "left"), entries, [*book, "href"], [F.col("toc_index")])
+        w = W.partitionBy(*book).orderBy("at")
         upto = w.rowsBetween(W.unboundedPreceding, 0)
         return rows.select(
-            "path", (F.row_number().over(w) - 1).alias("section"), "href", "size", F.sum(F.coalesce("size", F.lit(0))).over(upto).alias("cumulative"),
+            *book, (F.row_number().over(w) - 1).alias("section"), "href", "size", F.sum(F.coalesce("size", F.lit(0))).over(upto).alias("cumulative"),
             F.last("toc_index", ignorenulls=True).over(upto).alias("toc_index"), F.last("title", ignorenulls=True).over(upto).alias("title"),
         )
 
     def chapters(self) -> DataFrame:
-        """(path, section, href, html): the text of every section."""
-        text = members(self.files, True, r"(?i)\.x?html?$").select("path", F.col("name").alias("href"), F.decode("data", "utf-8").alias("html"))
-        return self.sections().select("path", "section", "href").join(text, ["path", "href"])
+        """(path, file, section, href, html): the text of every section."""
+        book = ["path", "file", "href"]
+        text = members(self.files, True, r"(?i)\.x?html?$").select("path", "file", F.col("name").alias("href"), F.decode("data", "utf-8").alias("html"))
+        return self.sections().select("section", *book).join(text.groupBy(*book).agg(F.first("html").alias("html")), book)
 
 
 def write_xhtml(blocks: DataFrame, path: str) -> None:
