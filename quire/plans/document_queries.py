@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import layout, markup, urls
+from quire.operators import spans
 from quire.plans.registry import query, read
 
 
@@ -68,3 +69,25 @@ def optimal_breaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 query()(optimal_breaks)
+
+
+@query(r"""with raw as (select page_id, regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->|<(?:"[^"]*"|''[^'']*''|[^>"''])*>|\r\n|[\r\n]|[^<\r\n]+|<') v, row_number() over () doc from (select distinct page_id, html from pages)),
+ each as (select page_id, doc, unnest(v) t, unnest(range(len(v))) i from raw),
+ named as (select *, case when regexp_matches(t, '^<\s*/?\s*[A-Za-z_]') and suffix(t, '>') then lower(regexp_extract(t, '^<\s*/?\s*([^\s/>]+)', 1)) end n, regexp_matches(t, '^<\s*/') c from each where not starts_with(t, '<!')),
+ tok as (select *, n is null and t in (chr(10), chr(13), chr(13) || chr(10)) nl, case when n = 'br' then 0 when c then -1 else 1 end step from named where n is null or n not in ('meta', 'img', 'link', 'input')),
+ run as (select *, sum(case when n in ('b', 'strong', 'h1', 'h2', 'h3', 'h4', 'code') then step else 0 end) over w b, sum(case when n in ('i', 'em') then step else 0 end) over w it, sum(case when n in ('li', 'blockquote') then step else 0 end) over w q,
+  sum((nl or (n is not null and (c or n in ('b', 'strong', 'h1', 'h2', 'h3', 'h4', 'code', 'i', 'em', 'p', 'div', 'ul', 'ol', 'li', 'blockquote', 'br', 'sup', 'sub', 'small', 'u', 's'))))::int) over w g,
+  sum((nl or (n in ('p', 'div', 'ul', 'ol', 'h1', 'h2', 'h3', 'h4', 'blockquote', 'br') or (n = 'li' and not c)))::int) over w l, sum((n = 'li' and not c)::int) over w li from tok window w as (partition by doc order by i)),
+ low as (select *, b - least(0, min(b) over w) bold, it - least(0, min(it) over w) italic, q - least(0, min(q) over w) indent from run window w as (partition by doc order by i)),
+ pieces as (select page_id, doc, g, string_agg(replace(replace(replace(replace(replace(regexp_replace(t, '[\x00-\x1F]', ' ', 'g'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '' order by i) s, any_value(bold) > 0 bold, any_value(italic) > 0 italic, any_value(indent) indent, min(coalesce(l, 0)) l, min(coalesce(li, 0)) li from low where n is null and not nl group by all),
+ flags as (select *, l > lag(l, 1, 0) over w nl, li > lag(li, 1, 0) over w item from pieces where s <> '' window w as (partition by doc order by g))
+select page_id, count(*) as spans, sum(length(s))::bigint as chars, coalesce(sum(length(s)) filter (bold), 0)::bigint as bold_chars, md5(string_agg(s || bold::int || italic::int || indent || nl::int || item::int, '|' order by g)) as digest from flags group by page_id, doc""")
+def dictionary_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as dictionary entries: their styled spans, counted and digested with their styles."""
+    pages = read(spark, d, "pages").select("page_id", "html").distinct().withColumn("key", F.xxhash64("html"))
+    found = spans.styled_spans(pages, ["page_id", "key"])
+    flag = lambda c: F.col(c).cast("int").cast("string")
+    each = F.concat("text", flag("bold"), flag("italic"), F.col("indent").cast("string"), flag("newline"), flag("item"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", each.alias("t")))), lambda s: s["t"]), "|")
+    bold = F.coalesce(F.sum(F.when(F.col("bold"), F.length("text"))), F.lit(0)).cast("bigint")
+    return found.groupBy("page_id", "key").agg(F.count("*").alias("spans"), F.sum(F.length("text")).alias("chars"), bold.alias("bold_chars"), F.md5(texts.cast("binary")).alias("digest")).drop("key")
