@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +22,10 @@ GLUE = dict.fromkeys(map(ord, "  "), "\u0001")
 
 
 class BlockReader(HTMLParser):
-    """Rows of a page: (kind, tag, text, paragraph, item, offset, anchors, table, row, col).
+    """Rows of a page: (kind, tag, text, paragraph, item, offset, anchors, table, row, col, inline, wide, tall).
 
-    kind is block, image, cell or rule; paragraph and item count p and li starts; offset counts visible code points.
+    kind is block, image, cell or rule; paragraph and item count p and li starts; offset counts visible code points; inline holds
+    those of the anchors that stand on spans. wide and tall are a cell's columns and rows, 0 where that can't be read.
     """
 
     def __init__(self) -> None:
@@ -32,13 +34,15 @@ class BlockReader(HTMLParser):
         self.skip = self.p = self.li = self.seen = self.tables = 0
         self.tag, self.text, self.at, self.anchors = "p", [], 0, []
         self.inside: list[list[int]] = []  # open tables: number, row, column
+        self.inline: list[str] = []
+        self.spans: list[int] = [1, 1]  # of the open cell
 
     def flush(self, kind: str = "block") -> None:
         text = re.sub(r"[ \r\n\t]+", " ", "".join(self.text).replace("﻿", "").translate(GLUE)).strip(" ").replace("\u0001", " ")
         table, row, col = self.inside[0] if self.inside else (None, None, None)
         if text or kind == "cell":
-            self.rows.append((kind, self.tag, ("• " if self.tag == "li" else "") + text, self.p, self.li, self.at, self.anchors, table, row, col))
-            self.anchors = []
+            self.rows.append((kind, self.tag, ("• " if self.tag == "li" else "") + text, self.p, self.li, self.at, self.anchors, table, row, col, self.inline, *(self.spans if kind == "cell" else (None, None))))
+            self.anchors, self.inline = [], []
         self.text, self.at = [], self.seen
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -50,9 +54,11 @@ class BlockReader(HTMLParser):
             return
         if found.get("id"):
             self.anchors.append(found["id"])
+            if tag == "span":
+                self.inline.append(found["id"])
         if tag in ("img", "image"):
             self.flush()
-            self.rows.append(("image", tag, found.get("alt") or "", self.p, self.li, self.seen, [found.get("src") or found.get("href") or ""], None, None, None))
+            self.rows.append(("image", tag, found.get("alt") or "", self.p, self.li, self.seen, [found.get("src") or found.get("href") or ""], None, None, None, [], None, None))
         elif tag == "table":
             self.flush()
             self.tables += 1
@@ -63,6 +69,7 @@ class BlockReader(HTMLParser):
             self.flush()
             self.inside[0][2] += 1
             self.tag = tag
+            self.spans = [int(v) if (v := found.get(k) or "1").isascii() and v.isdigit() and int(v) < 256 else 0 for k in ("colspan", "rowspan")]
         elif tag in HEADERS or tag in BLOCKS:
             if tag == "p":
                 self.p += 1
@@ -70,7 +77,7 @@ class BlockReader(HTMLParser):
                 self.li += 1
             shared = tag == "p" and self.tag == "li" and not "".join(self.text).strip()
             if tag == "br" and not "".join(self.text).strip():
-                self.rows.append(("rule", tag, "", self.p, self.li, self.seen, [], None, None, None))
+                self.rows.append(("rule", tag, "", self.p, self.li, self.seen, [], None, None, None, [], None, None))
             elif not shared:
                 self.flush()
                 self.tag = self.tag if tag == "br" else tag
@@ -179,7 +186,7 @@ class PathReader(HTMLParser):
         self.seen += len(data)
 
 
-FIELDS = ["kind", "tag", "text", "paragraph", "item", "offset", "anchors", "table", "row", "col"]
+FIELDS = ["kind", "tag", "text", "paragraph", "item", "offset", "anchors", "table", "row", "col", "inline", "wide", "tall"]
 
 
 def blocks(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
@@ -199,13 +206,44 @@ def blocks(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
                         pass
                     reader.flush()
                     out += [(i, n, *r) for n, r in enumerate(reader.rows)]
-                yield pd.DataFrame(out, columns=["id", "block", *FIELDS]).astype({c: "Int64" for c in ("table", "row", "col")})
+                yield pd.DataFrame(out, columns=["id", "block", *FIELDS]).astype({c: "Int64" for c in ("table", "row", "col", "wide", "tall")})
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    shape = f"id {kind}, block bigint, kind string, tag string, text string, paragraph bigint, item bigint, offset bigint, anchors array<string>, table bigint, row bigint, col bigint"
+    shape = f"id {kind}, block bigint, kind string, tag string, text string, paragraph bigint, item bigint, offset bigint, anchors array<string>, table bigint, row bigint, col bigint, inline array<string>, wide bigint, tall bigint"
     return rows.mapInPandas(run, shape).withColumnRenamed("id", id_col)
 
 
+def laid_tables(rows: DataFrame, id_col: str) -> DataFrame:
+    """Blocks with the cells of tables that are too complex for a grid as paragraphs, in their order; empty ones of these go.
+
+    A table is too complex if a cell is more than one row high, or wide in a way that can't be read, or if a row has a wide cell that is not the
+    row's only one and as wide as the table. A page's blocks are dealt by page and table; nothing is joined.
+    """
+    table, row = W.partitionBy(id_col, "table"), W.partitionBy(id_col, "table", "row")
+    cell = (F.col("kind") == "cell") & F.col("table").isNotNull()
+    rows = rows.withColumn("_columns", F.sum(F.when(cell, F.col("wide"))).over(row)).withColumn("_cells", F.count(F.when(cell, 1)).over(row)).withColumn("_most", F.max("_columns").over(table))
+    whole = (F.col("_cells") == 1) & (F.col("wide") == F.col("_most"))
+    bad = cell & ((F.col("tall") != 1) | (F.col("wide") == 0) | ((F.col("wide") != 1) & ~whole))
+    rows = rows.withColumn("_complex", F.coalesce(F.max(bad).over(table) & F.col("table").isNotNull(), F.lit(False)))
+    rows = rows.where(~(F.col("_complex") & cell & (F.col("text") == "")))
+    out = rows.withColumn("kind", F.when(F.col("_complex") & cell, "block").otherwise(F.col("kind"))).withColumn("tag", F.when(F.col("_complex") & cell, "p").otherwise(F.col("tag")))
+    for c in ("table", "row", "col", "wide", "tall"):
+        out = out.withColumn(c, F.when(~F.col("_complex"), F.col(c)))
+    return out.drop("_columns", "_cells", "_most", "_complex")
+
+
+def kept_anchors(rows: DataFrame, targets: DataFrame, id_col: str, generated: bool = True, most: int = 1024) -> DataFrame:
+    """id_col, block, anchor of blocks: targets (id_col, anchor) always; others unless they stand on spans, come after ``most`` of a page,
+    or (where ``generated``) look made by a converter, as b and eight hexadecimal digits."""
+    each = rows.select(id_col, "block", "inline", F.posexplode("anchors").alias("_at", "anchor"))
+    wanted = targets.select(F.col(id_col).alias("_id"), F.col("anchor").alias("_anchor")).distinct().withColumn("_hit", F.lit(True))
+    each = each.join(wanted, (F.col(id_col) == F.col("_id")) & (F.col("anchor") == F.col("_anchor")), "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    seen = each.where(F.col("_hit") | ~F.array_contains("inline", F.col("anchor")))
+    seen = seen.withColumn("_nth", F.row_number().over(W.partitionBy(id_col).orderBy("block", "_at")))
+    made = F.col("anchor").rlike(r"\Ab[0-9a-f]{8}\z") & F.lit(generated)
+    return seen.where(F.col("_hit") | ((F.col("_nth") <= most) & ~made)).select(id_col, "block", "anchor")
+
+
 def links(c: Column) -> Column:
     """The targets of a page's links."""
     return F.regexp_extract_all(c, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
