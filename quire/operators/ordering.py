@@ -79,6 +79,11 @@ def tree_levels(tree: DataFrame, most: int) -> DataFrame:
     depths = _climbed(nodes.df.select("id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("v")), lambda v, w: v + w)
     known = nodes.df.join(depths.df.select("id", F.col("v").alias("depth")), "id")
     fits = F.col("depth") < most
+    if not known.where(F.col("depth") > most).limit(1).count():  # nothing has to move
+        out = Stored(known.select("id", "parent", F.col("depth").cast("int").alias("level")), "levels")
+        for held in (nodes, depths):
+            held.drop()
+        return out.df
     tops = _climbed(known.select("id", F.when(~fits, F.col("parent")).alias("up"), F.when(fits, F.col("id")).alias("v")), lambda v, w: w)
     parent = F.when(F.col("depth") > most, F.col("v")).otherwise(F.col("parent"))
     out = Stored(known.join(tops.df.select("id", "v"), "id").select("id", parent.alias("parent"), F.least(F.lit(most), F.col("depth")).cast("int").alias("level")), "levels")

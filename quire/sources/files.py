@@ -96,6 +96,42 @@ def checksum(df: DataFrame, *cols: str) -> str:
     return f"{got['n'] or 0}:{got['s'] or 0}"
 
 
+#: A prime and a base for hashes of sequences.
+PRIME, BASE = (1 << 61) - 1, 0x1F35F3A7C2B4D609
+
+
+def join_ledgers(first: tuple[int, int], second: tuple[int, int]) -> tuple[int, int]:
+    """(hash, length) of one sequence after the other; associative, so pieces may be joined in any grouping, in their order."""
+    return (first[0] * pow(BASE, second[1], PRIME) + second[0]) % PRIME, first[1] + second[1]
+
+
+def ledger(df: DataFrame, order: list[str], *cols: str) -> str:
+    """A digest of rows in an order: equal at any partitioning, another where two unequal rows change places.
+
+    Rows are dealt by ranges of the order; a task folds its range into a hash and a length, and these, one for each range, are joined in their order.
+    Rows equal in ``order`` go by their digests. A null is not an empty text.
+    """
+    text = F.to_json(F.array(*[F.col(c).cast("string") for c in cols]), {"ignoreNullFields": "false"})
+    rows = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint").alias("_h"))
+    keys = [c for c in rows.columns if c != "_h"]
+    ranged = rows.repartitionByRange(*keys, "_h") if keys else rows.repartitionByRange("_h")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, done = None, (0, 0)
+        for b in batches:
+            for h in b["_h"].tolist():
+                done = (done[0] * BASE + h) % PRIME, done[1] + 1
+            at = int(b["at"].iloc[0]) if at is None and len(b) else at
+        if at is not None:
+            yield pd.DataFrame({"at": [at], "hash": [done[0]], "n": [done[1]]})
+
+    pieces = ranged.sortWithinPartitions(*keys, "_h").select("_h", F.spark_partition_id().alias("at")).mapInPandas(fold, "at int, hash bigint, n bigint").collect()
+    whole = (0, 0)
+    for p in sorted(pieces, key=lambda r: r["at"]):
+        whole = join_ledgers(whole, (p["hash"], p["n"]))
+    return f"{whole[1]}:{whole[0]:016x}"
+
+
 _HEADER, _PAGE = "<IBBHBBBBIQQQQ", "<QIHH"
 # Magic numbers of bitmap books and their pages' depths.
 MAGIC = {0x00435458: 1, 0x48435458: 2}

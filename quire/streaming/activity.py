@@ -23,18 +23,32 @@ def fold_pace(avg: int, n: int, x: int, weight: int = 1000, most: int = 65535) -
     return (avg * w + min(x, most)) // (w + 1), n + 1
 
 
-def pace(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """(key, avg, n) after each batch that holds events (key, ts, event_id, x) of the key."""
+def pace(events: DataFrame, key: str = "user_id", idle: float | None = None) -> DataFrame:
+    """(key, avg, n) after each batch that holds events (key, ts, event_id, x) of the key.
+
+    With ``idle``, events have a watermark on ts, and the state of a key without events for so many seconds is let go.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         avg, n = state.get if state.exists else (0, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         for x in rows["x"].tolist():
             avg, n = fold_pace(int(avg), int(n), int(x))
         state.update((avg, n))
+        if idle is not None:
+            _wake(state, rows["ts"].iloc[-1].timestamp() + idle)
         yield pd.DataFrame({key: [k[0]], "avg": [avg], "n": [n]})
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} bigint, avg bigint, n bigint", "avg bigint, n bigint", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} bigint, avg bigint, n bigint", "avg bigint, n bigint", "update", timeout)
+
+
+def _wake(state: GroupState, at: float) -> None:
+    """Calls for the state's key again once the watermark passes a time (seconds), or as soon as can be."""
+    state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
 
 
 def debounce_step(state: tuple | None, ts: float, position: int, changes: int = 10, seconds: float = 300.0) -> tuple[tuple, bool]:
@@ -48,21 +62,51 @@ def debounce_step(state: tuple | None, ts: float, position: int, changes: int =
     return (position, n, saved), False
 
 
-def debounced(events: DataFrame, key: str = "user_id", changes: int = 10, seconds: float = 300.0) -> DataFrame:
-    """(key, ts, position) to save: after ``changes`` changes of position, or ``seconds`` after the last save."""
+def debounce_due(state: tuple | None, now: float, seconds: float = 300.0) -> tuple[tuple | None, float | None]:
+    """State and the time of the save that falls due by ``now`` without an event, if any does."""
+    if state is None or not state[1] or now < state[2] + seconds:
+        return state, None
+    return (state[0], 0, state[2] + seconds), state[2] + seconds
+
+
+def debounced(events: DataFrame, key: str = "user_id", changes: int = 10, seconds: float = 300.0, late: str = "0 seconds", idle: float = 86_400.0) -> DataFrame:
+    """(key, ts, position) to save: after ``changes`` changes of position, or ``seconds`` after the last save, without a further event too.
+
+    What is pending is saved once the watermark (the newest event of any key less ``late``) has passed its time; a key without
+    events for ``idle`` seconds more has no state.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else None
-        rows, out = pd.concat(list(batches)).sort_values(["ts", "event_id"]), []
-        for ts, position in zip(rows["ts"], rows["position"].tolist(), strict=True):
-            held, save = debounce_step(held, ts.timestamp(), int(position), changes, seconds)
-            if save:
-                out.append((k[0], ts, int(position)))
+        *held, seen = state.get if state.exists else (None, 0.0)
+        held, out = tuple(held) if state.exists else None, []
+
+        def due(now: float) -> None:
+            nonlocal held
+            held, at = debounce_due(held, now, seconds)
+            if at is not None:
+                out.append((k[0], pd.Timestamp(round(at * 1e6), unit="us"), int(held[0])))
+
+        if state.hasTimedOut:
+            pending = held[1]
+            due(state.getCurrentWatermarkMs() / 1000)
+            if not pending:
+                state.remove()
+                held = None
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            seen = max(seen, rows["ts"].iloc[-1].timestamp())
+            for ts, position in zip(rows["ts"], rows["position"].tolist(), strict=True):
+                due(ts.timestamp())
+                held, save = debounce_step(held, ts.timestamp(), int(position), changes, seconds)
+                if save:
+                    out.append((k[0], ts, int(position)))
         if held is not None:
-            state.update(held)
+            state.update((*held, seen))
+            _wake(state, held[2] + seconds if held[1] else seen + idle)
         yield pd.DataFrame(out, columns=[key, "ts", "position"])
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} bigint, ts timestamp, position bigint", "position bigint, n bigint, saved double", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} bigint, ts timestamp, position bigint", "position bigint, n bigint, saved double, seen double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def buckets(spans: DataFrame, key: str = "user_id") -> DataFrame:

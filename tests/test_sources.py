@@ -242,3 +242,21 @@ def test_bitmap_chapters(spark):
 def test_rotated(spark):
     df = spark.createDataFrame([(10, 0), (0, 0), (0, -1), (10, 5), (10, 6), (-10, -6)], "dx int, dy int")
     assert [r[0] for r in df.select(layout.rotated(F.col("dx"), F.col("dy"))).collect()] == [False, False, True, False, True, True]
+
+
+def test_a_ledger_depends_on_order_alone(spark):
+    rows = [(i, f"f{i % 7}", None if i % 5 == 0 else i * i) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq bigint, path string, size bigint")
+    one = files.ledger(df.coalesce(1), ["seq"], "path", "size")
+    assert {files.ledger(df.repartition(n), ["seq"], "path", "size") for n in (2, 5)} == {one} and one.startswith("300:")
+    swapped = [(1 if i == 2 else 2 if i == 1 else i, p, z) for i, p, z in rows]
+    assert files.ledger(spark.createDataFrame(swapped, df.schema), ["seq"], "path", "size") != one
+    assert files.ledger(df.limit(0), ["seq"], "path") == "0:0000000000000000"
+    assert files.ledger(df.where("seq < 2").union(df.where("seq < 2")), ["seq"], "path") == files.ledger(df.where("seq < 2").union(df.where("seq < 2")).repartition(3), ["seq"], "path")
+    pieces = [(h * 17 % files.PRIME, 1) for h in range(9)]
+    left = right = (0, 0)
+    for p in pieces:
+        left = files.join_ledgers(left, p)
+    for p in reversed(pieces):
+        right = files.join_ledgers(p, right)
+    assert left == right
