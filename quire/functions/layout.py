@@ -128,6 +128,56 @@ def hyphenate(word: Column, patterns: list[str], before: int = 2, after: int = 3
     return run(word)
 
 
+def hyphenated_lines(text: Column, width: int, patterns: list[str], before: int = 2, after: int = 3) -> Column:
+    """array<string>: greedy lines of at most ``width`` characters whose last word may be parted where patterns and its own hyphens allow.
+
+    A word that does not fit leaves its longest beginning that fits with a hyphen, which its own hyphens need no second of. Pieces that no
+    line can hold with a hyphen are cut one short of the width. White space parts words; null texts give null, empty ones no line. So no breaking at these
+    places has fewer lines. The lines are folded from the words' pieces, in the engine.
+    """
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    places = break_places(words, patterns, before, after)
+    cut = lambda w, at: F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda i: F.substring(w, F.element_at(at, i) + 1, F.element_at(at, i + 1) - F.element_at(at, i)))
+    room = max(1, width - 1)
+    hard = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / room).cast("int")), lambda i: F.substring(p, i * room + 1, F.lit(room)))
+
+    def pieces(w: Column, at: Column) -> Column:
+        """A word's pieces: (text, whether it begins the word, whether it ends it, whether a hyphen has to follow where it is parted)."""
+        whole = F.concat(F.array(F.lit(0)), F.filter(at, lambda i: (i > 0) & (i < F.length(w))), F.array(F.length(w)))
+        soft = F.transform(cut(w, whole), lambda p: F.when(F.length(p) <= room, F.array(p)).otherwise(hard(p)))
+        flat = F.flatten(F.transform(soft, lambda ps: F.transform(ps, lambda p, i: F.struct(p.alias("t"), ((i == F.size(ps) - 1) & ~p.endswith("-")).alias("soft")))))
+        return F.transform(flat, lambda p, i: F.struct(p["t"].alias("t"), (i == 0).alias("first"), (i == F.size(flat) - 1).alias("last"), p["soft"].alias("soft")))
+
+    every = F.flatten(F.zip_with(words, places, pieces))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(False).alias("soft"))
+
+    def step(a: Column, p: Column) -> Column:
+        joined = F.when(a["line"] == "", p["t"]).otherwise(F.concat(a["line"], F.when(p["first"], " ").otherwise(""), p["t"]))
+        hyphen = p["soft"] & ~p["last"]
+        fits = (a["line"] == "") | (F.length(joined) + hyphen.cast("int") <= width)
+        done = F.concat(a["line"], F.when(~p["first"] & a["soft"], "-").otherwise(""))
+        return F.struct(F.when(fits, a["lines"]).otherwise(F.concat(a["lines"], F.array(done))).alias("lines"), F.when(fits, joined).otherwise(p["t"]).alias("line"), hyphen.alias("soft"))
+
+    return F.aggregate(every, start, step, lambda a: F.when(a["line"] == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(a["line"]))))
+
+
+def break_places(words: Column, patterns: list[str], before: int, after: int) -> Column:
+    """array<array<int>>: where each word of an array may break."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def run(s: pd.Series) -> pd.Series:
+        h, known = Hyphenator(patterns, before, after), {}
+
+        def places(w: str) -> list[int]:
+            if w not in known:
+                known[w] = h.positions(w)
+            return known[w]
+
+        return s.map(lambda ws: None if ws is None else [places(w) for w in ws])
+
+    return run(words)
+
+
 @F.pandas_udf(T.StringType())
 def visual_order(s: pd.Series) -> pd.Series:
     """Runs of right-to-left characters reversed for display (numbers inside keep their order)."""

@@ -122,3 +122,13 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
     html = F.concat(F.lit("<body><table><tr><th"), tall, F.lit(">"), known("p_name"), F.lit("</th><td>"), known("p_type"), F.lit("</td></tr><tr><td"), wide, F.lit(">"), known("p_brand"), F.lit("</td>"), last, F.lit("</tr></table><p>after</p></body>"))
     pages = read(spark, d, "part").where(k.isNotNull()).select(k, html.alias("html"))
     return markup.laid_tables(markup.blocks(pages, "p_partkey"), "p_partkey").select("p_partkey", "kind", "row", "col", "text")
+
+
+def hyphenated_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Turns wrapped to 32 characters, words parted before some syllables (tests: all ways of breaking)."""
+    lines = layout.hyphenated_lines(F.col("text"), 32, ["1ti", "1ta", "1na", "1re", "1de", "1le", "1ch2"])
+    rows = read(spark, d, "conversations").select("conv_id", "turn", lines.alias("lines"))
+    return rows.select("conv_id", "turn", F.size("lines").alias("n_lines"), F.array_max(F.transform("lines", F.length)).alias("widest"), F.md5(F.array_join("lines", "\n").cast("binary")).alias("digest"))
+
+
+query()(hyphenated_lines)

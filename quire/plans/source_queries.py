@@ -171,3 +171,19 @@ def stylesheet_rules(spark: SparkSession, d: str) -> DataFrame:
         F.lit("px !important; Color: red }\n@import 'x.css'; h1 { font-size: 2em; broken }"),
     )
     return markup.css_rules(read(spark, d, "part").select("p_partkey", css.alias("css")), "p_partkey").drop("ordinal")
+
+
+@query("""with e as (select 0 src, doc_id i, regexp_extract(text, '[A-Za-z]+') head, md5(text) def from documents where text is not null union all select 1, item_id, regexp_extract(text, '[A-Za-z]+'), md5(text) from benchmark where text is not null),
+ m as (select head, string_agg(def, chr(10) order by src, i, def) def from e group by 1), o as (select *, octet_length(encode(def))::bigint size, row_number() over (order by lower(head), head) - 1 n from m)
+select head as headword, (sum(size) over (order by n) - size)::bigint as "offset", size, md5(def) as digest, n // 4096 as piece from o""")
+def dictionary_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two dictionaries merged, written as the files of one, and its entries read back from their pieces."""
+    head = F.regexp_extract("text", "[A-Za-z]+", 0).alias("headword")
+
+    def source(name: str, table: str, key: str) -> DataFrame:
+        return read(spark, d, table).where("text is not null").select(F.lit(name).alias("name"), F.col(key).alias("ordinal"), head, F.md5(F.col("text").cast("binary")).alias("definition"))
+
+    found = source("a", "documents", "doc_id").unionByName(source("b", "benchmark", "item_id"))
+    merged, alts = lexicons.merge(found, found.where("headword = ''").select("name", F.lit("none").alias("alt"), "ordinal"), ["a", "b"])
+    back = lexicons.piece_entries(lexicons.files_of("both", merged, alts))
+    return back.select("headword", "offset", "size", F.md5(F.col("definition").cast("binary")).alias("digest"), "piece")

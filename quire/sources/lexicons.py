@@ -8,7 +8,8 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.operators.ordering import numbered
@@ -95,6 +96,95 @@ def merge(found: DataFrame, alts: DataFrame, order: list[str]) -> tuple[DataFram
     return merged, old.join(merged.select("headword", "ordinal"), "headword").select("alt", "ordinal")
 
 
+#: Entries in a piece of a dictionary's files; a multiple of the strides of its sparse indexes.
+PIECE = 4096
+# The head and stride of page tables, the head, prefix and stride of sampled indexes.
+OFT_HEAD, OFT_STRIDE = b"StarDict's Cache, Version: 0.2\xc1\xd1\xa4\x51\x00\x00\x00\x00", 32
+CSPT_HEAD, CSPT_PREFIX, CSPT_STRIDE = b"CSPT\x01\x10\x10\x00", 16, 16
+
+
+def _big(n: Column) -> Column:
+    """A number as four bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0"))
+
+
+def _little(n: Column) -> Column:
+    digits = F.lpad(F.hex(n.cast("bigint")), 8, "0")
+    return F.unhex(F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)]))
+
+
+def _placed(rows: DataFrame, sizes: list[str]) -> DataFrame:
+    """Adds piece and, for each size, _<size>: the sum of those of smaller ordinals; piece by piece, of which sums are made first."""
+    rows = rows.withColumn("piece", F.expr(f"ordinal div {PIECE}"))
+    sums = rows.groupBy("piece").agg(*[F.sum(c).alias(c) for c in sizes])
+    upto = W.orderBy("piece")  # a row a piece
+    before = sums.select(F.col("piece").alias("_at"), *[(F.sum(c).over(upto) - F.col(c)).alias(f"_before_{c}") for c in sizes])
+    within = W.partitionBy("piece").orderBy("ordinal")
+    out = rows.join(before, F.col("piece") == F.col("_at"))
+    return out.select(*rows.columns, *[(F.sum(c).over(within) - F.col(c) + F.col(f"_before_{c}")).alias(f"_{c}") for c in sizes])
+
+
+def _sparse(rows: DataFrame, path: str, word: str) -> list[DataFrame]:
+    """The page table and the sampled index of rows (ordinal, piece, word, entry, _entry)."""
+    spark = rows.sparkSession
+    joined = lambda c: F.expr(f"listagg({c}) within group (order by ordinal)")
+    whole = rows.agg(F.coalesce(F.sum("entry"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).withColumn("piece", F.lit(1 << 40))
+    pages = rows.where((F.col("ordinal") + 1) % OFT_STRIDE == 0).withColumn("b", _little(F.col("_entry") + F.col("entry"))).groupBy("piece").agg(joined("b").alias("content"))
+    samples = rows.where(F.col("ordinal") % CSPT_STRIDE == 0)
+    prefix = F.substring(F.concat(F.encode(word, "UTF-8"), F.lit(bytes(CSPT_PREFIX))), 1, CSPT_PREFIX)
+    samples = samples.withColumn("b", F.concat(prefix, _little(F.col("_entry")))).groupBy("piece").agg(joined("b").alias("content"))
+    head = lambda b: spark.range(1).select(F.lit(-1).cast("bigint").alias("piece"), F.lit(b).alias("content"))
+    count = whole.select(F.lit(-1).cast("bigint").alias("piece"), F.concat(F.lit(CSPT_HEAD), _little(F.ceil(F.col("n") / CSPT_STRIDE))).alias("content"))
+    oft = head(OFT_HEAD).unionByName(pages).unionByName(whole.select("piece", _little(F.col("bytes")).alias("content")))
+    return [oft.withColumn("path", F.lit(f"{path}.oft")), count.unionByName(samples).withColumn("path", F.lit(f"{path}.oft.cspt"))]
+
+
+def files_of(name: str, merged: DataFrame, alts: DataFrame, kind: str = "m") -> DataFrame:
+    """(path, piece, content): the files of a dictionary from (ordinal, headword, definition) and synonyms (alt, ordinal).
+
+    .idx, .dict, .syn, the page tables (.oft) and sampled indexes (.oft.cspt) of .idx and .syn, and .ifo. A file is its pieces in their order; a piece
+    is written by one task and holds ``PIECE`` entries, those of .idx and .dict with one number the same ones. Ordinals count from 0
+    without gaps, as from ``merge``. Offsets have 32 bits, so a body of over 4 GiB does not fit the format and is an error.
+    """
+    joined = lambda c: F.expr(f"listagg({c}) within group (order by ordinal)")
+    word, text = F.encode("headword", "UTF-8"), F.encode(F.coalesce("definition", F.lit("")), "UTF-8")
+    rows = merged.select("ordinal", "headword", text.alias("text"), F.octet_length(text).cast("bigint").alias("size"), (F.octet_length(word) + 9).cast("bigint").alias("entry"))
+    rows = _placed(rows, ["size", "entry"])
+    fits = F.when(F.col("_size") + F.col("size") < 1 << 32, F.col("_size")).otherwise(F.raise_error(F.lit("a dictionary's body has over 4 GiB")).cast("bigint"))
+    index = rows.withColumn("b", F.concat(F.encode("headword", "UTF-8"), F.lit(b"\0"), _big(fits), _big(F.col("size"))))
+    idx = index.groupBy("piece").agg(joined("b").alias("content")).withColumn("path", F.lit(f"{name}.idx"))
+    body = rows.groupBy("piece").agg(joined("text").alias("content")).withColumn("path", F.lit(f"{name}.dict"))
+    syn = alts.where("alt is not null").select("alt", F.col("ordinal").cast("bigint").alias("target"), F.lower("alt").alias("k"))
+    syn = numbered(syn, ["k", "alt", "target"], "nth").select((F.col("nth") - 1).cast("bigint").alias("ordinal"), "alt", "target")
+    syn = _placed(syn.withColumn("entry", (F.octet_length(F.encode("alt", "UTF-8")) + 5).cast("bigint")), ["entry"])
+    named = syn.withColumn("b", F.concat(F.encode("alt", "UTF-8"), F.lit(b"\0"), _big(F.col("target"))))
+    syns = named.groupBy("piece").agg(joined("b").alias("content")).withColumn("path", F.lit(f"{name}.syn"))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    counted = rows.select(one.alias("n"), F.col("entry").alias("bytes"), none.alias("m")).unionByName(syn.select(none.alias("n"), none.alias("bytes"), one.alias("m")))
+    total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "bytes", "m")])
+    about = F.concat_ws("\n", F.lit("StarDict's dict ifo file"), F.lit("version=2.4.2"), F.lit(f"bookname={name}"), F.concat(F.lit("wordcount="), "n"), F.concat(F.lit("idxfilesize="), "bytes"), F.concat(F.lit("synwordcount="), "m"), F.lit(f"sametypesequence={kind}"))
+    ifo = total.select(none.alias("piece"), F.encode(F.concat(about, F.lit("\n")), "UTF-8").alias("content"), F.lit(f"{name}.ifo").alias("path"))
+    out = idx
+    for part in (body, syns, ifo, *_sparse(rows, f"{name}.idx", "headword"), *_sparse(syn, f"{name}.syn", "alt")):
+        out = out.unionByName(part)
+    return out.select("path", "piece", "content")
+
+
+def piece_entries(pieces: DataFrame) -> DataFrame:
+    """(path, piece, headword, offset, size, definition) of a dictionary's pieces (path, piece, content), a piece of .idx with its piece of .dict."""
+    side = lambda ext: pieces.where(F.col("path").endswith(f".{ext}")).select(F.regexp_replace("path", rf"\.{ext}$", "").alias("path"), "piece", F.col("content").alias(ext))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, piece, idx, body in zip(b["path"], b["piece"], b["idx"], b["dict"], strict=True):
+                found = list(_index(idx, 8))
+                first = found[0][1] if found else 0
+                rows = [(path, piece, w, o, n, body[o - first : o - first + n].decode("utf-8", "replace")) for w, o, n in found]
+                yield pd.DataFrame(rows, columns=["path", "piece", "headword", "offset", "size", "definition"])
+
+    return side("idx").join(side("dict"), ["path", "piece"]).mapInPandas(run, "path string, piece bigint, headword string, offset bigint, size bigint, definition string")
+
+
 def feed(pages: DataFrame, most: int = 50) -> DataFrame:
     """(path, ordinal, kind, title, author, href, id) of Atom catalogues (path, xml); kind is book, navigation, next, previous or search.
 
