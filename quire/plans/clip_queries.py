@@ -12,7 +12,7 @@ from quire.plans.registry import query, read
 
 
 @query("""with w as (select l_orderkey, list(l_returnflag || l_linestatus || (case when l_linenumber % 3 = 0 then '-' else '' end) order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) v from lineitem group by 1)
-select l_orderkey, regexp_replace(array_to_string(v, ' '), '- ', '', 'g') as clip from w""")
+select l_orderkey, coalesce(regexp_replace(array_to_string(v, ' '), '- ', '', 'g'), '') as clip from w""")
 def clip_assembly(spark: SparkSession, d: str) -> DataFrame:
     """Words joined, layout's hyphens taken out."""
     n = F.col("l_linenumber")

@@ -94,7 +94,7 @@ def dictionary_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("page_id", "key").agg(F.count("*").alias("spans"), F.sum(F.length("text")).alias("chars"), bold.alias("bold_chars"), F.md5(texts.cast("binary")).alias("digest")).drop("key")
 
 
-@query(r"""with b as (select page_id, regexp_extract(html, '(?s)<body[^>]*>(.*?)(?:</body>|$)', 1) body from pages),
+@query(r"""with b as (select page_id, regexp_extract(html, '(?s)<body[^>]*>(.*?)(?:</body>|$)', 1) body from (select distinct page_id, html from pages where page_id is not null)),
  p as (select page_id, string_split(body, '<p>') v from b), s as (select page_id, k, v[k + 1] t, array_to_string(v[1:k], '<p>') before from p, range(1, 2000) r(k) where k < len(v)),
  c as (select page_id, k, before, regexp_replace(regexp_extract(t, '(?s)^(.*?)(?:</p>|<br>|</article>|<ul>|<div|<table|$)', 1), '<[^>]*>', '', 'g') t from s),
  d as (select page_id, k, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \r\n\t]+', ' ', 'g')) t,
@@ -102,12 +102,13 @@ def dictionary_spans(spark: SparkSession, d: str) -> DataFrame:
 select page_id, k as paragraph, md5(t) as digest, "at" as "offset" from d where t <> ''""")
 def paragraph_texts(spark: SparkSession, d: str) -> DataFrame:
     """The whole text of every paragraph of every page, and where it begins."""
-    b = markup.blocks(read(spark, d, "pages"), "page_id").where("kind = 'block' and tag = 'p' and paragraph > 0")
+    pages = read(spark, d, "pages").select("page_id", "html").where("page_id is not null").distinct()
+    b = markup.blocks(pages, "page_id").where("kind = 'block' and tag = 'p' and paragraph > 0")
     first = b.groupBy("page_id", "paragraph").agg(F.min(F.struct("block", "text", "offset")).alias("b"))
     return first.select("page_id", "paragraph", F.md5(F.col("b.text").cast("binary")).alias("digest"), "b.offset")
 
 
-@query("""with t as (select p_partkey k, p_size % 4 s, coalesce(p_name, '') a, coalesce(p_type, '') b, coalesce(p_brand, '') c from part where p_partkey is not null),
+@query("""with t as (select distinct p_partkey k, p_size % 4 s, coalesce(p_name, '') a, coalesce(p_type, '') b, coalesce(p_brand, '') c from part where p_partkey is not null),
  complex as (select *, k % 5 = 0 or k % 7 = 0 or k % 11 = 0 bad from t),
  cells as (select k, bad, 1 r, 1 c, a x from complex union all select k, bad, 1, 2, b from complex union all select k, bad, 2, 1, c from complex union all select k, bad, 2, 2, 'x' || k from complex where k % 3 <> 0 or k % 5 = 0 or k % 7 = 0 or k % 11 = 0)
 select k as p_partkey, case when bad then 'block' else 'cell' end as kind, case when bad then null else r end::bigint as row, case when bad then null else c end::bigint as col, x as text from cells where not bad or x <> ''
@@ -120,7 +121,7 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
     wide = F.when((k % 5 == 0) | (k % 7 == 0), "").when(k % 11 == 0, ' colspan="2"').when(k % 3 == 0, ' colspan="2"').otherwise("")
     last = F.when((k % 3 == 0) & (k % 5 != 0) & (k % 7 != 0) & (k % 11 != 0), "").otherwise(F.concat(F.lit("<td>x"), k.cast("string"), F.lit("</td>")))
     html = F.concat(F.lit("<body><table><tr><th"), tall, F.lit(">"), known("p_name"), F.lit("</th><td>"), known("p_type"), F.lit("</td></tr><tr><td"), wide, F.lit(">"), known("p_brand"), F.lit("</td>"), last, F.lit("</tr></table><p>after</p></body>"))
-    pages = read(spark, d, "part").where(k.isNotNull()).select(k, html.alias("html"))
+    pages = read(spark, d, "part").where(k.isNotNull()).select(k, html.alias("html")).distinct()
     return markup.laid_tables(markup.blocks(pages, "p_partkey"), "p_partkey").select("p_partkey", "kind", "row", "col", "text")
 
 

@@ -138,7 +138,7 @@ def dictionary_merge(spark: SparkSession, d: str) -> DataFrame:
     head, whole = F.regexp_extract("text", "[A-Za-z]+", 0).alias("head"), F.md5(F.col("text").cast("binary")).alias("def")
     e = read(spark, d, "documents").select(F.col("doc_id").alias("i"), head, whole).unionByName(read(spark, d, "benchmark").select((F.col("item_id") + 1000000).alias("i"), head, whole))
     m = e.groupBy("head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "def"))), lambda s: s["def"]), "; ").alias("defs"), F.count("*").alias("sources"))
-    m = m.select("head", F.md5(F.col("defs").cast("binary")).alias("definition"), "sources", F.lower("head").alias("k"))
+    m = m.select("head", F.md5(F.nullif("defs", F.lit("")).cast("binary")).alias("definition"), "sources", F.lower("head").alias("k"))
     return ordering.numbered(m, ["k", "head"], "ordinal").select("head", "definition", "sources", "ordinal")
 
 

@@ -12,12 +12,12 @@ _BY = ["book", "section"]
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    pages = read(spark, d, "pages").select(F.floor(F.col("page_id") / 10).cast("bigint").alias("book"), (F.col("page_id") % 10).alias("section"), "html")
+    pages = read(spark, d, "pages").select(F.floor(F.col("page_id") / 10).cast("bigint").alias("book"), (F.col("page_id") % 10).alias("section"), "html").where("book is not null and html is not null").distinct()
     return positions.path_index(pages, _BY)
 
 
 # The visible text of a page by its tags alone: the paragraphs of these pages are all in one article.
-_SEEN = """b as (select page_id, regexp_extract(html, '(?s)<body[^>]*>(.*?)(?:</body>|$)', 1) body from pages),
+_SEEN = """b as (select page_id, regexp_extract(html, '(?s)<body[^>]*>(.*?)(?:</body>|$)', 1) body from (select distinct page_id, html from pages where page_id is not null and html is not null)),
  split as (select page_id, string_split(body, '<p>') v, body from b),
  seen as (select page_id, k, v[k + 1] t, array_to_string(v[1:k], '<p>') before from split, range(1, 2000) r(k) where k < len(v)),
  visible as (select page_id, length(regexp_replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&[A-Za-z0-9#]+;', '.', 'g')) n from b),
@@ -34,7 +34,7 @@ def position_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return positions.identical(starts.select(*_BY, "offset"), index, ["book"], "section")
 
 
-@query(rf"""with {_SEEN}, asked as (select page_id // 10 book, k, k / 20.0 share from (select distinct page_id // 10 * 10 page_id from pages), range(21) r(k)),
+@query(rf"""with {_SEEN}, asked as (select page_id // 10 book, k, k / 20.0 share from (select distinct page_id // 10 * 10 page_id from visible), range(21) r(k)),
  reached as (select a.book, a.k, a.share, floor(a.share * r.total) target, r.page_id % 10 section, r.before, r.n, row_number() over (partition by a.book, a.k order by r.page_id) nth from asked a join room r on r.page_id // 10 = a.book where r.before + r.n >= floor(a.share * r.total)),
  one as (select *, greatest(0.0, least(1.0, (target - before) / n)) intra from reached where nth = 1)
 select book, k, section, intra, floor(intra * 6 + 0.5)::bigint as page, (before_of + (floor(intra * 6 + 0.5) / 6) * n_of) / total_of as share from (select one.*, room.before before_of, room.n n_of, room.total total_of from one join room on room.page_id = one.book * 10 + one.section)""")

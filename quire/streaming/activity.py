@@ -24,7 +24,7 @@ def fold_pace(avg: int, n: int, x: int, weight: int = 1000, most: int = 65535) -
 
 
 def pace(events: DataFrame, key: str = "user_id", idle: float | None = None) -> DataFrame:
-    """(key, avg, n) after each batch that holds events (key, ts, event_id, x) of the key.
+    """(key, avg, n) after each batch that holds events (key, ts, event_id, x) of the key; nulls of x or ts are left out.
 
     With ``idle``, events have a watermark on ts, and the state of a key without events for so many seconds is let go.
     """
@@ -43,7 +43,8 @@ def pace(events: DataFrame, key: str = "user_id", idle: float | None = None) ->
         yield pd.DataFrame({key: [k[0]], "avg": [avg], "n": [n]})
 
     timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} bigint, avg bigint, n bigint", "avg bigint, n bigint", "update", timeout)
+    known = events.where("ts is not null and x is not null")
+    return known.groupBy(key).applyInPandasWithState(step, f"{key} bigint, avg bigint, n bigint", "avg bigint, n bigint", "update", timeout)
 
 
 def _wake(state: GroupState, at: float) -> None:
@@ -73,7 +74,7 @@ def debounced(events: DataFrame, key: str = "user_id", changes: int = 10, second
     """(key, ts, position) to save: after ``changes`` changes of position, or ``seconds`` after the last save, without a further event too.
 
     What is pending is saved once the watermark (the newest event of any key less ``late``) has passed its time; a key without
-    events for ``idle`` seconds more has no state.
+    events for ``idle`` seconds more has no state. Events without a time or position are left out.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -105,7 +106,7 @@ def debounced(events: DataFrame, key: str = "user_id", changes: int = 10, second
             _wake(state, held[2] + seconds if held[1] else seen + idle)
         yield pd.DataFrame(out, columns=[key, "ts", "position"])
 
-    timed = events.withWatermark("ts", late)
+    timed = events.where("ts is not null and position is not null").withWatermark("ts", late)
     return timed.groupBy(key).applyInPandasWithState(step, f"{key} bigint, ts timestamp, position bigint", "position bigint, n bigint, saved double, seen double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
