@@ -38,7 +38,7 @@ class Params:
     least: int = 10  #: occurrences of a candidate
     covered: int = 50  #: percent of a candidate's occurrences that a longer one must have to drop it
     top: int = 2000
-    block: int = 2_000_000  #: words counted together in a task
+    block: int = 1_000_000  #: words counted together in a task
 
 
 #: Ends of pieces become ".", which is no part of a word then; tabs become blanks; A-Z are lower-cased.
