@@ -178,26 +178,6 @@ def break_places(words: Column, patterns: list[str], before: int, after: int) ->
     return run(words)
 
 
-@F.pandas_udf(T.StringType())
-def visual_order(s: pd.Series) -> pd.Series:
-    """Runs of right-to-left characters reversed for display (numbers inside keep their order)."""
-
-    def one(t: str | None) -> str | None:
-        if t is None or t.isascii():
-            return t
-        runs: list[list] = []
-        for c in t:
-            kind = unicodedata.bidirectional(c)
-            rtl = kind in ("R", "AL") or kind in ("WS", "ON", "CS", "NSM") and bool(runs) and runs[-1][0]
-            if runs and runs[-1][0] == rtl:
-                runs[-1][1] += c
-            else:
-                runs.append([rtl, c])
-        return "".join(r[::-1] if rtl else r for rtl, r in runs)
-
-    return s.map(one)
-
-
 def image_class(w: Column, h: Column, repeats: Column, page: Column, cover: Column, first: Column, near: Column) -> Column:
     """What an image on a page is for; all but keep and cover are left out."""
     short, long = F.least(w, h), F.greatest(w, h)

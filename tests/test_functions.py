@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import clips, dates, layout, markup, text, urls
+from quire.functions import bidi, clips, dates, layout, markup, text, urls
 from quire.operators import activity, ordering
 
 
@@ -113,7 +113,7 @@ def test_hyphenation(spark):
 
 
 def test_visual_order_and_nfc(spark):
-    assert one(spark, layout.visual_order(F.lit("ab אבג"))) == "ab גבא"
+    assert one(spark, bidi.visual_order(F.lit("ab אבג"))) == "ab גבא"
     assert one(spark, layout.nfc(F.lit("é"))) == "é"
     assert one(spark, text.starts_right_to_left(F.lit("1 אב a"))) is True
 
