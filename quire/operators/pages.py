@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quire.functions.layout import rotated
 from quire.functions.text import ascii_lower, has_lookup_character
 from quire.operators.keys import heavy_keys
+from quire.storage import Stored
 
 BINS = 64
 WHITE = r"[ \t\n\f\r]+"
@@ -165,10 +166,11 @@ def reading_order(runs: DataFrame, box: tuple[float, float, float, float], most:
     hot = heavy_keys(rows, ["doc", "page"], least=most + 1)
     rows = _without_heads(rows, box)
     rows = rows.join(F.broadcast(hot.select(F.col("doc").alias("_doc"), F.col("page").alias("_page"), F.lit(True).alias("_hot"))), _same("doc", "_doc") & _same("page", "_page"), "left").drop("_doc", "_page")
-    usual = rows.where("_hot is null").drop("_hot").withColumn("_all", F.count("*").over(W.partitionBy("doc", "page"))).where("not gone")
-    laid = _laid_out(usual.where(F.col("_all") <= most).drop("_all", "gone"), box)
-    other = usual.where(F.col("_all") > most).drop("_all").unionByName(rows.where("_hot and not gone").drop("_hot"))
-    return laid.unionByName(_as_they_come(other.drop("gone")))
+    usual = rows.where("_hot is null").withColumn("_all", F.count("*").over(W.partitionBy("doc", "page")))
+    every = usual.unionByName(rows.where("_hot").withColumn("_all", F.lit(most + 1).cast("bigint"))).where("not gone").drop("_hot", "gone")
+    every = Stored(every, "runs").df  # read twice, and a plan of this length is planned in parts
+    laid = _laid_out(every.where(F.col("_all") <= most).drop("_all"), box)
+    return laid.unionByName(_as_they_come(every.where(F.col("_all") > most).drop("_all")))
 
 
 # Beginnings of texts that describe a file, white space of normal forms, verdicts in their order.
