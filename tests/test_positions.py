@@ -28,6 +28,16 @@ def test_offsets_of_blocks_count_what_is_seen():
     assert [(r[2], r[5]) for r in reader.rows] == [("abc", 1), ("de", 4)]
 
 
+def test_references_lacking_their_semicolon_stay_as_written():
+    page = "<body><h1>a&amp;&amp</h1><p title='x&copy=1'>b&lt;&nope;&notit; &#65;&#66 & c</p><p>d</p></body>"
+    reader = BlockReader()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    assert [(r[2], r[5]) for r in reader.rows] == [("a&&amp", 0), ("b<&nope;&notit; A&#66 & c", 6), ("d", 31)]
+    assert [r[2:4] for r in PathReader.of(page) if r[1]] == [(0, 6), (6, 25), (31, 1)]
+
+
 def book(spark):
     pages = [(1, 0, PAGE), (1, 1, "<body><p>0123456789</p></body>"), (1, 2, None), (2, 0, "<p>x</p>"), (None, 0, "<p>y</p>")]
     return positions.path_index(spark.createDataFrame(pages, "book bigint, section bigint, html string").repartition(3), ["book", "section"])
