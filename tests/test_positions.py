@@ -76,3 +76,12 @@ def test_every_place_leads_back(spark):
     got = positions.identical(every.where("book is not null"), index, ["book"], "section")
     assert got.count() == 29 == got.where("at = back").count()
     assert positions.identical(every.limit(0), index, ["book"], "section").count() == 0
+
+
+def test_places_behind_open_references_lead_back(spark):
+    pages = [(1, 0, "<body><article><h1>x&amp;&amp</h1><p>one &am</p><p>two</p></article></body>")]
+    index = positions.path_index(spark.createDataFrame(pages, "book bigint, section bigint, html string"), ["book", "section"])
+    places = spark.createDataFrame([(1, 0, 6), (1, 0, 13)], "book bigint, section bigint, offset bigint")
+    got = {r["at"]: (r["path"], r["back"]) for r in positions.identical(places, index, ["book"], "section").collect()}
+    root = "/body/DocFragment[1]/body/article[1]"
+    assert got == {6: (f"{root}/p[1]/text()[1].1", 6), 13: (f"{root}/p[2]/text()[1].1", 13)}
