@@ -36,5 +36,7 @@ def test_files_of_books_are_made_once(spark):
             made.add(len(b))
             yield b
 
-    found = books.Epub(files.mapInPandas(counted, "path string, content binary")).chapters().collect()
+    made_of = books.Epub(files.mapInPandas(counted, "path string, content binary"))
+    assert sorted((r["path"], r["section"], r["size"]) for r in made_of.sections().collect()) == [(str(i), 0, 6) for i in range(5)] and made.value == 5
+    found = made_of.chapters().collect()
     assert sorted((r["path"], r["section"], r["html"]) for r in found) == [(str(i), 0, f"text {i}") for i in range(5)] and made.value == 5
