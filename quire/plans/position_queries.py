@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from quire.operators import positions
 from quire.plans.registry import query, read
+from quire.storage import Stored
 
 _BY = ["book", "section"]
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
     pages = read(spark, d, "pages").select(F.floor(F.col("page_id") / 10).cast("bigint").alias("book"), (F.col("page_id") % 10).alias("section"), "html").where("book is not null and html is not null").distinct()
-    return positions.path_index(pages, _BY)
+    return Stored(positions.path_index(pages, _BY), "paths").df  # met by ten steps: pages are read once
 
 
 # The visible text of a page by its tags alone: the paragraphs of these pages are all in one article.

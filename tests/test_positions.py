@@ -1,9 +1,11 @@
 """Places in books as paths: readers of elements against hand-made pages, both ways."""
 
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from quire.functions.markup import BlockReader, PathReader
 from quire.operators import positions
+from quire.plans import catalog
 
 PAGE = "<html><head><title>no</title></head> x<body><div><p>ab<b>c</b>d&amp;</p><ul><li>one<li>two<ul><li>in</ul></ul></div><!-- n -->tail<p>e<p></p></body> out</html>"
 
@@ -85,3 +87,9 @@ def test_places_behind_open_references_lead_back(spark):
     got = {r["at"]: (r["path"], r["back"]) for r in positions.identical(places, index, ["book"], "section").collect()}
     root = "/body/DocFragment[1]/body/article[1]"
     assert got == {6: (f"{root}/p[1]/text()[1].1", 6), 13: (f"{root}/p[2]/text()[1].1", 13)}
+
+
+def test_pages_of_places_are_read_once(spark, capsys):
+    for name in ("position_round_trip", "share_round_trip"):
+        catalog.QUERIES[name](spark, SMALL).explain()
+        assert "MapInPandas" not in capsys.readouterr().out
