@@ -47,6 +47,16 @@ def decoded(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
+#: Bytes of definitions in a task, whose windows hold some thirty times as many.
+SHARE = 2 << 20
+
+
+def dealt(definitions: DataFrame, by: list[str], html_col: str) -> DataFrame:
+    """Definitions in as many tasks as their bytes ask for, so that a task's windows do not grow with the table; one more look at the sizes."""
+    size = definitions.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
+    return definitions.repartition(max(int(definitions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE)), *by)
+
+
 def styled_spans(definitions: DataFrame, by: list[str], html_col: str = "html") -> DataFrame:
     """by, span (from 0), text, start, end, bold, italic, underline, strike, indent, item, newline of definitions (by, html).
 
@@ -55,7 +65,7 @@ def styled_spans(definitions: DataFrame, by: list[str], html_col: str = "html")
     <t:word>) become their word, subtrees of drawings and formulas go. Null and empty definitions have no spans; ``by`` has to
     tell definitions apart.
     """
-    tokens = definitions.select(*by, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("at", "t"))
+    tokens = dealt(definitions, by, html_col).select(*by, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("at", "t"))
     tag = F.col("t").rlike(r"^<\s*/?\s*[A-Za-z_]") & F.col("t").endswith(">")
     name = F.lower(F.regexp_extract("t", r"^<\s*/?\s*([^\s/>]+)", 1))
     closing, alone = F.col("t").rlike(r"^<\s*/"), F.col("t").rlike(r"/\s*>$")

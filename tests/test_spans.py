@@ -113,3 +113,12 @@ def test_spans_put_together_are_the_plain_text(spark):
     both = df.select("id", markup.plain_text(F.regexp_replace("html", "</?(?:blockquote)>", "<br>")).alias("plain")).join(joined, "id", "left").collect()
     for r in both:
         assert "".join((r["joined"] or "").split()) == "".join(r["plain"].split()) and r["end"] == r["n"]
+
+
+def test_definitions_are_dealt_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(spans, "SHARE", 10)
+    rows = spark.createDataFrame([(i, "<b>x</b> y") for i in range(12)] + [(12, None)], "k int, html string")
+    assert spans.dealt(rows, ["k"], "html").rdd.getNumPartitions() == 12
+    assert spans.dealt(rows.limit(0), ["k"], "html").rdd.getNumPartitions() == 4
+    got = sorted((r["k"], r["span"], r["text"], r["bold"]) for r in spans.styled_spans(rows, ["k"]).collect())
+    assert got == sorted(x for i in range(12) for x in ((i, 0, "x", True), (i, 1, " y", False)))
