@@ -12,8 +12,8 @@ A document's set is its distinct shingles of ``words`` words; documents link who
    do nodes that they connect but for a few classes, after comparing these few with all; the rest branch again. What is
    still large after ``levels`` levels is compared block by block, so no node is ever cut short.
 4. Pairs that the signature doesn't rule out (four standard deviations under the threshold) are confirmed on full sets,
-   in groups of some hundred pairs of one node, bounded in bytes. Full sets are made once, of the classes that share a first
-   node with another, and stored in buckets by class; texts of other documents are told by a bitmap of fixed size and
+   in groups of some hundred pairs of one node, bounded in bytes. Full sets are made once, of the classes that such a pair of the
+   first level or a large node holds, and stored in buckets by class; texts of other documents are told by a bitmap of fixed size and
    stay where they are. First only a forest of each node's pairs is,
    so their number follows the rows; pairs left out whose ends links have not connected are confirmed within their node.
 5. Components by forests of dealt edges, joined by alternating stars where one task can't hold them, in shared storage.
@@ -324,9 +324,10 @@ class Join:
         self.p, self.docs, self.spark = p, docs, docs.sparkSession
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.held: list[Stored] = []
-        made = self._hold(sets_of(docs, p), "sets")
+        made = Stored(sets_of(docs, p), "sets")
         self.members = Stored(made.df.select("doc", "th", "uid", "n"), "members").df
         self.classes = self._hold(made.df.where("uid is not null").groupBy("uid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("sig").alias("sig")), "classes").df
+        made.drop()
         self.links: list[DataFrame] = []
         self.pairs: list[DataFrame] = []
         self.dense: list[DataFrame] = []
@@ -350,12 +351,13 @@ class Join:
             sizes = held.df.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
             kept = self._hold(held.df.join(sizes, "node"), "nodes")
             held.drop()
-            if level == 1:
-                self._make_sets(kept.df.select("uid").distinct())
             large = kept.df.where(f"size > {p.leaf}")
             # small nodes whole; of larger ones blocks of about leaf classes, in each the smallest against the others
             block = f"xxhash64(node, 'block', pmod(xxhash64(uid, node), cast(ceil(size / {p.leaf}D) as bigint)))"
             self._collect(kept.df.selectExpr(f"if(size > {p.leaf}, {block}, node) as node", "uid", f"size > {p.leaf} as star"), source)
+            if level == 1:  # every pair of a later level is of large nodes' classes, and a forest has the ends of all its node's pairs
+                ends = self.pairs[0].select(F.explode(F.array("a", "b")).alias("uid"))
+                self._make_sets(ends.unionByName(large.select("uid")).distinct())
             if not large.limit(1).count():
                 return
             if level % 2 == 1:

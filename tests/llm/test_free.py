@@ -231,6 +231,19 @@ def test_near_duplicates_other_parameters(spark):
     assert near_dup.groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_full_sets_are_made_of_likely_pairs_only(spark):
+    rnd, common = random.Random(8), [f"c{i}" for i in range(300)]
+    half = [" ".join(common + [f"w{i}x{j}" for j in range(200)]) for i in range(60)]  # alike enough to meet in nodes, not to link
+    alone = [f"v{j}" for j in range(400)]
+    near = [" ".join(alone[:k] + [str(rnd.random())] + alone[k + 1 :]) for k in (100, 300)]
+    rows = list(enumerate(half + near))
+    join = near_dup.Join(spark.createDataFrame(rows, "doc bigint, text string"), near_dup.Params())
+    join.grow()
+    assert join.full.count() == 2
+    got = near_dup.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: min(i, 60) for i, _ in rows}
+
+
 def test_components_of_chains(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "LOCAL_EDGES", 40)
     rnd = random.Random(6)
